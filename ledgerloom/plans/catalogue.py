@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.functions.display import plain_numbers
 from ledgerloom.params import Params
-from ledgerloom.plans import churn, cohorts, features, issuers, revenue
+from ledgerloom.operators import series
+from ledgerloom.plans import churn, cohorts, evaluation, features, forecasts, issuers, revenue
 from ledgerloom.plans.warehouse import Warehouse
 from ledgerloom.sources import orderbook
 
@@ -69,6 +70,29 @@ QUERIES: dict[str, Query] = {
     "realised_failure_loss": lambda w: w["realised_failure_loss"],
     "run_rate": lambda w: revenue.run_rate(w["merchant_month"], w.params).drop("run_rate_units"),
     "revenue_at_risk": lambda w: w["revenue_at_risk"],
+
+    "asof_status": lambda w: w["asof_status"],
+    "rule_score": lambda w: evaluation.rule_score(w["asof_status"]),
+    "fixed_window_sweep": lambda w: w["fixed_window_sweep"],
+    "adaptive_sweep": lambda w: w["adaptive_sweep"],
+    "best_rules": lambda w: w["best_rules"],
+    "two_tier_point": lambda w: w["two_tier_point"],
+    "false_positive_profile": lambda w: evaluation.false_positive_profile(w["asof_status"], w.params),
+    "rate_by_category": lambda w: evaluation.false_positive_rate_by(w["asof_status"], "category", w.params),
+    "evaluation_summary": lambda w: evaluation.evaluation_summary(w["asof_status"], w["fixed_window_sweep"]),
+    "rule_comparison": lambda w: evaluation.rule_comparison(w["best_rules"], w["two_tier_point"]),
+
+    "holdout_split": lambda w: series.holdout_split(w["issuer_series"], "series", w.params.holdout_months),
+    "low_sr_dummy": lambda w: w["issuer_series"].select("series", "month", "success_rate", "x"),
+    "forecast_baselines": lambda w: forecasts.holdout_predictions(w["issuer_series"], w.params, "baseline"),
+    "forecast_holdout": lambda w: w["forecast_holdout"],
+    "forecast_errors": lambda w: w["forecast_errors"],
+    "forecast_leaderboard": lambda w: forecasts.leaderboard(w["forecast_errors"]),
+    "forecast_top_models": lambda w: forecasts.top_models(w["forecast_errors"]),
+    "forecast_projection": lambda w: w["forecast_projection"],
+    "forecast_bridge": lambda w: forecasts.forecast_bridge(w["issuer_series"], w["forecast_projection"]),
+    "forecast_network": lambda w: forecasts.forecast_errors(forecasts.holdout_predictions(
+        forecasts.network_series(w["network_health_monthly"], w.observed, w.params), w.params)),
 }
 
 

@@ -10,7 +10,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.params import Params
-from ledgerloom.plans import churn, cohorts, facts, features, issuers, revenue, rollups
+from ledgerloom.plans import (
+    churn, cohorts, evaluation, facts, features, forecasts, issuers, revenue, rollups)
 from ledgerloom.sources.staging import Staging
 from ledgerloom.sources.tables import Sources
 
@@ -100,7 +101,8 @@ class Warehouse:
         return counts
 
 
-STEPS = ["schema", "facts", "churn", "cohorts", "incident", "features", "revenue"]
+STEPS = ["schema", "facts", "churn", "cohorts", "incident", "features", "revenue",
+         "evaluation", "forecasts"]
 
 MERCHANT = "merchant_id"
 
@@ -165,4 +167,24 @@ MARTS: dict[str, Mart] = {
         w["network_health_monthly"], w.params), stage=True),
     "revenue_at_risk": Mart("revenue", lambda w: revenue.revenue_at_risk(
         w["merchant_churn_status"], w["merchant_month"], w["merchant_features"], w.params), stage=True),
+
+    "asof_status": Mart("evaluation", lambda w: evaluation.asof_status(
+        w["merchants"], w["issuer_day"], w["merchant_activity_gaps"], w.observed, w.params),
+        stage=True, key=MERCHANT),
+    "fixed_window_sweep": Mart("evaluation", lambda w: evaluation.fixed_window_sweep(
+        w["asof_status"], w.params), stage=True),
+    "adaptive_sweep": Mart("evaluation", lambda w: evaluation.adaptive_sweep(
+        w["asof_status"], w.params), stage=True),
+    "best_rules": Mart("evaluation", lambda w: evaluation.best_rules(
+        w["fixed_window_sweep"], w["adaptive_sweep"], w.params)),
+    "two_tier_point": Mart("evaluation", lambda w: evaluation.two_tier_point(
+        w["asof_status"], w["fixed_window_sweep"], w.params)),
+
+    "issuer_series": Mart("forecasts", lambda w: forecasts.issuer_series(
+        w["merchant_bank_month"], w.observed, w.params), stage=True),
+    "forecast_holdout": Mart("forecasts", lambda w: forecasts.holdout_predictions(
+        w["issuer_series"], w.params), stage=True),
+    "forecast_errors": Mart("forecasts", lambda w: forecasts.forecast_errors(w["forecast_holdout"])),
+    "forecast_projection": Mart("forecasts", lambda w: forecasts.projection(
+        w["issuer_series"], forecasts.leaderboard(w["forecast_errors"]), w.params), stage=True),
 }

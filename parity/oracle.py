@@ -439,3 +439,209 @@ def sql_for(query: str) -> str:
 
 def all_sql() -> dict[str, str]:
     return {name: sql_for(name) for name in Q}
+
+
+# ------------------------------------------------------------- evaluation ---
+OUTCOME = 90
+R["span_t"] = f"SELECT d0, d1 - {OUTCOME} AS d1 FROM span"
+R["tx_t"] = "SELECT tx.* FROM tx, span_t WHERE txn_date <= span_t.d1"
+R["gap_t"] = "SELECT gap.* FROM gap, span_t WHERE txn_date <= span_t.d1"
+R["base_t"] = rhythm("gap_t", "span_t")
+R["cs_t"] = churn_status("tx_t", "span_t", "base_t")
+R["past"] = f"""
+SELECT cs_t.*, NOT coalesce(b.back, FALSE) AS actual, coalesce(silent >= {AT_RISK}, FALSE) AND coalesce(b.back, FALSE) AS dormant
+FROM cs_t LEFT JOIN (SELECT DISTINCT merchant_id, TRUE AS back FROM tx, span_t WHERE ok AND txn_date > span_t.d1) b USING (merchant_id)"""
+
+
+def confusion_sql(source: str, keys: str, hit: str, extra: str = "") -> str:
+    return f"""
+SELECT {keys}{extra}, tp, fp, fn, tn, tp + fp AS flagged, coalesce({ratio('tp', '(tp + fp)', 4)}, 0) AS precision,
+       coalesce({ratio('tp', '(tp + fn)', 4)}, 0) AS recall, coalesce({ratio('2 * tp', '(2 * tp + fp + fn)', 4)}, 0) AS f1
+FROM (SELECT {keys}{extra}, count_if(h AND actual) AS tp, count_if(h AND NOT actual) AS fp,
+             count_if(NOT h AND actual) AS fn, count_if(NOT h AND NOT actual) AS tn
+      FROM (SELECT *, coalesce({hit}, FALSE) AS h FROM {source}) GROUP BY ALL)"""
+
+
+R["fx"] = confusion_sql("(SELECT silent, actual, CAST(u.w AS BIGINT) AS window_days FROM past, unnest(range(10, 121, 5)) AS u(w))",
+                        "window_days", "silent >= window_days")
+R["ad"] = (
+    "WITH g AS (SELECT CAST(1 + 0.25 * i AS DOUBLE) AS multiplier FROM range(0, 21) AS r(i)),\n"
+    f"z AS (SELECT silent, actual, coalesce(gaps, 0) AS k, multiplier, greatest({FLOOR}, multiplier * coalesce(p90, 15)) AS cut_at FROM past, g),\n"
+    "m AS (SELECT multiplier, round(quantile_cont(CAST(cut_at AS DOUBLE), 0.5), 6) AS median_threshold_days FROM z GROUP BY 1)\n"
+    "SELECT * FROM (" + confusion_sql("z", "multiplier",
+        f"CASE WHEN k < {MIN_GAPS} THEN silent >= {AT_RISK} ELSE silent > cut_at END") + ") JOIN m USING (multiplier)")
+MEAS = "tp, fp, fn, tn, flagged, precision, recall, f1"
+R["rules"] = f"""
+SELECT 'conventional' AS rule, CAST(window_days AS DOUBLE) AS setting, {MEAS} FROM fx WHERE window_days = {AT_RISK}
+UNION ALL SELECT * FROM (SELECT 'best_fixed', CAST(window_days AS DOUBLE), {MEAS} FROM fx ORDER BY f1 DESC, window_days LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'best_adaptive', multiplier, {MEAS} FROM ad ORDER BY f1 DESC, multiplier LIMIT 1)"""
+R["tiers"] = f"""
+SELECT 'at_risk' AS tier, window_days, {MEAS} FROM fx WHERE window_days = {AT_RISK}
+UNION ALL
+SELECT 'confirmed', window_days, {MEAS} FROM fx WHERE window_days = coalesce(
+  (SELECT min(window_days) FROM fx WHERE precision >= 0.95),
+  (SELECT min(window_days) FROM fx WHERE precision = (SELECT max(precision) FROM fx)))"""
+
+Q["asof_status"] = f"SELECT {STATUS_COLUMNS}, actual, dormant FROM past"
+Q["rule_score"] = confusion_sql(
+    "(SELECT u.rule, actual, CASE u.rule WHEN 'naive' THEN d1f WHEN 'adaptive' THEN d2f ELSE d3f END = 1 AS flagged_by "
+    "FROM past, unnest(['naive', 'adaptive', 'value_decay']) AS u(rule))", "rule", "flagged_by")
+Q["fixed_window_sweep"] = "SELECT * FROM fx"
+Q["adaptive_sweep"] = "SELECT * FROM ad"
+Q["best_rules"] = "SELECT * FROM rules"
+Q["two_tier_point"] = "SELECT * FROM tiers"
+FP = f"coalesce(silent >= {AT_RISK}, FALSE) AND NOT actual"
+Q["false_positive_profile"] = f"""
+SELECT count_if({FP}) AS false_positives, count_if({FP} AND dormant) AS of_which_dormant,
+       coalesce({ratio(f'count_if({FP} AND dormant)', f'count_if({FP})', 4)}, 0) AS share_dormant,
+       round(quantile_cont(CASE WHEN {FP} THEN p90 END, 0.5), 6) AS median_p90_gap_fp,
+       round(quantile_cont(p90, 0.5), 6) AS median_p90_gap_population FROM past"""
+Q["rate_by_category"] = f"""
+SELECT category, count(*) AS merchants, {ratio(f'count_if({FP})', 'count(*)', 4)} AS fp_rate FROM past GROUP BY category"""
+Q["evaluation_summary"] = f"""
+SELECT count(*) AS merchants_scored, {ratio('count_if(actual)', 'count(*)', 4)} AS true_churn_rate,
+       (SELECT max(precision) FROM fx) AS precision_ceiling FROM past"""
+Q["rule_comparison"] = """
+SELECT rule, precision, recall, f1 FROM rules UNION ALL SELECT tier, precision, recall, f1 FROM tiers WHERE tier = 'confirmed'"""
+
+# ------------------------------------------------------------ forecasting ---
+HOLD, AHEAD, SEASON, LOW = 5, 6, 12, "0.92e0"
+R["ser"] = f"""
+WITH e AS (SELECT CAST(CASE WHEN day(d1 + 1) = 1 THEN date_trunc('month', d1)
+                            ELSE date_trunc('month', d1) - INTERVAL 1 MONTH END AS DATE) AS m1 FROM span),
+c AS (SELECT issuer_bank AS series, month, sum(tpv) AS y, {ratio('sum(won)', 'sum(tried)', 6)} AS sr
+      FROM mbm, e WHERE month <= e.m1 GROUP BY 1, 2),
+k AS (SELECT series, CAST(u.m AS DATE) AS month
+      FROM (SELECT series, min(month) AS m0 FROM c GROUP BY 1), e, unnest(generate_series(m0, e.m1, INTERVAL 1 MONTH)) AS u(m))
+SELECT k.series, k.month, coalesce(c.y, 0) AS paise, CAST(coalesce(c.y, 0) AS DOUBLE) / 100 AS y, c.sr,
+       CASE WHEN coalesce(c.sr, 1) < {LOW} THEN 1 ELSE 0 END AS x,
+       row_number() OVER (PARTITION BY k.series ORDER BY k.month) AS i,
+       count(*) OVER (PARTITION BY k.series) AS n
+FROM k LEFT JOIN c USING (series, month)"""
+R["trn"] = f"SELECT series, i, y, x, n - {HOLD} AS n FROM ser WHERE i <= n - {HOLD}"
+
+
+def baseline_sql(train: str, h: int) -> str:
+    return f"""
+WITH s AS (SELECT u.step FROM unnest(range(1, {h} + 1)) AS u(step)),
+a AS (SELECT series, any_value(n) AS n, arg_min(y, i) AS y0, arg_max(y, i) AS y1 FROM {train} GROUP BY 1)
+SELECT series, 'naive_last_value' AS model, step, y1 AS p FROM a, s
+UNION ALL SELECT series, 'drift', step, y1 + (y1 - y0) / (n - 1) * step FROM a, s
+UNION ALL SELECT a.series, 'seasonal_naive', s.step, t.y FROM a, s, {train} t
+          WHERE a.n > {SEASON} AND t.series = a.series AND t.i = a.n - {SEASON} + (s.step - 1) % {SEASON} + 1"""
+
+
+def holt_sql(train: str) -> str:
+    """Last state of every grid point; the fold is a recursive walk over the months."""
+    ahead = "(h.level + h.p * h.trend)"
+    return f"""
+WITH RECURSIVE grid AS (SELECT a, b, p FROM unnest([0.1e0, 0.3e0, 0.5e0, 0.7e0, 0.9e0]) AS u(a),
+    unnest([0.1e0, 0.3e0, 0.5e0, 0.7e0, 0.9e0]) AS v(b), unnest([0.8e0, 0.9e0, 0.98e0]) AS w(p)),
+h AS (
+  SELECT t1.series, a, b, p, t1.n, CAST(1 AS BIGINT) AS i, t1.y AS level, t2.y - t1.y AS trend, 0.0e0 AS sse
+  FROM {train} t1 JOIN {train} t2 ON t2.series = t1.series AND t1.i = 1 AND t2.i = 2 CROSS JOIN grid
+  UNION ALL
+  SELECT h.series, h.a, h.b, h.p, h.n, h.i + 1, {ahead} + h.a * (t.y - {ahead}), h.p * h.trend + h.a * h.b * (t.y - {ahead}),
+         h.sse + (t.y - {ahead}) * (t.y - {ahead})
+  FROM h JOIN {train} t ON t.series = h.series AND t.i = h.i + 1)
+SELECT series, any_value(n) AS n, arg_min(level, (sse, a, b, p)) AS level, arg_min(trend, (sse, a, b, p)) AS trend,
+       arg_min(p, (sse, a, b, p)) AS p, min(sse) AS sse FROM h WHERE i = n GROUP BY series"""
+
+
+def arima_sql(train: str, beta: bool) -> str:
+    shift = "coalesce(CAST(sum(dx * dy) AS DOUBLE) / NULLIF(sum(dx * dx), 0), 0)" if beta else "0.0e0"
+    vals = "unnest([-0.8e0, -0.6e0, -0.4e0, -0.2e0, 0.0e0, 0.2e0, 0.4e0, 0.6e0, 0.8e0])"
+    return f"""
+WITH RECURSIVE d AS (SELECT *, y - lag(y) OVER (PARTITION BY series ORDER BY i) AS dy,
+                            x - lag(x) OVER (PARTITION BY series ORDER BY i) AS dx FROM {train}),
+bb AS (SELECT series, {shift} AS beta FROM d GROUP BY series),
+z AS (SELECT d.series, i, n, beta, y - beta * x AS z FROM d JOIN bb USING (series)),
+ws AS (SELECT *, z - lag(z) OVER (PARTITION BY series ORDER BY i) AS w FROM z),
+grid AS (SELECT f, t FROM {vals} AS u(f), {vals} AS v(t)),
+r AS (
+  SELECT series, f, t, n, beta, i, z, w, 0.0e0 AS e, 0.0e0 AS css FROM ws, grid WHERE i = 2
+  UNION ALL
+  SELECT r.series, r.f, r.t, r.n, r.beta, ws.i, ws.z, ws.w, ws.w - r.f * r.w - r.t * r.e,
+         r.css + (ws.w - r.f * r.w - r.t * r.e) * (ws.w - r.f * r.w - r.t * r.e)
+  FROM r JOIN ws ON ws.series = r.series AND ws.i = r.i + 1)
+SELECT series, any_value(n) AS n, any_value(beta) AS beta, any_value(z) AS z, arg_min(f, (css, f, t)) AS f,
+       arg_min(f * w + t * e, (css, f, t)) AS w1, min(css) AS css FROM r WHERE i = n GROUP BY series"""
+
+
+def fitted_sql(holt: str, arima: str, arimax: str, h: int, future: str) -> str:
+    s = f"(SELECT u.step FROM unnest(range(1, {h} + 1)) AS u(step)) s"
+    def reach(base: str, first: int) -> str:
+        return f"list_reduce(list_transform(range({first}, s.step + {first}), lambda k: pow({base}, k)), lambda a, v: a + v)"
+    return f"""
+SELECT series, 'holt_damped' AS model, s.step, level + {reach('p', 1)} * trend AS p FROM {holt}, {s}
+UNION ALL SELECT series, 'arima', s.step, z + w1 * {reach('f', 0)} FROM {arima}, {s}
+UNION ALL SELECT a.series, 'arima_with_intervention', s.step, a.z + a.w1 * {reach('a.f', 0)} + a.beta * {future} FROM {arimax} a, {s}"""
+
+
+R["hb"] = baseline_sql("trn", HOLD)
+R["hh"] = holt_sql("trn")
+R["ha"] = arima_sql("trn", False)
+R["hx"] = arima_sql("trn", True)
+R["hf"] = fitted_sql("hh", "ha", "hx", HOLD,
+                     "(SELECT q.x FROM ser q WHERE q.series = a.series AND q.i = a.n + s.step)")
+R["pred0"] = "SELECT * FROM hb UNION ALL SELECT * FROM hf"
+
+
+def predictions_sql(source: str) -> str:
+    return f"""
+SELECT h.series, h.model, CAST(h.step AS BIGINT) AS step, ser.month, ser.y, round(h.p, 2) AS predicted
+FROM {source} h JOIN ser ON ser.series = h.series AND ser.i = ser.n - {HOLD} + h.step"""
+
+
+R["pred"] = predictions_sql("pred0")
+R["err"] = f"""
+SELECT series, model,
+       {ratio('sum(CAST(round(abs(y - predicted) / NULLIF(abs(y), 0) * 100000000) AS BIGINT)) * 100', '100000000 * count(NULLIF(y, 0))', 3)} AS mape_pct,
+       {ratio('sum(CAST(round(abs(y - predicted) * 100) AS BIGINT))', '100 * count(*)', 0)} AS mae_inr
+FROM pred GROUP BY 1, 2"""
+R["brd"] = """
+SELECT series, arg_min(model, (mape_pct, model)) AS best_model, min(mape_pct) AS best_mape_pct,
+       max(CASE WHEN model = 'naive_last_value' THEN mape_pct END) AS naive_mape_pct, count(*) AS models,
+       min(mape_pct) < max(CASE WHEN model = 'naive_last_value' THEN mape_pct END) AS beats_naive
+FROM err GROUP BY series"""
+R["pb"] = baseline_sql("ser", AHEAD)
+R["ph"] = holt_sql("ser")
+R["pa"] = arima_sql("ser", False)
+R["px"] = arima_sql("ser", True)
+R["pf"] = fitted_sql("ph", "pa", "px", AHEAD, "0")
+R["sig"] = f"""
+WITH d AS (SELECT series, i, n, y - lag(y) OVER w AS d1, y - lag(y, {SEASON}) OVER w AS d12,
+                  (last_value(y) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+                   - first_value(y) OVER (PARTITION BY series ORDER BY i)) / (n - 1) AS slope
+           FROM ser WINDOW w AS (PARTITION BY series ORDER BY i))
+SELECT series, 'naive_last_value' AS model, sqrt(sum(d1 * d1) / count(d1)) AS sigma FROM d GROUP BY 1
+UNION ALL SELECT series, 'drift', sqrt(sum((d1 - slope) * (d1 - slope)) / count(d1)) FROM d GROUP BY 1
+UNION ALL SELECT series, 'seasonal_naive', sqrt(sum(d12 * d12) / count(d12)) FROM d GROUP BY 1
+UNION ALL SELECT series, 'holt_damped', sqrt(sse / (n - 1)) FROM ph
+UNION ALL SELECT series, 'arima', sqrt(css / greatest(n - 2, 1)) FROM pa
+UNION ALL SELECT series, 'arima_with_intervention', sqrt(css / greatest(n - 2, 1)) FROM px"""
+R["proj"] = """
+SELECT p.series, p.model, CAST(p.step AS BIGINT) AS step,
+       CAST(l.m1 + to_months(CAST(p.step AS INTEGER)) AS DATE) AS month, round(p.p, 2) AS tpv_inr,
+       round(p.p - 1.2815515655446004e0 * sig.sigma * sqrt(CAST(p.step AS DOUBLE)), 2) AS lo80,
+       round(p.p + 1.2815515655446004e0 * sig.sigma * sqrt(CAST(p.step AS DOUBLE)), 2) AS hi80
+FROM (SELECT * FROM pb UNION ALL SELECT * FROM pf) p
+JOIN brd ON brd.series = p.series AND brd.best_model = p.model
+JOIN sig ON sig.series = p.series AND sig.model = p.model
+JOIN (SELECT series, max(month) AS m1 FROM ser GROUP BY 1) l ON l.series = p.series"""
+
+Q["holdout_split"] = f"""
+SELECT series, month, y, sr AS success_rate, {big('x')} AS x, i > n - {HOLD} AS is_test, n AS n_months,
+       CASE WHEN i > n - {HOLD} THEN i - n + {HOLD} END AS step FROM ser"""
+Q["low_sr_dummy"] = f"SELECT series, month, sr AS success_rate, {big('x')} AS x FROM ser"
+Q["forecast_baselines"] = predictions_sql("hb")
+Q["forecast_holdout"] = "SELECT * FROM pred"
+Q["forecast_errors"] = "SELECT * FROM err"
+Q["forecast_leaderboard"] = "SELECT * FROM brd"
+Q["forecast_top_models"] = f"""
+SELECT *, {big('row_number() OVER (PARTITION BY series ORDER BY mape_pct, model)')} AS rank FROM err
+QUALIFY row_number() OVER (PARTITION BY series ORDER BY mape_pct, model) <= 3"""
+Q["forecast_projection"] = "SELECT * FROM proj"
+Q["forecast_bridge"] = """
+SELECT series, max(month) AS month, arg_max(y, month) AS tpv_inr FROM ser GROUP BY series
+UNION ALL SELECT series, month, tpv_inr FROM proj"""
