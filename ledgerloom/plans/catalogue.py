@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ledgerloom.functions.display import plain_numbers
 from ledgerloom.params import Params
-from ledgerloom.operators import series
-from ledgerloom.plans import churn, cohorts, evaluation, features, forecasts, issuers, revenue
+from ledgerloom.operators import clustering, preprocess, ranking_metrics, series, smoothing
+from ledgerloom.operators.quantiles import grouped_medians
+from ledgerloom.operators.ranking import Tile, assign_tiles
+from ledgerloom.plans import (
+    checks, churn, cohorts, drivers, evaluation, features, forecasts, issuers, reports, revenue, segments)
 from ledgerloom.plans.warehouse import Warehouse
-from ledgerloom.sources import orderbook
+from ledgerloom.sources import orderbook, sinks
+from ledgerloom.sources.tables import Sources
 
 # The median merchant of the order book has 3 baseline attempts, so the guard
 # against noisy shares is lower than the default for payment data.
-ORDERBOOK = Params(min_baseline_attempts=5)
+# Boosting rounds and k-means restarts only cost time; the defaults are meant for a cluster.
+ORDERBOOK = Params(min_baseline_attempts=5, boost_rounds=20, k_restarts=2, final_restarts=3)
 
 _open: dict[tuple[str, str], Warehouse] = {}
 
@@ -25,6 +31,7 @@ def warehouse(spark: SparkSession, folder: str) -> Warehouse:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _open:
         _open[key] = Warehouse(spark, orderbook.bind(spark, folder), ORDERBOOK)
+        _open[key].folder = folder
     return _open[key]
 
 
@@ -33,6 +40,100 @@ def forget() -> None:
     _open.clear()
 
 
+def driver_model(w: Warehouse) -> drivers.DriverModel:
+    return w.once("driver_model", lambda: drivers.DriverModel(w["model_frame"], w.staging, w.params))
+
+
+def segmentation(w: Warehouse) -> segments.Segmentation:
+    return w.once("segmentation", lambda: segments.Segmentation(w["merchant_features"], w.staging, w.params))
+
+
+def fixed_score(w: Warehouse) -> DataFrame:
+    """A score written as a formula, so that ranking metrics can be checked exactly."""
+    rows = drivers.eligible(w["merchant_features"])
+    return rows.select("merchant_id", F.round(F.col("recency_days") / (F.col("recency_days") + 30.0), 6).alias("score"),
+                       F.col("churned").cast("int").alias("churned"))
+
+
+def given_segments(w: Warehouse) -> DataFrame:
+    """Money quintiles as segment ids."""
+    return w["merchant_features"].select("merchant_id", (F.col("m_score") - 1).cast("int").alias("segment_id"))
+
+
+def deleted_label_window(w: Warehouse) -> DataFrame:
+    """Features rebuilt from sources that end where the label window starts."""
+    start = w.split.label_start
+    before = F.lit(start)
+    cut = Warehouse(w.spark, Sources(
+        transactions=w.sources.transactions.filter(F.col("txn_date") < before),
+        merchants=w.sources.merchants,
+        support_tickets=w.sources.support_tickets.filter(F.col("ticket_month") < before),
+        settlements=w.sources.settlements.filter(F.col("settle_month") < before)), w.params)
+    cut.split, cut.worst_issuer = w.split, w.worst_issuer
+    cut.early_months = w.early_months
+    return cut["merchant_features_base"].drop("last_success_before")
+
+
+def labelled_silhouette(w: Warehouse) -> DataFrame:
+    points = orderbook.table(w.spark, w.folder, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("int").alias("label"))
+    per = clustering.silhouette_points(points, "vec_id", "x", "label", w.params.silhouette_rows, w.params.cluster_seed)
+    return per.groupBy("label").agg(F.count("*").alias("points"), F.round(F.avg("silhouette"), 5).alias("silhouette"))
+
+
+def monthly_parts(w: Warehouse) -> DataFrame:
+    path = f"{w.staging.root}/transactions_by_month"
+    sinks.write_monthly_parts(w["transactions"], path)
+    return w.spark.read.parquet(path)
+
+
+def exported(w: Warehouse) -> DataFrame:
+    """Rows of every exported mart as read back from its CSV files."""
+    places = sinks.export_marts({n: w[n] for n in sinks.EXPORTED}, f"{w.staging.root}/exports")
+    counts = None
+    for name, path in places.items():
+        back = w.spark.read.option("header", True).schema(
+            ", ".join(f"`{c}` string" for c in w[name].columns)).csv(path)
+        one = back.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("mart"), "n_rows")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
+def health_export(w: Warehouse) -> DataFrame:
+    path = f"{w.staging.root}/health_csv"
+    sinks.write_csv(w["network_health_monthly"].select("month", "active_merchants", "success_rate"), path)
+    return w.spark.read.schema("month string, active_merchants bigint, success_rate double").option(
+        "header", True).csv(path)
+
+
+def manifest(w: Warehouse) -> DataFrame:
+    tables = {n: orderbook.table(w.spark, w.folder, n) for n in ("customer", "lineitem", "nation", "orders", "supplier")}
+    return sinks.manifest(tables)
+
+
+def churn_scorecard(w: Warehouse) -> DataFrame:
+    """The evaluation as one nested JSON document, read back and counted."""
+    path = f"{w.staging.root}/churn_scorecard"
+    card = sinks.scorecard(
+        {"summary": evaluation.evaluation_summary(w["asof_status"], w["fixed_window_sweep"]),
+         "false_positives": evaluation.false_positive_profile(w["asof_status"], w.params)},
+        {"rules": w["best_rules"], "tiers": w["two_tier_point"], "fixed_sweep": w["fixed_window_sweep"],
+         "adaptive_sweep": w["adaptive_sweep"]})
+    sinks.write_json(card, path)
+    return w.spark.read.schema(card.schema).json(path).select(
+        F.col("summary.merchants_scored").alias("merchants_scored"),
+        F.col("false_positives.false_positives").alias("false_positives"),
+        F.size("rules").alias("rules"), F.size("tiers").alias("tiers"),
+        F.size("fixed_sweep").alias("fixed_sweep"), F.size("adaptive_sweep").alias("adaptive_sweep"))
+
+
+def top_months(w: Warehouse) -> DataFrame:
+    """Each merchant's three latest months, newest first."""
+    latest = Window.partitionBy("merchant_id").orderBy(F.col("month").desc())
+    return w["merchant_month"].select("merchant_id", "month", "tpv_inr", F.row_number().over(latest).alias("rn")).filter(
+        F.col("rn") <= 3)
+
+
 Query = Callable[[Warehouse], DataFrame]
 
 QUERIES: dict[str, Query] = {
@@ -93,6 +194,80 @@ QUERIES: dict[str, Query] = {
     "forecast_bridge": lambda w: forecasts.forecast_bridge(w["issuer_series"], w["forecast_projection"]),
     "forecast_network": lambda w: forecasts.forecast_errors(forecasts.holdout_predictions(
         forecasts.network_series(w["network_health_monthly"], w.observed, w.params), w.params)),
+
+    "ntile_scalable": lambda w: assign_tiles(
+        w["merchant_features"].select("merchant_id", "attempted_txns"), w.staging, "merchant_id",
+        {"tile": Tile("attempted_txns", 10)}),
+    "first_k_months_semi": lambda w: w["bank_month_sr"].join(
+        F.broadcast(issuers.first_months(w["bank_month_sr"], w.params.baseline_months)), "month", "left_semi")
+        .select("month", "issuer_bank", "attempted_txns"),
+    "top_k_per_merchant": top_months,
+    "share_of_total": lambda w: smoothing.share_of_total(
+        w["merchant_bank_month"], "issuer_bank", "attempted_value_inr", "value_share"),
+    "hash_sample": lambda w: preprocess.hash_sample(w["merchants"].select("merchant_id", "category"), "merchant_id", 400, 7),
+    "ewma_success_rate": lambda w: smoothing.trailing_rate(
+        w["merchant_month_dense"], "success_rate", w.params.ewma_weight, "trailing_rate")
+        .withColumn("trailing_rate", F.round("trailing_rate", 6)),
+    "median_by_segment": lambda w: grouped_medians(
+        w["merchant_features"], w.staging, "m_score", ["avg_monthly_txns", "recency_days", "success_rate"]),
+
+    "ranking_metrics": lambda w: ranking_metrics.ranking_metrics(fixed_score(w), w.staging, "score", "churned"),
+    "decile_lift": lambda w: ranking_metrics.decile_lift(fixed_score(w), w.staging, "score", "churned"),
+    "stratified_split": lambda w: w["model_frame"].select("merchant_id", "churned", "is_test"),
+    "median_imputed": lambda w: w["model_frame"].select("merchant_id", *drivers.NUMERIC),
+    "standardised_features": lambda w: segments.segment_inputs(w["merchant_features"], w.staging).select(
+        "merchant_id", *[F.round(c, 5).alias(c) for c in segments.INPUTS]),
+    "one_hot_features": lambda w: w["model_frame"].select("merchant_id", *preprocess.indicators(
+        preprocess.category_levels(w["model_frame"], drivers.CATEGORICAL, w.params.max_levels))),
+    "driver_coefficients": lambda w: driver_model(w).coefficients,
+    "driver_metrics": lambda w: driver_model(w).metrics(),
+    "driver_scores": lambda w: driver_model(w).scores,
+    "driver_lift": lambda w: driver_model(w).lift(),
+    "boosted_metrics": lambda w: driver_model(w).metrics(boosted=True),
+    "benchmark_gap": lambda w: drivers.benchmark_gap(driver_model(w).metrics(), driver_model(w).metrics(boosted=True)),
+    "sign_recovery": lambda w: drivers.sign_recovery(driver_model(w).coefficients, w.params.expected_signs),
+    "top_drivers": lambda w: drivers.top_drivers(driver_model(w).coefficients),
+
+    "kmeans_k_selection": lambda w: segmentation(w).k_selection(),
+    "segment_assignment": lambda w: segmentation(w).assignment,
+    "segment_profile": lambda w: segmentation(w).profile(),
+    "pca_2d": lambda w: segmentation(w).plane(),
+    "segment_naming": lambda w: segments.segment_profile(w["merchant_features"], given_segments(w), w.staging),
+    "silhouette_labelled": labelled_silhouette,
+
+    "kpi_row": lambda w: reports.kpi_row(w["bank_month_sr"], w["network_health_monthly"],
+                                         w["churn_definition_comparison"], w["revenue_at_risk"]),
+    "cohort_triangle_pivot": lambda w: reports.cohort_triangle(w["cohort_retention"]),
+    "flow_series": lambda w: reports.flow_series(w["network_health_monthly"]),
+    "issuer_ranking": lambda w: reports.issuer_ranking(w["incident_culprit_ranking"]),
+    "growth_vs_m3": lambda w: reports.growth_and_retention(w["network_health_monthly"], w["cohort_m3_retention"]),
+    "issuer_month_heatmap": lambda w: reports.issuer_heatmap(w["bank_month_sr"]),
+    "failure_reason_mix_for_issuer": lambda w: reports.reason_mix_of(w["failure_reason_mix"], w.worst_issuer),
+    "sr_sliced": lambda w: issuers.sliced_success_rate(
+        w["transactions"], w["merchants"], city_tier="tier_3", category="BUILDING"),
+    "export_headlines": lambda w: reports.headline_metrics(w["network_health_monthly"], w.params.low_sr),
+
+    "check_flow_identity": lambda w: checks.flow_identity(w["network_health_monthly"]),
+    "check_rate_bounds": lambda w: checks.rate_bounds(w["merchant_month"]),
+    "check_tpv_bound": lambda w: checks.tpv_bound(w["merchant_month"]),
+    "check_no_leak": lambda w: checks.no_leak(w["merchant_features"], deleted_label_window(w)),
+    "check_recency_cardinality": lambda w: checks.recency_varies(w["merchant_features"]),
+    "check_exposure_sums": lambda w: checks.exposure_sums(w["merchant_bank_exposure"]),
+    "check_definitions_disagree": lambda w: checks.definitions_disagree(w["churn_definition_comparison"]),
+    "check_contribution_closes": lambda w: checks.contribution_closes(w["sr_contribution"]),
+
+    "transactions_by_month_part": monthly_parts,
+    "export_marts": exported,
+    "export_health_csv": health_export,
+    "manifest": manifest,
+    "churn_scorecard": churn_scorecard,
+    "mart_row_counts": lambda w: w.row_counts(),
+    "transactions_sample": lambda w: sinks.head_sample(
+        w["transactions"].select("merchant_id", "txn_date", "issuer_bank", "amount_inr"), 2000,
+        "txn_date", "merchant_id", "issuer_bank", "amount_inr"),
+    "adhoc_sql": lambda w: w.sql(
+        "SELECT category, count(*) AS merchants, sum(churn_d1_naive) AS silent "
+        "FROM merchant_churn_status GROUP BY category"),
 }
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.params import Params
 from ledgerloom.plans import (
-    churn, cohorts, evaluation, facts, features, forecasts, issuers, revenue, rollups)
+    churn, cohorts, drivers, evaluation, facts, features, forecasts, issuers, revenue, rollups)
 from ledgerloom.sources.staging import Staging
 from ledgerloom.sources.tables import Sources
 
@@ -36,7 +36,9 @@ class Warehouse:
         self.sources = sources
         self.params = params or Params()
         self.staging = Staging(spark, self.params.buckets, root)
+        self.folder: str | None = None
         self._built: dict[str, DataFrame] = {}
+        self._held: dict[str, object] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
@@ -45,6 +47,12 @@ class Warehouse:
             self._built[name] = self.staging.write(df, name, mart.key) if mart.stage else df
         return self._built[name]
 
+    def once(self, name: str, make: Callable[[], object]):
+        """An object such as a fitted model, made on first use."""
+        if name not in self._held:
+            self._held[name] = make()
+        return self._held[name]
+
     # One-row facts, collected once and used as literals so that date filters
     # reach the scan.
 
@@ -102,7 +110,7 @@ class Warehouse:
 
 
 STEPS = ["schema", "facts", "churn", "cohorts", "incident", "features", "revenue",
-         "evaluation", "forecasts"]
+         "evaluation", "drivers", "forecasts"]
 
 MERCHANT = "merchant_id"
 
@@ -180,6 +188,9 @@ MARTS: dict[str, Mart] = {
     "two_tier_point": Mart("evaluation", lambda w: evaluation.two_tier_point(
         w["asof_status"], w["fixed_window_sweep"], w.params)),
 
+    "model_frame": Mart("drivers", lambda w: drivers.model_frame(
+        w["merchant_features"], w.staging, w.params), stage=True, key=MERCHANT, public=False),
+
     "issuer_series": Mart("forecasts", lambda w: forecasts.issuer_series(
         w["merchant_bank_month"], w.observed, w.params), stage=True),
     "forecast_holdout": Mart("forecasts", lambda w: forecasts.holdout_predictions(

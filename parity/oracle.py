@@ -434,6 +434,8 @@ def needed(text: str) -> list[str]:
 def sql_for(query: str) -> str:
     body = Q[query]
     parts = [f"{n} AS MATERIALIZED ({R[n]}\n)" for n in needed(body)]
+    if body.strip().startswith("WITH"):
+        body = f"SELECT * FROM ({body})"
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
 
 
@@ -645,3 +647,193 @@ Q["forecast_projection"] = "SELECT * FROM proj"
 Q["forecast_bridge"] = """
 SELECT series, max(month) AS month, arg_max(y, month) AS tpv_inr FROM ser GROUP BY series
 UNION ALL SELECT series, month, tpv_inr FROM proj"""
+
+
+# ------------------------------------------------- primitives and metrics ---
+R["elig"] = "SELECT * FROM feat WHERE success_rate_3m_at_cutoff IS NOT NULL"
+R["scr"] = "SELECT merchant_id, round(recency_days / (recency_days + 30.0e0), 6) AS score, churned AS y FROM elig"
+R["byscore"] = "SELECT score, count_if(y = 1) AS p, count_if(y = 0) AS n FROM scr GROUP BY 1"
+R["cumscore"] = """
+SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp,
+       coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+       sum(p) OVER () AS pos, sum(n) OVER () AS neg FROM byscore"""
+Q["ntile_scalable"] = f"""
+SELECT merchant_id, attempted_txns, {big('ntile(10) OVER (ORDER BY attempted_txns, merchant_id)')} AS tile FROM feat"""
+Q["first_k_months_semi"] = "SELECT month, issuer_bank, tried AS attempted_txns FROM bm SEMI JOIN early USING (month)"
+Q["top_k_per_merchant"] = f"""
+SELECT merchant_id, month, {rupees('tpv')} AS tpv_inr, row_number() OVER w AS rn FROM mm
+WINDOW w AS (PARTITION BY merchant_id ORDER BY month DESC) QUALIFY row_number() OVER w <= 3"""
+Q["share_of_total"] = f"""
+SELECT issuer_bank, {ratio('sum(asked)', '(SELECT sum(asked) FROM mbm)', 6)} AS value_share FROM mbm GROUP BY 1"""
+Q["hash_sample"] = """
+SELECT merchant_id, category FROM mer ORDER BY md5(concat(CAST(merchant_id AS VARCHAR), ':7')), merchant_id LIMIT 400"""
+Q["ewma_success_rate"] = """
+WITH RECURSIVE e AS (
+  SELECT merchant_id, month, tenure, sr AS now FROM dense WHERE tenure = 1
+  UNION ALL
+  SELECT d.merchant_id, d.month, d.tenure,
+         coalesce(CASE WHEN e.now IS NULL THEN d.sr ELSE 0.45e0 * e.now + 0.55e0 * d.sr END, e.now)
+  FROM e JOIN dense d ON d.merchant_id = e.merchant_id AND d.tenure = e.tenure + 1)
+SELECT merchant_id, month, round(now, 6) AS trailing_rate FROM e"""
+Q["median_by_segment"] = """
+SELECT m_score, median(avg_monthly_txns) AS avg_monthly_txns, median(recency_days) AS recency_days,
+       median(success_rate) AS success_rate FROM feat GROUP BY 1"""
+Q["ranking_metrics"] = f"""
+SELECT {big('sum(p + n)')} AS n, {big('sum(p)')} AS positives, {ratio('sum(p * (2 * below + n))', '2 * max(pos) * max(neg)', 6)} AS roc_auc,
+       round(sum(CAST(p AS DOUBLE) * tp / (tp + fp)) / max(pos), 6) AS average_precision,
+       round(sum(p * pow(1 - score, 2) + n * pow(score, 2)) / sum(p + n), 6) AS brier FROM cumscore"""
+Q["decile_lift"] = f"""
+WITH e AS (SELECT list_sort(list_distinct(quantile_cont(score, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS edges FROM scr),
+b AS (SELECT y, 1 + len(list_filter(edges[2:-2], lambda x: x < score)) AS decile FROM scr, e)
+SELECT {big('decile')} AS decile, count(*) AS merchants, {ratio('sum(y)', 'count(*)', 4)} AS churn_rate,
+       {ratio('sum(y) * (SELECT count(*) FROM scr)', 'count(*) * (SELECT sum(y) FROM scr)', 2)} AS lift_vs_base
+FROM b GROUP BY 1"""
+
+NUM = ["success_rate_3m_at_cutoff", "sr_trend", "avg_settlement_delay_days", "tickets_unresolved",
+       "tickets_payment_failure", "tenure_months", "competitor_density", "avg_monthly_txns", "avg_monthly_tpv",
+       "tpv_cv", "avg_ticket_inr", "p90_gap_days", "degraded_issuer_exposure", "avg_active_days"]
+SEG = ["recency_days", "avg_monthly_tpv", "success_rate_3m_at_cutoff", "sr_trend", "avg_settlement_delay_days",
+       "tickets_unresolved", "p90_gap_days", "tenure_months", "tpv_cv", "degraded_issuer_exposure"]
+
+
+def imputed(columns: list[str]) -> str:
+    return ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT median(CAST({c} AS DOUBLE)) FROM elig)) AS {c}" for c in columns)
+
+
+Q["median_imputed"] = f"SELECT merchant_id, {imputed(NUM)} FROM elig"
+Q["stratified_split"] = """
+SELECT merchant_id, CAST(churned AS DOUBLE) AS churned,
+       row_number() OVER (PARTITION BY churned ORDER BY md5(concat(CAST(merchant_id AS VARCHAR), ':7')), merchant_id)
+         <= floor(0.3e0 * count(*) OVER (PARTITION BY churned) + 0.5) AS is_test FROM elig"""
+R["filled"] = f"SELECT merchant_id, {imputed(SEG)} FROM elig"
+R["logs"] = "SELECT merchant_id, " + ", ".join(
+    f"ln(1 + greatest({c}, 0)) AS {c}" if c in ("avg_monthly_tpv", "recency_days", "p90_gap_days") else c for c in SEG) + " FROM filled"
+Q["standardised_features"] = "SELECT merchant_id, " + ", ".join(
+    f"round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1 ELSE stddev_pop({c}) OVER () END, 5) AS {c}"
+    for c in SEG) + " FROM logs"
+Q["one_hot_features"] = "SELECT merchant_id, " + ", ".join(
+    f"CASE WHEN {c} = '{v}' THEN 1.0e0 ELSE 0.0e0 END AS \"{c}_{v}\"" for c, vs in {
+        "category": ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"], "city_tier": ["tier_2", "tier_3"],
+        "acquisition_channel": ["partner_bank", "referral", "self_serve"], "device_type": ["qr_static", "soundbox"],
+    }.items() for v in vs) + " FROM elig"
+
+R["seg"] = "SELECT *, CAST(m_score - 1 AS BIGINT) AS segment_id FROM elig"
+PROF = ["avg_monthly_tpv", "avg_monthly_txns", "success_rate_3m_at_cutoff", "sr_trend", "recency_days",
+        "tenure_months", "p90_gap_days", "tickets_unresolved", "degraded_issuer_exposure"]
+R["segp"] = f"""
+SELECT segment_id, count(*) AS merchants, {', '.join(f'median({c}) AS {c}' for c in PROF)},
+       {ratio('sum(churned)', 'count(*)', 6)} AS churn_rate, sum(CAST(round(avg_monthly_tpv * 100) AS BIGINT)) AS t
+FROM seg GROUP BY 1"""
+R["segn"] = f"""
+WITH pop AS (SELECT {', '.join(f'median({c}) AS {c}' for c in SEG)} FROM seg),
+n AS (SELECT s.*, CASE
+  WHEN s.avg_monthly_tpv > pop.avg_monthly_tpv THEN
+    CASE WHEN NOT s.success_rate_3m_at_cutoff < pop.success_rate_3m_at_cutoff THEN 'Core healthy volume'
+         WHEN s.sr_trend < 0 THEN 'High-value, payments-impaired' END
+  WHEN s.recency_days > pop.recency_days THEN 'Fading long-tail' END AS nm,
+  s.tenure_months < pop.tenure_months AND NOT s.recency_days > pop.recency_days AS fresh,
+  s.success_rate_3m_at_cutoff < pop.success_rate_3m_at_cutoff AS poor
+  FROM segp s, pop)
+SELECT *, coalesce(nm, CASE WHEN fresh THEN 'New and ramping' WHEN poor THEN 'Low-volume, poor experience'
+                            ELSE 'Steady long-tail' END) AS label FROM n"""
+Q["segment_naming"] = f"""
+SELECT segment_id, label || CASE WHEN row_number() OVER w > 1 THEN ' (' || row_number() OVER w || ')' ELSE '' END AS segment_name,
+       merchants, {', '.join(PROF)}, churn_rate, {ratio('t', 'sum(t) OVER ()', 4)} AS tpv_share
+FROM segn WINDOW w AS (PARTITION BY label ORDER BY segment_id)"""
+
+R["pts"] = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY md5(concat(CAST(vec_id AS VARCHAR), ':7')), vec_id LIMIT 4000"
+Q["silhouette_labelled"] = f"""
+WITH d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS t, count(*) AS k
+           FROM pts a, pts b GROUP BY 1, 2, 3),
+m AS (SELECT vec_id, label, max(CASE WHEN other = label THEN k END) AS own,
+             max(CASE WHEN other = label THEN t / greatest(k - 1, 1) END) AS a,
+             min(CASE WHEN other <> label THEN t / k END) AS b FROM d GROUP BY 1, 2)
+SELECT {big('label')} AS label, count(*) AS points,
+       round(avg(CASE WHEN own > 1 AND b IS NOT NULL THEN (b - a) / greatest(a, b) ELSE 0 END), 5) AS silhouette
+FROM m GROUP BY label"""
+
+
+def short_money(x: str) -> str:
+    return (f"CASE WHEN abs({x}) >= 1e9 THEN printf('₹%.2fB', {x} / 1e9) WHEN abs({x}) >= 1e6 THEN printf('₹%.1fM', {x} / 1e6) "
+            f"WHEN abs({x}) >= 1e3 THEN printf('₹%.0fK', {x} / 1e3) ELSE printf('₹%.0f', {x}) END")
+
+
+Q["kpi_row"] = f"""
+WITH k AS (SELECT {big('(SELECT sum(tried) FROM bm)')} AS attempts, {rupees('(SELECT sum(tpv) FROM nh)')} AS tpv_inr,
+             (SELECT arg_max(live, month) FROM nh) AS active_merchants,
+             {ratio("(SELECT count_if(silent >= 65) FROM cs JOIN rr USING (merchant_id))", '(SELECT count(*) FROM cs)', 4)} AS confirmed_churn_rate,
+             (SELECT annualised_revenue_at_risk FROM rar WHERE status = 'at_risk') AS revenue_at_risk)
+SELECT *, {short_money('tpv_inr')} AS tpv_text, {short_money('revenue_at_risk')} AS revenue_at_risk_text FROM k"""
+MONTHS = 83
+Q["cohort_triangle_pivot"] = "SELECT cohort_month, " + ", ".join(
+    f"max(CASE WHEN month_index = {i} THEN logo_retention END) AS m{i}" for i in range(MONTHS)) + " FROM coh GROUP BY 1"
+Q["issuer_month_heatmap"] = "SELECT issuer_bank, " + ", ".join(
+    f"max(CASE WHEN strftime(month, '%Y_%m') = '{1995 + i // 12}_{i % 12 + 1:02d}' THEN sr END) AS \"{1995 + i // 12}_{i % 12 + 1:02d}\""
+    for i in range(MONTHS)) + " FROM bm GROUP BY 1"
+Q["flow_series"] = f"""
+SELECT month, 'new' AS flow, {big('fresh')} AS merchants FROM nh WHERE edge = 0
+UNION ALL SELECT month, 'reactivated', back FROM nh WHERE edge = 0
+UNION ALL SELECT month, 'went_silent', -quiet FROM nh WHERE edge = 0
+UNION ALL SELECT month, 'net', fresh + back - quiet FROM nh WHERE edge = 0"""
+Q["issuer_ranking"] = """
+SELECT issuer_bank, avg_success_rate, avg_volume_share, cumulative_rate_effect, rank_by_worst_sr, rank_by_network_impact FROM rank"""
+Q["growth_vs_m3"] = f"""
+SELECT nh.month, nh.live AS active_merchants, {rupees('nh.tpv')} AS tpv_inr, c.logo_retention AS m3_logo_retention,
+       c.tpv_retention AS m3_tpv_retention
+FROM nh LEFT JOIN (SELECT * FROM coh WHERE month_index = 3) c ON c.cohort_month = nh.month"""
+Q["failure_reason_mix_for_issuer"] = f"""
+SELECT month, failure_reason, failures, reason_share FROM ({Q['failure_reason_mix']})
+WHERE issuer_bank = (SELECT issuer_bank FROM worst)"""
+Q["sr_sliced"] = f"""
+SELECT txn_month AS month, count(*) AS attempted_txns, count_if(ok) AS successful_txns,
+       {ratio('count_if(ok)', 'count(*)', 6)} AS success_rate
+FROM tx SEMI JOIN (SELECT merchant_id FROM mer WHERE city_tier = 'tier_3' AND category = 'BUILDING') m USING (merchant_id)
+GROUP BY 1"""
+Q["export_headlines"] = f"""
+SELECT {rupees('sum(tpv)')} AS total_tpv_inr, {ratio(f"sum({micro('sr')})", '1000000 * count(*)', 6)} AS average_success_rate,
+       min(sr) AS lowest_success_rate, max(live) AS peak_active_merchants, count_if(sr < 0.92) AS months_below_threshold FROM nh"""
+
+Q["check_flow_identity"] = """
+SELECT 'flow_identity' AS check_name, count_if(fresh + back - quiet <> live - live0) AS violations FROM nh"""
+Q["check_rate_bounds"] = "SELECT 'rate_bounds' AS check_name, count_if(sr < 0 OR sr > 1) AS violations FROM mm"
+Q["check_tpv_bound"] = "SELECT 'tpv_bound' AS check_name, count_if(tpv > asked + 1) AS violations FROM mm"
+Q["check_no_leak"] = """
+SELECT 'no_leak' AS check_name, count_if(before >= l0) AS violations
+FROM (SELECT merchant_id, max(CASE WHEN month < l0 THEN month END) AS before, any_value(l0) AS l0 FROM mm, cut GROUP BY 1)"""
+Q["check_recency_cardinality"] = f"""
+SELECT 'recency_varies' AS check_name, {big("CASE WHEN count(DISTINCT recency_days) > least(50, count(recency_days) // 10) THEN 0 ELSE 1 END")} AS violations FROM feat"""
+Q["check_exposure_sums"] = f"""
+SELECT 'exposure_sums' AS check_name, count_if(abs(s - 1000000) > 100) AS violations
+FROM (SELECT sum({micro('exposure_share')}) AS s FROM expo GROUP BY merchant_id)"""
+Q["check_definitions_disagree"] = f"""
+SELECT 'definitions_disagree' AS check_name, {big('CASE WHEN sum(d1f) = sum(d2f) THEN 1 ELSE 0 END')} AS violations FROM cs"""
+Q["check_contribution_closes"] = """
+SELECT 'contribution_closes' AS check_name, count_if(abs(rate_effect + interaction_effect - share * (sr - sr0)) > 0.00001) AS violations FROM con"""
+
+Q["transactions_by_month_part"] = Q["transactions_typed"]
+Q["export_health_csv"] = """
+SELECT strftime(month, '%Y-%m-%d') AS month, live AS active_merchants, sr AS success_rate FROM nh"""
+Q["export_marts"] = """
+SELECT 'network_health_monthly' AS mart, count(*) AS n_rows FROM nh
+UNION ALL SELECT 'cohort_retention', count(*) FROM coh
+UNION ALL SELECT 'bank_month_sr', count(*) FROM bm
+UNION ALL SELECT 'sr_contribution', count(*) FROM con
+UNION ALL SELECT 'revenue_at_risk', count(*) FROM rar
+UNION ALL SELECT 'realised_failure_loss', count(*) FROM nh
+UNION ALL SELECT 'incident_culprit_ranking', count(*) FROM rank
+UNION ALL SELECT 'exposure_vs_churn', count(DISTINCT decile) FROM tiles
+UNION ALL SELECT 'cohort_m3_retention', count_if(month_index = 3) FROM coh"""
+Q["manifest"] = """
+SELECT 'customer' AS table_name, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_parts, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS columns FROM customer
+UNION ALL SELECT 'lineitem', count(*), 1, 'l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate' FROM lineitem
+UNION ALL SELECT 'nation', count(*), 1, 'n_nationkey,n_name,n_regionkey' FROM nation
+UNION ALL SELECT 'orders', count(*), 1, 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' FROM orders
+UNION ALL SELECT 'supplier', count(*), 1, 's_suppkey,s_name,s_nationkey,s_acctbal' FROM supplier"""
+Q["churn_scorecard"] = f"""
+SELECT (SELECT count(*) FROM past) AS merchants_scored, (SELECT count_if({FP}) FROM past) AS false_positives,
+       (SELECT count(*) FROM rules) AS rules, (SELECT count(*) FROM tiers) AS tiers,
+       (SELECT count(*) FROM fx) AS fixed_sweep, (SELECT count(*) FROM ad) AS adaptive_sweep"""
+Q["transactions_sample"] = f"""
+SELECT merchant_id, txn_date, issuer_bank, {rupees('paise')} AS amount_inr FROM tx
+ORDER BY txn_date, merchant_id, issuer_bank, paise LIMIT 2000"""
+Q["adhoc_sql"] = f"SELECT category, count(*) AS merchants, {big('sum(d1f)')} AS silent FROM cs GROUP BY 1"
