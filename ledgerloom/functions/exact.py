@@ -1,59 +1,59 @@
 """Column helpers whose results do not depend on row order or engine.
 
-Money is summed as DECIMAL and every ratio of counts or money is divided as
-DECIMAL before it is rounded, so a tie such as 10.005 always rounds the same
-way and a re-run after a lost executor returns the same digits.
+Money is added up as whole paise and every ratio of counts or paise is whole
+number arithmetic before it is rounded, so a tie such as 10.005 always rounds
+the same way and a re-run after a lost executor returns the same digits. Marts
+show rupees as doubles, which hold every paisa up to 2^53 (90 trillion rupees).
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MONEY = T.DecimalType(28, 2)
-COUNT = T.DecimalType(20, 0)
-FINE = T.DecimalType(20, 6)
 
+def paise(rupees_col: Column) -> Column:
+    """Whole paise of a two-decimal rupee amount."""
+    return F.rint(rupees_col.cast("double") * 100.0).cast("bigint")
 
-def money(col: Column) -> Column:
-    return col.cast(MONEY)
 
+def rupees(paise_col: Column) -> Column:
+    return paise_col.cast("double") / 100.0
 
-def zero_money() -> Column:
-    return F.lit(Decimal("0.00")).cast(MONEY)
 
+def sum_rupees(rupees_col: Column) -> Column:
+    """Aggregate: exact sum of rupee amounts."""
+    return rupees(F.sum(paise(rupees_col)))
 
-def count_ratio(num: Column, den: Column, digits: int) -> Column:
-    """num / den for integer columns, half-up to `digits`; NULL on a zero denominator."""
-    quotient = num.cast(COUNT) / F.nullif(den.cast(COUNT), F.lit(0).cast(COUNT))
-    return F.round(quotient, digits).cast("double")
 
+def ratio(num: Column, den: Column, digits: int) -> Column:
+    """num / den for whole-number columns, half-up to `digits`; NULL on a zero denominator.
 
-def money_ratio(num: Column, den: Column, digits: int) -> Column:
-    """num / den for money columns, half-up; NULL on a zero denominator."""
-    quotient = num.cast(MONEY) / F.nullif(den.cast(MONEY), zero_money())
-    return F.round(quotient, digits).cast("double")
+    Past the range of 64-bit arithmetic the quotient is taken in floating point.
+    """
+    scale = 2 * 10 ** digits
+    n, d = num.cast("bigint"), F.nullif(den.cast("bigint"), F.lit(0).cast("bigint"))
+    scaled = F.call_function("div", F.abs(n) * scale + d, d * 2)
+    exact = F.when(n < 0, -scaled).otherwise(scaled).cast("double") / float(10 ** digits)
+    fits = F.abs(n) <= (2 ** 61) // scale
+    return F.when(fits, exact).otherwise(F.round(n.cast("double") / d.cast("double"), digits))
 
 
-def money_per(num: Column, den: Column, digits: int = 2) -> Column:
-    """Money divided by a count, still money."""
-    quotient = num.cast(MONEY) / F.nullif(den.cast(COUNT), F.lit(0).cast(COUNT))
-    return F.round(quotient, digits)
+def mean_paise(total: Column, n: Column) -> Column:
+    """Mean of a paise total, half-up to whole paise."""
+    count = F.nullif(n.cast("bigint"), F.lit(0).cast("bigint"))
+    return F.call_function("div", total * 2 + count, count * 2)
 
 
 def fine_mean(col: Column, digits: int) -> Column:
     """Aggregate: mean of a column carried at six decimals, rounded half-up."""
-    total = F.sum(col.cast(FINE))
-    n = F.nullif(F.count(col), F.lit(0)).cast(COUNT)
-    return F.round(total / n, digits).cast("double")
+    micros = F.rint(col * 1e6).cast("bigint")
+    return ratio(F.sum(micros), F.count(col) * 1000000, digits)
 
 
 def mean_of_ints(col: Column, digits: int) -> Column:
     """Aggregate: mean of an integer column, rounded half-up."""
-    return count_ratio(F.sum(col), F.count(col), digits)
+    return ratio(F.sum(col), F.count(col), digits)
 
 
 def double_or_null(num: Column, den: Column) -> Column:

@@ -105,9 +105,8 @@ def assign_tiles(df: DataFrame, staging: Staging, id_col: str, tiles: Mapping[st
     the bucket becomes a per-row comparison: no join back, no shuffle of `df`.
     """
     names = list(tiles)
-    key_type = "decimal(38,6)"
     long = df.select(F.col(id_col).alias("_id"), F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_which"), as_number(df, tiles[n].key).cast(key_type).alias("_key"))
+        F.struct(F.lit(i).alias("_which"), as_number(df, tiles[n].key).cast("double").alias("_key"))
         for i, n in enumerate(names)])))
     ranked = with_rank(long, staging, ["_which"],
                        [F.col("_key").asc_nulls_last(), F.col("_id").asc_nulls_last()], partitions)
@@ -125,7 +124,7 @@ def assign_tiles(df: DataFrame, staging: Staging, id_col: str, tiles: Mapping[st
 
     scored = []
     for i, n in enumerate(names):
-        key = as_number(df, tiles[n].key).cast(key_type)
+        key = as_number(df, tiles[n].key).cast("double")
         bucket = F.lit(1)
         for e in [e for e in edges if e["_which"] == i]:
             bucket = bucket + F.when(_after(key, F.col(id_col), e["_key"], e["_id"]), 1).otherwise(0)
@@ -142,5 +141,5 @@ def _after(key: Column, ident: Column, edge_key, edge_id) -> Column:
     """Strictly after the edge row in (key nulls last, id) order."""
     if edge_key is None:
         return key.isNull() & (ident > F.lit(edge_id))
-    edge = F.lit(edge_key).cast("decimal(38,6)")
+    edge = F.lit(edge_key)
     return key.isNull() | (key > edge) | ((key == edge) & (ident > F.lit(edge_id)))

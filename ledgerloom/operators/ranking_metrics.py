@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.exact import count_ratio
+from ledgerloom.functions.exact import ratio
 from ledgerloom.operators.quantiles import spread_quantiles
 from ledgerloom.operators.ranking import running_totals
 from ledgerloom.sources.staging import Staging
@@ -73,5 +73,5 @@ def decile_lift(df: DataFrame, staging: Staging, score: str, label: str, bins: i
     total = per.agg(F.sum("merchants").alias("_n"), F.sum("_pos").alias("_p"))
     rows = per.crossJoin(F.broadcast(total))
     return rows.select(
-        "decile", "merchants", count_ratio(F.col("_pos"), F.col("merchants"), 4).alias("churn_rate"),
-        count_ratio(F.col("_pos") * F.col("_n"), F.col("merchants") * F.col("_p"), 2).alias("lift_vs_base"))
+        "decile", "merchants", ratio(F.col("_pos"), F.col("merchants"), 4).alias("churn_rate"),
+        ratio(F.col("_pos") * F.col("_n"), F.col("merchants") * F.col("_p"), 2).alias("lift_vs_base"))

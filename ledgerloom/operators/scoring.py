@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.exact import count_ratio
+from ledgerloom.functions.exact import ratio
 
 MEASURES = ["tp", "fp", "fn", "tn", "flagged", "precision", "recall", "f1"]
 
@@ -31,9 +31,9 @@ def confusion(df: DataFrame, groups: Sequence[str], predicted: Column, actual: C
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return counts.select(
         "*", (tp + fp).alias("flagged"),
-        F.coalesce(count_ratio(tp, tp + fp, 4), F.lit(0.0)).alias("precision"),
-        F.coalesce(count_ratio(tp, tp + fn, 4), F.lit(0.0)).alias("recall"),
-        F.coalesce(count_ratio(tp * 2, tp * 2 + fp + fn, 4), F.lit(0.0)).alias("f1"),
+        F.coalesce(ratio(tp, tp + fp, 4), F.lit(0.0)).alias("precision"),
+        F.coalesce(ratio(tp, tp + fn, 4), F.lit(0.0)).alias("recall"),
+        F.coalesce(ratio(tp * 2, tp * 2 + fp + fn, 4), F.lit(0.0)).alias("f1"),
     )
 
 

@@ -6,7 +6,7 @@ month, so fitting is a fold over an array and series scale out as rows.
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,14 +43,19 @@ def low_rate_dummy(rate: Column, threshold: float) -> Column:
     return F.when(F.coalesce(rate, F.lit(1.0)) < threshold, 1).otherwise(0)
 
 
-def as_arrays(panel: DataFrame, series: str, holdout: int, horizon: int = 0) -> DataFrame:
+def as_arrays(panel: DataFrame, series: str, holdout: int, horizon: int = 0,
+              partitions: int | None = None) -> DataFrame:
     """One row per series: history `ys` and dummies `xs` up to `origin`.
 
+    The rows are few bytes but each is fitted on many grid points, so they are
+    spread over `partitions` tasks rather than merged by their size.
+
     With a holdout the last values move to `actuals` and their dummies to
     `x_future`; without one the future is assumed free of interventions.
     """
     rows = F.sort_array(F.collect_list(F.struct("month", "y", "x")))
-    full = panel.groupBy(series).agg(rows.alias("_rows"), F.max("month").alias("_last")).select(
+    spread = panel.repartition(partitions, series) if partitions else panel
+    full = spread.groupBy(series).agg(rows.alias("_rows"), F.max("month").alias("_last")).select(
         series, "_last",
         F.transform("_rows", lambda r: r["y"].cast("double")).alias("_y"),
         F.transform("_rows", lambda r: r["x"].cast("double")).alias("_x"))
@@ -70,6 +75,14 @@ def carried(arrays: DataFrame) -> list[str]:
     return [c for c in arrays.columns if c not in ("ys", "xs", "x_future")]
 
 
+def with_grid(df: DataFrame, **axes: Sequence[float]) -> DataFrame:
+    """Each row once per grid point, the point as struct `g`."""
+    for name, values in axes.items():
+        df = df.withColumn(f"_{name}", F.explode(F.lit([float(v) for v in values])))
+    point = F.struct(*[F.col(f"_{n}").alias(n) for n in axes]).alias("g")
+    return df.select(*[c for c in df.columns if c[1:] not in axes or c[0] != "_"], point)
+
+
 def _steps(h: int) -> Column:
     return F.sequence(F.lit(1), F.lit(h))
 
@@ -110,11 +123,9 @@ def baseline_paths(arrays: DataFrame, h: int, season: int) -> DataFrame:
 def holt_paths(arrays: DataFrame, h: int, params: Params) -> DataFrame:
     """Damped trend, smoothing weights picked on a grid by one-step squared error."""
     state = "struct<level:double,trend:double,sse:double>"
-    grid = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(p).alias("p"))
-        for a, b, p in itertools.product(params.holt_grid, params.holt_grid, params.damping_grid)]))
     keys = carried(arrays)
-    tried = arrays.filter(F.size("ys") >= 2).select(*keys, "ys", grid.alias("g"))
+    tried = with_grid(arrays.filter(F.size("ys") >= 2).select(*keys, "ys"),
+                      a=params.holt_grid, b=params.holt_grid, p=params.damping_grid)
     ys = F.col("ys")
     a, b, p = F.col("g.a"), F.col("g.b"), F.col("g.p")
     start = F.struct(F.element_at(ys, 1).alias("level"),
@@ -156,9 +167,6 @@ def arima_paths(arrays: DataFrame, h: int, params: Params, intervention: bool =
     based = arrays.filter(F.size("ys") >= 3).select("*", shift.alias("beta"))
     based = based.select(*keys, "x_future", "beta", F.zip_with(ys, xs, lambda y, x: y - F.col("beta") * x).alias("zs"))
     based = based.select("*", _diffs(F.col("zs")).alias("ws"))
-    grid = F.explode(F.array(*[
-        F.struct(F.lit(f).alias("f"), F.lit(t).alias("t"))
-        for f, t in itertools.product(params.arma_grid, params.arma_grid)]))
     f, t = F.col("g.f"), F.col("g.t")
     start = F.struct(F.element_at("ws", 1).alias("w"), F.lit(0.0).alias("e"), F.lit(0.0).alias("css")).cast(state)
 
@@ -166,7 +174,7 @@ def arima_paths(arrays: DataFrame, h: int, params: Params, intervention: bool =
         e = w - f * s["w"] - t * s["e"]
         return F.struct(w.alias("w"), e.alias("e"), (s["css"] + e * e).alias("css")).cast(state)
 
-    fits = based.select("*", grid.alias("g")).withColumn(
+    fits = with_grid(based, f=params.arma_grid, t=params.arma_grid).withColumn(
         "fit", F.aggregate(F.slice("ws", F.lit(2), F.size("ws") - 1), start, step))
     best = fits.groupBy(*keys).agg(F.min_by(
         F.struct("g", "fit", "beta", "x_future", F.element_at("zs", -1).alias("z"), F.size("ws").alias("n")),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.exact import paise, ratio
+
 
 def trailing_rate(dense: DataFrame, value: str, newest: float, name: str) -> DataFrame:
     """name = (1 - newest) * previous + newest * value, carried over a missing month.
@@ -29,7 +31,7 @@ def trailing_rate(dense: DataFrame, value: str, newest: float, name: str) -> Dat
 
 def share_of_total(df: DataFrame, group: str, value: str, name: str, digits: int = 6) -> DataFrame:
     """Each group's part of the grand total; the total is one broadcast row."""
-    per = df.groupBy(group).agg(F.sum(value).cast("decimal(28,2)").alias("_v"))
-    total = per.agg(F.sum("_v").cast("decimal(28,2)").alias("_t"))
-    part = F.col("_v") / F.nullif(F.col("_t"), F.lit(0).cast("decimal(28,2)"))
-    return per.crossJoin(F.broadcast(total)).select(group, F.round(part, digits).cast("double").alias(name))
+    per = df.groupBy(group).agg(F.sum(paise(F.col(value))).alias("_v"))
+    total = per.agg(F.sum("_v").alias("_t"))
+    return per.crossJoin(F.broadcast(total)).select(
+        group, ratio(F.col("_v"), F.col("_t"), digits).alias(name))

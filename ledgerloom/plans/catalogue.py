@@ -206,8 +206,7 @@ QUERIES: dict[str, Query] = {
         w["merchant_bank_month"], "issuer_bank", "attempted_value_inr", "value_share"),
     "hash_sample": lambda w: preprocess.hash_sample(w["merchants"].select("merchant_id", "category"), "merchant_id", 400, 7),
     "ewma_success_rate": lambda w: smoothing.trailing_rate(
-        w["merchant_month_dense"], "success_rate", w.params.ewma_weight, "trailing_rate")
-        .withColumn("trailing_rate", F.round("trailing_rate", 6)),
+        w["merchant_month_dense"], "success_rate", w.params.ewma_weight, "trailing_rate"),
     "median_by_segment": lambda w: grouped_medians(
         w["merchant_features"], w.staging, "m_score", ["avg_monthly_txns", "recency_days", "success_rate"]),
 

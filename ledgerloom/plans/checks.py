@@ -23,7 +23,7 @@ def rate_bounds(facts: DataFrame) -> DataFrame:
 
 
 def tpv_bound(facts: DataFrame) -> DataFrame:
-    over = F.col("tpv_inr") > F.col("attempted_value_inr") + F.lit("0.01").cast("decimal(4,2)")
+    over = F.col("tpv_inr") > F.col("attempted_value_inr") + 0.01
     return _named("tpv_bound", facts, F.count_if(over))
 
 
@@ -44,9 +44,9 @@ def recency_varies(features: DataFrame, at_least: int = 50) -> DataFrame:
 
 def exposure_sums(exposure: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     """Shares of each merchant must add to one."""
-    total = F.sum(F.col("exposure_share").cast("decimal(20,6)"))
+    total = F.sum(F.rint(F.col("exposure_share") * 1e6).cast("bigint"))
     per = exposure.groupBy("merchant_id").agg(total.alias("s"))
-    return _named("exposure_sums", per, F.count_if(F.abs(F.col("s").cast("double") - 1.0) > tolerance))
+    return _named("exposure_sums", per, F.count_if(F.abs(F.col("s") / 1e6 - 1.0) > tolerance))
 
 
 def definitions_disagree(comparison: DataFrame) -> DataFrame:

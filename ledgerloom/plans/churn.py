@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.calendar import month_of
-from ledgerloom.functions.exact import count_ratio, flag, mean_of_ints, money, tally, zero_money
+from ledgerloom.functions.exact import flag, mean_of_ints, paise, ratio, rupees, tally
 from ledgerloom.operators.quantiles import bounded_quantile
 from ledgerloom.params import Params
 
@@ -57,8 +57,8 @@ def recent_value(days: DataFrame, observed: dt.date, params: Params) -> DataFram
         observed - dt.timedelta(days=params.at_risk_days + params.prior_window_days)))
     none = F.lit(0).cast("bigint")
     return days.groupBy("merchant_id").agg(
-        money(F.sum(F.when(recent, F.col("tpv_inr")))).alias("tpv_30d"),
-        money(F.sum(F.when(earlier, F.col("tpv_inr")))).alias("tpv_prior_90d"),
+        rupees(F.sum(F.when(recent, F.col("tpv_paise")))).alias("tpv_30d"),
+        rupees(F.sum(F.when(earlier, F.col("tpv_paise")))).alias("tpv_prior_90d"),
         F.sum(F.when(recent, F.col("attempted_txns")).otherwise(none)).alias("attempts_30d"),
         F.sum(F.when(recent, F.col("successful_txns")).otherwise(none)).alias("successes_30d"),
     )
@@ -86,11 +86,11 @@ def merchant_churn_status(merchants: DataFrame, days: DataFrame, gaps: DataFrame
                                    "device_type", "state"), "merchant_id"))
     silence = F.col("days_since_last_success")
     p90 = F.col("p90_gap_days")
-    now = F.coalesce("tpv_30d", zero_money())
-    prior = F.coalesce("tpv_prior_90d", zero_money())
+    now = F.coalesce("tpv_30d", F.lit(0.0))
+    prior = F.coalesce("tpv_prior_90d", F.lit(0.0))
     # now / (prior / 3) written as 3 * now / prior keeps the ratio exact.
-    ratio = (now * F.lit(params.prior_window_days)).cast("decimal(30,2)") / F.nullif(
-        (prior * F.lit(params.at_risk_days)).cast("decimal(30,2)"), F.lit(0).cast("decimal(30,2)"))
+    scaled_now, scaled_prior = paise(now) * params.prior_window_days, paise(prior) * params.at_risk_days
+    decayed = scaled_now.cast("double") < scaled_prior.cast("double") * params.decay_ratio
     shown = F.round(F.lit(params.adaptive_multiplier) * F.coalesce(p90, F.lit(params.default_p90_gap)), 1)
     flagged = rows.withColumn(
         "days_since_last_success",
@@ -105,10 +105,10 @@ def merchant_churn_status(merchants: DataFrame, days: DataFrame, gaps: DataFrame
         "baseline_gap_count", "p50_gap_days", "p90_gap_days",
         F.greatest(F.lit(float(params.adaptive_floor_days)), shown).alias("adaptive_threshold_days"),
         now.alias("tpv_30d"), prior.alias("tpv_prior_90d"),
-        F.when(prior > 0, F.round(ratio, 4).cast("double")).alias("tpv_run_rate_ratio"),
+        F.when(prior > 0, ratio(scaled_now, scaled_prior, 4)).alias("tpv_run_rate_ratio"),
         flag(silence >= params.at_risk_days).alias("churn_d1_naive"),
         "churn_d2_adaptive",
-        flag((F.col("churn_d2_adaptive") == 1) | ((prior > 0) & (ratio < params.decay_ratio)))
+        flag((F.col("churn_d2_adaptive") == 1) | ((prior > 0) & decayed))
         .alias("churn_d3_value_decay"),
     )
 
@@ -119,9 +119,9 @@ def churn_definition_comparison(status: DataFrame) -> DataFrame:
     return status.agg(
         n.alias("merchants_scored"),
         F.sum(d1).alias("d1_flagged"), F.sum(d2).alias("d2_flagged"), F.sum(d3).alias("d3_flagged"),
-        count_ratio(F.sum(d1), n, 4).alias("d1_rate"),
-        count_ratio(F.sum(d2), n, 4).alias("d2_rate"),
-        count_ratio(F.sum(d3), n, 4).alias("d3_rate"),
+        ratio(F.sum(d1), n, 4).alias("d1_rate"),
+        ratio(F.sum(d2), n, 4).alias("d2_rate"),
+        ratio(F.sum(d3), n, 4).alias("d3_rate"),
         tally((d1 == 1) & (d2 == 0)).alias("d1_only"),
         tally((d2 == 1) & (d1 == 0)).alias("d2_only"),
         tally((d3 == 1) & (d2 == 0)).alias("d3_incremental"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.calendar import month_index
-from ledgerloom.functions.exact import count_ratio, flag, money, money_per, money_ratio, tally
+from ledgerloom.functions.exact import flag, mean_paise, paise, ratio, rupees, tally
 
 
 def cohort_retention(facts: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def cohort_retention(facts: DataFrame) -> DataFrame:
     dated = facts.select("merchant_id", "month", "tpv_inr",
                          F.min("month").over(per_merchant).alias("cohort_month"))
     cells = dated.groupBy("cohort_month", F.col("month").alias("activity_month")).agg(
-        F.count("*").alias("active_merchants"), money(F.sum("tpv_inr")).alias("tpv_inr"))
+        F.count("*").alias("active_merchants"), F.sum(paise(F.col("tpv_inr"))).alias("_tpv"))
     # From here on there is one row per cohort and month. Every member of a
     # cohort is active in its first month, so that cell holds the size.
     cells = cells.withColumn("month_index", month_index(F.col("activity_month"), F.col("cohort_month")))
@@ -24,13 +24,13 @@ def cohort_retention(facts: DataFrame) -> DataFrame:
     sized = cells.select(
         "*",
         F.max(F.when(start, F.col("active_merchants"))).over(cohort).alias("cohort_size"),
-        F.max(F.when(start, F.col("tpv_inr"))).over(cohort).alias("_tpv0"),
+        F.max(F.when(start, F.col("_tpv"))).over(cohort).alias("_tpv0"),
     )
     return sized.select(
         "cohort_month", "activity_month", "month_index", "cohort_size", "active_merchants",
-        count_ratio(F.col("active_merchants"), F.col("cohort_size"), 4).alias("logo_retention"),
-        "tpv_inr",
-        money_ratio(F.col("tpv_inr"), F.col("_tpv0"), 4).alias("tpv_retention"),
+        ratio(F.col("active_merchants"), F.col("cohort_size"), 4).alias("logo_retention"),
+        rupees(F.col("_tpv")).alias("tpv_inr"),
+        ratio(F.col("_tpv"), F.col("_tpv0"), 4).alias("tpv_retention"),
     )
 
 
@@ -69,27 +69,27 @@ def network_health_monthly(facts: DataFrame, dense: DataFrame) -> DataFrame:
     """Stock, flow and growth of the network; one row per month with activity."""
     totals = facts.groupBy("month").agg(
         F.count("*").alias("active_merchants"),
-        money(F.sum("tpv_inr")).alias("tpv_inr"),
+        F.sum(paise(F.col("tpv_inr"))).alias("tpv"),
         F.sum("successful_txns").alias("ok"),
         F.sum("attempted_txns").alias("tried"),
-        money(F.sum("failed_value_inr")).alias("failed_value_inr"),
+        F.sum(paise(F.col("failed_value_inr"))).alias("failed"),
         F.sum("tickets_raised").alias("tickets_raised"),
     )
     # Both sides are one row per calendar month; so are the windows below.
     monthly = totals.join(merchant_flows(dense), "month")
     by_month, everything = Window.orderBy("month"), Window.partitionBy()
     prev_active = F.lag("active_merchants").over(by_month)
-    prev_tpv = F.lag("tpv_inr").over(by_month)
+    prev_tpv = F.lag("tpv").over(by_month)
     month = F.col("month")
     edge = (month == F.min("month").over(everything)) | (month == F.max("month").over(everything))
     return monthly.select(
         "month", "active_merchants", "new_merchants", "reactivated_merchants",
-        "went_silent_merchants", "churned_merchants", "tpv_inr",
-        count_ratio(F.col("ok"), F.col("tried"), 6).alias("success_rate"),
-        "failed_value_inr", "tickets_raised",
-        money(money_per(F.col("tpv_inr"), F.col("active_merchants"))).alias("tpv_per_active_merchant"),
-        count_ratio(F.col("active_merchants") - prev_active, prev_active, 6).alias("merchant_mom_growth"),
-        money_ratio(F.col("tpv_inr") - prev_tpv, prev_tpv, 6).alias("tpv_mom_growth"),
+        "went_silent_merchants", "churned_merchants", rupees(F.col("tpv")).alias("tpv_inr"),
+        ratio(F.col("ok"), F.col("tried"), 6).alias("success_rate"),
+        rupees(F.col("failed")).alias("failed_value_inr"), "tickets_raised",
+        rupees(mean_paise(F.col("tpv"), F.col("active_merchants"))).alias("tpv_per_active_merchant"),
+        ratio(F.col("active_merchants") - prev_active, prev_active, 6).alias("merchant_mom_growth"),
+        ratio(F.col("tpv") - prev_tpv, prev_tpv, 6).alias("tpv_mom_growth"),
         (F.col("new_merchants") + F.col("reactivated_merchants") - F.col("went_silent_merchants"))
         .alias("net_merchant_adds"),
         flag(edge).alias("is_censored_boundary"),

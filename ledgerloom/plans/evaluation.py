@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.exact import count_ratio, fine_mean, tally
+from ledgerloom.functions.exact import ratio, tally
 from ledgerloom.operators.quantiles import bounded_quantile
 from ledgerloom.operators.scoring import MEASURES, best_by, confusion
 from ledgerloom.params import Params
@@ -130,7 +130,7 @@ def false_positive_profile(scored: DataFrame, params: Params) -> DataFrame:
     return scored.agg(
         tally(fp).alias("false_positives"),
         dormant.alias("of_which_dormant"),
-        F.coalesce(count_ratio(dormant, tally(fp), 4), F.lit(0.0)).alias("share_dormant"),
+        F.coalesce(ratio(dormant, tally(fp), 4), F.lit(0.0)).alias("share_dormant"),
         bounded_quantile(F.when(fp, p90), 0.5).alias("median_p90_gap_fp"),
         bounded_quantile(p90, 0.5).alias("median_p90_gap_population"),
     )
@@ -139,14 +139,14 @@ def false_positive_profile(scored: DataFrame, params: Params) -> DataFrame:
 def false_positive_rate_by(scored: DataFrame, column: str, params: Params) -> DataFrame:
     fp = tally(_false_positive(params))
     return scored.groupBy(column).agg(
-        F.count("*").alias("merchants"), count_ratio(fp, F.count("*"), 4).alias("fp_rate"))
+        F.count("*").alias("merchants"), ratio(fp, F.count("*"), 4).alias("fp_rate"))
 
 
 def evaluation_summary(scored: DataFrame, fixed: DataFrame) -> DataFrame:
     ceiling = fixed.agg(F.max("precision").alias("precision_ceiling"))
     n = F.count("*")
     return scored.agg(
-        n.alias("merchants_scored"), count_ratio(tally(F.col("actual")), n, 4).alias("true_churn_rate"),
+        n.alias("merchants_scored"), ratio(tally(F.col("actual")), n, 4).alias("true_churn_rate"),
     ).crossJoin(F.broadcast(ceiling))
 
 

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.calendar import month_range
-from ledgerloom.functions.exact import count_ratio, flag, money, money_per, money_ratio, tally, zero_money
+from ledgerloom.functions.exact import flag, mean_paise, paise, ratio, rupees, tally
 
 
 def merchant_bank_month(issuer_months: DataFrame) -> DataFrame:
     return issuer_months.select(
         "merchant_id", "month", "issuer_bank", "attempted_txns", "successful_txns",
-        count_ratio(F.col("successful_txns"), F.col("attempted_txns"), 6).alias("success_rate"),
-        "tpv_inr", "attempted_value_inr",
+        ratio(F.col("successful_txns"), F.col("attempted_txns"), 6).alias("success_rate"),
+        rupees(F.col("tpv_paise")).alias("tpv_inr"),
+        rupees(F.col("attempted_paise")).alias("attempted_value_inr"),
     )
 
 
@@ -38,8 +39,8 @@ def merchant_month(issuer_months: DataFrame, medians: DataFrame, tickets: DataFr
         F.sum("attempted_txns").alias("attempted_txns"),
         F.sum("successful_txns").alias("successful_txns"),
         F.sum("failed_txns").alias("failed_txns"),
-        money(F.sum("tpv_inr")).alias("tpv_inr"),
-        money(F.sum("attempted_value_inr")).alias("attempted_value_inr"),
+        F.sum("tpv_paise").alias("tpv_paise"),
+        F.sum("attempted_paise").alias("attempted_paise"),
         F.bit_count(F.bit_or("day_bits")).cast("bigint").alias("active_days"),
         F.count("*").alias("distinct_issuers"),
         F.min("first_txn_date").alias("first_txn_date"),
@@ -53,11 +54,12 @@ def merchant_month(issuer_months: DataFrame, medians: DataFrame, tickets: DataFr
     none = F.lit(0).cast("bigint")
     return joined.select(
         *keys, "attempted_txns", "successful_txns", "failed_txns",
-        count_ratio(F.col("successful_txns"), F.col("attempted_txns"), 6).alias("success_rate"),
-        "tpv_inr", "attempted_value_inr",
-        money(F.col("attempted_value_inr") - F.coalesce("tpv_inr", zero_money())).alias("failed_value_inr"),
+        ratio(F.col("successful_txns"), F.col("attempted_txns"), 6).alias("success_rate"),
+        rupees(F.col("tpv_paise")).alias("tpv_inr"),
+        rupees(F.col("attempted_paise")).alias("attempted_value_inr"),
+        rupees(F.col("attempted_paise") - F.coalesce("tpv_paise", none)).alias("failed_value_inr"),
         "active_days",
-        money(money_per(F.col("tpv_inr"), F.col("successful_txns"))).alias("avg_ticket_inr"),
+        rupees(mean_paise(F.col("tpv_paise"), F.col("successful_txns"))).alias("avg_ticket_inr"),
         "median_ticket_inr", "distinct_issuers", "first_txn_date", "last_txn_date",
         *[F.coalesce(c, none).alias(c)
           for c in ("tickets_raised", "tickets_unresolved", "tickets_payment_failure")],
@@ -85,7 +87,7 @@ def merchant_month_dense(facts: DataFrame, last_month: dt.date, trailing: int =
 
     filled = stretched.select(
         "merchant_id", "month", zero_fill("attempted_txns"), zero_fill("successful_txns"),
-        F.coalesce(F.when(live, F.col("tpv_inr")), zero_money()).alias("tpv_inr"),
+        F.coalesce(F.when(live, paise(F.col("tpv_inr"))), F.lit(0).cast("bigint")).alias("_paise"),
         F.when(live, F.col("success_rate")).alias("success_rate"),
         zero_fill("tickets_unresolved"),
         F.when(live, F.col("avg_settlement_delay_days")).alias("avg_settlement_delay_days"),
@@ -93,19 +95,20 @@ def merchant_month_dense(facts: DataFrame, last_month: dt.date, trailing: int =
     )
     recent = by_month.rowsBetween(1 - trailing, 0)
     so_far = by_month.rowsBetween(Window.unboundedPreceding, 0)
-    tpv, prev = F.col("tpv_inr"), F.col("prev_tpv_inr")
+    tpv, prev = F.col("_paise"), F.col("_prev")
     return filled.select(
         "*",
-        F.lag("tpv_inr").over(by_month).alias("prev_tpv_inr"),
+        F.lag("_paise").over(by_month).alias("_prev"),
         F.sum("successful_txns").over(recent).alias("_ok"),
         F.sum("attempted_txns").over(recent).alias("_tried"),
-        money(F.sum("tpv_inr").over(recent)).alias("tpv_3m"),
+        F.sum("_paise").over(recent).alias("_3m"),
         F.row_number().over(by_month).cast("bigint").alias("tenure_months"),
         F.sum("was_active").over(so_far).alias("active_months_to_date"),
     ).select(
-        *filled.columns, "prev_tpv_inr",
-        money(tpv - prev).alias("tpv_mom_delta"),
-        F.when(prev > 0, money_ratio(tpv - prev, prev, 6)).alias("tpv_mom_pct"),
-        count_ratio(F.col("_ok"), F.col("_tried"), 6).alias("success_rate_3m"),
-        "tpv_3m", "tenure_months", "active_months_to_date",
+        "merchant_id", "month", "attempted_txns", "successful_txns", rupees(tpv).alias("tpv_inr"),
+        "success_rate", "tickets_unresolved", "avg_settlement_delay_days", "was_active",
+        rupees(prev).alias("prev_tpv_inr"), rupees(tpv - prev).alias("tpv_mom_delta"),
+        F.when(prev > 0, ratio(tpv - prev, prev, 6)).alias("tpv_mom_pct"),
+        ratio(F.col("_ok"), F.col("_tried"), 6).alias("success_rate_3m"),
+        rupees(F.col("_3m")).alias("tpv_3m"), "tenure_months", "active_months_to_date",
     )

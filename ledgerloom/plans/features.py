@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.exact import (
-    COUNT, count_ratio, double_or_null, fine_mean, flag, mean_of_ints, money, money_per, tally)
+    double_or_null, fine_mean, flag, mean_of_ints, mean_paise, paise, ratio, rupees, tally)
 from ledgerloom.operators.quantiles import bounded_quantile
 from ledgerloom.operators.ranking import Tile, assign_tiles
 from ledgerloom.params import Params
@@ -52,20 +52,21 @@ def month_behaviour(facts: DataFrame, label_start: dt.date) -> DataFrame:
     def rate(cond):
         return double_or_null(F.sum(F.when(cond, ok)), F.sum(F.when(cond, tried)))
 
-    tpv_mean = F.sum("tpv_inr").cast("decimal(28,2)") / F.nullif(F.count("tpv_inr"), F.lit(0)).cast(COUNT)
+    tpv = F.sum(paise(F.col("tpv_inr")))
+    tickets = F.sum(paise(F.col("avg_ticket_inr")))
     return rows.groupBy("merchant_id").agg(
         F.count("*").alias("active_months"),
         F.sum(tried).alias("attempted_txns"),
         F.sum(ok).alias("successful_txns"),
-        money(F.sum("tpv_inr")).alias("tpv_inr"),
-        money(F.round(tpv_mean, 2)).alias("avg_monthly_tpv"),
+        rupees(tpv).alias("tpv_inr"),
+        rupees(mean_paise(tpv, F.count("tpv_inr"))).alias("avg_monthly_tpv"),
         mean_of_ints(tried, 3).alias("avg_monthly_txns"),
-        F.round(F.stddev_samp(F.col("tpv_inr").cast("double"))
-                / F.nullif(F.sum("tpv_inr").cast("double") / F.count("tpv_inr"), F.lit(0.0)), 4)
+        F.round(F.stddev_samp("tpv_inr")
+                / F.nullif(rupees(tpv) / F.nullif(F.count("tpv_inr"), F.lit(0)), F.lit(0.0)), 4)
         .alias("tpv_cv"),
-        count_ratio(F.sum(ok), F.sum(tried), 6).alias("success_rate"),
+        ratio(F.sum(ok), F.sum(tried), 6).alias("success_rate"),
         F.round(rate(last) - rate(first), 6).alias("sr_trend"),
-        money(money_per(F.sum("avg_ticket_inr"), F.count("avg_ticket_inr"))).alias("avg_ticket_inr"),
+        rupees(mean_paise(tickets, F.count("avg_ticket_inr"))).alias("avg_ticket_inr"),
         mean_of_ints(F.col("active_days"), 2).alias("avg_active_days"),
         *[F.sum(c).alias(c) for c in ("tickets_raised", "tickets_unresolved", "tickets_payment_failure")],
         fine_mean(F.col("avg_settlement_delay_days"), 4).alias("avg_settlement_delay_days"),
@@ -158,10 +159,10 @@ def exposure_tiles(features: DataFrame, exposure: DataFrame, staging: Staging, p
 def exposure_vs_churn(tiles: DataFrame) -> DataFrame:
     n = F.count("*")
     return tiles.groupBy("exposure_decile").agg(
-        F.round(F.min("degraded_issuer_exposure").cast("decimal(20,6)"), 4).cast("double").alias("min_exposure"),
-        F.round(F.max("degraded_issuer_exposure").cast("decimal(20,6)"), 4).cast("double").alias("max_exposure"),
+        F.round(F.min("degraded_issuer_exposure"), 4).alias("min_exposure"),
+        F.round(F.max("degraded_issuer_exposure"), 4).alias("max_exposure"),
         n.alias("merchants"),
-        count_ratio(F.sum("churned"), n, 4).alias("churn_rate"),
-        count_ratio(tally(F.col("city_tier") == "tier_3"), n, 4).alias("tier3_share"),
+        ratio(F.sum("churned"), n, 4).alias("churn_rate"),
+        ratio(tally(F.col("city_tier") == "tier_3"), n, 4).alias("tier3_share"),
         fine_mean(F.col("success_rate_3m_at_cutoff"), 4).alias("avg_sr_at_cutoff"),
     )

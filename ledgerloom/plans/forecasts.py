@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.exact import count_ratio, money
+from ledgerloom.functions.exact import ratio, sum_rupees
 from ledgerloom.operators import series as S
 from ledgerloom.params import Params
 
@@ -28,8 +28,8 @@ def issuer_series(bank_months: DataFrame, observed: dt.date, params: Params) ->
     last = last_full_month(observed)
     cells = bank_months.filter(F.col("month") <= F.lit(last)).groupBy(
         F.col("issuer_bank").alias("series"), "month").agg(
-        money(F.sum("tpv_inr")).alias("y"),
-        count_ratio(F.sum("successful_txns"), F.sum("attempted_txns"), 6).alias("success_rate"))
+        sum_rupees(F.col("tpv_inr")).alias("y"),
+        ratio(F.sum("successful_txns"), F.sum("attempted_txns"), 6).alias("success_rate"))
     return _with_dummy(S.fill_months(cells, "series", ["y", "success_rate"], F.lit(last)), params)
 
 
@@ -43,7 +43,7 @@ def network_series(health: DataFrame, observed: dt.date, params: Params) -> Data
 
 def _with_dummy(panel: DataFrame, params: Params) -> DataFrame:
     return panel.select(
-        "series", "month", F.coalesce("y", F.lit(0).cast("decimal(28,2)")).alias("y"), "success_rate",
+        "series", "month", F.coalesce("y", F.lit(0.0)).alias("y"), "success_rate",
         S.low_rate_dummy(F.col("success_rate"), params.low_sr).alias("x"))
 
 
@@ -57,10 +57,11 @@ def paths(arrays: DataFrame, h: int, params: Params, models: str = "all") -> Dat
     return reduce(DataFrame.unionByName, fitted, base)
 
 
-def holdout_predictions(panel: DataFrame, params: Params, models: str = "all") -> DataFrame:
+def holdout_predictions(panel: DataFrame, params: Params, models: str = "all",
+                        partitions: int | None = None) -> DataFrame:
     """Predicted beside actual for the held-out months."""
     h = params.holdout_months
-    rows = paths(S.as_arrays(panel, "series", h), h, params, models)
+    rows = paths(S.as_arrays(panel, "series", h, partitions=partitions), h, params, models)
     return rows.select(
         "series", "model", "origin", F.posexplode(F.arrays_zip("actuals", "path"))).select(
         "series", "model", (F.col("pos") + 1).cast("bigint").alias("step"),
@@ -94,10 +95,11 @@ def top_models(errors: DataFrame, k: int = 3) -> DataFrame:
     return errors.withColumn("rank", F.row_number().over(by_error)).filter(F.col("rank") <= k)
 
 
-def projection(panel: DataFrame, board: DataFrame, params: Params) -> DataFrame:
+def projection(panel: DataFrame, board: DataFrame, params: Params,
+               partitions: int | None = None) -> DataFrame:
     """The winning model refitted on the whole series, with an 80 % interval."""
     h = params.horizon_months
-    rows = paths(S.as_arrays(panel, "series", 0, h), h, params)
+    rows = paths(S.as_arrays(panel, "series", 0, h, partitions), h, params)
     won = rows.join(board.select("series", F.col("best_model").alias("model")), ["series", "model"])
     ahead = F.col("pos") + 1
     half = F.lit(Z80) * F.col("sigma") * F.sqrt(ahead.cast("double"))
@@ -110,5 +112,5 @@ def projection(panel: DataFrame, board: DataFrame, params: Params) -> DataFrame:
 def forecast_bridge(panel: DataFrame, projected: DataFrame) -> DataFrame:
     """Last actual followed by the forecast, so a chart joins up."""
     newest = panel.groupBy("series").agg(F.max("month").alias("month"), F.max_by("y", "month").alias("y"))
-    return newest.select("series", "month", F.col("y").cast("double").alias("tpv_inr")).unionByName(
+    return newest.select("series", "month", F.col("y").alias("tpv_inr")).unionByName(
         projected.select("series", "month", "tpv_inr"))

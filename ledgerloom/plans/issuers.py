@@ -8,23 +8,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.exact import count_ratio, double_or_null, fine_mean, money
+from ledgerloom.functions.exact import double_or_null, fine_mean, paise, ratio, rupees, sum_rupees
 
 
 def bank_month_sr(bank_months: DataFrame) -> DataFrame:
     cells = bank_months.groupBy("month", "issuer_bank").agg(
         F.sum("attempted_txns").alias("attempted_txns"),
         F.sum("successful_txns").alias("successful_txns"),
-        money(F.sum("attempted_value_inr")).alias("attempted_value_inr"),
-        money(F.sum("tpv_inr")).alias("_tpv"),
+        F.sum(paise(F.col("attempted_value_inr"))).alias("_asked"),
+        F.sum(paise(F.col("tpv_inr"))).alias("_tpv"),
     )
     in_month = F.sum("attempted_txns").over(Window.partitionBy("month"))
     return cells.select(
         "month", "issuer_bank", "attempted_txns", "successful_txns",
-        count_ratio(F.col("successful_txns"), F.col("attempted_txns"), 6).alias("success_rate"),
-        "attempted_value_inr",
-        money(F.col("attempted_value_inr") - F.col("_tpv")).alias("failed_value_inr"),
-        count_ratio(F.col("attempted_txns"), in_month, 6).alias("volume_share"),
+        ratio(F.col("successful_txns"), F.col("attempted_txns"), 6).alias("success_rate"),
+        rupees(F.col("_asked")).alias("attempted_value_inr"),
+        rupees(F.col("_asked") - F.col("_tpv")).alias("failed_value_inr"),
+        ratio(F.col("attempted_txns"), in_month, 6).alias("volume_share"),
     )
 
 
@@ -63,13 +63,13 @@ def sr_contribution(bank_month: DataFrame, months: int) -> DataFrame:
 
 def incident_culprit_ranking(contribution: DataFrame) -> DataFrame:
     """Issuers ranked by worst rate and, separately, by damage to the network."""
-    effect = F.sum(F.col("rate_effect").cast("decimal(20,8)"))
+    effect = F.sum(F.rint(F.col("rate_effect") * 1e8).cast("bigint"))
     worst = contribution.groupBy("issuer_bank").agg(
         fine_mean(F.col("success_rate"), 6).alias("avg_success_rate"),
         fine_mean(F.col("volume_share"), 6).alias("avg_volume_share"),
         F.min("sr_delta").alias("worst_sr_delta"),
-        F.round(effect, 6).cast("double").alias("cumulative_rate_effect"),
-        money(F.sum("failed_value_inr")).alias("total_failed_value_inr"),
+        ratio(effect, F.lit(100000000), 6).alias("cumulative_rate_effect"),
+        sum_rupees(F.col("failed_value_inr")).alias("total_failed_value_inr"),
     )
     return worst.select(
         "*",
@@ -90,7 +90,7 @@ def failure_reason_mix(transactions: DataFrame) -> DataFrame:
         F.count("*").alias("failures"))
     cell = Window.partitionBy("month", "issuer_bank")
     return counts.withColumn(
-        "reason_share", count_ratio(F.col("failures"), F.sum("failures").over(cell), 6))
+        "reason_share", ratio(F.col("failures"), F.sum("failures").over(cell), 6))
 
 
 def merchant_bank_exposure(bank_months: DataFrame, early: Sequence[dt.date]) -> DataFrame:
@@ -98,7 +98,7 @@ def merchant_bank_exposure(bank_months: DataFrame, early: Sequence[dt.date]) ->
     counts = bank_months.filter(F.col("month").isin(*early)).groupBy("merchant_id", "issuer_bank").agg(
         F.sum("attempted_txns").alias("attempts_pre"))
     total = F.sum("attempts_pre").over(Window.partitionBy("merchant_id"))
-    return counts.withColumn("exposure_share", count_ratio(F.col("attempts_pre"), total, 6))
+    return counts.withColumn("exposure_share", ratio(F.col("attempts_pre"), total, 6))
 
 
 def sliced_success_rate(transactions: DataFrame, merchants: DataFrame, issuer: str | None = None,
@@ -117,4 +117,4 @@ def sliced_success_rate(transactions: DataFrame, merchants: DataFrame, issuer: s
     tried, ok = F.count("*"), F.count_if(F.col("status") == "SUCCESS")
     return rows.groupBy(F.col("txn_month").alias("month")).agg(
         tried.alias("attempted_txns"), ok.alias("successful_txns"),
-        count_ratio(ok, tried, 6).alias("success_rate"))
+        ratio(ok, tried, 6).alias("success_rate"))

@@ -6,23 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.display import compact_money
-from ledgerloom.functions.exact import count_ratio, money
+from ledgerloom.functions.exact import fine_mean, ratio, sum_rupees
 
 
 def kpi_row(bank_month: DataFrame, health: DataFrame, status_counts: DataFrame, at_risk: DataFrame) -> DataFrame:
     """Attempts, TPV, latest active count, confirmed churn rate, revenue still recoverable."""
     attempts = bank_month.agg(F.sum("attempted_txns").alias("attempts"))
-    network = health.agg(money(F.sum("tpv_inr")).alias("tpv_inr"),
+    network = health.agg(sum_rupees(F.col("tpv_inr")).alias("tpv_inr"),
                          F.max_by("active_merchants", "month").alias("active_merchants"))
     lost = F.sum(F.when(F.col("status") == "confirmed_churn", F.col("merchants")).otherwise(0))
     risk = F.sum(F.when(F.col("status") == "at_risk", F.col("annualised_revenue_at_risk")))
-    by_status = at_risk.agg(lost.alias("_lost"), money(risk).alias("revenue_at_risk"))
+    by_status = at_risk.agg(lost.alias("_lost"), risk.alias("revenue_at_risk"))
     scored = status_counts.select("merchants_scored")
     # every side is a single row
     row = attempts.crossJoin(network).crossJoin(by_status).crossJoin(scored)
     return row.select(
         "attempts", "tpv_inr", compact_money(F.col("tpv_inr")).alias("tpv_text"), "active_merchants",
-        count_ratio(F.col("_lost"), F.col("merchants_scored"), 4).alias("confirmed_churn_rate"),
+        ratio(F.col("_lost"), F.col("merchants_scored"), 4).alias("confirmed_churn_rate"),
         "revenue_at_risk", compact_money(F.col("revenue_at_risk")).alias("revenue_at_risk_text"))
 
 
@@ -71,9 +71,8 @@ def reason_mix_of(mix: DataFrame, issuer: str) -> DataFrame:
 def headline_metrics(health: DataFrame, low_sr: float) -> DataFrame:
     rate = F.col("success_rate")
     return health.agg(
-        money(F.sum("tpv_inr")).alias("total_tpv_inr"),
-        F.round(F.sum(rate.cast("decimal(20,6)")) / F.count(rate).cast("decimal(20,0)"), 6).cast("double")
-        .alias("average_success_rate"),
+        sum_rupees(F.col("tpv_inr")).alias("total_tpv_inr"),
+        fine_mean(rate, 6).alias("average_success_rate"),
         F.min(rate).alias("lowest_success_rate"),
         F.max("active_merchants").alias("peak_active_merchants"),
         F.count_if(rate < low_sr).alias("months_below_threshold"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.exact import money
+from ledgerloom.functions.exact import fine_mean, paise, rupees
 from ledgerloom.params import Params
 
 
@@ -18,10 +18,10 @@ def revenue_params(spark: SparkSession, params: Params) -> DataFrame:
 def realised_failure_loss(health: DataFrame, params: Params) -> DataFrame:
     """Revenue on failed value, and the part above the early success rate; one row per month."""
     early = health.orderBy("month").limit(params.baseline_months)
-    rates = F.col("success_rate").cast("decimal(20,6)")
-    base = early.agg((F.sum(rates).cast("double") / F.count("success_rate")).alias("_base"))
-    failed, take = F.col("failed_value_inr").cast("double"), F.lit(params.take_rate)
-    exposed = (F.col("failed_value_inr") + F.col("tpv_inr")).cast("double")
+    micros = F.sum(F.rint(F.col("success_rate") * 1e6).cast("bigint"))
+    base = early.agg((micros.cast("double") / 1e6 / F.count("success_rate")).alias("_base"))
+    failed, take = F.col("failed_value_inr"), F.lit(params.take_rate)
+    exposed = rupees(paise(F.col("failed_value_inr")) + paise(F.col("tpv_inr")))
     short = F.greatest(F.lit(0.0), F.col("_base") - F.col("success_rate"))
     return health.crossJoin(F.broadcast(base)).select(
         "month", "failed_value_inr",
@@ -53,10 +53,10 @@ def run_rate(facts: DataFrame, params: Params) -> DataFrame:
     for c in range(1, k + 1):
         parts = F.when(n == c, F.lit(unit // c)).otherwise(parts)
     return recent.groupBy("merchant_id").agg(
-        F.sum("tpv_inr").alias("_total"), n.alias("_n"), parts.alias("_parts")).select(
+        F.sum(paise(F.col("tpv_inr"))).alias("_total"), n.alias("_n"), parts.alias("_parts")).select(
         "merchant_id",
-        (F.col("_total").cast("double") / F.nullif(F.col("_n"), F.lit(0))).alias("monthly_tpv_run_rate"),
-        money(F.col("_total") * F.col("_parts")).alias("run_rate_units"),
+        (rupees(F.col("_total")) / F.nullif(F.col("_n"), F.lit(0))).alias("monthly_tpv_run_rate"),
+        (F.col("_total") * F.col("_parts")).alias("run_rate_units"),
     )
 
 
@@ -79,29 +79,29 @@ def revenue_at_risk(status: DataFrame, facts: DataFrame, features: DataFrame, pa
         .crossJoin(F.broadcast(exposure_median(features)))
     )
     above = F.coalesce(F.col("degraded_issuer_exposure") > F.col("median_exposure"), F.lit(False))
-    share = F.col("degraded_issuer_exposure").cast("decimal(20,6)")
     sums = rows.groupBy("status").agg(
         F.count("*").alias("merchants"),
         F.sum("run_rate_units").alias("_units"),
-        F.sum(F.when(above, F.col("run_rate_units"))
-              .otherwise(F.lit(0).cast("decimal(28,2)"))).alias("_attributable"),
-        F.sum(share).alias("_share"), F.count(share).alias("_shares"),
+        F.sum(F.when(above, F.col("run_rate_units")).otherwise(F.lit(0))).alias("_attributable"),
+        fine_mean(F.col("degraded_issuer_exposure"), 4).alias("avg_issuer_exposure"),
     )
 
+    # Three rows from here on, so wide decimals cost nothing.
     def monthly(col: str) -> Column:
-        return F.col(col).cast("decimal(28,2)") / F.lit(unit)
+        return _wide(F.col(col)) / F.lit(unit)
 
     def yearly(col: str) -> Column:
-        # bps are applied as a decimal so the cents do not depend on sum order.
-        rate = F.lit(str(round(params.take_rate_bps * 12 / 10000, 8))).cast("decimal(12,8)")
-        scaled = (F.col(col).cast("decimal(26,2)") * rate).cast("decimal(38,10)")
-        return F.round((scaled / F.lit(unit).cast("decimal(4,0)")), 2)
+        yearly_bps = F.lit(str(round(params.take_rate_bps * 12, 4))).cast("decimal(10,4)")
+        return _wide(F.col(col)) * yearly_bps / F.lit(unit * 10000)
 
     return sums.select(
         "status", "merchants",
-        money(F.round(monthly("_units"), 2)).alias("monthly_tpv_at_risk"),
-        money(yearly("_units")).alias("annualised_revenue_at_risk"),
-        F.round(F.col("_share") / F.nullif(F.col("_shares"), F.lit(0)).cast("decimal(20,0)"), 4)
-        .cast("double").alias("avg_issuer_exposure"),
-        money(yearly("_attributable")).alias("attributable_revenue_at_risk"),
+        rupees(F.round(monthly("_units"), 0)).alias("monthly_tpv_at_risk"),
+        rupees(F.round(yearly("_units"), 0)).alias("annualised_revenue_at_risk"),
+        "avg_issuer_exposure",
+        rupees(F.round(yearly("_attributable"), 0)).alias("attributable_revenue_at_risk"),
     )
+
+
+def _wide(col: Column) -> Column:
+    return col.cast("decimal(22,0)")

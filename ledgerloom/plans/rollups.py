@@ -6,11 +6,11 @@ a merchant with a third of all attempts leaves each task as a handful of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.calendar import day_bit, month_of
-from ledgerloom.functions.exact import MONEY, money, tally
+from ledgerloom.functions.exact import paise, rupees, tally
 from ledgerloom.operators.quantiles import spread_quantiles
 from ledgerloom.params import Params
 from ledgerloom.sources.staging import Staging
@@ -23,8 +23,8 @@ def issuer_day(transactions: DataFrame) -> DataFrame:
         F.count("*").alias("attempted_txns"),
         tally(ok).alias("successful_txns"),
         tally(F.col("status") == "FAILED").alias("failed_txns"),
-        money(F.sum(F.when(ok, F.col("amount_inr")))).alias("tpv_inr"),
-        money(F.sum("amount_inr")).alias("attempted_value_inr"),
+        F.sum(F.when(ok, paise(F.col("amount_inr")))).alias("tpv_paise"),
+        F.sum(paise(F.col("amount_inr"))).alias("attempted_paise"),
     )
 
 
@@ -34,8 +34,8 @@ def issuer_month(days: DataFrame) -> DataFrame:
         F.sum("attempted_txns").alias("attempted_txns"),
         F.sum("successful_txns").alias("successful_txns"),
         F.sum("failed_txns").alias("failed_txns"),
-        money(F.sum("tpv_inr")).alias("tpv_inr"),
-        money(F.sum("attempted_value_inr")).alias("attempted_value_inr"),
+        F.sum("tpv_paise").alias("tpv_paise"),
+        F.sum("attempted_paise").alias("attempted_paise"),
         F.bit_or(day_bit(F.col("txn_date"))).alias("day_bits"),
         F.min("txn_date").alias("first_txn_date"),
         F.max("txn_date").alias("last_txn_date"),
@@ -46,28 +46,33 @@ def ticket_medians(transactions: DataFrame, issuer_months: DataFrame, staging: S
                    params: Params) -> DataFrame:
     """Exact median successful amount per merchant-month, half-up to paise.
 
-    A merchant-month up to `hot_group_rows` successes is one aggregation buffer.
-    Larger ones are few (all rows / hot_group_rows at most, counted before they
-    are broadcast) and go through the spread quantile, which never puts a group
-    in one task.
+    A merchant-month up to `hot_group_rows` successes is ordered inside one
+    task. Larger ones are few (all rows / hot_group_rows at most, counted before
+    they are broadcast) and go through the spread quantile, which never puts a
+    group in one task.
     """
     keys = ["merchant_id", "month"]
-    paise = transactions.filter(F.col("status") == "SUCCESS").select(
+    amounts = transactions.filter(F.col("status") == "SUCCESS").select(
         "merchant_id", F.col("txn_month").alias("month"),
-        (F.col("amount_inr") * 100).cast("bigint").alias("paise"))
-
-    def settled(p):
-        return (F.floor(p + 0.5).cast("decimal(20,0)") / F.lit(100)).cast(MONEY)
-
+        paise(F.col("amount_inr")).alias("paise"))
     hot = (issuer_months.groupBy(*keys).agg(F.sum("successful_txns").alias("n"))
            .filter(F.col("n") > params.hot_group_rows).select(*keys))
     n_hot = hot.count()
-    small = paise
-    if n_hot:
-        listed = F.broadcast(hot) if n_hot <= params.broadcast_rows else hot
-        small = paise.join(listed, keys, "left_anti")
-    medians = small.groupBy(*keys).agg(settled(F.percentile("paise", F.lit(0.5))).alias("median_ticket_inr"))
-    if n_hot:
-        large = spread_quantiles(paise.join(listed, keys, "left_semi"), staging, keys, "paise", {"m": 0.5})
-        medians = medians.unionByName(large.select(*keys, settled(F.col("m")).alias("median_ticket_inr")))
-    return medians
+    if not n_hot:
+        return _middle_of_sorted(amounts)
+    listed = F.broadcast(hot) if n_hot <= params.broadcast_rows else hot
+    small = _middle_of_sorted(amounts.join(listed, keys, "left_anti"))
+    large = spread_quantiles(amounts.join(listed, keys, "left_semi"), staging, keys, "paise", {"m": 0.5})
+    return small.unionByName(large.select(*keys, rupees(F.floor(F.col("m") + 0.5)).alias("median_ticket_inr")))
+
+
+def _middle_of_sorted(amounts: DataFrame) -> DataFrame:
+    """Middle one or two amounts by sorting each group once after its shuffle."""
+    group = Window.partitionBy("merchant_id", "month")
+    placed = amounts.select(
+        "*", F.row_number().over(group.orderBy("paise")).alias("rn"), F.count("*").over(group).alias("n"))
+    twice = F.col("rn") * 2
+    middle = placed.filter(twice.between(F.col("n"), F.col("n") + 2))
+    both = F.min("paise") + F.max("paise")
+    return middle.groupBy("merchant_id", "month").agg(
+        rupees(F.call_function("div", both + 1, F.lit(2).cast("bigint"))).alias("median_ticket_inr"))

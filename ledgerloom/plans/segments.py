@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.exact import MONEY, count_ratio
+from ledgerloom.functions.exact import paise, ratio
 from ledgerloom.operators import clustering
 from ledgerloom.operators.preprocess import log_scaled, median_imputed, scales, standardised
 from ledgerloom.operators.quantiles import column_medians, grouped_medians
@@ -70,14 +70,14 @@ def segment_profile(features: DataFrame, assigned: DataFrame, staging: Staging)
     medians = column_medians(rows, staging, INPUTS)
     middle = grouped_medians(rows, staging, "segment_id", PROFILED)
     sizes = rows.groupBy("segment_id").agg(
-        F.count("*").alias("merchants"), count_ratio(F.sum("churned"), F.count("churned"), 6).alias("churn_rate"),
-        F.sum("avg_monthly_tpv").cast(MONEY).alias("_tpv"))
+        F.count("*").alias("merchants"), ratio(F.sum("churned"), F.count("churned"), 6).alias("churn_rate"),
+        F.sum(paise(F.col("avg_monthly_tpv"))).alias("_tpv"))
     profile = sizes.join(middle, "segment_id")
     named = number_duplicates(profile.withColumn(
         "segment_name", segment_name({c: F.col(c) for c in PROFILED}, medians)))
-    share = F.col("_tpv") / F.nullif(F.sum("_tpv").over(Window.partitionBy()), F.lit(0).cast(MONEY))
+    share = ratio(F.col("_tpv"), F.sum("_tpv").over(Window.partitionBy()), 4)
     return named.select("segment_id", "segment_name", "merchants", *PROFILED, "churn_rate",
-                        F.round(share, 4).cast("double").alias("tpv_share"))
+                        share.alias("tpv_share"))
 
 
 @dataclass

@@ -194,8 +194,9 @@ MARTS: dict[str, Mart] = {
     "issuer_series": Mart("forecasts", lambda w: forecasts.issuer_series(
         w["merchant_bank_month"], w.observed, w.params), stage=True),
     "forecast_holdout": Mart("forecasts", lambda w: forecasts.holdout_predictions(
-        w["issuer_series"], w.params), stage=True),
+        w["issuer_series"], w.params, partitions=w.staging.buckets), stage=True),
     "forecast_errors": Mart("forecasts", lambda w: forecasts.forecast_errors(w["forecast_holdout"])),
     "forecast_projection": Mart("forecasts", lambda w: forecasts.projection(
-        w["issuer_series"], forecasts.leaderboard(w["forecast_errors"]), w.params), stage=True),
+        w["issuer_series"], forecasts.leaderboard(w["forecast_errors"]), w.params, w.staging.buckets),
+        stage=True),
 }

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.exact import ratio
 from ledgerloom.sources.tables import Sources, typed_settlements, typed_tickets, typed_transactions
 
 
@@ -28,22 +29,20 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_returnflag")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    # 25 nations is a fixed bound; suppliers and orders are left to the
-    # optimizer, which knows their size at run time.
+    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
+    # 25 nations is a fixed bound. Suppliers and orders are joined one by one to
+    # the lines, so the optimizer sees each one's own size and never mistakes
+    # the lines for the smaller side.
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
-    issuers = (
-        table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-        .join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", "n_name")
-    )
     failed = F.col("l_returnflag") == "R"
     return (
-        lines.join(issuers, F.col("l_suppkey") == F.col("s_suppkey"))
+        lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.col("o_custkey").alias("merchant_id"),
             F.col("l_shipdate").alias("txn_ts"),
-            F.col("l_extendedprice").cast("decimal(18,2)").alias("amount_inr"),
+            F.col("l_extendedprice").alias("amount_inr"),
             F.col("n_name").alias("issuer_bank"),
             F.when(failed, "FAILED").otherwise("SUCCESS").alias("status"),
             F.when(failed, F.col("o_orderpriority")).otherwise("").alias("failure_reason"),
@@ -85,15 +84,15 @@ def tickets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def settlements(spark: SparkSession, folder: str) -> DataFrame:
-    tax = (F.col("l_tax") * 100).cast("decimal(18,2)")
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_shipdate", "l_tax")
+    tax = F.rint(F.col("l_tax") * 10000).cast("bigint")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("m"), "l_tax")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    total = F.sum(tax).cast("decimal(28,2)") / F.count("*").cast("decimal(20,0)")
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(F.col("o_custkey").alias("merchant_id"),
-                 F.date_format(F.col("l_shipdate").cast("date"), "yyyy-MM").alias("month"))
-        .agg(F.round(total, 3).cast("double").alias("avg_settlement_delay_days"))
+        .groupBy(F.col("o_custkey").alias("merchant_id"), "m")
+        .agg(ratio(F.sum(tax), F.count("*") * 100, 3).alias("avg_settlement_delay_days"))
+        .select("merchant_id", F.substring(F.col("m").cast("string"), 1, 7).alias("month"),
+                "avg_settlement_delay_days")
     )
 
 

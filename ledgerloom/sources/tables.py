@@ -69,7 +69,7 @@ class Sources:
 
 
 def typed_transactions(raw: DataFrame) -> DataFrame:
-    """Day and month keys, money as DECIMAL, an empty failure reason as NULL.
+    """Day and month keys, an empty failure reason as NULL.
 
     A part-per-month layout already carries `txn_month` as its partition
     column; it is kept as is so month filters still prune parts.
@@ -81,7 +81,6 @@ def typed_transactions(raw: DataFrame) -> DataFrame:
         keyed = keyed.withColumn("txn_month", month_of(F.col("txn_ts")))
     return (
         keyed
-        .withColumn("amount_inr", F.col("amount_inr").cast("decimal(18,2)"))
         .withColumn("failure_reason", F.nullif(F.col("failure_reason"), F.lit("")))
     )
 

@@ -672,9 +672,9 @@ WITH RECURSIVE e AS (
   SELECT merchant_id, month, tenure, sr AS now FROM dense WHERE tenure = 1
   UNION ALL
   SELECT d.merchant_id, d.month, d.tenure,
-         coalesce(CASE WHEN e.now IS NULL THEN d.sr ELSE 0.45e0 * e.now + 0.55e0 * d.sr END, e.now)
+         coalesce(CASE WHEN e.now IS NULL THEN d.sr ELSE (1 - 0.55e0) * e.now + 0.55e0 * d.sr END, e.now)
   FROM e JOIN dense d ON d.merchant_id = e.merchant_id AND d.tenure = e.tenure + 1)
-SELECT merchant_id, month, round(now, 6) AS trailing_rate FROM e"""
+SELECT merchant_id, month, now AS trailing_rate FROM e"""
 Q["median_by_segment"] = """
 SELECT m_score, median(avg_monthly_txns) AS avg_monthly_txns, median(recency_days) AS recency_days,
        median(success_rate) AS success_rate FROM feat GROUP BY 1"""
