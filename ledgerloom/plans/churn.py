@@ -41,27 +41,35 @@ def gap_baseline(gaps: DataFrame, observed: dt.date, params: Params) -> DataFram
     )
 
 
-def last_seen(days: DataFrame) -> DataFrame:
-    return days.groupBy("merchant_id").agg(
+def _seen_columns() -> list[Column]:
+    return [
         F.max(F.when(F.col("successful_txns") > 0, F.col("txn_date"))).alias("last_success_date"),
         F.max("txn_date").alias("last_attempt_date"),
         F.min("txn_date").alias("first_txn_date"),
         F.count_distinct(month_of(F.col("txn_date"))).alias("months_with_activity"),
-    )
+    ]
 
 
-def recent_value(days: DataFrame, observed: dt.date, params: Params) -> DataFrame:
-    """Last-30-day value beside the 90 days before it."""
+def _value_columns(observed: dt.date, params: Params) -> list[Column]:
     recent = F.col("txn_date") > F.lit(observed - dt.timedelta(days=params.at_risk_days))
     earlier = (~recent) & (F.col("txn_date") > F.lit(
         observed - dt.timedelta(days=params.at_risk_days + params.prior_window_days)))
     none = F.lit(0).cast("bigint")
-    return days.groupBy("merchant_id").agg(
+    return [
         rupees(F.sum(F.when(recent, F.col("tpv_paise")))).alias("tpv_30d"),
         rupees(F.sum(F.when(earlier, F.col("tpv_paise")))).alias("tpv_prior_90d"),
         F.sum(F.when(recent, F.col("attempted_txns")).otherwise(none)).alias("attempts_30d"),
         F.sum(F.when(recent, F.col("successful_txns")).otherwise(none)).alias("successes_30d"),
-    )
+    ]
+
+
+def last_seen(days: DataFrame) -> DataFrame:
+    return days.groupBy("merchant_id").agg(*_seen_columns())
+
+
+def recent_value(days: DataFrame, observed: dt.date, params: Params) -> DataFrame:
+    """Last-30-day value beside the 90 days before it."""
+    return days.groupBy("merchant_id").agg(*_value_columns(observed, params))
 
 
 def adaptive_rule(silence: Column, gaps: Column, p90: Column, multiplier: float | Column,
@@ -79,9 +87,8 @@ def adaptive_rule(silence: Column, gaps: Column, p90: Column, multiplier: float
 def merchant_churn_status(merchants: DataFrame, days: DataFrame, gaps: DataFrame,
                           observed: dt.date, params: Params) -> DataFrame:
     """One row per merchant that ever attempted a payment, with all three flags."""
-    seen, baseline = last_seen(days), gap_baseline(gaps, observed, params)
-    value = recent_value(days, observed, params)
-    rows = (seen.join(baseline, "merchant_id", "left").join(value, "merchant_id", "left")
+    seen = days.groupBy("merchant_id").agg(*_seen_columns(), *_value_columns(observed, params))
+    rows = (seen.join(gap_baseline(gaps, observed, params), "merchant_id", "left")
             .join(merchants.select("merchant_id", "category", "city_tier", "acquisition_channel",
                                    "device_type", "state"), "merchant_id"))
     silence = F.col("days_since_last_success")

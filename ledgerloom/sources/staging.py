@@ -34,6 +34,7 @@ class Staging:
         self.buckets = buckets or spark.sparkContext.defaultParallelism
         # Registering bucket metadata needs a session catalog of our own.
         self.can_bucket = spark.conf.get("spark.sql.catalogImplementation", "in-memory") == "in-memory"
+        self.tables: list[str] = []
         self._n = 0
 
     def write(self, df: DataFrame, name: str, key: str | None = None) -> DataFrame:
@@ -49,4 +50,13 @@ class Staging:
         table = f"stage_{self.run}_{self._n:03d}_{name}"
         (spread.write.mode("overwrite").format("parquet")
             .bucketBy(self.buckets, key).option("path", path).saveAsTable(table))
+        self.tables.append(table)
         return self.spark.table(table)
+
+    def release(self) -> None:
+        """Deletes this run's own staged tables; marts built from them stop working."""
+        for t in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        self.tables.clear()
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -10,6 +10,7 @@ from ledgerloom.functions.display import compact_money, iso_dates, strip_encoder
 from ledgerloom.functions.exact import ratio, safe_ratio
 from ledgerloom.plans.warehouse import MARTS, STEPS
 from ledgerloom.sources import orderbook, sinks, tables
+from ledgerloom.sources.staging import Staging
 from ledgerloom.streaming.monthly import file_by_month
 
 FOLDER = "/root/testdata/sf0.001"
@@ -97,6 +98,15 @@ def test_merchant_marts_are_grouped_without_a_shuffle(spark):
     assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
+def test_release_deletes_only_the_run(spark):
+    a, b = Staging(spark, 2), Staging(spark, 2)
+    kept = a.write(spark.range(5), "kept", "id")
+    gone = b.write(spark.range(5), "gone", "id")
+    assert gone.count() == 5
+    b.release()
+    assert not tables.path_exists(spark, b.root) and kept.count() == 5
+
+
 def test_stream_files_by_month_once(spark, raw, tmp_path):
     arrivals, target = f"{tmp_path}/in", f"{tmp_path}/out"
     shaped = raw.select(*[F.col(f.name).cast(f.dataType) for f in tables.TRANSACTIONS.fields])
