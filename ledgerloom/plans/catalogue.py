@@ -127,6 +127,42 @@ def churn_scorecard(w: Warehouse) -> DataFrame:
         F.size("fixed_sweep").alias("fixed_sweep"), F.size("adaptive_sweep").alias("adaptive_sweep"))
 
 
+def read_back(w: Warehouse, card: DataFrame, name: str) -> DataFrame:
+    path = f"{w.staging.root}/{name}"
+    sinks.write_json(card, path)
+    return w.spark.read.schema(card.schema).json(path)
+
+
+def forecast_scorecard(w: Warehouse) -> DataFrame:
+    """Winners, every score and the projection as one nested JSON document."""
+    card = sinks.scorecard({}, {"series": forecasts.leaderboard(w["forecast_errors"]),
+                                "scores": w["forecast_errors"], "forecast": w["forecast_projection"]})
+    return read_back(w, card, "forecast_scorecard").select(
+        *[F.size(c).alias(c) for c in ("series", "scores", "forecast")])
+
+
+def driver_scorecard(w: Warehouse) -> DataFrame:
+    """Model metrics, sign recovery and lift as JSON; the coefficients as CSV."""
+    m = driver_model(w)
+    sinks.write_csv(m.coefficients, f"{w.staging.root}/driver_coefficients")
+    card = sinks.scorecard({"logistic": m.metrics()}, {
+        "coefficient_recovery": drivers.sign_recovery(m.coefficients, w.params.expected_signs), "decile_lift": m.lift()})
+    return read_back(w, card, "driver_scorecard").select(
+        "logistic.n_train", "logistic.n_test", "logistic.roc_auc",
+        F.size("coefficient_recovery").alias("signs"), F.size("decile_lift").alias("deciles"))
+
+
+def segment_scorecard(w: Warehouse) -> DataFrame:
+    """The k search and the profile as JSON; profile and assignment as CSV."""
+    s = segmentation(w)
+    profile = s.profile()
+    sinks.write_csv(profile, f"{w.staging.root}/segment_profile")
+    sinks.write_csv(s.assignment, f"{w.staging.root}/segment_assignment")
+    card = sinks.scorecard({}, {"k_selection": s.k_selection(), "segments": profile})
+    return read_back(w, card, "segment_scorecard").select(
+        *[F.size(c).alias(c) for c in ("k_selection", "segments")])
+
+
 def top_months(w: Warehouse) -> DataFrame:
     """Each merchant's three latest months, newest first."""
     latest = Window.partitionBy("merchant_id").orderBy(F.col("month").desc())
@@ -260,6 +296,9 @@ QUERIES: dict[str, Query] = {
     "export_health_csv": health_export,
     "manifest": manifest,
     "churn_scorecard": churn_scorecard,
+    "forecast_scorecard": forecast_scorecard,
+    "driver_scorecard": driver_scorecard,
+    "segment_scorecard": segment_scorecard,
     "mart_row_counts": lambda w: w.row_counts(),
     "transactions_sample": lambda w: sinks.head_sample(
         w["transactions"].select("merchant_id", "txn_date", "issuer_bank", "amount_inr"), 2000,

@@ -589,18 +589,22 @@ R["hf"] = fitted_sql("hh", "ha", "hx", HOLD,
 R["pred0"] = "SELECT * FROM hb UNION ALL SELECT * FROM hf"
 
 
-def predictions_sql(source: str) -> str:
+def predictions_sql(source: str, ser: str = "ser") -> str:
     return f"""
 SELECT h.series, h.model, CAST(h.step AS BIGINT) AS step, ser.month, ser.y, round(h.p, 2) AS predicted
-FROM {source} h JOIN ser ON ser.series = h.series AND ser.i = ser.n - {HOLD} + h.step"""
+FROM {source} h JOIN {ser} AS ser ON ser.series = h.series AND ser.i = ser.n - {HOLD} + h.step"""
 
 
 R["pred"] = predictions_sql("pred0")
-R["err"] = f"""
+def errors_sql(source: str) -> str:
+    return f"""
 SELECT series, model,
        {ratio('sum(CAST(round(abs(y - predicted) / NULLIF(abs(y), 0) * 100000000) AS BIGINT)) * 100', '100000000 * count(NULLIF(y, 0))', 3)} AS mape_pct,
        {ratio('sum(CAST(round(abs(y - predicted) * 100) AS BIGINT))', '100 * count(*)', 0)} AS mae_inr
-FROM pred GROUP BY 1, 2"""
+FROM {source} GROUP BY 1, 2"""
+
+
+R["err"] = errors_sql("pred")
 R["brd"] = """
 SELECT series, arg_min(model, (mape_pct, model)) AS best_model, min(mape_pct) AS best_mape_pct,
        max(CASE WHEN model = 'naive_last_value' THEN mape_pct END) AS naive_mape_pct, count(*) AS models,
@@ -837,3 +841,34 @@ Q["transactions_sample"] = f"""
 SELECT merchant_id, txn_date, issuer_bank, {rupees('paise')} AS amount_inr FROM tx
 ORDER BY txn_date, merchant_id, issuer_bank, paise LIMIT 2000"""
 Q["adhoc_sql"] = f"SELECT category, count(*) AS merchants, {big('sum(d1f)')} AS silent FROM cs GROUP BY 1"
+
+
+# The network as one series.
+R["nser"] = f"""
+WITH e AS (SELECT CAST(CASE WHEN day(d1 + 1) = 1 THEN date_trunc('month', d1)
+                            ELSE date_trunc('month', d1) - INTERVAL 1 MONTH END AS DATE) AS m1 FROM span)
+SELECT 'network' AS series, month, {rupees('tpv')} AS y, CASE WHEN sr < {LOW} THEN 1 ELSE 0 END AS x,
+       row_number() OVER (ORDER BY month) AS i, count(*) OVER () AS n
+FROM nh, e WHERE month <= e.m1"""
+R["ntrn"] = f"SELECT series, i, y, x, n - {HOLD} AS n FROM nser WHERE i <= n - {HOLD}"
+R["nhb"] = baseline_sql("ntrn", HOLD)
+R["nhh"] = holt_sql("ntrn")
+R["nha"] = arima_sql("ntrn", False)
+R["nhx"] = arima_sql("ntrn", True)
+R["nhf"] = fitted_sql("nhh", "nha", "nhx", HOLD,
+                      "(SELECT q.x FROM nser q WHERE q.series = a.series AND q.i = a.n + s.step)")
+R["npred0"] = "SELECT * FROM nhb UNION ALL SELECT * FROM nhf"
+R["npred"] = predictions_sql("npred0", "nser")
+R["nerr"] = errors_sql("npred")
+Q["forecast_network"] = "SELECT * FROM nerr"
+Q["forecast_scorecard"] = """
+SELECT (SELECT count(*) FROM brd) AS series, (SELECT count(*) FROM err) AS scores, (SELECT count(*) FROM proj) AS forecast"""
+Q["mart_row_counts"] = "\nUNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*) AS n_rows FROM {rel}" for name, rel in {
+        "merchant_month": "mm", "merchant_month_dense": "dense", "merchant_activity_gaps": "gap",
+        "merchant_churn_status": "cs", "cohort_retention": "coh", "network_health_monthly": "nh",
+        "bank_month_sr": "bm", "sr_contribution": "con",
+        "failure_reason_mix": "(SELECT DISTINCT txn_month, issuer_bank, reason FROM tx WHERE NOT ok)",
+        "merchant_bank_exposure": "expo", "realised_failure_loss": "nh", "revenue_at_risk": "rar",
+        "asof_status": "past", "fixed_window_sweep": "fx", "adaptive_sweep": "ad", "issuer_series": "ser",
+        "forecast_holdout": "pred", "forecast_projection": "proj"}.items())
