@@ -203,7 +203,6 @@ QUERIES: dict[str, Query] = {
     "sr_trend": lambda w: features.sr_trend(w["merchant_month"], w.split.label_start),
     "rfm_scores": lambda w: w["merchant_features"].select("merchant_id", "r_score", "f_score", "m_score"),
     "exposure_vs_churn": lambda w: w["exposure_vs_churn"],
-    "revenue_params": lambda w: w["revenue_params"],
     "realised_failure_loss": lambda w: w["realised_failure_loss"],
     "run_rate": lambda w: revenue.run_rate(w["merchant_month"], w.params).drop("run_rate_units"),
     "revenue_at_risk": lambda w: w["revenue_at_risk"],

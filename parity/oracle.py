@@ -406,7 +406,6 @@ SELECT {big('decile')} AS exposure_decile, round(min(degraded_issuer_exposure),
        {ratio("count_if(city_tier = 'tier_3')", 'count(*)', 4)} AS tier3_share,
        {ratio(f"sum({micro('success_rate_3m_at_cutoff')})", '1000000 * count(success_rate_3m_at_cutoff)', 4)} AS avg_sr_at_cutoff
 FROM tiles GROUP BY decile"""
-Q["revenue_params"] = f"SELECT {TAKE} AS take_rate FROM span"
 Q["realised_failure_loss"] = f"""
 SELECT month, {rupees('lost')} AS failed_value_inr, round({rupees('lost')} * {TAKE}, 2) AS revenue_lost_inr,
        sr AS success_rate,
