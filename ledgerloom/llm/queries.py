@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import quality_fm, rules_forest
+from ledgerloom.llm import quality_fm, rules_forest, simhash_gph
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op1_quality_fm(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", quality_fm.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_simhash_gph(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint of every document and the smallest document that links reach."""
+    found = simhash_gph.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_rules_forest(spark: SparkSession, folder: str) -> DataFrame:
     """Rule counts of every document, the base rules, and the forest's verdict on the rest."""
     docs = table(spark, folder, "documents")
@@ -32,6 +38,7 @@ def op3_rules_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
+    "op2_simhash_gph": op2_simhash_gph,
     "op3_rules_forest": op3_rules_forest,
 }
 
