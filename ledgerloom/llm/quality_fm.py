@@ -174,6 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", params: FM
     chosen = label_means(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_rows)
     rows = inputs(docs, params, "doc_id").join(F.broadcast(chosen), "doc_id").drop("doc_id")
     names = tuple(f"_meta_{m}" for m in params.metadata)
+    sparse = T.StructType.fromDDL("ids array<int>, values array<float>, stats array<double>, y int")
+    target = arrow_schema(sparse)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = FactorisationMachine(params)
@@ -182,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", params: FM
             yield pa.RecordBatch.from_pylist([
                 {"ids": ids[s:e].astype(np.int32), "values": values[s:e].astype(np.float32), "stats": stats[i], "y": int(y)}
                 for i, (s, e, y) in enumerate(zip(starts[:-1], starts[1:], b.column("_label").to_pylist()))],
-                schema=arrow_schema(T.StructType.fromDDL("ids array<int>, values array<float>, stats array<double>, y int")))
+                schema=target)
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [f for f in frames if len(f)]
@@ -198,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", params: FM
             yield pd.DataFrame({"model": [pickle.dumps((machine.edges, machine.bias, machine.w.astype(np.float32),
                                                         machine.v.astype(np.float32)))]})
 
-    out = (rows.mapInArrow(featurise, "ids array<int>, values array<float>, stats array<double>, y int")
+    out = (rows.mapInArrow(featurise, sparse)
            .repartition(1).mapInPandas(learn, "model binary").collect())
     machine = FactorisationMachine(params)
     if out:
