@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import quality_fm, rules_forest, simhash_gph
+from ledgerloom.llm import best_fit, quality_fm, rules_forest, simhash_gph
+from ledgerloom.llm.frames import stage
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    # Workers of a session that was started elsewhere find the package where the driver found it.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -36,10 +41,27 @@ def op3_rules_forest(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "anomaly", "kept")
 
 
+CAPACITY = 2048
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    cut = best_fit.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, CAPACITY)
+    cut = stage(cut.select("item", "doc_id", "piece", "start", F.expr("octet_length(ids) div 4").cast("long").alias("length"),
+                           F.crc32("ids").alias("ids_crc32")), "pieces")
+    return cut.join(best_fit.pack(cut.select("item", "length"), CAPACITY), "item").drop("item")
+
+
+def op4_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packed(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
     "op2_simhash_gph": op2_simhash_gph,
     "op3_rules_forest": op3_rules_forest,
+    "op4_best_fit": op4_best_fit,
 }
 
 SQL: dict[str, str] = {}
