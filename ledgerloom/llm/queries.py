@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import best_fit, quality_fm, rules_forest, simhash_gph
+from ledgerloom.llm import best_fit, quality_fm, raking, rules_forest, simhash_gph
 from ledgerloom.llm.frames import stage
 
 
@@ -57,11 +57,25 @@ def op4_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"))
 
 
+def op10_raking(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its weight under the target marginals and whether it was drawn."""
+    mixed = raking.mix(table(spark, folder, "documents"), dims={"topic": raking.topic_of(F.col("text"))})
+    return mixed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "topic", "tokens",
+                        F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
+
+
+TOPIC_SQL = """CASE WHEN coalesce(length(text), 0) < 400 THEN 'brief' WHEN contains(text, ' | ') THEN 'table'
+  WHEN length(text) < 4000 THEN 'article' ELSE 'long read' END"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
     "op2_simhash_gph": op2_simhash_gph,
     "op3_rules_forest": op3_rules_forest,
     "op4_best_fit": op4_best_fit,
+    "op10_raking": op10_raking,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_raking": raking.oracle(raking.MixParams(), TOPIC_SQL),
+}
