@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import best_fit, quality_fm, raking, rules_forest, simhash_gph
+from ledgerloom.llm import best_fit, order_minhash, quality_fm, raking, rules_forest, simhash_gph
 from ledgerloom.llm.frames import stage
 
 
@@ -57,6 +57,21 @@ def op4_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"))
 
 
+def op7_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how alike they are."""
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = order_minhash.with_fingerprint(docs, "text", "mark")
+    pairs = order_minhash.with_next(own, ["text", "mark"])
+    pairs = pairs.select("doc_id", "mark", "next_mark", F.length("text").cast("long").alias("n_chars"),
+                         order_minhash.edited(F.col("text"), F.col("next_text")).alias("edited"))
+    done = order_minhash.with_fingerprint(pairs, "edited", "edited_mark")
+    return done.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), order_minhash.as_text(F.col("mark")).alias("fingerprint"),
+        order_minhash.as_text(F.col("edited_mark")).alias("edited_fingerprint"),
+        order_minhash.likeness(F.col("mark"), F.col("edited_mark")).alias("near_edited"),
+        order_minhash.likeness(F.col("mark"), F.col("next_mark")).alias("near_next"))
+
+
 def op10_raking(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its weight under the target marginals and whether it was drawn."""
     mixed = raking.mix(table(spark, folder, "documents"), dims={"topic": raking.topic_of(F.col("text"))})
@@ -73,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_gph": op2_simhash_gph,
     "op3_rules_forest": op3_rules_forest,
     "op4_best_fit": op4_best_fit,
+    "op7_order_minhash": op7_order_minhash,
     "op10_raking": op10_raking,
 }
 
