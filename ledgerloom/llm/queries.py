@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import best_fit, order_minhash, quality_fm, raking, rules_forest, simhash_gph
+from ledgerloom.llm import best_fit, order_minhash, quality_fm, raking, rules_forest, simhash_gph, suffix_dedup
 from ledgerloom.llm.frames import stage
 
 
@@ -72,6 +72,13 @@ def op7_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
         order_minhash.likeness(F.col("mark"), F.col("next_mark")).alias("near_next"))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every text without strings of 400 bytes that occur twice."""
+    done = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (a, s) -> a + s.size)").alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_raking(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its weight under the target marginals and whether it was drawn."""
     mixed = raking.mix(table(spark, folder, "documents"), dims={"topic": raking.topic_of(F.col("text"))})
@@ -89,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rules_forest": op3_rules_forest,
     "op4_best_fit": op4_best_fit,
     "op7_order_minhash": op7_order_minhash,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_raking": op10_raking,
 }
 
