@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import best_fit, order_minhash, quality_fm, raking, rules_forest, simhash_gph, suffix_dedup
+from ledgerloom.llm import best_fit, line_runs, order_minhash, quality_fm, raking, rules_forest, simhash_gph, suffix_dedup
 from ledgerloom.llm.frames import stage
 
 
@@ -79,6 +79,12 @@ def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without lines that repeat earlier ones."""
+    done = line_runs.drop_copies(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_raking(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its weight under the target marginals and whether it was drawn."""
     mixed = raking.mix(table(spark, folder, "documents"), dims={"topic": raking.topic_of(F.col("text"))})
@@ -97,9 +103,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit": op4_best_fit,
     "op7_order_minhash": op7_order_minhash,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_line_runs": op9_line_runs,
     "op10_raking": op10_raking,
 }
 
 SQL: dict[str, str] = {
+    "op9_line_runs": line_runs.oracle(line_runs.LineParams()),
     "op10_raking": raking.oracle(raking.MixParams(), TOPIC_SQL),
 }
