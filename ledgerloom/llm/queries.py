@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import best_fit, line_runs, order_minhash, quality_fm, raking, rules_forest, simhash_gph, suffix_dedup
+from ledgerloom.llm import best_fit, line_runs, order_minhash, prefix_tree, quality_fm, raking, rules_forest, simhash_gph, suffix_dedup
 from ledgerloom.llm.frames import stage
 
 
@@ -57,6 +57,16 @@ def op4_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"))
 
 
+def op5_prefix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation as read back from the token ids of its tree."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    nodes, members = prefix_tree.build(turns.union(probe), path, public_tokenizers.PATTERN)
+    return prefix_tree.read_back(stage(nodes, "forest"), members, path)
+
+
 def op7_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are."""
     docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -101,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_gph": op2_simhash_gph,
     "op3_rules_forest": op3_rules_forest,
     "op4_best_fit": op4_best_fit,
+    "op5_prefix_tree": op5_prefix_tree,
     "op7_order_minhash": op7_order_minhash,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_runs": op9_line_runs,
