@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import best_fit, line_runs, order_minhash, prefix_tree, quality_fm, raking, rules_forest, simhash_gph, suffix_dedup
+from ledgerloom.llm import best_fit, compact_windows, line_runs, order_minhash, prefix_tree, quality_fm, raking, rules_forest, simhash_gph, suffix_dedup
 from ledgerloom.llm.frames import stage
 
 
@@ -67,6 +67,11 @@ def op5_prefix_tree(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_tree.read_back(stage(nodes, "forest"), members, path)
 
 
+def op6_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of every document by near-duplicate passages of 50 words or more."""
+    return compact_windows.classes(table(spark, folder, "documents"))
+
+
 def op7_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are."""
     docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rules_forest": op3_rules_forest,
     "op4_best_fit": op4_best_fit,
     "op5_prefix_tree": op5_prefix_tree,
+    "op6_compact_windows": op6_compact_windows,
     "op7_order_minhash": op7_order_minhash,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_runs": op9_line_runs,
