@@ -12,7 +12,8 @@ overfilled. Then gaps shrink and the next round begins, in which gaps that hold
 ranges in proportion to the tokens waiting there. When no run fits a gap, as many of the largest runs open new
 sequences as the tokens left over need at least.
 
-Sizes repeat, but runs and gaps carry unique ids, so a size held by most of the rows is dealt to many tasks. The state of each
+There are as many ranges as rows ask for, so the last few runs take one sweep. A size held by many rows is a range of its
+own, dealt to several tasks by id. The state of each
 round is written to shared storage. Runs longer than the capacity are refused; zero-length runs get a place like any other.
 An empty frame gives an empty result. Null texts count as empty, repeated rows are packed each on its own.
 """
@@ -118,8 +119,31 @@ def sweep(rows: DataFrame) -> DataFrame:
         if out:
             yield as_batch(out, target)
 
-    order = [F.desc("key"), F.asc("kind"), F.asc("id")]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, SWEPT)
+    return (rows.repartitionByRange("range", "share").sortWithinPartitions(F.desc("key"), F.asc("kind"), F.asc("id"))
+            .drop("range", "share").mapInArrow(run, SWEPT))
+
+
+def ranges_of(rows: DataFrame, range_rows: int) -> DataFrame:
+    """`rows` with the `range` of sizes they belong to, the largest first, and their `share` of it.
+
+    Ranges hold about `range_rows` rows, more if there would be more ranges than shuffle partitions. A size with more rows
+    than that is a range of its own, cut into shares by a hash of the id. Sizes are whole numbers up to the capacity, so
+    counting them takes that many rows at most.
+    """
+    counts = sorted(((r["key"], r["count"]) for r in rows.groupBy("key").count().collect()), reverse=True)
+    limit = max(range_rows, -(-sum(n for _, n in counts) // int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    edges, shares, held, last = [], [], 0, 0
+    for key, n in counts:
+        if shares and held + n > limit:
+            edges.append(last)
+            held = 0
+        if not held:
+            shares.append(-(-n // limit))
+        held += n
+        last = key
+    at = F.size(F.filter(F.array(*(F.lit(e).cast("long") for e in edges)), lambda e: F.col("key") < e)) if edges else F.lit(0)
+    share = F.element_at(F.array(*(F.lit(s) for s in shares or [1])), F.col("range") + 1)
+    return rows.withColumn("range", at).withColumn("share", F.pmod(F.xxhash64("id"), share))
 
 
 def settle(left: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -186,7 +210,7 @@ def numbered_pairs(swept: DataFrame, kind: int, spans: list[tuple[int, int, int,
             .mapInArrow(run, "id long, size long, part int, rank long, pair long"))
 
 
-def pack(lengths: DataFrame, capacity: int, max_rounds: int = 100_000) -> DataFrame:
+def pack(lengths: DataFrame, capacity: int, range_rows: int = 20_000, max_rounds: int = 100_000) -> DataFrame:
     """(item, sequence_id, offset) for every row of `lengths` (item: unique long, length: long)."""
     rows = lengths.select(F.col("item").alias("id"), F.col("length").alias("size"))
     if not rows.filter(F.col("size") > capacity).isEmpty():
@@ -197,8 +221,9 @@ def pack(lengths: DataFrame, capacity: int, max_rounds: int = 100_000) -> DataFr
     gaps = rows.filter(opens & (F.col("size") < capacity)).select("id", (F.lit(capacity) - F.col("size")).alias("size"))
     gaps = gaps.withColumn("key", F.col("size"))
     for _ in range(max_rounds):
-        swept = stage(sweep(runs.select(F.lit(RUN).alias("kind"), "id", "size", F.col("size").alias("key")).union(
-            gaps.select(F.lit(GAP).alias("kind"), "id", "size", "key"))), "swept")
+        rows = runs.select(F.lit(RUN).alias("kind"), "id", "size", F.col("size").alias("key")).union(
+            gaps.select(F.lit(GAP).alias("kind"), "id", "size", "key"))
+        swept = stage(sweep(ranges_of(rows, range_rows)), "swept")
         counts = swept.groupBy("kind", "part").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"), F.min("size").alias("least"),
                                                   F.max("size").alias("most")).collect()
         if not any(c["kind"] in (RUN, PAIR) for c in counts):
