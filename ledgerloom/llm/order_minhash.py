@@ -14,6 +14,7 @@ texts of white space only, have no k-mers and an all-zero fingerprint. Native: S
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,8 +100,8 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
-def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", tie: str = "text") -> DataFrame:
-    """`docs` with `next_<column>` of the next row by `key`; the last row's next is the first row.
+def with_next(docs: DataFrame, columns: list[str], derive: Callable[[DataFrame], DataFrame], key: str = "doc_id", tie: str = "text") -> DataFrame:
+    """`derive(docs)` with `next_<column>` of the next row by `key`; the last row's next is the first row.
 
     Rows are dealt to ranges of ids by quantiles of the ids (as many as there are shuffle partitions), so no task sorts
     everything. The first row of every range is copied to the end of the range before it. Rows of one id stay in one
@@ -129,7 +130,7 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", tie: str
                   .withColumn("_block", F.col("_to")).withColumn("_copy", F.lit(1)).select(*rows.columns).dropDuplicates([key, "_tie", "_block"]))
         rows = rows.unionByName(copies)
     order = Window.partitionBy("_block").orderBy("_copy", F.asc_nulls_first(key), "_tie")
-    return (rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
+    return (derive(rows).select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
             .filter("_copy = 0").drop("_tie", "_block", "_copy"))
 
 

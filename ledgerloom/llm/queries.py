@@ -75,8 +75,7 @@ def op6_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
 def op7_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are."""
     docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = order_minhash.with_fingerprint(docs, "text", "mark")
-    pairs = order_minhash.with_next(own, ["text", "mark"])
+    pairs = order_minhash.with_next(docs, ["text", "mark"], lambda rows: order_minhash.with_fingerprint(rows, "text", "mark"))
     pairs = pairs.select("doc_id", "mark", "next_mark", F.length("text").cast("long").alias("n_chars"),
                          order_minhash.edited(F.col("text"), F.col("next_text")).alias("edited"))
     done = order_minhash.with_fingerprint(pairs, "edited", "edited_mark")
