@@ -40,12 +40,12 @@ class LineParams:
 
 def with_key(docs: DataFrame, text: str = "text") -> DataFrame:
     raw = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({"_t1": F.xxhash64(raw), "_t2": F.xxhash64(F.lit(1), raw)})
+    return docs.withColumns({"__t1": F.xxhash64(raw), "__t2": F.xxhash64(F.lit(1), raw)})
 
 
 def line_ids(docs: DataFrame, key: str) -> DataFrame:
     """(key, t1, t2, h1, h2, words): 128-bit ids and words of the lines of every row, as arrays."""
-    rows = with_key(docs.select(key, "text")).select(key, "_t1", "_t2", "text")
+    rows = with_key(docs.select(key, "text")).select(key, "__t1", "__t2", "text")
     schema = T.StructType([*rows.schema.fields[:3], *T.StructType.fromDDL("h1 array<long>, h2 array<long>, words array<int>").fields])
     target = arrow_schema(schema)
 
@@ -96,26 +96,26 @@ def copied_lines(lines: DataFrame, params: LineParams) -> DataFrame:
 def drop_copies(docs: DataFrame, params: LineParams = LineParams(), key: str = "doc_id") -> DataFrame:
     """`docs` with the later copies of repeated lines cut from `text`, and `n_lines`, `n_removed` (of the input's lines)."""
     ids = stage(line_ids(docs, key), "line_ids")
-    placed = numbered(ids.select(key, "_t1", "_t2", F.size("h1").cast("long").alias("n")).distinct(),
-                      [F.asc_nulls_first(key), F.col("_t1"), F.col("_t2")], "places", weight="n").drop("ordinal")
-    first = (placed.groupBy("_t1", "_t2").agg(F.min("before").alias("base")))
-    first = stage(placed.join(first, ["_t1", "_t2"]).filter(F.col("before") == F.col("base"))
-                  .select(F.col(key).alias("_first"), "_t1", "_t2", "base", "n"), "first_places")
-    own = ids.join(first, ["_t1", "_t2"]).filter(F.col(key).eqNullSafe(F.col("_first"))).dropDuplicates(["_t1", "_t2"])
+    placed = numbered(ids.select(key, "__t1", "__t2", F.size("h1").cast("long").alias("n")).distinct(),
+                      [F.asc_nulls_first(key), F.col("__t1"), F.col("__t2")], "places", weight="n").drop("ordinal")
+    first = (placed.groupBy("__t1", "__t2").agg(F.min("before").alias("base")))
+    first = stage(placed.join(first, ["__t1", "__t2"]).filter(F.col("before") == F.col("base"))
+                  .select(F.col(key).alias("__first"), "__t1", "__t2", "base", "n"), "first_places")
+    own = ids.join(first, ["__t1", "__t2"]).filter(F.col(key).eqNullSafe(F.col("__first"))).dropDuplicates(["__t1", "__t2"])
     lines = own.select("base", (F.col("base") + F.col("n")).alias("stop"), F.posexplode(F.arrays_zip("h1", "h2", "words")).alias("i", "x")).select(
         (F.col("base") + F.col("i")).alias("pos"), "base", "stop", "x.h1", "x.h2", "x.words")
-    gone = copied_lines(lines, params).groupBy("base").agg(F.collect_list((F.col("pos") - F.col("base")).cast("int")).alias("_gone"))
-    verdicts = first.join(gone, "base", "left").select("_t1", "_t2", "_first", "_gone")
+    gone = copied_lines(lines, params).groupBy("base").agg(F.collect_list((F.col("pos") - F.col("base")).cast("int")).alias("__gone"))
+    verdicts = first.join(gone, "base", "left").select("__t1", "__t2", "__first", "__gone")
     own_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = with_key(docs.select(*own_columns)).join(verdicts, ["_t1", "_t2"]).withColumn("_copy", ~F.col(key).eqNullSafe(F.col("_first")))
-    fed = rows.select(*own_columns, "_gone", "_copy")
+    rows = with_key(docs.select(*own_columns)).join(verdicts, ["__t1", "__t2"]).withColumn("__copy", ~F.col(key).eqNullSafe(F.col("__first")))
+    fed = rows.select(*own_columns, "__gone", "__copy")
     schema = T.StructType([*fed.schema.fields[:-2], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             texts, counts, removed = [], [], []
-            for raw, gone, copy in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("_gone").to_pylist(), b.column("_copy").to_pylist()):
+            for raw, gone, copy in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("__gone").to_pylist(), b.column("__copy").to_pylist()):
                 lines = (raw or b"").split(b"\n")
                 if copy:
                     out = [] if len(lines) >= params.min_lines else [x for x in lines if len(x.split()) < params.min_words]

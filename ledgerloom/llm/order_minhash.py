@@ -119,19 +119,19 @@ def with_next(docs: DataFrame, columns: list[str], derive: Callable[[DataFrame],
             (at + step <= n) & (F.get(cut, at + step - 1) <= F.col(key)), at + step).otherwise(at)), F.lit(0))
     else:
         block = F.lit(0)
-    rows = docs.withColumn("_tie", F.xxhash64(tie)).withColumn("_block", block).withColumn("_copy", F.lit(0))
-    heads = sorted(((r["_block"], r["h"][key], r["h"]["_tie"]) for r in rows.groupBy("_block").agg(
-        F.min(F.struct(F.col(key).isNotNull().alias("has"), key, "_tie")).alias("h")).collect()), key=lambda h: h[0])
+    rows = docs.withColumn("__tie", F.xxhash64(tie)).withColumn("__block", block).withColumn("__copy", F.lit(0))
+    heads = sorted(((r["__block"], r["h"][key], r["h"]["__tie"]) for r in rows.groupBy("__block").agg(
+        F.min(F.struct(F.col(key).isNotNull().alias("has"), key, "__tie")).alias("h")).collect()), key=lambda h: h[0])
     if heads:
         before = [heads[-1][0], *(b for b, _, _ in heads[:-1])]
         wanted = spark.createDataFrame([(h, t, b, to) for (b, h, t), to in zip(heads, before)],
                                        f"_key {docs.schema[key].dataType.simpleString()}, _t long, _b int, _to int")
-        copies = (rows.join(F.broadcast(wanted), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_tie") == F.col("_t")) & (F.col("_block") == F.col("_b")))
-                  .withColumn("_block", F.col("_to")).withColumn("_copy", F.lit(1)).select(*rows.columns).dropDuplicates([key, "_tie", "_block"]))
+        copies = (rows.join(F.broadcast(wanted), F.col(key).eqNullSafe(F.col("_key")) & (F.col("__tie") == F.col("_t")) & (F.col("__block") == F.col("_b")))
+                  .withColumn("__block", F.col("_to")).withColumn("__copy", F.lit(1)).select(*rows.columns).dropDuplicates([key, "__tie", "__block"]))
         rows = rows.unionByName(copies)
-    order = Window.partitionBy("_block").orderBy("_copy", F.asc_nulls_first(key), "_tie")
+    order = Window.partitionBy("__block").orderBy("__copy", F.asc_nulls_first(key), "__tie")
     return (derive(rows).select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
-            .filter("_copy = 0").drop("_tie", "_block", "_copy"))
+            .filter("__copy = 0").drop("__tie", "__block", "__copy"))
 
 
 def edited(text: Column, other: Column) -> Column:

@@ -316,15 +316,13 @@ def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams(), ke
 def one_of_each(docs: DataFrame, params: SimHashParams = SimHashParams(), key: str = "doc_id") -> DataFrame:
     """`docs` without near-duplicates: of every component the row with its id stays.
 
-    Of rows that agree in id and text one stays. Rows without an id stay if nothing with an id is linked to them, one for
-    each fingerprint.
+    Of rows that agree in id and text one stays. Of a component without any id one row stays.
     """
     text = F.xxhash64(F.coalesce("text", F.lit("")))
     named = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), text.alias("t")).alias("row"), "text")
     found = near_duplicates(named, params, "row")
-    first = F.col("component_id.id")
-    kept = (found.filter(F.col("row.id").eqNullSafe(first)).withColumn("_g", F.when(first.isNull(), F.col("fp")))
-            .groupBy(F.col("row.id").alias("_id"), "_g").agg(F.min("row.t").alias("_t")).select("_id", "_t").distinct())
-    marked = docs.withColumn("_t", text)
-    return (marked.join(kept.withColumnRenamed("_t", "_u"), F.col(key).eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_u")), "left_semi")
-            .dropDuplicates([key, "_t"]).drop("_t"))
+    # A component is named by its smallest row, of those with an id where there are any.
+    kept = found.select(F.col("component_id.id").alias("__id"), F.col("component_id.t").alias("__u")).distinct()
+    marked = docs.withColumn("__t", text)
+    return (marked.join(kept, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__u")), "left_semi")
+            .dropDuplicates([key, "__t"]).drop("__t"))
