@@ -29,14 +29,12 @@ def sum_rupees(rupees_col: Column) -> Column:
 def ratio(num: Column, den: Column, digits: int) -> Column:
     """num / den for whole-number columns, half-up to `digits`; NULL on a zero denominator.
 
-    Past the range of 64-bit arithmetic the quotient is taken in floating point.
+    Whole numbers of up to 20 digits throughout, so the result rounds alike at every size.
     """
-    scale = 2 * 10 ** digits
-    n, d = num.cast("bigint"), F.nullif(den.cast("bigint"), F.lit(0).cast("bigint"))
-    scaled = F.call_function("div", F.abs(n) * scale + d, d * 2)
-    exact = F.when(n < 0, -scaled).otherwise(scaled).cast("double") / float(10 ** digits)
-    fits = F.abs(n) <= (2 ** 61) // scale
-    return F.when(fits, exact).otherwise(F.round(n.cast("double") / d.cast("double"), digits))
+    n, d = num.cast("decimal(20,0)"), F.nullif(den.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    twice = F.abs(n) * F.lit(2 * 10 ** digits).cast("decimal(12,0)") + d
+    scaled = F.call_function("div", twice, d * F.lit(2).cast("decimal(1,0)"))
+    return F.when(n < 0, -scaled).otherwise(scaled).cast("double") / float(10 ** digits)
 
 
 def mean_paise(total: Column, n: Column) -> Column:
@@ -61,11 +59,6 @@ def double_or_null(num: Column, den: Column) -> Column:
     return num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0))
 
 
-def safe_ratio(num: Column, den: Column) -> Column:
-    """Ratio that reads 0 where it is undefined."""
-    return F.coalesce(double_or_null(num, den), F.lit(0.0))
-
-
 def flag(cond: Column) -> Column:
     """1 where the condition holds, 0 where it fails or is unknown."""
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.preprocess import hash_sample
-
 
 def best_kmeans(vectors: DataFrame, k: int, restarts: int, seed: int) -> KMeansModel:
     """The restart with the lowest within-cluster sum of squares."""
@@ -23,62 +20,42 @@ def best_kmeans(vectors: DataFrame, k: int, restarts: int, seed: int) -> KMeansM
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
-def silhouette_points(points: DataFrame, ident: str, vector: str, label: str, rows: int, seed: int) -> DataFrame:
-    """Euclidean silhouette of each sampled point, by its own and the nearest other cluster.
+def silhouette_points(points: DataFrame, ident: str, vector: str, label: str) -> DataFrame:
+    """Silhouette of every point by mean squared distances to its own and to the nearest other cluster.
 
-    Exact up to `rows` points, otherwise on a repeatable sample of that size.
-    The sample (a fixed bound) is sent to every task; a task compares its points
-    with the sample in numpy and pairs are never materialised as rows.
+    The mean squared distance to a cluster follows from its count, vector sum and sum of squared norms, so the work is
+    linear in the points: one small aggregate with a row per cluster, and a pass over the points.
     """
-    sample = hash_sample(points.select(ident, vector, label), ident, rows, seed)
-    local = sample.collect()
-    if not local:
-        return sample.select(F.col(ident), F.col(label), F.lit(None).cast("double").alias("silhouette"))
-    spark = points.sparkSession
-    shared = spark.sparkContext.broadcast((
-        np.array([r[vector] for r in local], dtype=float), np.array([r[label] for r in local])))
-    id_type = dict(sample.dtypes)[ident]
-    label_type = dict(sample.dtypes)[label]
+    norm = F.aggregate(F.col(vector), F.lit(0.0), lambda a, v: a + v * v)
+    own = points.select(ident, label, F.col(vector).alias("_x"), norm.alias("_q"))
+    sums = (own.select(label, F.posexplode("_x")).groupBy(label, "pos").agg(F.sum("col").alias("v"))
+            .groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda p: p["v"]).alias("s")))
+    clusters = (own.groupBy(label).agg(F.count("*").alias("n"), F.sum("_q").alias("q")).join(sums, label)
+                .agg(F.collect_list(F.struct(F.col(label).alias("c"), "n", "q", "s")).alias("_clusters")))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        all_x, all_y = shared.value
-        groups = np.unique(all_y)
-        member = (all_y[:, None] == groups[None, :]).astype(float)
-        sizes = member.sum(axis=0)
-        norms = (all_x ** 2).sum(axis=1)
-        for b in batches:
-            for start in range(0, len(b), 512):
-                part = b.iloc[start:start + 512]
-                x = np.array(part[vector].tolist(), dtype=float)
-                gap = (x ** 2).sum(axis=1)[:, None] + norms[None, :] - 2 * x @ all_x.T
-                totals = np.sqrt(np.clip(gap, 0, None)) @ member
-                mine = np.searchsorted(groups, part[label].to_numpy())
-                at = np.arange(len(part))
-                own = sizes[mine]
-                a = totals[at, mine] / np.maximum(own - 1, 1)
-                means = totals / sizes[None, :]
-                means[at, mine] = np.inf
-                nearest = means.min(axis=1)
-                s = np.where(own > 1, (nearest - a) / np.maximum(np.maximum(a, nearest), 1e-300), 0.0)
-                s = np.where(np.isfinite(s), s, 0.0)
-                yield pd.DataFrame({ident: part[ident].to_numpy(), label: part[label].to_numpy(), "silhouette": s})
+    def reach(c: Column, others: Column) -> Column:
+        dot = F.aggregate(F.zip_with("_x", c["s"], lambda u, v: u * v), F.lit(0.0), lambda a, v: a + v)
+        return (F.col("_q") * c["n"] + c["q"] - 2 * dot) / others
 
-    spread = sample.repartition(spark.sparkContext.defaultParallelism, ident)
-    return spread.mapInPandas(score, f"{ident} {id_type}, {label} {label_type}, silhouette double")
+    met = own.crossJoin(F.broadcast(clusters)).select(
+        ident, label,
+        F.filter(F.transform("_clusters", lambda c: F.struct(
+            (c["c"] == F.col(label)).alias("mine"), c["n"].alias("n"), reach(c, F.when(c["c"] == F.col(label), F.nullif(c["n"] - 1, F.lit(0)))
+                                                                               .otherwise(c["n"])).alias("d"))), lambda c: c["d"].isNotNull()).alias("_d"))
+    a = F.array_min(F.transform(F.filter("_d", lambda c: c["mine"]), lambda c: F.greatest(c["d"], F.lit(0.0))))
+    b = F.array_min(F.transform(F.filter("_d", lambda c: ~c["mine"]), lambda c: F.greatest(c["d"], F.lit(0.0))))
+    return met.select(ident, label, F.coalesce((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)), F.lit(0.0)).alias("silhouette"))
 
 
-def k_selection(vectors: DataFrame, ident: str, ks: Sequence[int], restarts: int, seed: int,
-                rows: int) -> list[dict]:
-    """Per k: inertia, Euclidean silhouette on the sample, squared-distance silhouette on all rows."""
+def k_selection(vectors: DataFrame, ks: Sequence[int], restarts: int, seed: int) -> list[dict]:
+    """Inertia and silhouette over all rows for every k; the vectors are held in memory for the search."""
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     out = []
     for k in ks:
         model = best_kmeans(vectors, k, restarts, seed)
-        labelled = model.transform(vectors)
-        points = labelled.select(ident, vector_to_array("features").alias("x"), "segment_id")
-        s = silhouette_points(points, ident, "x", "segment_id", rows, seed).agg(F.avg("silhouette")).first()[0]
-        squared = ClusteringEvaluator(featuresCol="features", predictionCol="segment_id").evaluate(labelled)
-        out.append({"k": k, "silhouette": round(float(s), 4), "silhouette_squared": round(float(squared), 4),
-                    "inertia": round(float(model.summary.trainingCost), 1)})
+        s = ClusteringEvaluator(featuresCol="features", predictionCol="segment_id").evaluate(model.transform(vectors))
+        out.append({"k": k, "silhouette": round(float(s), 4), "inertia": round(float(model.summary.trainingCost), 1)})
+    vectors.unpersist()
     return out
 
 

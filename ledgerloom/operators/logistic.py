@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.preprocess import finite
-
 
 def fit(train: DataFrame, label: str, n: int, inverse_penalty: float) -> LogisticRegressionModel:
     """L2 penalty 1/C on the summed loss; the intercept is not penalised.
@@ -29,48 +28,54 @@ def scored(model, df: DataFrame, name: str = "score") -> DataFrame:
     return out.drop("rawPrediction", "probability", "prediction")
 
 
-def information(model: LogisticRegressionModel, train: DataFrame, width: int) -> np.ndarray:
-    """Z'WZ with an intercept column first.
+def curvature(model: LogisticRegressionModel, train: DataFrame, penalty: np.ndarray) -> np.ndarray:
+    """Second derivative of the fitted objective at its optimum, coefficients first and the intercept last.
 
-    Each partition reduces its rows to one small matrix; the matrices are then
-    added up by cell, so nothing but width^2 numbers is collected.
+    The objective is the summed log loss plus half of `penalty` times the squared coefficients, so its curvature is the
+    sum of p(1-p) x x' over the rows, with the penalty on the diagonal. A task adds its rows up to one matrix and the
+    cells are summed by key, so only width^2 numbers are collected.
     """
-    rows = scored(model, train, "_p").select(
-        vector_to_array("features").alias("z"), F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(1e-9)).alias("w"))
+    width = len(penalty)
+    rows = scored(model, train, "_p").select(vector_to_array("features").alias("x"), (F.col("_p") * (1 - F.col("_p"))).alias("w"))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width + 1, width + 1))
+        total = np.zeros((width, width))
         for b in batches:
             if len(b):
-                z = np.column_stack([np.ones(len(b)), np.stack(b["z"].to_numpy())])
-                total += z.T @ (z * b["w"].to_numpy()[:, None])
-        i, j = np.indices(total.shape)
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
-
-    cells = rows.mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    out = np.zeros((width + 1, width + 1))
-    for r in cells.collect():
-        out[r["i"], r["j"]] = r["v"]
+                x = np.hstack([np.array(b["x"].tolist()), np.ones((len(b), 1))])
+                total += np.einsum("r,ri,rj->ij", b["w"].to_numpy(), x, x)
+        at = np.arange(width * width)
+        yield pd.DataFrame({"cell": at, "v": total.ravel()})
+
+    sums = rows.mapInPandas(partial, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
+    out = np.diag(penalty).astype(float)
+    for r in sums:
+        out[divmod(r["cell"], width)] += r["v"]
     return out
 
 
-def coefficient_table(spark: SparkSession, model: LogisticRegressionModel, train: DataFrame,
-                      names: Sequence[str], inverse_penalty: float) -> DataFrame:
-    """feature, coef, std_err, odds ratio with 95 % interval, z, significance."""
-    info = information(model, train, len(names))
-    ridge = np.eye(len(names) + 1) / max(inverse_penalty, 1e-9)
-    ridge[0, 0] = 0.0
-    coef = np.asarray(model.coefficients.toArray())
+def coefficient_table(spark: SparkSession, model: LogisticRegressionModel, train: DataFrame, names: Sequence[str],
+                      inverse_penalty: float, level: float = 0.95, max_width: int = 2000) -> DataFrame:
+    """feature, coef, std_err, odds ratio with its Wald interval at `level`, z, significance.
+
+    The matrix of all pairs of features is factored on the driver, so a model of more than `max_width` features is
+    refused before any work. Features that are linear combinations of others without a penalty have no standard error;
+    the factorisation fails then and says so.
+    """
+    if inverse_penalty <= 0:
+        raise ValueError("the inverse penalty must be positive")
+    if len(names) > max_width:
+        raise ValueError(f"{len(names)} features; intervals are made for {max_width} at most")
+    penalty = np.append(np.full(len(names), 1.0 / inverse_penalty), 0.0)
     try:
-        spread = np.diag(np.linalg.inv(info + ridge))[1:]
-        se = np.sqrt(np.clip(spread, 0, None))
-    except np.linalg.LinAlgError:
-        se = np.full(len(names), np.nan)
-    rows = [(n, float(c), finite(s)) for n, c, s in zip(names, coef, se)]
-    table = spark.createDataFrame(rows, "feature string, coef double, std_err double")
-    z = F.col("coef") / F.nullif(F.col("std_err"), F.lit(0.0))
-    half = 1.96 * F.col("std_err")
-    return table.select(
-        "*", F.exp("coef").alias("odds_ratio"), F.exp(F.col("coef") - half).alias("ci_low"),
-        F.exp(F.col("coef") + half).alias("ci_high"), z.alias("z"),
-        F.coalesce(F.abs(z) > 1.96, F.lit(False)).alias("significant"))
+        factor = np.linalg.cholesky(curvature(model, train, penalty))
+    except np.linalg.LinAlgError as e:
+        raise ValueError("the curvature is singular: some features are combinations of others") from e
+    # The covariance is the inverse L'^-1 L^-1, so a variance is the squared length of a column of L^-1.
+    errors = np.linalg.norm(np.linalg.solve(factor, np.eye(len(penalty))), axis=0)
+    rows = [(name, float(c), float(e)) for name, c, e in zip(names, model.coefficients.toArray(), errors)]
+    reach = NormalDist().inv_cdf(0.5 + level / 2)
+    b, se = F.col("coef"), F.col("std_err")
+    return spark.createDataFrame(rows, "feature string, coef double, std_err double").select(
+        "feature", "coef", "std_err", F.exp(b).alias("odds_ratio"), F.exp(b - se * reach).alias("ci_low"),
+        F.exp(b + se * reach).alias("ci_high"), (b / se).alias("z"), (F.abs(b / se) > reach).alias("significant"))

@@ -21,6 +21,8 @@ class Params:
     # calendar windows, in months
     baseline_months: int = 6
     label_months: int = 6
+    # Pick the degraded issuer from the months before the label window only, as a model to be deployed must.
+    issuer_as_of_label: bool = False
     trailing_months: int = 3
     run_rate_months: int = 3
     retention_index: int = 3
@@ -53,7 +55,6 @@ class Params:
     k_restarts: int = 10
     final_restarts: int = 25
     cluster_seed: int = 7
-    silhouette_rows: int = 4000
 
     # forecasting
     holdout_months: int = 5
@@ -72,7 +73,7 @@ class Params:
     broadcast_rows: int = 1_000_000
     buckets: int | None = None
 
-    # expected sign of each driver, for the recovery check
+    # The expected sign of each driver, for the recovery check
     expected_signs: dict[str, int] = field(default_factory=lambda: {
         "success_rate_3m_at_cutoff": -1,
         "avg_settlement_delay_days": 1,

@@ -20,8 +20,7 @@ from ledgerloom.sources.tables import Sources
 
 # The median merchant of the order book has 3 baseline attempts, so the guard
 # against noisy shares is lower than the default for payment data.
-# Boosting rounds and k-means restarts only cost time; the defaults are meant for a cluster.
-ORDERBOOK = Params(min_baseline_attempts=5, boost_rounds=20, k_restarts=2, final_restarts=3)
+ORDERBOOK = Params(min_baseline_attempts=5)
 
 _open: dict[tuple[str, str], Warehouse] = {}
 
@@ -36,7 +35,12 @@ def warehouse(spark: SparkSession, folder: str) -> Warehouse:
 
 
 def forget() -> None:
-    """Drop shared warehouses, so that the next query builds from the sources."""
+    """Drop shared warehouses and what they staged, so that the next query builds from the sources."""
+    for w in _open.values():
+        for cut in w._held.values():
+            if isinstance(cut, Warehouse):
+                cut.staging.release()
+        w.staging.release()
     _open.clear()
 
 
@@ -69,15 +73,16 @@ def deleted_label_window(w: Warehouse) -> DataFrame:
         merchants=w.sources.merchants,
         support_tickets=w.sources.support_tickets.filter(F.col("ticket_month") < before),
         settlements=w.sources.settlements.filter(F.col("settle_month") < before)), w.params)
-    cut.split, cut.worst_issuer = w.split, w.worst_issuer
-    cut.early_months = w.early_months
+    # The split is where the cut was made; the degraded issuer and all else are found again.
+    cut.split = w.split
+    w.once("cut", lambda: cut)
     return cut["merchant_features_base"].drop("last_success_before")
 
 
 def labelled_silhouette(w: Warehouse) -> DataFrame:
     points = orderbook.table(w.spark, w.folder, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("int").alias("label"))
-    per = clustering.silhouette_points(points, "vec_id", "x", "label", w.params.silhouette_rows, w.params.cluster_seed)
+    per = clustering.silhouette_points(points, "vec_id", "x", "label")
     return per.groupBy("label").agg(F.count("*").alias("points"), F.round(F.avg("silhouette"), 5).alias("silhouette"))
 
 
@@ -288,7 +293,8 @@ QUERIES: dict[str, Query] = {
     "check_recency_cardinality": lambda w: checks.recency_varies(w["merchant_features"]),
     "check_exposure_sums": lambda w: checks.exposure_sums(w["merchant_bank_exposure"]),
     "check_definitions_disagree": lambda w: checks.definitions_disagree(w["churn_definition_comparison"]),
-    "check_contribution_closes": lambda w: checks.contribution_closes(w["sr_contribution"]),
+    "check_contribution_closes": lambda w: checks.contribution_closes(
+        w["bank_month_sr"], w["sr_contribution"], issuers.issuer_baseline(w["bank_month_sr"], w.params.baseline_months)),
 
     "transactions_by_month_part": monthly_parts,
     "export_marts": exported,

@@ -43,6 +43,7 @@ def segment_name(row: dict[str, Column], medians: dict[str, float | None]) -> Co
         mid = F.lit(medians[name])
         return F.coalesce(row[name] > mid if sign == ">" else row[name] < mid, F.lit(False))
 
+    # The six names and the order in which they apply.
     big, poor = than("avg_monthly_tpv", ">"), than("success_rate_3m_at_cutoff", "<")
     falling = F.coalesce(row["sr_trend"] < 0, F.lit(False))
     stale, young = than("recency_days", ">"), than("tenure_months", "<")
@@ -95,8 +96,7 @@ class Segmentation:
     @cached_property
     def selection(self) -> list[dict]:
         p = self.params
-        return clustering.k_selection(self.vectors, "merchant_id", p.k_range, p.k_restarts,
-                                      p.cluster_seed, p.silhouette_rows)
+        return clustering.k_selection(self.vectors, p.k_range, p.k_restarts, p.cluster_seed)
 
     @property
     def chosen_k(self) -> int:
@@ -105,10 +105,10 @@ class Segmentation:
 
     def k_selection(self) -> DataFrame:
         spark = self.features.sparkSession
-        rows = [(r["k"], r["silhouette"], r["silhouette_squared"], r["inertia"], r["k"] == self.chosen_k)
+        rows = [(r["k"], r["silhouette"], r["inertia"], r["k"] == self.chosen_k)
                 for r in self.selection]
         return spark.createDataFrame(
-            rows, "k int, silhouette double, silhouette_squared double, inertia double, chosen boolean")
+            rows, "k int, silhouette double, inertia double, chosen boolean")
 
     @cached_property
     def assignment(self) -> DataFrame:

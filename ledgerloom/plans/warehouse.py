@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.params import Params
 from ledgerloom.plans import (
@@ -91,15 +93,14 @@ class Warehouse:
         return done
 
     def sql(self, text: str) -> DataFrame:
-        """Ad-hoc SQL over the marts."""
-        for name, mart in MARTS.items():
-            if mart.public and name in text:
-                self[name].createOrReplaceTempView(name)
-        return self.spark.sql(text)
+        """Ad-hoc SQL over the marts it names after FROM or JOIN, bound to this warehouse whatever views the session has."""
+        used = {m.lower() for m in re.findall(r"\b(?:from|join)\s+`?(\w+)`?", text, re.I)}
+        named = {name: self[name] for name, mart in MARTS.items() if mart.public and name in used}
+        bound = re.sub(r"(\b(?:from|join)\s+)`?(\w+)`?", lambda m: f"{m[1]}{{{m[2].lower()}}} {m[2]}" if m[2].lower() in named else m[0], text, flags=re.I)
+        return self.spark.sql(bound, **named) if named else self.spark.sql(text)
 
     def row_counts(self) -> DataFrame:
         """Row count of every staged public mart, in one job."""
-        from pyspark.sql import functions as F
         counts = None
         for name, mart in MARTS.items():
             if mart.stage and mart.public:
@@ -159,7 +160,9 @@ MARTS: dict[str, Mart] = {
 
     "feature_split": Mart("features", lambda w: features.feature_split(
         w["bank_month_sr"], w["analysis_window"], w.params.label_months)),
-    "degraded_issuer": Mart("features", lambda w: issuers.degraded_issuer(w["incident_culprit_ranking"])),
+    "degraded_issuer": Mart("features", lambda w: issuers.degraded_issuer(
+        issuers.incident_culprit_ranking(w["sr_contribution"].filter(F.col("month") < w.split.label_start))
+        if w.params.issuer_as_of_label else w["incident_culprit_ranking"])),
     "merchant_features_base": Mart("features", lambda w: features.merchant_features_base(
         w["merchants"], w["merchant_month"], w["merchant_month_dense"], w["issuer_day"],
         w["merchant_activity_gaps"], w["merchant_bank_exposure"], w.worst_issuer, w.split, w.params),

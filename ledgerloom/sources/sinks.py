@@ -21,10 +21,11 @@ EXPORTED = [
 def write_monthly_parts(transactions: DataFrame, path: str) -> None:
     """One folder per month; only the months present are replaced.
 
-    Rows are ranged on (month, merchant), so a task writes few months and a
-    month holding most rows is written by many tasks.
+    Rows are ranged on (month, merchant, attempt), so a task writes few months, and
+    a month or a merchant of a month that holds most rows is written by many tasks.
     """
-    (transactions.repartitionByRange("txn_month", "merchant_id").write.mode("overwrite")
+    attempt = F.xxhash64(*transactions.columns)
+    (transactions.repartitionByRange(F.col("txn_month"), F.col("merchant_id"), attempt).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("txn_month").parquet(path))
 
 

@@ -10,30 +10,27 @@ however many attempts it made.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """spark.checkpoint.dir where the cluster names one, else the session's own storage: its warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 class Staging:
-    def __init__(self, spark: SparkSession, buckets: int | None = None, root: str | None = None):
+    def __init__(self, spark: SparkSession, buckets: int | None = None, root: str | None = None,
+                 database: str = "default"):
         self.spark = spark
+        # Bucketed tables are registered here, in whichever catalog the session has, and dropped by release().
+        self.database = database
         self.run = uuid.uuid4().hex[:12]
         self.root = f"{(root or shared_folder(spark)).rstrip('/')}/ledgerloom/{self.run}"
         # About 256 MB of aggregated rows per bucket is a good size; the
         # default follows the cores of the cluster.
         self.buckets = buckets or spark.sparkContext.defaultParallelism
-        # Registering bucket metadata needs a session catalog of our own.
-        self.can_bucket = spark.conf.get("spark.sql.catalogImplementation", "in-memory") == "in-memory"
         self.tables: list[str] = []
         self._n = 0
 
@@ -44,10 +41,7 @@ class Staging:
             df.write.mode("overwrite").parquet(path)
             return self.spark.read.schema(df.schema).parquet(path)
         spread = df.repartition(self.buckets, key)
-        if not self.can_bucket:
-            spread.write.mode("overwrite").parquet(path)
-            return self.spark.read.schema(df.schema).parquet(path)
-        table = f"stage_{self.run}_{self._n:03d}_{name}"
+        table = f"{self.database}.stage_{self.run}_{self._n:03d}_{name}"
         (spread.write.mode("overwrite").format("parquet")
             .bucketBy(self.buckets, key).option("path", path).saveAsTable(table))
         self.tables.append(table)

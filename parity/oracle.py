@@ -727,33 +727,35 @@ R["segp"] = f"""
 SELECT segment_id, count(*) AS merchants, {', '.join(f'median({c}) AS {c}' for c in PROF)},
        {ratio('sum(churned)', 'count(*)', 6)} AS churn_rate, sum(CAST(round(avg_monthly_tpv * 100) AS BIGINT)) AS t
 FROM seg GROUP BY 1"""
+# The six names and the order in which they apply.
 R["segn"] = f"""
 WITH pop AS (SELECT {', '.join(f'median({c}) AS {c}' for c in SEG)} FROM seg),
-n AS (SELECT s.*, CASE
-  WHEN s.avg_monthly_tpv > pop.avg_monthly_tpv THEN
-    CASE WHEN NOT s.success_rate_3m_at_cutoff < pop.success_rate_3m_at_cutoff THEN 'Core healthy volume'
-         WHEN s.sr_trend < 0 THEN 'High-value, payments-impaired' END
-  WHEN s.recency_days > pop.recency_days THEN 'Fading long-tail' END AS nm,
-  s.tenure_months < pop.tenure_months AND NOT s.recency_days > pop.recency_days AS fresh,
-  s.success_rate_3m_at_cutoff < pop.success_rate_3m_at_cutoff AS poor
-  FROM segp s, pop)
-SELECT *, coalesce(nm, CASE WHEN fresh THEN 'New and ramping' WHEN poor THEN 'Low-volume, poor experience'
-                            ELSE 'Steady long-tail' END) AS label FROM n"""
+f AS (SELECT s.*, coalesce(s.avg_monthly_tpv > pop.avg_monthly_tpv, FALSE) AS large,
+             coalesce(s.success_rate_3m_at_cutoff < pop.success_rate_3m_at_cutoff, FALSE) AS poor, coalesce(s.sr_trend < 0, FALSE) AS falling,
+             coalesce(s.recency_days > pop.recency_days, FALSE) AS stale, coalesce(s.tenure_months < pop.tenure_months, FALSE) AS young FROM segp s, pop)
+SELECT *, CASE
+  WHEN large AND poor AND falling THEN 'High-value, payments-impaired'
+  WHEN large AND NOT poor THEN 'Core healthy volume'
+  WHEN stale AND NOT large THEN 'Fading long-tail'
+  WHEN young AND NOT stale THEN 'New and ramping'
+  WHEN poor THEN 'Low-volume, poor experience'
+  ELSE 'Steady long-tail' END AS label FROM f"""
 Q["segment_naming"] = f"""
 SELECT segment_id, label || CASE WHEN row_number() OVER w > 1 THEN ' (' || row_number() OVER w || ')' ELSE '' END AS segment_name,
        merchants, {', '.join(PROF)}, churn_rate, {ratio('t', 'sum(t) OVER ()', 4)} AS tpv_share
 FROM segn WINDOW w AS (PARTITION BY label ORDER BY segment_id)"""
 
-R["pts"] = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY md5(concat(CAST(vec_id AS VARCHAR), ':7')), vec_id LIMIT 4000"
+R["pts"] = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
 Q["silhouette_labelled"] = f"""
-WITH d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS t, count(*) AS k
-           FROM pts a, pts b GROUP BY 1, 2, 3),
-m AS (SELECT vec_id, label, max(CASE WHEN other = label THEN k END) AS own,
-             max(CASE WHEN other = label THEN t / greatest(k - 1, 1) END) AS a,
-             min(CASE WHEN other <> label THEN t / k END) AS b FROM d GROUP BY 1, 2)
-SELECT {big('label')} AS label, count(*) AS points,
-       round(avg(CASE WHEN own > 1 AND b IS NOT NULL THEN (b - a) / greatest(a, b) ELSE 0 END), 5) AS silhouette
-FROM m GROUP BY label"""
+WITH dims AS (SELECT label, i, sum(v[i]) AS s FROM pts, unnest(range(1, len(v) + 1)) AS u(i) GROUP BY 1, 2),
+sums AS (SELECT label, list(s ORDER BY i) AS s FROM dims GROUP BY 1),
+groups AS (SELECT label, count(*) AS n, sum(list_dot_product(v, v)) AS q FROM pts GROUP BY 1),
+d AS (SELECT p.vec_id, p.label, g.label = p.label AS mine,
+        greatest((list_dot_product(p.v, p.v) * n + q - 2 * list_dot_product(p.v, s)) / nullif(n - CAST(g.label = p.label AS INT), 0), 0) AS m
+      FROM pts p, groups g JOIN sums USING (label)),
+w AS (SELECT vec_id, label, min(m) FILTER (mine) AS a, min(m) FILTER (NOT mine) AS b FROM d GROUP BY 1, 2)
+SELECT {big('label')} AS label, count(*) AS points, round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 5) AS silhouette
+FROM w GROUP BY label"""
 
 
 def short_money(x: str) -> str:
@@ -804,14 +806,21 @@ Q["check_no_leak"] = """
 SELECT 'no_leak' AS check_name, count_if(before >= l0) AS violations
 FROM (SELECT merchant_id, max(CASE WHEN month < l0 THEN month END) AS before, any_value(l0) AS l0 FROM mm, cut GROUP BY 1)"""
 Q["check_recency_cardinality"] = f"""
-SELECT 'recency_varies' AS check_name, {big("CASE WHEN count(DISTINCT recency_days) > least(50, count(recency_days) // 10) THEN 0 ELSE 1 END")} AS violations FROM feat"""
+SELECT 'recency_varies' AS check_name, {big("CASE WHEN count(DISTINCT recency_days) > 50 THEN 0 ELSE 1 END")} AS violations FROM feat"""
 Q["check_exposure_sums"] = f"""
 SELECT 'exposure_sums' AS check_name, count_if(abs(s - 1000000) > 100) AS violations
 FROM (SELECT sum({micro('exposure_share')}) AS s FROM expo GROUP BY merchant_id)"""
 Q["check_definitions_disagree"] = f"""
 SELECT 'definitions_disagree' AS check_name, {big('CASE WHEN sum(d1f) = sum(d2f) THEN 1 ELSE 0 END')} AS violations FROM cs"""
 Q["check_contribution_closes"] = """
-SELECT 'contribution_closes' AS check_name, count_if(abs(rate_effect + interaction_effect - share * (sr - sr0)) > 0.00001) AS violations FROM con"""
+WITH net AS (SELECT DISTINCT net0 FROM srb),
+grid AS (SELECT m.month, i.issuer_bank FROM (SELECT DISTINCT month FROM bm) m, (SELECT issuer_bank FROM bm UNION SELECT issuer_bank FROM srb) i),
+filled AS (SELECT month, coalesce(bm.share, 0) AS share, coalesce(srb.share0, 0) AS share0,
+                  coalesce(bm.sr, srb.sr0) AS sr, coalesce(srb.sr0, bm.sr) AS sr0, con.rate_effect + con.mix_effect + con.interaction_effect AS known
+           FROM grid LEFT JOIN bm USING (month, issuer_bank) LEFT JOIN srb USING (issuer_bank) LEFT JOIN con USING (month, issuer_bank)),
+parts AS (SELECT month, sum(coalesce(known, share0 * (sr - sr0) + (share - share0) * (sr0 - net0) + (share - share0) * (sr - sr0))) AS s FROM filled, net GROUP BY month),
+whole AS (SELECT month, CAST(sum(won) AS DOUBLE) / sum(tried) - any_value(net0) AS d FROM bm, net GROUP BY month)
+SELECT 'contribution_closes' AS check_name, count_if(abs(s - d) > 0.0001) AS violations FROM parts JOIN whole USING (month)"""
 
 Q["transactions_by_month_part"] = Q["transactions_typed"]
 Q["export_health_csv"] = """

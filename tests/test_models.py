@@ -90,17 +90,19 @@ def test_lift_of_a_perfect_score(spark, staging):
     assert got[10] == 10.0 and got[1] == 0.0 and len(got) == 10
 
 
-def test_silhouette_by_brute_force(spark):
+@pytest.mark.parametrize("n", [40, 1700])
+def test_silhouette_by_brute_force(spark, n):
     rng = np.random.default_rng(2)
-    x = np.vstack([rng.normal(c, 1, size=(40, 4)) for c in (0, 2, 5)])
-    y = np.repeat([0, 1, 2], 40)
+    x = np.vstack([rng.normal(c, 1, size=(n, 4)) for c in (0, 2, 5)] + [[[9.0] * 4]])
+    y = np.r_[np.repeat([0, 1, 2], n), 3]
     df = spark.createDataFrame([(i, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, y))],
                                "id long, x array<double>, c int")
-    got = {r.id: r.silhouette for r in clustering.silhouette_points(df, "id", "x", "c", 4000, 7).collect()}
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    for i in range(len(x)):
-        a = d[i, (y == y[i])].sum() / (np.sum(y == y[i]) - 1)
-        b = min(d[i, y == c].mean() for c in set(y) - {y[i]})
+    got = {r.id: r.silhouette for r in clustering.silhouette_points(df, "id", "x", "c").collect()}
+    assert len(got) == len(x) and got[len(x) - 1] == 0.0
+    for i in range(0, len(x) - 1, max(n // 20, 1)):
+        d = ((x - x[i]) ** 2).sum(-1)
+        a = d[y == y[i]].sum() / (np.sum(y == y[i]) - 1)
+        b = min(d[y == c].mean() for c in set(y.tolist()) - {int(y[i])})
         assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-6)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import series as S
 from ledgerloom.operators.scoring import confusion
 from ledgerloom.params import Params
-from ledgerloom.plans import churn, cohorts, evaluation, facts, features, forecasts, issuers, revenue, segments
+from ledgerloom.plans import checks, churn, cohorts, evaluation, facts, features, forecasts, issuers, revenue, segments
 from tests.conftest import day
 
 OBS = dt.date(2024, 12, 31)
@@ -144,8 +144,15 @@ def test_contribution_closes_and_names_the_culprit(spark):
                                          "successful_txns bigint, tpv_inr double, attempted_value_inr double")
     sr = issuers.bank_month_sr(months)
     con = issuers.sr_contribution(sr, 6)
-    for r in con.collect():
-        assert r.rate_effect + r.interaction_effect == pytest.approx(r.volume_share * (r.success_rate - r.sr_baseline), abs=1e-6)
+    base = issuers.issuer_baseline(sr, 6)
+    assert checks.contribution_closes(sr, con, base).first().violations == 0
+    # An issuer without attempts in a month, and one that the baseline lacks, still close; a wrong effect does not.
+    late = spark.createDataFrame([("m", dt.date(2024, 9, 1), "NEW", 300, 30, 1.0, 2.0), ("m", dt.date(2024, 9, 1), "BIG", 700, 600, 1.0, 2.0)], months.schema)
+    sr9 = issuers.bank_month_sr(months.union(late))
+    con9 = issuers.sr_contribution(sr9, 6)
+    assert checks.contribution_closes(sr9, con9, base).first().violations == 0
+    wrong = con9.withColumn("mix_effect", F.col("mix_effect") + F.when(F.col("issuer_bank") == "BIG", 0.01).otherwise(0.0))
+    assert checks.contribution_closes(sr9, wrong, base).first().violations == 9
     rank = {r.issuer_bank: r for r in issuers.incident_culprit_ranking(con).collect()}
     assert rank["SMALL"].rank_by_worst_sr == 1 and rank["BIG"].rank_by_network_impact == 1
     assert issuers.degraded_issuer(issuers.incident_culprit_ranking(con)).first().issuer_bank == "BIG"

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom import Params, Warehouse
 from ledgerloom.functions.display import compact_money, iso_dates, strip_encoder_prefix
-from ledgerloom.functions.exact import ratio, safe_ratio
+from ledgerloom.functions.exact import ratio
 from ledgerloom.plans.warehouse import MARTS, STEPS
 from ledgerloom.sources import orderbook, sinks, tables
-from ledgerloom.sources.staging import Staging
+from ledgerloom.sources.staging import Staging, shared_folder
 from ledgerloom.streaming.monthly import file_by_month
 
 FOLDER = "/root/testdata/sf0.001"
@@ -111,10 +111,10 @@ def test_stream_files_by_month_once(spark, raw, tmp_path):
     arrivals, target = f"{tmp_path}/in", f"{tmp_path}/out"
     shaped = raw.select(*[F.col(f.name).cast(f.dataType) for f in tables.TRANSACTIONS.fields])
     shaped.filter("txn_id < 3").write.mode("append").parquet(arrivals)
-    file_by_month(spark, arrivals, target, tmp_path.name).awaitTermination(120)
+    file_by_month(spark, arrivals, target, str(tmp_path / "progress")).awaitTermination(120)
     shaped.filter("txn_id = 3").write.mode("append").parquet(arrivals)
-    file_by_month(spark, arrivals, target, tmp_path.name).awaitTermination(120)
-    file_by_month(spark, arrivals, target, tmp_path.name).awaitTermination(120)
+    file_by_month(spark, arrivals, target, str(tmp_path / "progress")).awaitTermination(120)
+    file_by_month(spark, arrivals, target, str(tmp_path / "progress")).awaitTermination(120)
     rows = spark.read.parquet(target).orderBy("txn_id").collect()
     assert [r.txn_id for r in rows] == [1, 2, 3] and rows[2].txn_month == dt.date(2024, 2, 1)
 
@@ -130,4 +130,17 @@ def test_ratios(spark):
     df = spark.createDataFrame([(1, 0), (1, 3), (-1, 2), (2 ** 60, 2 ** 61), (None, 4)], "n long, d long")
     got = [r.r for r in df.select(ratio(F.col("n"), F.col("d"), 4).alias("r")).collect()]
     assert got == [None, 0.3333, -0.5, 0.5, None]
-    assert [r.r for r in df.select(safe_ratio(F.col("n"), F.col("d")).alias("r")).collect()][0] == 0.0
+    # One rule at every size: a tie is rounded half up on both sides of 2^61.
+    big = spark.createDataFrame([(2 ** k + 5, 10 ** 7) for k in (40, 61, 62)] + [(5 * 10 ** 17 + 5, 10 ** 6)], "n long, d long")
+    want = [float((2 * (2 ** k + 5) * 10 ** 4 + 10 ** 7) // (2 * 10 ** 7)) / 1e4 for k in (40, 61, 62)] + [500000000000.0]
+    assert [r.r for r in big.select(ratio(F.col("n"), F.col("d"), 4).alias("r")).collect()] == want
+
+
+def test_staging_needs_no_setting():
+    class Conf:
+        def get(self, name, default=None):
+            return {"spark.sql.warehouse.dir": "file:/somewhere"}.get(name, default)
+
+    class Session:
+        conf = Conf()
+    assert shared_folder(Session()) == "file:/somewhere"
