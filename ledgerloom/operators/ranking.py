@@ -74,8 +74,23 @@ def running_totals(df: DataFrame, staging: Staging, groups: Sequence[str], order
 
 def with_rank(df: DataFrame, staging: Staging, groups: Sequence[str], order: Sequence[Column],
               partitions: int | None = None) -> DataFrame:
-    """1-based row number within the group as `rn`, group size as `rn_all`."""
-    return running_totals(df, staging, groups, order, {"rn": F.lit(1).cast("bigint")}, partitions)
+    """1-based row number within the group as `rn`, group size as `rn_all`.
+
+    The rows of a group are next to each other in the staged order, so a rank is the row's position less that of the
+    group's first row in the partition, plus the group's rows in the partitions before: no further sort of the rows.
+    """
+    groups = list(groups)
+    rows = staged_order(df, staging, groups, order, partitions)
+    parts = rows.groupBy("_part", *groups).agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
+    across = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        F.col("_part").alias("_at"), *[F.col(g).alias(f"_g_{g}") for g in groups],
+        (F.coalesce(F.sum("_n").over(across), F.lit(0)) - F.col("_first") + 1).alias("_o"),
+        F.sum("_n").over(Window.partitionBy(*groups)).alias("rn_all"))
+    match = F.col("_part") == F.col("_at")
+    for g in groups:
+        match = match & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return rows.join(offsets, match).select(*df.columns, (F.col("_seq") + F.col("_o")).alias("rn"), "rn_all")
 
 
 @dataclass(frozen=True)

@@ -70,7 +70,6 @@ class Params:
 
     # physical layout
     hot_group_rows: int = 1_000_000
-    broadcast_rows: int = 1_000_000
     buckets: int | None = None
 
     # The expected sign of each driver, for the recovery check

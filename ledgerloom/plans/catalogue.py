@@ -283,7 +283,7 @@ QUERIES: dict[str, Query] = {
     "issuer_month_heatmap": lambda w: reports.issuer_heatmap(w["bank_month_sr"]),
     "failure_reason_mix_for_issuer": lambda w: reports.reason_mix_of(w["failure_reason_mix"], w.worst_issuer),
     "sr_sliced": lambda w: issuers.sliced_success_rate(
-        w["transactions"], w["merchants"], city_tier="tier_3", category="BUILDING"),
+        w["issuer_month"], w["merchants"], city_tier="tier_3", category="BUILDING"),
     "export_headlines": lambda w: reports.headline_metrics(w["network_health_monthly"], w.params.low_sr),
 
     "check_flow_identity": lambda w: checks.flow_identity(w["network_health_monthly"]),

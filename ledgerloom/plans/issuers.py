@@ -101,20 +101,19 @@ def merchant_bank_exposure(bank_months: DataFrame, early: Sequence[dt.date]) ->
     return counts.withColumn("exposure_share", ratio(F.col("attempts_pre"), total, 6))
 
 
-def sliced_success_rate(transactions: DataFrame, merchants: DataFrame, issuer: str | None = None,
+def sliced_success_rate(issuer_months: DataFrame, merchants: DataFrame, issuer: str | None = None,
                         city_tier: str | None = None, category: str | None = None) -> DataFrame:
-    """Monthly success rate of a slice; a filter left out keeps everything."""
-    rows = transactions.select("merchant_id", "txn_month", "status", "issuer_bank")
+    """Monthly success rate of a slice; a filter left out keeps everything. Reads the rollup, not the attempts."""
+    rows = issuer_months.select("merchant_id", "month", "attempted_txns", "successful_txns", "issuer_bank")
     if issuer is not None:
         rows = rows.filter(F.col("issuer_bank") == issuer)
-    if city_tier is not None or category is not None:
+    wanted = {"city_tier": city_tier, "category": category}
+    if any(v is not None for v in wanted.values()):
         chosen = merchants
-        if city_tier is not None:
-            chosen = chosen.filter(F.col("city_tier") == city_tier)
-        if category is not None:
-            chosen = chosen.filter(F.col("category") == category)
+        for name, value in wanted.items():
+            if value is not None:
+                chosen = chosen.filter(F.col(name) == value)
         rows = rows.join(chosen.select("merchant_id"), "merchant_id", "left_semi")
-    tried, ok = F.count("*"), F.count_if(F.col("status") == "SUCCESS")
-    return rows.groupBy(F.col("txn_month").alias("month")).agg(
-        tried.alias("attempted_txns"), ok.alias("successful_txns"),
-        ratio(ok, tried, 6).alias("success_rate"))
+    tried, ok = F.sum("attempted_txns"), F.sum("successful_txns")
+    return rows.groupBy("month").agg(
+        tried.alias("attempted_txns"), ok.alias("successful_txns"), ratio(ok, tried, 6).alias("success_rate"))

@@ -1,6 +1,7 @@
 """Pre-aggregated grains every mart reads instead of raw attempts.
 
-Raw attempts are read once here. The grouping is combined on the map side, so
+Raw attempts are grouped here, and read again only for what the grouping loses:
+single amounts and failure reasons. The grouping is combined on the map side, so
 a merchant with a third of all attempts leaves each task as a handful of rows.
 """
 
@@ -47,9 +48,8 @@ def ticket_medians(transactions: DataFrame, issuer_months: DataFrame, staging: S
     """Exact median successful amount per merchant-month, half-up to paise.
 
     A merchant-month up to `hot_group_rows` successes is ordered inside one
-    task. Larger ones are few (all rows / hot_group_rows at most, counted before
-    they are broadcast) and go through the spread quantile, which never puts a
-    group in one task.
+    task, equal amounts as one row. Larger ones go through the spread quantile,
+    which never puts a group in one task. Both give the same values.
     """
     keys = ["merchant_id", "month"]
     amounts = transactions.filter(F.col("status") == "SUCCESS").select(
@@ -59,20 +59,22 @@ def ticket_medians(transactions: DataFrame, issuer_months: DataFrame, staging: S
            .filter(F.col("n") > params.hot_group_rows).select(*keys))
     n_hot = hot.count()
     if not n_hot:
-        return _middle_of_sorted(amounts)
-    listed = F.broadcast(hot) if n_hot <= params.broadcast_rows else hot
-    small = _middle_of_sorted(amounts.join(listed, keys, "left_anti"))
-    large = spread_quantiles(amounts.join(listed, keys, "left_semi"), staging, keys, "paise", {"m": 0.5})
+        return _middle_of_counts(amounts)
+    small = _middle_of_counts(amounts.join(hot, keys, "left_anti"))
+    large = spread_quantiles(amounts.join(hot, keys, "left_semi"), staging, keys, "paise", {"m": 0.5})
     return small.unionByName(large.select(*keys, rupees(F.floor(F.col("m") + 0.5)).alias("median_ticket_inr")))
 
 
-def _middle_of_sorted(amounts: DataFrame) -> DataFrame:
-    """Middle one or two amounts by sorting each group once after its shuffle."""
+def _middle_of_counts(amounts: DataFrame) -> DataFrame:
+    """Middle one or two amounts: equal amounts are counted before the shuffle, then each group's counts are added up in order."""
     group = Window.partitionBy("merchant_id", "month")
-    placed = amounts.select(
-        "*", F.row_number().over(group.orderBy("paise")).alias("rn"), F.count("*").over(group).alias("n"))
-    twice = F.col("rn") * 2
-    middle = placed.filter(twice.between(F.col("n"), F.col("n") + 2))
+    counts = amounts.groupBy("merchant_id", "month", "paise").agg(F.count("*").alias("k"))
+    placed = counts.select(
+        "*", F.sum("k").over(group.orderBy("paise").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
+        F.sum("k").over(group).alias("n"))
+    two = F.lit(2).cast("bigint")
+    first, second = F.call_function("div", F.col("n") + 1, two), F.call_function("div", F.col("n"), two) + 1
+    middle = placed.filter((F.col("upto") >= first) & (F.col("upto") - F.col("k") < second))
     both = F.min("paise") + F.max("paise")
     return middle.groupBy("merchant_id", "month").agg(
-        rupees(F.call_function("div", both + 1, F.lit(2).cast("bigint"))).alias("median_ticket_inr"))
+        rupees(F.call_function("div", both + 1, two)).alias("median_ticket_inr"))

@@ -80,7 +80,8 @@ def test_hot_merchant_month_takes_the_spread_path(spark, staging):
 
     def medians(limit):
         return {tuple(r) for r in ticket_medians(tx, months, staging, Params(hot_group_rows=limit)).collect()}
-    assert medians(1_000_000) == medians(3)
+    # Which path a group takes changes nothing: the hot group lies above, at and below these limits.
+    assert medians(1_000_000) == medians(3) == medians(300) == medians(301) == medians(302)
     assert len(medians(3)) == 33   # eight of the forty never succeed
 
 
