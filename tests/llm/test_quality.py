@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -18,14 +19,13 @@ def test_pairs_by_squares_equal_pairs_by_sum():
     assert np.isclose(m.margins(ids, values, np.array([0, 12]))[0][0], want)
 
 
-def test_gradient_is_that_of_the_loss():
-    rng = np.random.default_rng(1)
+def test_learns_to_tell_two_kinds_apart():
     texts = [b"good words in a row here", b"!!! $$$ BAD ### BAD", b"fine text again with words", b"$$$ &&& ### !!!"]
     m = FactorisationMachine(FMParams(buckets=64, epochs=200, batch=4))
     rows = m.rows(texts, np.full((4, 1), 10.0))
     m.fit(*rows, np.array([1.0, 0.0, 1.0, 0.0]))
     s = m.score(texts, np.full((4, 1), 10.0))
-    assert s[[0, 2]].min() > 0.9 and s[[1, 3]].max() < 0.1 and rng is not None
+    assert s[[0, 2]].min() > 0.9 and s[[1, 3]].max() < 0.1
 
 
 def test_held_out_accuracy(spark):
@@ -56,10 +56,8 @@ def test_counts_against_plain_loops(odd_rows):
         text = b"\n".join(b" ".join(words[i:i + 7]) for i in range(0, len(words), 7)).decode()
         p, w = profile(text.encode()), text.encode().split()
         grams = [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
-        twice = {g for g in grams if grams.count(g) > 1} if len(grams) < 300 else {g for i, g in enumerate(grams) if g in set(grams[:i])} if len(grams) < 800 else None
-        if twice is not None:
-            cover = {i + k for i, g in enumerate(grams) if g in twice for k in range(5)}
-            assert p["n_repeat_words"] == len(cover)
+        times = Counter(grams)
+        assert p["n_repeat_words"] == len({i + k for i, g in enumerate(grams) if times[g] > 1 for k in range(5)})
         assert p["word_chars"] == sum(len(x.decode()) for x in w)
         assert p["n_symbols"] == sum(text.count(c) for c in "#*$%&|<>")
         lines = [x for x in text.split("\n") if x.split()]
