@@ -98,6 +98,19 @@ def test_merchant_marts_are_grouped_without_a_shuffle(spark):
     assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
+def test_feature_joins_shuffle_only_the_merchant_dimension(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    w = Warehouse(spark, orderbook.bind(spark, FOLDER))
+    w["merchant_features_base"]
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = MARTS["merchant_features_base"].make(w)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning(merchant_id" in x]
+    assert "SortMergeJoin" in plan and len(moved) <= 1
+
+
 def test_release_deletes_only_the_run(spark):
     a, b = Staging(spark, 2), Staging(spark, 2)
     kept = a.write(spark.range(5), "kept", "id")
