@@ -99,6 +99,10 @@ def test_every_stretch_has_its_window(values, least):
             assert ((l <= a) & (r >= b) & (sig == g[a:b + 1].min())).any()
 
 
+def test_recall_at_the_least_similarity():
+    assert cw.WindowParams().recall >= 0.99
+
+
 def test_passages(spark):
     shared = prose(50, 60)
     edited = shared.split()
