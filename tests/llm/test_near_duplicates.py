@@ -124,6 +124,59 @@ def test_passages(spark):
         assert len(a & b) / len(a | b) >= 0.8 and abs(len(a & b) / len(a | b) - r.similarity) < 1e-9
 
 
+def crowd() -> list[str]:
+    """Passages whose halves many strangers hold, a passage in 36 texts with edits, and a chain of ever more edits."""
+    hot = prose(200, 56).split()
+    texts = [" ".join([prose(1000 + i, 60), *(hot[:28] if i % 2 else hot[28:]), prose(2000 + i, 60)]) for i in range(240)]
+    texts += [" ".join([prose(3000 + i, 30), *hot, prose(3100 + i, 30)]) for i in range(4)]
+    often = prose(201, 90).split()
+    for i in range(36):
+        now = list(often)
+        for k in range(i % 3):
+            now[(7 * i + 31 * k) % 90] = f"edit{i}x{k}"
+        texts.append(" ".join([prose(4000 + i, 25), *now, prose(4100 + i, 25)]))
+    chain = prose(202, 120).split()
+    for i in range(6):
+        texts.append(" ".join([prose(5000 + i, 25), *chain, prose(5100 + i, 25)]))
+        chain = list(chain)
+        chain[10 + 20 * i % 120], chain[15 + 20 * i % 120] = f"drift{i}", f"drift{i}y"
+    return texts
+
+
+def brute_force(texts: list[str]) -> tuple[list[int], list[set[int]]]:
+    """Class of every text and the texts it is linked to, from all pairs."""
+    p = cw.WindowParams()
+    every = [cw.Text(t.encode(), p) for t in texts]
+    links: list[set[int]] = [set() for _ in texts]
+    for i, x in enumerate(every):
+        for j in range(i):
+            y = every[j]
+            if cw.verify(x, y, {"al": 0, "ar": len(x.h), "bl": 0, "br": len(y.h)}, p):
+                links[i].add(j)
+                links[j].add(i)
+    label = [-1] * len(texts)
+    for i in range(len(texts)):
+        todo = [i] if label[i] < 0 else []
+        while todo:
+            k = todo.pop()
+            if label[k] < 0:
+                label[k] = i
+                todo += links[k]
+    return label, links
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(crowd())], SCHEMA)
+    return {r.doc_id: r for r in cw.classes(docs).collect()}
+
+
+def test_passages_among_strangers_equal_brute_force(crowded):
+    label, _ = brute_force(crowd())
+    assert label[240:244] == [240] * 4 and len(set(label[244:280])) == len(set(label[280:286])) == 1
+    assert [crowded[i].class_id for i in range(len(label))] == label
+
+
 def test_every_shared_50_word_string_is_in_one_class(spark, documents, folder):
     got = {r.doc_id: r.class_id for r in queries.op6_compact_windows(spark, folder).collect()}
     seen: dict = {}
