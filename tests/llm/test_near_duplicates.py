@@ -177,6 +177,21 @@ def test_passages_among_strangers_equal_brute_force(crowded):
     assert [crowded[i].class_id for i in range(len(label))] == label
 
 
+def test_link_counts_equal_brute_force(crowded):
+    # Every text here has one passage, so those linked to it, directly or through others, have it too.
+    label, links = brute_force(crowd())
+    assert [crowded[i].n_links for i in range(len(label))] == [label.count(c) - 1 for c in label]
+    assert [crowded[i].n_passages for i in range(len(label))] == [int(label.count(c) > 1) for c in label]
+    assert 285 not in links[280] and crowded[280].n_links == 5
+    assert all(crowded[i].repeated_words >= 50 for i in range(244, 280))
+
+
+def test_links_through_several_passages(spark):
+    known = spark.createDataFrame([(1, 0, 60, 7), (2, 0, 60, 7), (2, 80, 150, 8), (3, 0, 70, 8), (4, 0, 70, 8), (4, 90, 150, 7)],
+                                  "t long, f int, u int, passage long")
+    assert {r.t: r.n_links for r in cw.link_counts(known).collect()} == {1: 2, 2: 3, 3: 2, 4: 3}
+
+
 def test_every_shared_50_word_string_is_in_one_class(spark, documents, folder):
     got = {r.doc_id: r.class_id for r in queries.op6_compact_windows(spark, folder).collect()}
     seen: dict = {}
