@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import best_fit, compact_windows, line_runs, order_minhash, prefix_tree, quality_fm, raking, rules_forest, simhash_gph, suffix_dedup
+from ledgerloom.llm import best_fit, compact_windows, line_runs, order_minhash, periodic_runs, prefix_tree, quality_fm, raking, rules_forest, simhash_gph, suffix_dedup, zone_negatives
 from ledgerloom.llm.frames import stage
 
 
@@ -106,6 +106,17 @@ def op10_raking(spark: SparkSession, folder: str) -> DataFrame:
                         F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
 
 
+def op11_zone_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every anchor's positives. Every seventh row has the next label, as the contract asks."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return zone_negatives.hard_negatives(table(spark, folder, "embeddings"), label=label)
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of every document, a tenth of which is made periodic, and the text with its runs collapsed."""
+    return periodic_runs.periodic_runs(table(spark, folder, "documents"), change=periodic_runs.broken)
+
+
 TOPIC_SQL = """CASE WHEN coalesce(length(text), 0) < 400 THEN 'brief' WHEN contains(text, ' | ') THEN 'table'
   WHEN length(text) < 4000 THEN 'article' ELSE 'long read' END"""
 
@@ -121,6 +132,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_runs": op9_line_runs,
     "op10_raking": op10_raking,
+    "op11_zone_negatives": op11_zone_negatives,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {
