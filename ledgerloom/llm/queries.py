@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import best_fit, compact_windows, line_runs, order_minhash, periodic_runs, prefix_tree, quality_fm, raking, rules_forest, simhash_gph, suffix_dedup, zone_negatives
+from ledgerloom.llm import best_fit, compact_windows, line_runs, order_minhash, parity_join, periodic_runs, prefix_tree, quality_fm, raking, rules_forest, simhash_gph, suffix_dedup, zone_negatives
 from ledgerloom.llm.frames import stage
 
 
@@ -112,6 +112,11 @@ def op11_zone_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return zone_negatives.hard_negatives(table(spark, folder, "embeddings"), label=label)
 
 
+def op12_parity_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under links of 80 per cent of its five-word shingles."""
+    return parity_join.jaccard_components(table(spark, folder, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of every document, a tenth of which is made periodic, and the text with its runs collapsed."""
     return periodic_runs.periodic_runs(table(spark, folder, "documents"), change=periodic_runs.broken)
@@ -133,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_runs": op9_line_runs,
     "op10_raking": op10_raking,
     "op11_zone_negatives": op11_zone_negatives,
+    "op12_parity_join": op12_parity_join,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
