@@ -108,7 +108,7 @@ def layouts(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np
     down = (low > 1) & (a <= (low - 1) * 100 // percent)
     below = (at[down], 2 * band[down] - 1, apart(low[down] - 1, (low[down] - 1) * 100 // percent), apart(a[down], low[down] - 1))
     s, layout, differ, most = (np.concatenate(x) for x in zip(own, above, below))
-    return s, layout, np.maximum(differ * 3 // 2, 64) + 1, most
+    return s, layout, np.maximum(differ * 5 // 4, 64) + 1, most
 
 
 def parts(h: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
@@ -143,7 +143,7 @@ def lookup(h: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray,
     new = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (layout[1:] != layout[:-1])]))
     of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(s))))
     order = np.lexsort((key, -held, of))
-    chosen = order[np.arange(len(of)) - new[of] <= most[of]]
+    chosen = order[np.arange(len(of)) - new[of] <= most]
     return s[chosen], key[chosen]
 
 
@@ -230,8 +230,9 @@ def rare_parts(bodies: DataFrame, params: JaccardParams) -> DataFrame:
 
     rows = stage(bodies.select("num", "body").mapInArrow(run, "part long, num long, layout int, most int"), "all_parts")
     held = rows.groupBy("part").agg(F.count("*").alias("held"))
-    place = F.row_number().over(Window.partitionBy("num", "layout").orderBy("held", "part"))
-    return rows.join(held, "part").withColumn("place", place).filter((F.col("place") <= F.col("most") + 1) & (F.col("held") > 1)).select("part", "num")
+    # A set that is there twice, from repeated rows, has every part twice: both have one rank.
+    place = F.dense_rank().over(Window.partitionBy("num", "layout").orderBy("held", "part"))
+    return rows.join(held, "part").withColumn("place", place).filter((F.col("place") <= F.col("most") + 1) & (F.col("held") > 1)).select("part", "num").distinct()
 
 
 def close(pairs: DataFrame, bodies: DataFrame, params: JaccardParams) -> DataFrame:
@@ -254,42 +255,37 @@ def close(pairs: DataFrame, bodies: DataFrame, params: JaccardParams) -> DataFra
 
 
 def unsettled(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """(part, num, label) of the parts that hold sets of several components."""
-    named = rows.join(label.select(F.col("id").alias("num"), "label"), "num", "left").withColumn("label", F.coalesce("label", "num"))
+    """(part, num, label) of the rows in parts that hold sets of several components."""
+    named = rows.select("part", "num").join(label.select(F.col("id").alias("num"), "label"), "num", "left").withColumn("label", F.coalesce("label", "num"))
     several = named.groupBy("part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("part")
     return stage(named.join(several, "part"), "unsettled")
 
 
 def starred(rows: DataFrame) -> DataFrame:
-    """Pairs of every set with the smallest one of each of its parts."""
-    low = rows.groupBy("part").agg(F.min("num").alias("b"))
-    return rows.join(low, "part").filter("num <> b").select(F.col("num").alias("a"), "b").distinct()
+    """(part, num, low): the rows without the smallest set of each part, beside it."""
+    low = rows.groupBy("part").agg(F.min("num").alias("low"))
+    return stage(rows.join(low, "part").filter("num <> low"), "starred")
 
 
 def linked(rows: DataFrame, bodies: DataFrame, params: JaccardParams) -> DataFrame:
-    """Edges (a, b) that connect whatever links of sets with a part in common connect."""
-    edges = close(starred(rows), bodies, params)
-    label = components(edges)
-    left = unsettled(rows, label)
+    """Edges (a, b) that connect what links between sets with a part in common connect."""
+    def met(pairs: DataFrame) -> DataFrame:
+        return close(pairs.select(F.col("num").alias("a"), F.col("low").alias("b")).distinct(), bodies, params)
+
+    # A set that all others of its part were compared with has done its work there.
+    rest = starred(rows)
+    edges = met(rest)
+    left = unsettled(rest, components(edges))
     if left.isEmpty():
         return edges
-    rows = stage(rare_parts(bodies.join(left.select("num").distinct(), "num", "left_semi"), params), "rare_parts")
-    edges = stage(edges.union(close(starred(rows), bodies, params)), "links")
-    label = components(edges)
-    left = unsettled(rows, label)
-    done, step = 1, 4
+    rest = starred(stage(rare_parts(bodies.join(left.select("num").distinct(), "num", "left_semi"), params), "rare_parts"))
+    edges = stage(edges.union(met(rest)), "links")
+    left, step = unsettled(rest, components(edges)), 4
     while not left.isEmpty():
-        at = F.row_number().over(Window.partitionBy("part").orderBy("num"))
-        placed = stage(left.withColumn("at", at), "placed")
-        if placed.agg(F.max("at")).first()[0] <= done:
-            break
-        pivots = placed.filter((F.col("at") > done) & (F.col("at") <= done + step)).select("part", F.col("num").alias("b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"))
-        pairs = placed.join(pivots, "part").filter((F.col("at") > F.col("at_b")) & (F.col("label") != F.col("label_b"))).select(F.col("num").alias("a"), "b").distinct()
-        edges = stage(edges.union(close(pairs, bodies, params)), "links")
-        label = components(edges)
-        # Places within a part stay as they are, for it keeps all its sets until it is settled.
-        left = unsettled(rows, label)
-        done, step = done + step, 4 * step
+        placed = stage(left.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("num"))), "placed")
+        low = placed.filter(F.col("at") <= step).select("part", F.col("num").alias("low"), F.col("at").alias("low_at"), F.col("label").alias("low_label"))
+        edges = stage(edges.union(met(placed.join(low, "part").filter("at > low_at AND label <> low_label"))), "links")
+        left, step = unsettled(placed.filter(F.col("at") > step), components(edges)), 4 * step
     return edges
 
 
@@ -329,7 +325,7 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams(),
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("num"), b.column("n"), b.column("sketch"), lists], names=["num", "n", "sketch", "body"])
 
-    bodies = stage(met.mapInArrow(whole_sets, "num long, n long, sketch binary, body array<long>").dropDuplicates(["num"]), "whole_sets")
+    bodies = stage(met.mapInArrow(whole_sets, "num long, n long, sketch binary, body array<long>"), "whole_sets")
     label = components(linked(members, bodies, params)).select(F.col("id").alias("num"), "label")
     named = sets.select("num", "k1", "k2", "first").join(label, "num", "left").withColumn("label", F.coalesce("label", "num"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
