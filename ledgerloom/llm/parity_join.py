@@ -14,8 +14,9 @@ link when 100 * |A and B| >= percent * |A or B|. Links of 80 per cent mean a sym
    set is compared with the smallest of its part, and linked sets get one component. A part whose sets are all in one
    component is settled. The sets of the others are met again: now all parts of a sketch are put in order of how many
    of these sets have them, rare ones first, so that what a shared passage makes alike comes last. Where a part still has
-   several components after another round, every set is compared with the next 4, 16, 64, ... sets of other
-   components there, until all are settled or compared.
+   several components after another round, its sets are dealt into blocks of bounded size, and sketches are compared block
+   by block: first the closest pair of a set and a block, then, between components that are still apart, all pairs that
+   can link.
 4. Verification. A packed one-bit sketch of either set gives a Hamming distance, which bounds the symmetric difference from below.
    Pairs that pass are counted on their whole sets of hashes.
 
@@ -51,6 +52,8 @@ MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 class JaccardParams:
     width: int = 5
     percent: int = 80
+    # Sets of a block in which parts that are still open are compared.
+    block: int = 128
     # Short names that may clash, before the join is refused: some n^2 / 2^65 of n sets do.
     clashes: int = 100_000
 
@@ -267,6 +270,53 @@ def starred(rows: DataFrame) -> DataFrame:
     return stage(rows.join(low, "part").filter("num <> low"), "starred")
 
 
+def in_blocks(left: DataFrame, bodies: DataFrame, params: JaccardParams, nearest: bool) -> DataFrame:
+    """Pairs (num, low) of sets of one part and different components whose sketches are close enough to link.
+
+    A part's sets are dealt into blocks of bounded size by hash. Rows are pairs of blocks, and only pairs of sets that pass come
+    out; with `nearest`, of those a set has in a block only the closest one.
+    """
+    size, share, rest = params.block, params.percent, 100 - params.percent
+    counts = left.groupBy("part").agg(F.ceil(F.count("*") / size).cast("int").alias("n_blocks"))
+    dealt = left.join(counts, "part").withColumn("block", F.pmod(F.xxhash64("num", "part"), F.col("n_blocks")).cast("int"))
+    item = F.struct("num", "label", "n", "sketch")
+    blocks = stage(dealt.join(bodies.select("num", "n", "sketch"), "num").groupBy("part", "block", "n_blocks").agg(F.collect_list(item).alias("items")), "blocks")
+    first = blocks.select("part", F.col("block").alias("own"), F.col("items").alias("x"), F.explode(F.sequence("block", F.col("n_blocks") - 1)).alias("block"))
+    met = first.join(blocks.select("part", "block", F.col("items").alias("y")), ["part", "block"]).select((F.col("own") == F.col("block")).alias("same"), "x", "y")
+
+    def packed(items: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        num, label, n = (np.array([i[c] for i in items], np.int64) for c in ("num", "label", "n"))
+        return num, label, n, min(len(i["sketch"]) for i in items)
+
+    def folded(items: list[dict], width: int) -> np.ndarray:
+        return np.stack([np.bitwise_xor.reduce(np.frombuffer(i["sketch"], "<u8").reshape(-1, width // 8), axis=0) for i in items])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 64):
+                out = []
+                for r in whole.slice(k, 64).to_pylist():
+                    (a, la, na, wa), (b, lb, nb, wb) = packed(r["x"]), packed(r["y"])
+                    if r["same"] and (la == la[0]).all():
+                        continue
+                    u, v = (folded(z, min(wa, wb)) for z in (r["x"], r["y"]))
+                    apart = np.zeros((len(a), len(b)), np.int64)
+                    for w in range(u.shape[1]):
+                        apart += np.bitwise_count(u[:, w, None] ^ v[None, :, w])
+                    ok = (la[:, None] != lb) & (apart * (100 + share) <= (na[:, None] + nb) * rest)
+                    if r["same"]:
+                        ok &= a[:, None] > b
+                    at, to = np.nonzero(ok)
+                    if nearest and len(at):
+                        at = np.flatnonzero(ok.any(axis=1))
+                        to = np.where(ok, apart / (na[:, None] + nb), np.inf)[at].argmin(axis=1)
+                    out.append((a[at], b[to]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["num", "low"])
+
+    return met.mapInArrow(run, "num long, low long")
+
+
 def linked(rows: DataFrame, bodies: DataFrame, params: JaccardParams) -> DataFrame:
     """Edges (a, b) that connect what links between sets with a part in common connect."""
     def met(pairs: DataFrame) -> DataFrame:
@@ -280,12 +330,12 @@ def linked(rows: DataFrame, bodies: DataFrame, params: JaccardParams) -> DataFra
         return edges
     rest = starred(stage(rare_parts(bodies.join(left.select("num").distinct(), "num", "left_semi"), params), "rare_parts"))
     edges = stage(edges.union(met(rest)), "links")
-    left, step = unsettled(rest, components(edges)), 4
-    while not left.isEmpty():
-        placed = stage(left.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("num"))), "placed")
-        low = placed.filter(F.col("at") <= step).select("part", F.col("num").alias("low"), F.col("at").alias("low_at"), F.col("label").alias("low_label"))
-        edges = stage(edges.union(met(placed.join(low, "part").filter("at > low_at AND label <> low_label"))), "links")
-        left, step = unsettled(placed.filter(F.col("at") > step), components(edges)), 4 * step
+    for nearest in (True, False):
+        left = unsettled(rest, components(edges))
+        if left.isEmpty():
+            return edges
+        rest = left
+        edges = stage(edges.union(met(in_blocks(left, bodies, params, nearest))), "links")
     return edges
 
 
