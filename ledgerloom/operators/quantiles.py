@@ -25,8 +25,8 @@ def bounded_quantile(value: Column, q: float, weight: Column | None = None) -> C
 
 
 def spread_quantiles(df: DataFrame, staging: Staging, groups: Sequence[str], value: str,
-                     quantiles: Mapping[str, float], partitions: int | None = None) -> DataFrame:
-    """Exact quantiles of groups of any size and any number of distinct values.
+                     quantiles: Mapping[str, float], partitions: int | None = None, weight: str | None = None) -> DataFrame:
+    """Exact quantiles of groups of any size and any number of distinct values; `weight` names a column of row counts.
 
     Equal values are counted first, so a value held by a third of all rows is
     one row; the counted values are range partitioned and only the one or two
@@ -34,7 +34,7 @@ def spread_quantiles(df: DataFrame, staging: Staging, groups: Sequence[str], val
     """
     groups = list(groups)
     counted = (df.filter(F.col(value).isNotNull())
-               .groupBy(*groups, value).agg(F.count("*").alias("_n")))
+               .groupBy(*groups, value).agg((F.sum(weight) if weight else F.count("*")).alias("_n")))
     ranked = running_totals(counted, staging, groups, [F.col(value).asc()], {"cum": F.col("_n")}, partitions)
     v = F.col(value).cast("double")
     first = F.col("cum") - F.col("_n")          # zero-based position of the first copy

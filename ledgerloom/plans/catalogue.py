@@ -29,7 +29,7 @@ def warehouse(spark: SparkSession, folder: str) -> Warehouse:
     """One warehouse per application and folder: marts are built once and shared."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _open:
-        _open[key] = Warehouse(spark, orderbook.bind(spark, folder), ORDERBOOK)
+        _open[key] = Warehouse(spark, lambda staging: orderbook.bind(spark, folder, staging), ORDERBOOK)
         _open[key].folder = folder
     return _open[key]
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.calendar import month_of
 from ledgerloom.functions.exact import double_or_null, fine_mean, paise, ratio, rupees, sum_rupees
 
 
@@ -84,10 +85,11 @@ def degraded_issuer(ranking: DataFrame) -> DataFrame:
     return ranking.agg(F.min_by("issuer_bank", order).alias("issuer_bank"))
 
 
-def failure_reason_mix(transactions: DataFrame) -> DataFrame:
-    counts = transactions.filter(F.col("status") == "FAILED").groupBy(
-        F.col("txn_month").alias("month"), "issuer_bank", "failure_reason").agg(
-        F.count("*").alias("failures"))
+def failure_reason_mix(attempts: DataFrame) -> DataFrame:
+    """Failures by issuer, month and reason, from counts of equal attempts."""
+    counts = attempts.filter(F.col("status") == "FAILED").groupBy(
+        month_of(F.col("txn_date")).alias("month"), "issuer_bank", "failure_reason").agg(
+        F.sum("attempts").alias("failures"))
     cell = Window.partitionBy("month", "issuer_bank")
     return counts.withColumn(
         "reason_share", ratio(F.col("failures"), F.sum("failures").over(cell), 6))

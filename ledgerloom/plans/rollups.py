@@ -1,8 +1,8 @@
 """Pre-aggregated grains every mart reads instead of raw attempts.
 
-Raw attempts are grouped here, and read again only for what the grouping loses:
-single amounts and failure reasons. The grouping is combined on the map side, so
-a merchant with a third of all attempts leaves each task as a handful of rows.
+Raw attempts are read once, into counts of equal attempts: a histogram of amounts and failure reasons in rows, which any
+coarser grain adds up. Counting is combined on the map side and dealt by all its columns, so neither a merchant with a third of all
+attempts nor an amount or a reason that most attempts share gathers in one task. No list or map grows with a merchant.
 """
 
 from __future__ import annotations
@@ -11,21 +11,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.calendar import day_bit, month_of
-from ledgerloom.functions.exact import paise, rupees, tally
+from ledgerloom.functions.exact import paise, rupees
 from ledgerloom.operators.quantiles import spread_quantiles
 from ledgerloom.params import Params
 from ledgerloom.sources.staging import Staging
 
 
-def issuer_day(transactions: DataFrame) -> DataFrame:
+def attempt_counts(transactions: DataFrame) -> DataFrame:
+    """Merchant x issuer x day x status x reason x amount: the number of equal attempts. Counts of two inputs add up to those of both."""
+    return transactions.groupBy(
+        "merchant_id", "issuer_bank", "txn_date", "status", "failure_reason", paise(F.col("amount_inr")).alias("paise")).agg(
+        F.count("*").alias("attempts"))
+
+
+def issuer_day(counts: DataFrame) -> DataFrame:
     """Merchant x issuer x day: attempts, successes and both values."""
-    ok = F.col("status") == "SUCCESS"
-    return transactions.groupBy("merchant_id", "issuer_bank", "txn_date").agg(
-        F.count("*").alias("attempted_txns"),
-        tally(ok).alias("successful_txns"),
-        tally(F.col("status") == "FAILED").alias("failed_txns"),
-        F.sum(F.when(ok, paise(F.col("amount_inr")))).alias("tpv_paise"),
-        F.sum(paise(F.col("amount_inr"))).alias("attempted_paise"),
+    ok, n = F.col("status") == "SUCCESS", F.col("attempts")
+    none = F.lit(0).cast("bigint")
+    return counts.groupBy("merchant_id", "issuer_bank", "txn_date").agg(
+        F.sum(n).alias("attempted_txns"),
+        F.sum(F.when(ok, n).otherwise(none)).alias("successful_txns"),
+        F.sum(F.when(F.col("status") == "FAILED", n).otherwise(none)).alias("failed_txns"),
+        F.sum(F.when(ok, F.col("paise") * n)).alias("tpv_paise"),
+        F.sum(F.col("paise") * n).alias("attempted_paise"),
     )
 
 
@@ -43,7 +51,7 @@ def issuer_month(days: DataFrame) -> DataFrame:
     )
 
 
-def ticket_medians(transactions: DataFrame, issuer_months: DataFrame, staging: Staging,
+def ticket_medians(counts: DataFrame, issuer_months: DataFrame, staging: Staging,
                    params: Params) -> DataFrame:
     """Exact median successful amount per merchant-month, half-up to paise.
 
@@ -52,23 +60,22 @@ def ticket_medians(transactions: DataFrame, issuer_months: DataFrame, staging: S
     which never puts a group in one task. Both give the same values.
     """
     keys = ["merchant_id", "month"]
-    amounts = transactions.filter(F.col("status") == "SUCCESS").select(
-        "merchant_id", F.col("txn_month").alias("month"),
-        paise(F.col("amount_inr")).alias("paise"))
+    amounts = counts.filter((F.col("status") == "SUCCESS") & F.col("paise").isNotNull()).select(
+        "merchant_id", month_of(F.col("txn_date")).alias("month"), "paise", "attempts")
     hot = (issuer_months.groupBy(*keys).agg(F.sum("successful_txns").alias("n"))
            .filter(F.col("n") > params.hot_group_rows).select(*keys))
     n_hot = hot.count()
     if not n_hot:
         return _middle_of_counts(amounts)
     small = _middle_of_counts(amounts.join(hot, keys, "left_anti"))
-    large = spread_quantiles(amounts.join(hot, keys, "left_semi"), staging, keys, "paise", {"m": 0.5})
+    large = spread_quantiles(amounts.join(hot, keys, "left_semi"), staging, keys, "paise", {"m": 0.5}, weight="attempts")
     return small.unionByName(large.select(*keys, rupees(F.floor(F.col("m") + 0.5)).alias("median_ticket_inr")))
 
 
 def _middle_of_counts(amounts: DataFrame) -> DataFrame:
-    """Middle one or two amounts: equal amounts are counted before the shuffle, then each group's counts are added up in order."""
+    """Middle one or two amounts: equal amounts are added up before the shuffle, then each group's counts in order."""
     group = Window.partitionBy("merchant_id", "month")
-    counts = amounts.groupBy("merchant_id", "month", "paise").agg(F.count("*").alias("k"))
+    counts = amounts.groupBy("merchant_id", "month", "paise").agg(F.sum("attempts").alias("k"))
     placed = counts.select(
         "*", F.sum("k").over(group.orderBy("paise").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
         F.sum("k").over(group).alias("n"))

@@ -32,16 +32,21 @@ class Mart:
 class Warehouse:
     """Builds marts on first use and keeps them for the life of the object."""
 
-    def __init__(self, spark: SparkSession, sources: Sources, params: Params | None = None,
+    def __init__(self, spark: SparkSession, sources: Sources | Callable[[Staging], Sources], params: Params | None = None,
                  root: str | None = None):
+        """`sources` may be made on first use, with the staging of this warehouse for what several of them share."""
         self.spark = spark
-        self.sources = sources
+        self._sources = sources
         self.params = params or Params()
         self.staging = Staging(spark, self.params.buckets, root)
         self.folder: str | None = None
         self._built: dict[str, DataFrame] = {}
         self._held: dict[str, object] = {}
 
+    @cached_property
+    def sources(self) -> Sources:
+        return self._sources if isinstance(self._sources, Sources) else self._sources(self.staging)
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
             mart = MARTS[name]
@@ -120,7 +125,8 @@ MARTS: dict[str, Mart] = {
     "merchants": Mart("schema", lambda w: w.sources.merchants),
     "support_tickets": Mart("schema", lambda w: w.sources.support_tickets),
     "settlements": Mart("schema", lambda w: w.sources.settlements),
-    "issuer_day": Mart("schema", lambda w: rollups.issuer_day(w["transactions"]),
+    "attempt_counts": Mart("schema", lambda w: rollups.attempt_counts(w["transactions"]), stage=True, public=False),
+    "issuer_day": Mart("schema", lambda w: rollups.issuer_day(w["attempt_counts"]),
                        stage=True, key=MERCHANT, public=False),
     "analysis_window": Mart("schema", lambda w: churn.analysis_window(w["issuer_day"])),
 
@@ -129,7 +135,7 @@ MARTS: dict[str, Mart] = {
     "merchant_bank_month": Mart("facts", lambda w: facts.merchant_bank_month(w["issuer_month"])),
     "merchant_month": Mart("facts", lambda w: facts.merchant_month(
         w["issuer_month"],
-        rollups.ticket_medians(w["transactions"], w["issuer_month"], w.staging, w.params),
+        rollups.ticket_medians(w["attempt_counts"], w["issuer_month"], w.staging, w.params),
         w["support_tickets"], w["settlements"]), stage=True, key=MERCHANT),
     "merchant_month_dense": Mart("facts", lambda w: facts.merchant_month_dense(
         w["merchant_month"], w.observed.replace(day=1), w.params.trailing_months),
@@ -154,7 +160,7 @@ MARTS: dict[str, Mart] = {
         w["bank_month_sr"], w.params.baseline_months), stage=True),
     "incident_culprit_ranking": Mart("incident", lambda w: issuers.incident_culprit_ranking(
         w["sr_contribution"])),
-    "failure_reason_mix": Mart("incident", lambda w: issuers.failure_reason_mix(w["transactions"]), stage=True),
+    "failure_reason_mix": Mart("incident", lambda w: issuers.failure_reason_mix(w["attempt_counts"]), stage=True),
     "merchant_bank_exposure": Mart("incident", lambda w: issuers.merchant_bank_exposure(
         w["merchant_bank_month"], w.early_months), stage=True, key=MERCHANT),
 

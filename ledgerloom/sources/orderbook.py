@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.exact import ratio
+from ledgerloom.sources.staging import Staging
 from ledgerloom.sources.tables import Sources, typed_settlements, typed_tickets, typed_transactions
 
 
@@ -25,20 +26,22 @@ def by_remainder(col: Column, base: int, *names: str) -> Column:
     return picked.otherwise(names[-1])
 
 
-def attempts(spark: SparkSession, folder: str) -> DataFrame:
+def order_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The largest join of the order book, with the columns that attempts and settlements need."""
     lines = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_returnflag")
+        "l_orderkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_returnflag", "l_tax")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey", "o_orderkey")
+
+
+def attempts(spark: SparkSession, folder: str, lines: DataFrame) -> DataFrame:
     suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-    # 25 nations is a fixed bound. Suppliers and orders are joined one by one to
-    # the lines, so the optimizer sees each one's own size and never mistakes
-    # the lines for the smaller side.
+    # 25 nations is a fixed bound.
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
     failed = F.col("l_returnflag") == "R"
     return (
         lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.col("o_custkey").alias("merchant_id"),
             F.col("l_shipdate").alias("txn_ts"),
@@ -83,23 +86,24 @@ def tickets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def settlements(spark: SparkSession, folder: str) -> DataFrame:
+def settlements(lines: DataFrame) -> DataFrame:
     tax = F.rint(F.col("l_tax") * 10000).cast("bigint")
-    lines = table(spark, folder, "lineitem").select("l_orderkey", F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("m"), "l_tax")
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(F.col("o_custkey").alias("merchant_id"), "m")
+        lines.groupBy(F.col("o_custkey").alias("merchant_id"), F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("m"))
         .agg(ratio(F.sum(tax), F.count("*") * 100, 3).alias("avg_settlement_delay_days"))
         .select("merchant_id", F.substring(F.col("m").cast("string"), 1, 7).alias("month"),
                 "avg_settlement_delay_days")
     )
 
 
-def bind(spark: SparkSession, folder: str) -> Sources:
+def bind(spark: SparkSession, folder: str, staging: Staging | None = None) -> Sources:
+    """The four sources. With `staging`, lines and orders are joined once and written for both that read them."""
+    lines = order_lines(spark, folder)
+    if staging:
+        lines = staging.write(lines, "order_lines")
     return Sources(
-        transactions=typed_transactions(attempts(spark, folder)),
+        transactions=typed_transactions(attempts(spark, folder, lines)),
         merchants=merchants(spark, folder),
         support_tickets=typed_tickets(tickets(spark, folder)),
-        settlements=typed_settlements(settlements(spark, folder)),
+        settlements=typed_settlements(settlements(lines)),
     )

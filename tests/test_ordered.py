@@ -9,7 +9,7 @@ from ledgerloom.operators.preprocess import hash_sample, stratified_split
 from ledgerloom.operators.quantiles import column_medians, grouped_medians, spread_quantiles
 from ledgerloom.operators.ranking import Tile, assign_tiles, running_totals, with_rank
 from ledgerloom.params import Params
-from ledgerloom.plans.rollups import issuer_day, issuer_month, ticket_medians
+from ledgerloom.plans.rollups import attempt_counts, issuer_day, issuer_month, ticket_medians
 
 
 @pytest.mark.parametrize("n,k", [(1, 5), (3, 5), (10, 10), (103, 10), (997, 7)])
@@ -73,13 +73,13 @@ def test_hot_merchant_month_takes_the_spread_path(spark, staging):
     rows = [("hot", 1 + i % 28, float(i * 13 % 97) / 4 + 1, "SUCCESS") for i in range(301)]
     rows += [(f"m{i % 40}", 1 + i % 28, float(i % 11) + 0.01, "SUCCESS" if i % 5 else "FAILED") for i in range(200)]
     tx = spark.createDataFrame(rows, "merchant_id string, d int, amount_inr double, status string").select(
-        "merchant_id", F.lit("A").alias("issuer_bank"), "amount_inr", "status",
+        "merchant_id", F.lit("A").alias("issuer_bank"), "amount_inr", "status", F.lit(None).cast("string").alias("failure_reason"),
         F.make_date(F.lit(2024), F.lit(3), "d").alias("txn_date"),
         F.expr("DATE '2024-03-01'").alias("txn_month"))
-    months = issuer_month(issuer_day(tx))
+    months = issuer_month(issuer_day(attempt_counts(tx)))
 
     def medians(limit):
-        return {tuple(r) for r in ticket_medians(tx, months, staging, Params(hot_group_rows=limit)).collect()}
+        return {tuple(r) for r in ticket_medians(attempt_counts(tx), months, staging, Params(hot_group_rows=limit)).collect()}
     # Which path a group takes changes nothing: the hot group lies above, at and below these limits.
     assert medians(1_000_000) == medians(3) == medians(300) == medians(301) == medians(302)
     assert len(medians(3)) == 33   # eight of the forty never succeed
@@ -88,9 +88,9 @@ def test_hot_merchant_month_takes_the_spread_path(spark, staging):
 def test_median_of_an_even_group_rounds_half_up(spark, staging):
     tx = spark.createDataFrame([("m", 10.01, "SUCCESS"), ("m", 10.02, "SUCCESS")],
                                "merchant_id string, amount_inr double, status string").select(
-        "*", F.lit("A").alias("issuer_bank"), F.expr("DATE '2024-03-05'").alias("txn_date"),
+        "*", F.lit("A").alias("issuer_bank"), F.lit(None).cast("string").alias("failure_reason"), F.expr("DATE '2024-03-05'").alias("txn_date"),
         F.expr("DATE '2024-03-01'").alias("txn_month"))
-    got = ticket_medians(tx, issuer_month(issuer_day(tx)), staging, Params()).first()
+    got = ticket_medians(attempt_counts(tx), issuer_month(issuer_day(attempt_counts(tx))), staging, Params()).first()
     assert got.median_ticket_inr == 10.02
 
 

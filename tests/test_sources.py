@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import Params, Warehouse
+from ledgerloom.plans import issuers, rollups
 from ledgerloom.functions.display import compact_money, iso_dates, strip_encoder_prefix
 from ledgerloom.functions.exact import ratio
 from ledgerloom.plans.warehouse import MARTS, STEPS
@@ -157,3 +158,17 @@ def test_staging_needs_no_setting():
     class Session:
         conf = Conf()
     assert shared_folder(Session()) == "file:/somewhere"
+
+
+def test_largest_join_runs_once(spark):
+    """What is made of attempts reads their counts, and attempts and settlements read one written join."""
+    w = Warehouse(spark, lambda staging: orderbook.bind(spark, FOLDER, staging), Params(min_baseline_attempts=5))
+    made = [w["attempt_counts"], rollups.issuer_day(w["attempt_counts"]), issuers.failure_reason_mix(w["attempt_counts"]),
+            rollups.ticket_medians(w["attempt_counts"], w["issuer_month"], w.staging, w.params), w["settlements"], w["transactions"]]
+    for df in made:
+        assert "/lineitem.parquet" not in " ".join(df.inputFiles())
+    assert all("attempt_counts" in f for df in made[1:4] for f in df.inputFiles() if "issuer_month" not in f)
+    plain = orderbook.bind(spark, FOLDER)
+    assert any("/lineitem.parquet" in f for f in plain.transactions.inputFiles())
+    assert w["transactions"].exceptAll(plain.transactions).isEmpty() and plain.settlements.exceptAll(w["settlements"]).isEmpty()
+    w.staging.release()
