@@ -93,17 +93,30 @@ def monthly_parts(w: Warehouse) -> DataFrame:
 
 
 def exported(w: Warehouse) -> DataFrame:
-    """Rows of every exported mart as read back from its CSV files."""
+    """Rows and content of every exported mart as read back from its CSV files."""
     places = sinks.export_marts({n: w[n] for n in sinks.EXPORTED}, f"{w.staging.root}/exports")
     counts = None
     for name, path in places.items():
-        back = w.spark.read.option("header", True).schema(
-            ", ".join(f"`{c}` string" for c in w[name].columns)).csv(path)
-        one = back.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("mart"), "n_rows")
+        back = w.spark.read.option("header", True).schema(w[name].schema).csv(path)
+        one = sinks.content_digest(back).select(F.lit(name).alias("mart"), "n_rows", "content")
         counts = one if counts is None else counts.unionByName(one)
     return counts
 
 
+def csv_sample(w: Warehouse, name: str, df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first rows of a table as a CSV file, read back."""
+    path = f"{w.staging.root}/{name}"
+    sinks.write_csv(sinks.head_sample(df, n, *order), path)
+    return w.spark.read.option("header", True).schema(df.schema).csv(path)
+
+
+def known_outcomes(w: Warehouse) -> DataFrame:
+    """A table of known outcomes: accounts overdrawn are closed, nearly empty ones dormant."""
+    return orderbook.table(w.spark, w.folder, "customer").select(
+        F.col("c_custkey").alias("merchant_id"), F.when(F.col("c_acctbal") < 0, 0).otherwise(-1).alias("true_churn_month_index"),
+        F.col("c_acctbal").between(0, 1000).alias("dormant_at_end"))
+
+
 def health_export(w: Warehouse) -> DataFrame:
     path = f"{w.staging.root}/health_csv"
     sinks.write_csv(w["network_health_monthly"].select("month", "active_merchants", "success_rate"), path)
@@ -199,6 +212,7 @@ QUERIES: dict[str, Query] = {
     "bank_month_sr": lambda w: w["bank_month_sr"],
     "sr_baseline": lambda w: issuers.issuer_baseline(w["bank_month_sr"], w.params.baseline_months),
     "sr_contribution": lambda w: w["sr_contribution"],
+    "impact_order": lambda w: issuers.impact_order(w["sr_contribution"]),
     "incident_culprit_ranking": lambda w: w["incident_culprit_ranking"],
     "degraded_issuer": lambda w: w["degraded_issuer"],
     "failure_reason_mix": lambda w: w["failure_reason_mix"],
@@ -214,6 +228,9 @@ QUERIES: dict[str, Query] = {
 
     "asof_status": lambda w: w["asof_status"],
     "rule_score": lambda w: evaluation.rule_score(w["asof_status"]),
+    "lifecycle_status": lambda w: evaluation.lifecycle_status(w["merchant_churn_status"], known_outcomes(w)).select(
+        "merchant_id", "churn_d1_naive", "churn_d2_adaptive", "churn_d3_value_decay", "actual", "dormant"),
+    "rule_score_known": lambda w: evaluation.rule_score(evaluation.lifecycle_status(w["merchant_churn_status"], known_outcomes(w))),
     "fixed_window_sweep": lambda w: w["fixed_window_sweep"],
     "adaptive_sweep": lambda w: w["adaptive_sweep"],
     "best_rules": lambda w: w["best_rules"],
@@ -282,6 +299,7 @@ QUERIES: dict[str, Query] = {
     "growth_vs_m3": lambda w: reports.growth_and_retention(w["network_health_monthly"], w["cohort_m3_retention"]),
     "issuer_month_heatmap": lambda w: reports.issuer_heatmap(w["bank_month_sr"]),
     "failure_reason_mix_for_issuer": lambda w: reports.reason_mix_of(w["failure_reason_mix"], w.worst_issuer),
+    "sr_sliced_issuer": lambda w: issuers.sliced_success_rate(w["issuer_month"], w["merchants"], issuer=w.worst_issuer, city_tier="tier_1"),
     "sr_sliced": lambda w: issuers.sliced_success_rate(
         w["issuer_month"], w["merchants"], city_tier="tier_3", category="BUILDING"),
     "export_headlines": lambda w: reports.headline_metrics(w["network_health_monthly"], w.params.low_sr),
@@ -305,9 +323,11 @@ QUERIES: dict[str, Query] = {
     "driver_scorecard": driver_scorecard,
     "segment_scorecard": segment_scorecard,
     "mart_row_counts": lambda w: w.row_counts(),
-    "transactions_sample": lambda w: sinks.head_sample(
-        w["transactions"].select("merchant_id", "txn_date", "issuer_bank", "amount_inr"), 2000,
+    "transactions_sample": lambda w: csv_sample(
+        w, "transactions_sample", w["transactions"].select("merchant_id", "txn_date", "issuer_bank", "amount_inr"), 2000,
         "txn_date", "merchant_id", "issuer_bank", "amount_inr"),
+    "merchants_sample": lambda w: csv_sample(
+        w, "merchants_sample", w["merchants"].select("merchant_id", "category", "city_tier", "state", "gst_registered"), 500, "merchant_id"),
     "adhoc_sql": lambda w: w.sql(
         "SELECT category, count(*) AS merchants, sum(churn_d1_naive) AS silent "
         "FROM merchant_churn_status GROUP BY category"),

@@ -85,6 +85,13 @@ def degraded_issuer(ranking: DataFrame) -> DataFrame:
     return ranking.agg(F.min_by("issuer_bank", order).alias("issuer_bank"))
 
 
+def impact_order(contribution: DataFrame) -> DataFrame:
+    """Issuer-months by the size of their rate effect, largest first; one row per issuer and month, so one ordering task."""
+    size = F.abs("rate_effect")
+    return contribution.select("month", "issuer_bank", "rate_effect", F.rank().over(Window.orderBy(size.desc_nulls_last())).alias(
+        "impact_rank")).orderBy("impact_rank", "month", "issuer_bank")
+
+
 def failure_reason_mix(attempts: DataFrame) -> DataFrame:
     """Failures by issuer, month and reason, from counts of equal attempts."""
     counts = attempts.filter(F.col("status") == "FAILED").groupBy(

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.display import iso_dates
 
@@ -42,6 +43,24 @@ def export_marts(marts: Mapping[str, DataFrame], folder: str) -> dict[str, str]:
     return places
 
 
+def content_digest(df: DataFrame) -> DataFrame:
+    """(n_rows, content): rows and the sum of 32-bit hashes of whole rows, the same in any order of rows and any split into files.
+
+    A row counts as the texts of its columns by name: dates as yyyy-MM-dd, doubles as whole millionths, null as ~.
+    """
+    def text(f: T.StructField) -> Column:
+        col = F.col(f.name)
+        if isinstance(f.dataType, T.DoubleType):
+            col = F.round(col * 1e6).cast("bigint")
+        elif isinstance(f.dataType, T.DateType):
+            col = F.date_format(col, "yyyy-MM-dd")
+        return F.coalesce(col.cast("string"), F.lit("~"))
+
+    row = F.concat_ws("|", *[text(f) for f in sorted(df.schema.fields, key=lambda f: f.name)])
+    value = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("bigint")
+    return df.select(value.alias("v")).agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("v"), F.lit(0).cast("bigint")).alias("content"))
+
+
 def manifest(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows, columns and file count per table as read back from storage."""
     rows = []

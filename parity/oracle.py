@@ -802,9 +802,27 @@ Q["check_flow_identity"] = """
 SELECT 'flow_identity' AS check_name, count_if(fresh + back - quiet <> live - live0) AS violations FROM nh"""
 Q["check_rate_bounds"] = "SELECT 'rate_bounds' AS check_name, count_if(sr < 0 OR sr > 1) AS violations FROM mm"
 Q["check_tpv_bound"] = "SELECT 'tpv_bound' AS check_name, count_if(tpv > asked + 1) AS violations FROM mm"
+# Features rebuilt from sources that end where the label window starts: every relation between them and the sources, again.
+REBUILT = ["tx", "tk", "st", "span", "mbm", "mm", "dense", "gap", "bm", "early", "srb", "con", "rank", "worst", "expo", "feat0", "feat"]
+CUT_BY = {"tx": "txn_date", "tk": "ticket_month", "st": "settle_month"}
+
+
+def rebuilt(body: str) -> str:
+    """`body` over the rebuilt relations, under their usual names."""
+    def swap(m: re.Match) -> str:
+        word = re.match(r"\s+(\w+)", body[m.end():])
+        named = word and word[1].upper() not in ("WHERE", "GROUP", "SEMI", "LEFT", "JOIN", "CROSS", "QUALIFY", "ORDER", "USING", "ON", "WINDOW")
+        return f"{m[1]} {m[2]}_c" + ("" if named else f" AS {m[2]}")
+    return re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(REBUILT)})\b", swap, body)
+
+
+for _name in REBUILT:
+    R[f"{_name}_c"] = f"SELECT {_name}.* FROM {_name}, cut WHERE {CUT_BY[_name]} < cut.l0" if _name in CUT_BY else rebuilt(R[_name])
 Q["check_no_leak"] = """
-SELECT 'no_leak' AS check_name, count_if(before >= l0) AS violations
-FROM (SELECT merchant_id, max(CASE WHEN month < l0 THEN month END) AS before, any_value(l0) AS l0 FROM mm, cut GROUP BY 1)"""
+WITH a AS (SELECT * EXCLUDE (churned, r_score, f_score, m_score) FROM feat),
+b AS (SELECT * EXCLUDE (churned, r_score, f_score, m_score) FROM feat_c)
+SELECT 'no_leak' AS check_name, count(*) AS violations
+FROM (SELECT * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))"""
 Q["check_recency_cardinality"] = f"""
 SELECT 'recency_varies' AS check_name, {big("CASE WHEN count(DISTINCT recency_days) > 50 THEN 0 ELSE 1 END")} AS violations FROM feat"""
 Q["check_exposure_sums"] = f"""
@@ -825,16 +843,33 @@ SELECT 'contribution_closes' AS check_name, count_if(abs(s - d) > 0.0001) AS vio
 Q["transactions_by_month_part"] = Q["transactions_typed"]
 Q["export_health_csv"] = """
 SELECT strftime(month, '%Y-%m-%d') AS month, live AS active_merchants, sr AS success_rate FROM nh"""
-Q["export_marts"] = """
-SELECT 'network_health_monthly' AS mart, count(*) AS n_rows FROM nh
-UNION ALL SELECT 'cohort_retention', count(*) FROM coh
-UNION ALL SELECT 'bank_month_sr', count(*) FROM bm
-UNION ALL SELECT 'sr_contribution', count(*) FROM con
-UNION ALL SELECT 'revenue_at_risk', count(*) FROM rar
-UNION ALL SELECT 'realised_failure_loss', count(*) FROM nh
-UNION ALL SELECT 'incident_culprit_ranking', count(*) FROM rank
-UNION ALL SELECT 'exposure_vs_churn', count(DISTINCT decile) FROM tiles
-UNION ALL SELECT 'cohort_m3_retention', count_if(month_index = 3) FROM coh"""
+# Columns of the exported marts: d is a date, f a double, any other letter a text or a whole number.
+EXPORTS = {
+    "network_health_monthly": "month:d active_merchants:n new_merchants:n reactivated_merchants:n went_silent_merchants:n churned_merchants:n tpv_inr:f "
+                              "success_rate:f failed_value_inr:f tickets_raised:n tpv_per_active_merchant:f merchant_mom_growth:f tpv_mom_growth:f "
+                              "net_merchant_adds:n is_censored_boundary:n",
+    "cohort_retention": "cohort_month:d activity_month:d month_index:n cohort_size:n active_merchants:n logo_retention:f tpv_inr:f tpv_retention:f",
+    "bank_month_sr": "month:d issuer_bank:t attempted_txns:n successful_txns:n success_rate:f attempted_value_inr:f failed_value_inr:f volume_share:f",
+    "sr_contribution": "month:d issuer_bank:t success_rate:f sr_baseline:f volume_share:f share_baseline:f sr_delta:f rate_effect:f mix_effect:f "
+                       "interaction_effect:f failed_value_inr:f",
+    "revenue_at_risk": "status:t merchants:n monthly_tpv_at_risk:f annualised_revenue_at_risk:f avg_issuer_exposure:f attributable_revenue_at_risk:f",
+    "realised_failure_loss": "month:d failed_value_inr:f revenue_lost_inr:f success_rate:f excess_revenue_lost_inr:f",
+    "incident_culprit_ranking": "issuer_bank:t avg_success_rate:f avg_volume_share:f worst_sr_delta:f cumulative_rate_effect:f total_failed_value_inr:f "
+                                "rank_by_worst_sr:n rank_by_network_impact:n",
+    "exposure_vs_churn": "exposure_decile:n min_exposure:f max_exposure:f merchants:n churn_rate:f tier3_share:f avg_sr_at_cutoff:f",
+    "cohort_m3_retention": "cohort_month:d cohort_size:n m3_logo_retention:f m3_tpv_retention:f",
+}
+
+
+def digest_sql(mart: str, columns: str) -> str:
+    as_text = {"d": "strftime({}, '%Y-%m-%d')", "f": "CAST(CAST(round({} * 1000000.0) AS BIGINT) AS VARCHAR)"}
+    shown = [f"coalesce({as_text.get(kind, 'CAST({} AS VARCHAR)').format(c)}, '~')" for c, kind in sorted(x.split(":") for x in columns.split())]
+    row = " || '|' || ".join(shown)
+    return (f"SELECT '{mart}' AS mart, count(*) AS n_rows, CAST(coalesce(sum(CAST('0x' || substr(md5({row}), 1, 8) AS BIGINT)), 0) AS BIGINT) AS content "
+            f"FROM ({Q[mart]})")
+
+
+Q["export_marts"] = "\nUNION ALL ".join(digest_sql(mart, columns) for mart, columns in EXPORTS.items())
 Q["manifest"] = """
 SELECT 'customer' AS table_name, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_parts, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS columns FROM customer
 UNION ALL SELECT 'lineitem', count(*), 1, 'l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate' FROM lineitem
@@ -848,6 +883,18 @@ SELECT (SELECT count(*) FROM past) AS merchants_scored, (SELECT count_if({FP}) F
 Q["transactions_sample"] = f"""
 SELECT merchant_id, txn_date, issuer_bank, {rupees('paise')} AS amount_inr FROM tx
 ORDER BY txn_date, merchant_id, issuer_bank, paise LIMIT 2000"""
+Q["merchants_sample"] = "SELECT merchant_id, category, city_tier, state, gst_registered FROM mer ORDER BY merchant_id LIMIT 500"
+Q["impact_order"] = "SELECT month, issuer_bank, rate_effect, rank() OVER (ORDER BY abs(rate_effect) DESC NULLS LAST) AS impact_rank FROM con"
+R["known"] = """
+SELECT cs.*, c_acctbal < 0 AS actual, c_acctbal BETWEEN 0 AND 1000 AS dormant FROM cs JOIN customer ON c_custkey = merchant_id"""
+Q["lifecycle_status"] = f"""
+SELECT merchant_id, {big('d1f')} AS churn_d1_naive, {big('d2f')} AS churn_d2_adaptive, {big('d3f')} AS churn_d3_value_decay, actual, dormant FROM known"""
+Q["rule_score_known"] = Q["rule_score"].replace("FROM past", "FROM known")
+Q["sr_sliced_issuer"] = f"""
+SELECT txn_month AS month, count(*) AS attempted_txns, count_if(ok) AS successful_txns,
+       {ratio('count_if(ok)', 'count(*)', 6)} AS success_rate
+FROM tx SEMI JOIN (SELECT merchant_id FROM mer WHERE city_tier = 'tier_1') m USING (merchant_id)
+WHERE issuer_bank = (SELECT issuer_bank FROM worst) GROUP BY 1"""
 Q["adhoc_sql"] = f"SELECT category, count(*) AS merchants, {big('sum(d1f)')} AS silent FROM cs GROUP BY 1"
 
 

@@ -276,3 +276,15 @@ def test_segment_names_and_duplicates(spark):
 
 def test_day_helper():
     assert day(31) == dt.date(2024, 2, 1)
+
+
+def test_no_leak_twin_sees_a_leak():
+    """The SQL that rebuilds features from cut sources counts rows once a feature reads a month of the label window."""
+    from parity import oracle
+    from parity.check import connect
+
+    con = connect("/root/testdata/sf0.001")
+    sql = oracle.sql_for("check_no_leak")
+    assert con.execute(sql).fetchall() == [("no_leak", 0)]
+    leaky = sql.replace("FROM mm, cut WHERE mm.month < cut.l0", "FROM mm, cut WHERE mm.month <= cut.l0", 1)
+    assert leaky != sql and con.execute(leaky).fetchall()[0][1] > 0
