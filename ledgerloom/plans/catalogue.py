@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -129,20 +130,10 @@ def manifest(w: Warehouse) -> DataFrame:
     return sinks.manifest(tables)
 
 
-def churn_scorecard(w: Warehouse) -> DataFrame:
-    """The evaluation as one nested JSON document, read back and counted."""
-    path = f"{w.staging.root}/churn_scorecard"
-    card = sinks.scorecard(
-        {"summary": evaluation.evaluation_summary(w["asof_status"], w["fixed_window_sweep"]),
-         "false_positives": evaluation.false_positive_profile(w["asof_status"], w.params)},
-        {"rules": w["best_rules"], "tiers": w["two_tier_point"], "fixed_sweep": w["fixed_window_sweep"],
-         "adaptive_sweep": w["adaptive_sweep"]})
-    sinks.write_json(card, path)
-    return w.spark.read.schema(card.schema).json(path).select(
-        F.col("summary.merchants_scored").alias("merchants_scored"),
-        F.col("false_positives.false_positives").alias("false_positives"),
-        F.size("rules").alias("rules"), F.size("tiers").alias("tiers"),
-        F.size("fixed_sweep").alias("fixed_sweep"), F.size("adaptive_sweep").alias("adaptive_sweep"))
+def digests(parts: dict[str, DataFrame]) -> DataFrame:
+    """(part, n_rows, content) of every part of a document that was read back."""
+    rows = [sinks.content_digest(plain_numbers(df)).select(F.lit(name).alias("part"), "n_rows", "content") for name, df in parts.items()]
+    return functools.reduce(DataFrame.unionByName, rows)
 
 
 def read_back(w: Warehouse, card: DataFrame, name: str) -> DataFrame:
@@ -151,12 +142,26 @@ def read_back(w: Warehouse, card: DataFrame, name: str) -> DataFrame:
     return w.spark.read.schema(card.schema).json(path)
 
 
+def churn_scorecard(w: Warehouse) -> DataFrame:
+    """The evaluation as one nested JSON document, every part of it read back. Its parts are grids of the parameters."""
+    single = {"summary": evaluation.evaluation_summary(w["asof_status"], w["fixed_window_sweep"]),
+              "false_positives": evaluation.false_positive_profile(w["asof_status"], w.params)}
+    many = {"rules": w["best_rules"], "tiers": w["two_tier_point"], "fixed_sweep": w["fixed_window_sweep"], "adaptive_sweep": w["adaptive_sweep"]}
+    back = read_back(w, sinks.scorecard(single, many), "churn_scorecard")
+    return digests({**{n: back.select(f"{n}.*") for n in single}, **{n: back.select(F.inline(n)) for n in many}})
+
+
 def forecast_scorecard(w: Warehouse) -> DataFrame:
-    """Winners, every score and the projection as one nested JSON document."""
-    card = sinks.scorecard({}, {"series": forecasts.leaderboard(w["forecast_errors"]),
-                                "scores": w["forecast_errors"], "forecast": w["forecast_projection"]})
-    return read_back(w, card, "forecast_scorecard").select(
-        *[F.size(c).alias(c) for c in ("series", "scores", "forecast")])
+    """Winner, scores and projection of every series, one JSON line per series, read back."""
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        # At most the models, or the models times the months ahead.
+        return df.groupBy("series").agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != "series"]))).alias(name))
+
+    board = forecasts.leaderboard(w["forecast_errors"])
+    card = board.join(listed(w["forecast_errors"], "scores"), "series", "left").join(listed(w["forecast_projection"], "forecast"), "series", "left")
+    back = read_back(w, card, "forecast_scorecard")
+    return digests({"series": back.select(*board.columns), "scores": back.select("series", F.inline("scores")),
+                    "forecast": back.select("series", F.inline("forecast"))})
 
 
 def driver_scorecard(w: Warehouse) -> DataFrame:

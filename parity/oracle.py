@@ -876,10 +876,6 @@ UNION ALL SELECT 'lineitem', count(*), 1, 'l_orderkey,l_partkey,l_suppkey,l_line
 UNION ALL SELECT 'nation', count(*), 1, 'n_nationkey,n_name,n_regionkey' FROM nation
 UNION ALL SELECT 'orders', count(*), 1, 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' FROM orders
 UNION ALL SELECT 'supplier', count(*), 1, 's_suppkey,s_name,s_nationkey,s_acctbal' FROM supplier"""
-Q["churn_scorecard"] = f"""
-SELECT (SELECT count(*) FROM past) AS merchants_scored, (SELECT count_if({FP}) FROM past) AS false_positives,
-       (SELECT count(*) FROM rules) AS rules, (SELECT count(*) FROM tiers) AS tiers,
-       (SELECT count(*) FROM fx) AS fixed_sweep, (SELECT count(*) FROM ad) AS adaptive_sweep"""
 Q["transactions_sample"] = f"""
 SELECT merchant_id, txn_date, issuer_bank, {rupees('paise')} AS amount_inr FROM tx
 ORDER BY txn_date, merchant_id, issuer_bank, paise LIMIT 2000"""
@@ -916,8 +912,23 @@ R["npred0"] = "SELECT * FROM nhb UNION ALL SELECT * FROM nhf"
 R["npred"] = predictions_sql("npred0", "nser")
 R["nerr"] = errors_sql("npred")
 Q["forecast_network"] = "SELECT * FROM nerr"
-Q["forecast_scorecard"] = """
-SELECT (SELECT count(*) FROM brd) AS series, (SELECT count(*) FROM err) AS scores, (SELECT count(*) FROM proj) AS forecast"""
+# Parts of the scorecards: the query that each one holds, and its columns as in EXPORTS.
+CONFUSION = "tp:n fp:n fn:n tn:n flagged:n precision:f recall:f f1:f"
+CARDS = {
+    "churn_scorecard": {
+        "summary": ("evaluation_summary", "merchants_scored:n true_churn_rate:f precision_ceiling:f"),
+        "false_positives": ("false_positive_profile", "false_positives:n of_which_dormant:n share_dormant:f median_p90_gap_fp:f median_p90_gap_population:f"),
+        "rules": ("best_rules", f"rule:t setting:f {CONFUSION}"), "tiers": ("two_tier_point", f"tier:t window_days:n {CONFUSION}"),
+        "fixed_sweep": ("fixed_window_sweep", f"window_days:n {CONFUSION}"),
+        "adaptive_sweep": ("adaptive_sweep", f"multiplier:f median_threshold_days:f {CONFUSION}")},
+    "forecast_scorecard": {
+        "series": ("forecast_leaderboard", "series:t best_model:t best_mape_pct:f naive_mape_pct:f models:n beats_naive:t"),
+        "scores": ("forecast_errors", "series:t model:t mape_pct:f mae_inr:f"),
+        "forecast": ("forecast_projection", "series:t model:t step:n month:d tpv_inr:f lo80:f hi80:f")},
+}
+for _card, _parts in CARDS.items():
+    Q[_card] = "\nUNION ALL ".join(
+        digest_sql(query, columns).replace(f"'{query}' AS mart", f"'{part}' AS part", 1) for part, (query, columns) in _parts.items())
 Q["mart_row_counts"] = "\nUNION ALL ".join(
     f"SELECT '{name}' AS table_name, count(*) AS n_rows FROM {rel}" for name, rel in {
         "merchant_month": "mm", "merchant_month_dense": "dense", "merchant_activity_gaps": "gap",
