@@ -44,9 +44,8 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
     ids = np.fromiter((names.setdefault(w, len(names)) for w in words), np.int64, n)
     key = ids[:n - width + 1]
     for j in range(1, width):
-        # Renamed after each step, so that a key stays below the number of windows.
-        key = np.unique(key * len(names) + ids[j:n - width + 1 + j], return_inverse=True)[1] if len(names) ** (j + 1) >= 2 ** 62 \
-            else key * len(names) + ids[j:n - width + 1 + j]
+        # Keys are numbered anew before each step, so the product is at most windows x distinct words.
+        key = np.unique(key, return_inverse=True)[1] * len(names) + ids[j:n - width + 1 + j]
     _, at, times = np.unique(key, return_inverse=True, return_counts=True)
     starts = np.flatnonzero(times[at] > 1)
     edge = np.zeros(n + 1, np.int64)
