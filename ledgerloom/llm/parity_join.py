@@ -264,6 +264,17 @@ def unsettled(rows: DataFrame, label: DataFrame) -> DataFrame:
     return stage(named.join(several, "part"), "unsettled")
 
 
+def joined_so_far(edges: DataFrame) -> DataFrame:
+    """(id, label): the smallest id within two edges. Equal labels are one component; one component may have several labels.
+
+    That is enough to see what is settled, at a part of the cost of whole components; what it leaves open is only compared again.
+    """
+    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("id", "to")
+    one = both.groupBy("id").agg(F.min("to").alias("m")).select("id", F.least("id", "m").alias("label"))
+    two = both.join(one.select(F.col("id").alias("to"), "label"), "to").select("id", "label")
+    return stage(one.union(two).groupBy("id").agg(F.min("label").alias("label")), "labels")
+
+
 def starred(rows: DataFrame) -> DataFrame:
     """(part, num, low): the rows without the smallest set of each part, beside it."""
     low = rows.groupBy("part").agg(F.min("num").alias("low"))
@@ -325,13 +336,13 @@ def linked(rows: DataFrame, bodies: DataFrame, params: JaccardParams) -> DataFra
     # A set that all others of its part were compared with has done its work there.
     rest = starred(rows)
     edges = met(rest)
-    left = unsettled(rest, components(edges))
+    left = unsettled(rest, joined_so_far(edges))
     if left.isEmpty():
         return edges
     rest = starred(stage(rare_parts(bodies.join(left.select("num").distinct(), "num", "left_semi"), params), "rare_parts"))
     edges = stage(edges.union(met(rest)), "links")
     for nearest in (True, False):
-        left = unsettled(rest, components(edges))
+        left = unsettled(rest, joined_so_far(edges))
         if left.isEmpty():
             return edges
         rest = left
