@@ -10,7 +10,7 @@ text falls into runs of string starts with one anchor each, about one for every
 1. Runs are counted by anchor. An anchor met in one run, and once in it, holds no repeat. If all runs of an anchor cover the same bytes (same
    digest), all their strings repeat. These counts are partial aggregates, so thousands of copies cost a row per task.
 2. An anchor with runs of different bytes (copies end or differ nearby) needs its bytes: one run for each digest, joined with
-   its text. Whole groups of an anchor meet in a task, many anchors at a time, and their strings are put into suffix order:
+   its text. Whole groups of an anchor meet in a task, about `bundle` bytes at a time, and their strings are put into suffix order:
    first, starts whose suffix is smaller than its successor are sorted directly; the rest are induced by scanning the
    buckets of first bytes in order, for a suffix larger than its successor comes after it. Neighbours in that order whose
    common prefix reaches `length` bytes repeat.
@@ -42,7 +42,7 @@ class SuffixParams:
     length: int = 400
     gram: int = 128
     run: int = 2048
-    bundle: int = 1500
+    bundle: int = 2 << 20
     most: int = 3000
 
 
@@ -120,49 +120,95 @@ def smaller_than_next(chars: np.ndarray) -> np.ndarray:
     return chars[decide] < ahead[decide]
 
 
+def sorted_places(words: np.ndarray, places: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
+    """`places` of a buffer in the order of the `length` bytes from each; of equal ones, those with fewer bytes `left` come first.
+
+    `words`: the eight bytes from every place as a number. Places are put in order by their first word, then groups of equal
+    ones by the next, so no string is copied.
+    """
+    x = words[places].astype(np.uint64)
+    rank = np.argsort(x, kind="stable")
+    order, left, x = places[rank], np.minimum(left[rank], length), x[rank]
+    new = np.r_[True, x[1:] != x[:-1]][:len(order)]
+    for k in [*range(8, length, 8), None]:
+        live = np.flatnonzero(~(new & np.r_[new[1:], True]))
+        if not len(live):
+            break
+        x = left[live].astype(np.uint64) if k is None else words[order[live] + k].astype(np.uint64)
+        head = new[live]
+        group = np.cumsum(head) - 1
+        mixed = np.zeros(group[-1] + 1, bool)
+        mixed[group[1:][(x[1:] != x[:-1]) & ~head[1:]]] = True
+        pick = mixed[group]
+        at, x, group = live[pick], x[pick], group[pick]
+        rank = np.lexsort((x, group))
+        order[at], left[at] = order[at[rank]], left[at[rank]]
+        x = x[rank]
+        new[at[1:]] |= (x[1:] != x[:-1]) & (group[1:] == group[:-1])
+    return order
+
+
+BYTE_STEPS = np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64)
+
+
+def common_prefixes(words: np.ndarray, order: np.ndarray, length: int, block: int = 1 << 16) -> np.ndarray:
+    """How many bytes, `length` at most, each place of `order` has in common with the place before it."""
+    out = np.zeros(len(order), np.int32)
+    for lo in range(1, len(order), block):
+        b = order[lo:lo + block]
+        a, got, live = order[lo - 1:lo - 1 + len(b)], out[lo:lo + block], np.arange(len(b))
+        for k in range(0, length, 8):
+            x = words[a[live] + k].astype(np.uint64) ^ words[b[live] + k].astype(np.uint64)
+            got[live] += np.where(x == 0, 8, 7 - np.searchsorted(BYTE_STEPS, x, side="right")).astype(np.int32)
+            live = live[x == 0]
+            if not len(live):
+                break
+    return np.minimum(out, length)
+
+
 def repeated_starts(texts: list[bytes], sizes: list[int], length: int) -> list[np.ndarray]:
-    """For each text, which of its first `size` starts begin a string of `length` bytes that also starts elsewhere."""
-    chars, smaller, owner, at, prev, keys, key_place = [], [], [], [], [], [], []
-    base, ends = 0, [[] for _ in range(256)]
-    for i, (raw, size) in enumerate(zip(texts, sizes)):
-        c = np.frombuffer(raw, np.uint8).astype(np.int16)
-        s = smaller_than_next(c)
+    """For each text, which of its first `size` starts begin a string of `length` bytes that also starts elsewhere.
+
+    Everything is a place in one buffer, in which `length` + 8 zeros follow each text; nothing is kept for a place but a few
+    numbers.
+    """
+    gap = bytes(length + 8)
+    buffer = b"".join(x for raw in texts for x in (raw, gap))
+    bases = np.cumsum([0] + [len(raw) + len(gap) for raw in texts[:-1]])
+    chars = np.frombuffer(buffer, np.uint8)
+    words = np.ndarray((len(buffer) - 7,), ">u8", buffer, strides=(1,))
+    smaller, wanted, opens = (np.zeros(len(buffer), bool) for _ in range(3))
+    opens[bases] = True
+    direct, left, ends = [], [], [[] for _ in range(256)]
+    for base, raw, size in zip(bases.tolist(), texts, sizes):
+        s = smaller_than_next(np.frombuffer(raw, np.uint8).astype(np.int16))
         # Starts up to the first one, from the last string on, that is sorted directly: it induces those before it. If there
         # is none, the end of the text does.
         after = np.flatnonzero(s[size - 1:])
         n = size + int(after[0]) if len(after) else len(raw)
         if not len(after):
-            ends[c[-1]].append(base + n - 1)
-        s = s[:n]
-        direct = np.flatnonzero(s)
-        keys += [raw[k:k + length] for k in direct.tolist()]
-        key_place.append(direct + base)
-        chars.append(c[:n])
-        smaller.append(s)
-        owner.append(np.full(n, i))
-        at.append(np.arange(n))
-        prev.append(np.r_[-1, np.arange(n - 1) + base])
-        base += n
-    chars, smaller, owner, at, prev, key_place = (np.concatenate(x) for x in (chars, smaller, owner, at, prev, key_place))
+            ends[raw[-1]].append(base + n - 1)
+        at = np.flatnonzero(s[:n])
+        direct.append((base + at).astype(np.int32))
+        left.append((len(raw) - at).astype(np.int32))
+        smaller[base + at] = True
+        wanted[base:base + size] = True
     # Stage one: the direct ones, by their bytes.
-    direct = key_place[np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)]
-    direct_char = chars[direct]
-    buckets: list[list[np.ndarray]] = [[np.array(e, np.int64)] if e else [] for e in ends]
+    direct = sorted_places(words, np.concatenate(direct), np.concatenate(left), length)
+    edge = np.searchsorted(chars[direct], np.arange(257))
+    buckets: list[list[np.ndarray]] = [[np.array(e, np.int32)] if e else [] for e in ends]
     order = []
     for c in range(256):
         # Stage two: what earlier buckets have put here, then what that puts into its own bucket, then the direct ones.
-        whole, last = list(buckets[c]), np.concatenate(buckets[c]) if buckets[c] else np.zeros(0, np.int64)
+        whole, last = buckets[c], np.concatenate(buckets[c]) if buckets[c] else np.zeros(0, np.int32)
         while len(last):
-            q = prev[last]
-            q = q[q >= 0]
+            q = last[~opens[last]] - 1
             last = q[~smaller[q] & (chars[q] == c)]
             whole.append(last)
-        lo, hi = np.searchsorted(direct_char, [c, c + 1])
-        whole.append(direct[lo:hi])
-        whole = np.concatenate(whole)
-        order.append(whole)
-        q = prev[whole]
-        q = q[q >= 0]
+        whole = np.concatenate([*whole, direct[edge[c]:edge[c + 1]]])
+        buckets[c] = []
+        order.append(whole[wanted[whole]])
+        q = whole[~opens[whole]] - 1
         q = q[~smaller[q] & (chars[q] > c)]
         if len(q):
             q = q[np.argsort(chars[q], kind="stable")]
@@ -170,16 +216,10 @@ def repeated_starts(texts: list[bytes], sizes: list[int], length: int) -> list[n
             for letter, part in zip(letters.tolist(), np.split(q, starts[1:])):
                 buckets[letter].append(part)
     order = np.concatenate(order)
-    limit = np.array(sizes)
-    order = order[at[order] < limit[owner[order]]]
-    own, pos = owner[order].tolist(), at[order].tolist()
-    strings = [texts[o][k:k + length] for o, k in zip(own, pos)]
-    same = np.fromiter((a == b for a, b in zip(strings, strings[1:])), bool, max(len(strings) - 1, 0))
-    hit = np.r_[False, same] | np.r_[same, False]
-    out = [np.zeros(s, bool) for s in sizes]
-    for o, k in zip(owner[order][hit].tolist(), at[order][hit].tolist()):
-        out[o][k] = True
-    return out
+    same = common_prefixes(words, order, length) >= length
+    hit = np.zeros(len(buffer), bool)
+    hit[order[same | np.r_[same[1:], False]]] = True
+    return [hit[base:base + size] for base, size in zip(bases.tolist(), sizes)]
 
 
 def spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -195,6 +235,7 @@ def sorted_repeats(groups: DataFrame, p: SuffixParams) -> DataFrame:
     """Ranges of repeated starts of the single runs; `groups` holds whole groups of an anchor, partitioned and sorted by it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        size = 0
 
         def solve() -> Iterator[pa.RecordBatch]:
             distinct = {(r["anchor"], r["digest"]): r for r in held}
@@ -206,12 +247,13 @@ def sorted_repeats(groups: DataFrame, p: SuffixParams) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["t1", "t2", "start", "size"])
 
-        for b in batches:
+        for b in pieces(batches, "bytes", p.bundle):
             for r in b.to_pylist():
-                if len(held) >= p.bundle and r["anchor"] != held[-1]["anchor"]:
+                if size >= p.bundle and r["anchor"] != held[-1]["anchor"]:
                     yield from solve()
-                    held = []
+                    held, size = [], 0
                 held.append(r)
+                size += len(r["bytes"])
         if held:
             yield from solve()
 
@@ -221,7 +263,7 @@ def sorted_repeats(groups: DataFrame, p: SuffixParams) -> DataFrame:
 def counted_repeats(groups: DataFrame, p: SuffixParams) -> DataFrame:
     """The same for groups of any size: every string by its hash, counted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "bytes", p.bundle):
             for r in b.to_pylist():
                 raw = r["bytes"]
                 digests = [xxhash.xxh3_128_intdigest(raw[k:k + p.length]) for k in range(r["size"])]

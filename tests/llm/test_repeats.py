@@ -111,3 +111,35 @@ def test_lines_odd_input(request, table):
     by_id = {r.doc_id: r for r in rows if r.doc_id is not None}
     assert not rows or (by_id[1].n_removed == 0 and by_id[2].text == "" and by_id[3].text == "" and by_id[7].text == "one"
                         and by_id[8].n_removed == 39 and by_id[6].n_removed == 0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=20, max_size=60).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=6), st.integers(1, 20))
+def test_suffix_order_and_common_prefixes_with_zero_bytes(texts, length):
+    gap = bytes(length + 8)
+    buffer = b"".join(t + gap for t in texts)
+    bases = np.cumsum([0] + [len(t) + len(gap) for t in texts[:-1]])
+    words = np.ndarray((len(buffer) - 7,), ">u8", buffer, strides=(1,))
+    places = np.concatenate([b + np.arange(len(t)) for b, t in zip(bases, texts)])
+    left = np.concatenate([len(t) - np.arange(len(t)) for t in texts])
+    string = {int(b + k): t[k:k + length] for b, t in zip(bases, texts) for k in range(len(t))}
+    wide = -(-length // 8) * 8
+    order = suffix_dedup.sorted_places(words, places, left, wide)
+    keys = [(string[int(q)], ) for q in order]
+    assert keys == sorted(keys)
+    got = suffix_dedup.common_prefixes(words, places[left >= length], length, block=7)
+    kept = [string[int(q)] for q in places[left >= length]]
+    plain = [next((i for i, (a, b) in enumerate(zip(u, v)) if a != b), length) for u, v in zip(kept, kept[1:])]
+    assert got.tolist()[1:] == plain and not got[:1].any()
+
+
+def test_suffix_order_keeps_no_copy_for_each_start():
+    import tracemalloc
+    passage = prose(4, 160).encode()
+    texts = [prose(1000 + i, 20).encode() + passage + prose(5000 + i, 20).encode() for i in range(800)]
+    tracemalloc.start()
+    flags = suffix_dedup.repeated_starts(texts, [len(t) - 399 for t in texts], 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(f.sum() >= len(passage) - 399 for f in flags)
+    assert peak < 60 * sum(map(len, texts))
