@@ -186,6 +186,22 @@ def test_link_counts_equal_brute_force(crowded):
     assert all(crowded[i].repeated_words >= 50 for i in range(244, 280))
 
 
+def test_few_strangers_hide_no_passage(spark):
+    """Two texts with a passage whose middle the other texts of their group hold: all find each other, however small the group."""
+    texts, want = [], []
+    for g in range(150):
+        strangers = [4, 3, 4, 2, 4, 5][g % 6] if g else 48
+        hot = prose(30_000 + g, 56).split()
+        want += [len(texts)] * 2
+        texts += [f"{prose(40_000 + g, 40)} {' '.join(hot)} {prose(50_000 + g, 40)}", f"{prose(60_000 + g, 30)} {' '.join(hot)} {prose(70_000 + g, 50)}"]
+        for k in range(strangers):
+            want.append(len(texts))
+            texts.append(f"{prose(100_000 + 100 * g + k, 60)} {' '.join(hot[7:49])} {prose(200_000 + 100 * g + k, 60)}")
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.class_id for r in cw.classes(docs).collect()}
+    assert [i for i, c in enumerate(want) if got[i] != c] == []
+
+
 def test_links_through_several_passages(spark):
     known = spark.createDataFrame([(1, 0, 60, 7), (2, 0, 60, 7), (2, 80, 150, 8), (3, 0, 70, 8), (4, 0, 70, 8), (4, 90, 150, 7)],
                                   "t long, f int, u int, passage long")
