@@ -281,6 +281,13 @@ def starred(rows: DataFrame) -> DataFrame:
     return stage(rows.join(low, "part").filter("num <> low"), "starred")
 
 
+def starred_apart(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """`starred`, and `apart`: whether the two sets have different labels. Others are linked, directly or through a third."""
+    named = rows.join(label.select(F.col("id").alias("num"), "label"), "num", "left").withColumn("label", F.coalesce("label", "num"))
+    low = named.groupBy("part").agg(F.min("num").alias("low"), F.min_by("label", "num").alias("low_label"))
+    return stage(named.join(low, "part").filter("num <> low").select("part", "num", "low", (F.col("label") != F.col("low_label")).alias("apart")), "starred")
+
+
 def in_blocks(left: DataFrame, bodies: DataFrame, params: JaccardParams, nearest: bool) -> DataFrame:
     """Pairs (num, low) of sets of one part and different components whose sketches are close enough to link.
 
@@ -336,11 +343,12 @@ def linked(rows: DataFrame, bodies: DataFrame, params: JaccardParams) -> DataFra
     # A set that all others of its part were compared with has done its work there.
     rest = starred(rows)
     edges = met(rest)
-    left = unsettled(rest, joined_so_far(edges))
+    label = joined_so_far(edges)
+    left = unsettled(rest, label)
     if left.isEmpty():
         return edges
-    rest = starred(stage(rare_parts(bodies.join(left.select("num").distinct(), "num", "left_semi"), params), "rare_parts"))
-    edges = stage(edges.union(met(rest)), "links")
+    rest = starred_apart(stage(rare_parts(bodies.join(left.select("num").distinct(), "num", "left_semi"), params), "rare_parts"), label)
+    edges = stage(edges.union(met(rest.filter("apart"))), "links")
     for nearest in (True, False):
         left = unsettled(rest, joined_so_far(edges))
         if left.isEmpty():
