@@ -2,59 +2,95 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.linalg import DenseVector
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def fit(train: DataFrame, label: str, n: int, inverse_penalty: float) -> LogisticRegressionModel:
+@dataclass(frozen=True)
+class Fit:
+    """A fitted model: weights by position in the feature vector, and the intercept."""
+
+    coefficients: DenseVector
+    intercept: float
+
+
+def fit(train: DataFrame, label: str, n: int, inverse_penalty: float, dense_width: int = 2000, steps: int = 6) -> Fit:
     """L2 penalty 1/C on the summed loss; the intercept is not penalised.
 
-    Spark averages the loss over rows, hence the division by n.
+    Spark averages the loss over rows, hence the division by n. Its solver stops by the change of the loss, which leaves
+    the weights good to some six digits; up to `dense_width` features, Newton steps from there make them good to rounding.
     """
-    return LogisticRegression(
+    model = LogisticRegression(
         featuresCol="features", labelCol=label, regParam=1.0 / (inverse_penalty * n), elasticNetParam=0.0,
         standardization=False, fitIntercept=True, maxIter=2000, tol=1e-9).fit(train)
-
-
-def scored(model, df: DataFrame, name: str = "score") -> DataFrame:
-    out = model.transform(df).withColumn(name, vector_to_array("probability")[1])
-    return out.drop("rawPrediction", "probability", "prediction")
-
-
-def curvature(model: LogisticRegressionModel, train: DataFrame, penalty: np.ndarray) -> np.ndarray:
-    """Second derivative of the fitted objective at its optimum, coefficients first and the intercept last.
+    found = Fit(DenseVector(model.coefficients.toArray()), float(model.intercept))
+    width = len(found.coefficients)
+    if width > dense_width or not math.isfinite(found.intercept):
+        return found
+    penalty = np.append(np.full(width, 1.0 / inverse_penalty), 0.0)
+    for _ in range(steps):
+        w = np.append(found.coefficients.toArray(), found.intercept)
+        curve, slope = derivatives(found, train, penalty, label)
+        try:
+            move = np.linalg.solve(curve, slope + penalty * w)
+        except np.linalg.LinAlgError:
+            return found
+        found = Fit(DenseVector((w - move)[:-1]), float((w - move)[-1]))
+        if np.abs(move).max() < 1e-11:
+            break
+    return found
+
+
+def probability(model: Fit, vector: str = "features") -> Column:
+    """Probability of the outcome for a vector column."""
+    weights = F.lit(model.coefficients.toArray())
+    dot = F.aggregate(F.zip_with(vector_to_array(vector), weights, lambda x, b: x * b), F.lit(0.0), lambda a, v: a + v)
+    return 1 / (1 + F.exp(-(dot + F.lit(model.intercept))))
+
+
+def scored(model: Fit, df: DataFrame, name: str = "score") -> DataFrame:
+    return df.withColumn(name, probability(model))
+
+
+def derivatives(model: Fit, train: DataFrame, penalty: np.ndarray, label: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Curvature of the fitted objective and slope of its unpenalised part, coefficients first and the intercept last.
 
     The objective is the summed log loss plus half of `penalty` times the squared coefficients, so its curvature is the
-    sum of p(1-p) x x' over the rows, with the penalty on the diagonal. A task adds its rows up to one matrix and the
-    cells are summed by key, so only width^2 numbers are collected.
+    sum of p(1-p) x x' over the rows, with the penalty on the diagonal, and the slope of the loss the sum of (p-y) x. A
+    task adds its rows up to one matrix and the cells are summed by key, so only (width + 1) * width numbers are collected.
     """
     width = len(penalty)
-    rows = scored(model, train, "_p").select(vector_to_array("features").alias("x"), (F.col("_p") * (1 - F.col("_p"))).alias("w"))
+    miss = F.col("_p") - F.col(label) if label else F.lit(0.0)
+    rows = scored(model, train, "_p").select(
+        vector_to_array("features").alias("x"), (F.col("_p") * (1 - F.col("_p"))).alias("w"), miss.alias("e"))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width, width))
+        total = np.zeros((width + 1, width))
         for b in batches:
             if len(b):
                 x = np.hstack([np.array(b["x"].tolist()), np.ones((len(b), 1))])
-                total += np.einsum("r,ri,rj->ij", b["w"].to_numpy(), x, x)
-        at = np.arange(width * width)
-        yield pd.DataFrame({"cell": at, "v": total.ravel()})
+                total[:width] += x.T @ (x * b["w"].to_numpy()[:, None])
+                total[width] += b["e"].to_numpy() @ x
+        yield pd.DataFrame({"cell": np.arange(total.size), "v": total.ravel()})
 
     sums = rows.mapInPandas(partial, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
-    out = np.diag(penalty).astype(float)
+    out = np.zeros((width + 1, width))
     for r in sums:
-        out[divmod(r["cell"], width)] += r["v"]
-    return out
+        out[divmod(r["cell"], width)] = r["v"]
+    return out[:width] + np.diag(penalty), out[width]
 
 
-def coefficient_table(spark: SparkSession, model: LogisticRegressionModel, train: DataFrame, names: Sequence[str],
+def coefficient_table(spark: SparkSession, model: Fit, train: DataFrame, names: Sequence[str],
                       inverse_penalty: float, level: float = 0.95, max_width: int = 2000) -> DataFrame:
     """feature, coef, std_err, odds ratio with its Wald interval at `level`, z, significance.
 
@@ -68,7 +104,7 @@ def coefficient_table(spark: SparkSession, model: LogisticRegressionModel, train
         raise ValueError(f"{len(names)} features; intervals are made for {max_width} at most")
     penalty = np.append(np.full(len(names), 1.0 / inverse_penalty), 0.0)
     try:
-        factor = np.linalg.cholesky(curvature(model, train, penalty))
+        factor = np.linalg.cholesky(derivatives(model, train, penalty)[0])
     except np.linalg.LinAlgError as e:
         raise ValueError("the curvature is singular: some features are combinations of others") from e
     # The covariance is the inverse L'^-1 L^-1, so a variance is the squared length of a column of L^-1.

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.display import plain_numbers
 from ledgerloom.params import Params
@@ -164,15 +165,21 @@ def forecast_scorecard(w: Warehouse) -> DataFrame:
                     "forecast": back.select("series", F.inline("forecast"))})
 
 
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to the digits that a fit settles."""
+    return df.select(*[F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+                       for f in df.schema.fields])
+
+
 def driver_scorecard(w: Warehouse) -> DataFrame:
-    """Model metrics, sign recovery and lift as JSON; the coefficients as CSV."""
+    """Model metrics, sign recovery and lift as JSON, the coefficients as CSV, every part of them read back."""
     m = driver_model(w)
-    sinks.write_csv(m.coefficients, f"{w.staging.root}/driver_coefficients")
-    card = sinks.scorecard({"logistic": m.metrics()}, {
-        "coefficient_recovery": drivers.sign_recovery(m.coefficients, w.params.expected_signs), "decile_lift": m.lift()})
-    return read_back(w, card, "driver_scorecard").select(
-        "logistic.n_train", "logistic.n_test", "logistic.roc_auc",
-        F.size("coefficient_recovery").alias("signs"), F.size("decile_lift").alias("deciles"))
+    coefficients, path = rounded(m.coefficients), f"{w.staging.root}/driver_coefficients"
+    sinks.write_csv(coefficients, path)
+    many = {"coefficient_recovery": drivers.sign_recovery(m.coefficients, w.params.expected_signs), "decile_lift": m.lift()}
+    back = read_back(w, sinks.scorecard({"logistic": m.metrics()}, many), "driver_scorecard")
+    return digests({"logistic": back.select("logistic.*"), **{n: back.select(F.inline(n)) for n in many},
+                    "coefficients": w.spark.read.option("header", True).schema(coefficients.schema).csv(path)})
 
 
 def segment_scorecard(w: Warehouse) -> DataFrame:
@@ -280,14 +287,15 @@ QUERIES: dict[str, Query] = {
         "merchant_id", *[F.round(c, 5).alias(c) for c in segments.INPUTS]),
     "one_hot_features": lambda w: w["model_frame"].select("merchant_id", *preprocess.indicators(
         preprocess.category_levels(w["model_frame"], drivers.CATEGORICAL, w.params.max_levels))),
-    "driver_coefficients": lambda w: driver_model(w).coefficients,
+    "driver_coefficients": lambda w: rounded(driver_model(w).coefficients),
     "driver_metrics": lambda w: driver_model(w).metrics(),
     "driver_scores": lambda w: driver_model(w).scores,
     "driver_lift": lambda w: driver_model(w).lift(),
     "boosted_metrics": lambda w: driver_model(w).metrics(boosted=True),
     "benchmark_gap": lambda w: drivers.benchmark_gap(driver_model(w).metrics(), driver_model(w).metrics(boosted=True)),
     "sign_recovery": lambda w: drivers.sign_recovery(driver_model(w).coefficients, w.params.expected_signs),
-    "top_drivers": lambda w: drivers.top_drivers(driver_model(w).coefficients),
+    "top_drivers": lambda w: rounded(drivers.top_drivers(driver_model(w).coefficients)),
+    "largest_effects": lambda w: rounded(drivers.top_drivers(driver_model(w).coefficients, significant_only=False)),
 
     "kmeans_k_selection": lambda w: segmentation(w).k_selection(),
     "segment_assignment": lambda w: segmentation(w).assignment,

@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,8 +91,9 @@ class DriverModel:
 
     @cached_property
     def scores(self) -> DataFrame:
-        """Predicted churn probability of every eligible merchant."""
-        out = logistic.scored(self.logistic, self.vectors).select("merchant_id", "churned", "is_test", "score")
+        """Predicted churn probability of every eligible merchant, to nine decimals: beyond these a fit is not settled."""
+        score = F.round(logistic.probability(self.logistic), 9).alias("score")
+        out = self.vectors.select("merchant_id", "churned", "is_test", score)
         return self.staging.write(out, "driver_scores")
 
     @cached_property
@@ -101,7 +103,7 @@ class DriverModel:
         model = GBTClassifier(featuresCol="features", labelCol="churned", maxIter=p.boost_rounds,
                               stepSize=p.boost_step, maxDepth=p.boost_depth, seed=p.split_seed).fit(
             rows.filter(~F.col("is_test")))
-        out = logistic.scored(model, rows).select("merchant_id", "churned", "is_test", "score")
+        out = model.transform(rows).select("merchant_id", "churned", "is_test", vector_to_array("probability")[1].alias("score"))
         return self.staging.write(out, "boosted_scores")
 
     def metrics(self, boosted: bool = False) -> DataFrame:

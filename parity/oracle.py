@@ -720,6 +720,79 @@ Q["one_hot_features"] = "SELECT merchant_id, " + ", ".join(
         "acquisition_channel": ["partner_bank", "referral", "self_serve"], "device_type": ["qr_static", "soundbox"],
     }.items() for v in vs) + " FROM elig"
 
+# ---------------------------------------------------------- driver model ---
+CATS = ["category", "city_tier", "acquisition_channel", "device_type"]
+R["drvf"] = f"""
+SELECT e.merchant_id, CAST(e.churned AS DOUBLE) AS y, is_test, {', '.join(CATS)}, {imputed(NUM)}
+FROM elig e JOIN ({Q['stratified_split']}) s USING (merchant_id)"""
+R["drvl"] = """
+WITH seen AS (SELECT DISTINCT c.pos, c.name, c.v FROM drvf, unnest([""" + ", ".join(
+    f"{{'pos': {i}, 'name': '{c}', 'v': {c}}}" for i, c in enumerate(CATS)) + """]) AS u(c) WHERE NOT is_test AND c.v IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY v) AS k FROM seen)
+SELECT row_number() OVER (ORDER BY pos, v) AS j, pos, name, v FROM ranked WHERE k > 1"""
+R["drvs"] = "SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in NUM) + " FROM drvf WHERE NOT is_test"
+# Inputs as one list for each merchant; the last one is 1, for the intercept.
+R["drvx"] = f"""
+WITH levels AS (SELECT list({{'pos': pos, 'v': v}} ORDER BY j) AS ls FROM drvl),
+wide AS (SELECT merchant_id, y, is_test, [{', '.join(f'({c} - m_{c}) / s_{c}' for c in NUM)}] AS nums, [{', '.join(CATS)}] AS cats FROM drvf, drvs)
+SELECT merchant_id, y, is_test, list_concat(nums, list_transform(ls, lambda l: CASE WHEN cats[l.pos + 1] = l.v THEN 1.0e0 ELSE 0.0e0 END), [1.0e0]) AS x
+FROM wide, levels"""
+R["drvn"] = "SELECT j AS i, 'num__' || name AS feature FROM (VALUES " + ", ".join(
+    f"({i}, '{c}')" for i, c in enumerate(NUM, start=1)) + f") AS v(j, name) UNION ALL SELECT {len(NUM)} + j, 'cat__' || name || '_' || v FROM drvl"
+R["drvw0"] = "SELECT list_transform(x, lambda e: 0.0e0) AS w FROM drvx LIMIT 1"
+# Newton's method on the penalised loss (the penalty is 1, and 0 for the intercept): the curvature beside the unit matrix is
+# reduced pivot by pivot, which leaves its inverse, and the weights move by the inverse times the slope.
+NEWTON = 9
+for _k in range(NEWTON + 1):
+    R[f"drvc{_k}"] = f"""
+WITH p AS (SELECT x, y, len(x) AS d, 1 / (1 + exp(-list_dot_product(x, w))) AS p FROM drvx, drvw{_k} WHERE NOT is_test),
+cells AS (SELECT a.i, b.j, sum(p * (1 - p) * x[a.i] * x[b.j]) + CASE WHEN a.i = b.j AND a.i < any_value(d) THEN 1 ELSE 0 END AS h
+          FROM p, unnest(range(1, d + 1)) AS a(i), unnest(range(1, d + 1)) AS b(j) GROUP BY 1, 2)
+SELECT i, list(h ORDER BY j) AS h FROM cells GROUP BY 1"""
+    R[f"drvm{_k}"] = f"""
+WITH RECURSIVE g AS (
+  SELECT 1 AS k, list(list_concat(h, list_transform(h, lambda e, c: CASE WHEN c = i THEN 1.0e0 ELSE 0.0e0 END)) ORDER BY i) AS m FROM drvc{_k}
+  UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda e: e / r[k])
+                                               ELSE list_transform(r, lambda e, c: e - r[k] * m[k][c] / m[k][k]) END)
+  FROM g WHERE k <= len(m))
+SELECT list_transform(m, lambda r: r[len(m) + 1:]) AS inv FROM g WHERE k = len(m) + 1"""
+    R[f"drvw{_k + 1}"] = f"""
+WITH p AS (SELECT x, y, 1 / (1 + exp(-list_dot_product(x, w))) AS p FROM drvx, drvw{_k} WHERE NOT is_test),
+slopes AS (SELECT a.i, sum((p - y) * x[a.i]) AS s FROM p, unnest(range(1, len(x) + 1)) AS a(i) GROUP BY 1),
+slope AS (SELECT list(s + CASE WHEN i < len(w) THEN w[i] ELSE 0 END ORDER BY i) AS g FROM slopes, drvw{_k})
+SELECT list_transform(w, lambda e, i: e - list_dot_product(inv[i], g)) AS w FROM drvw{_k}, slope, drvm{_k}"""
+REACH = "1.959963984540054e0"
+R["drvt"] = f"""
+SELECT feature, w[i] AS coef, sqrt(inv[i][i]) AS se FROM drvn, drvw{NEWTON}, drvm{NEWTON}"""
+Q["driver_coefficients"] = f"""
+SELECT feature, round(coef, 6) AS coef, round(se, 6) AS std_err, round(exp(coef), 6) AS odds_ratio, round(exp(coef - se * {REACH}), 6) AS ci_low,
+       round(exp(coef + se * {REACH}), 6) AS ci_high, round(coef / se, 6) AS z, abs(coef / se) > {REACH} AS significant FROM drvt"""
+R["drvp"] = f"SELECT merchant_id, y, is_test, round(1 / (1 + exp(-list_dot_product(x, w))), 9) AS score FROM drvx, drvw{NEWTON}"
+Q["driver_scores"] = "SELECT merchant_id, y AS churned, is_test, score FROM drvp"
+R["drvh"] = "SELECT merchant_id, score, CAST(y AS INTEGER) AS y FROM drvp WHERE is_test"
+R["byprob"] = R["byscore"].replace("FROM scr", "FROM drvh")
+R["cumprob"] = R["cumscore"].replace("FROM byscore", "FROM byprob")
+Q["driver_metrics"] = f"""
+SELECT 'logistic' AS model, (SELECT count_if(NOT is_test) FROM drvp) AS n_train, (SELECT count_if(is_test) FROM drvp) AS n_test,
+       (SELECT round(avg(y), 4) FROM drvp) AS base_rate, roc_auc, average_precision, brier
+FROM ({Q['ranking_metrics'].replace('FROM cumscore', 'FROM cumprob')})"""
+Q["driver_lift"] = Q["decile_lift"].replace("FROM scr", "FROM drvh")
+# The expected sign of each driver.
+SIGNS = {"success_rate_3m_at_cutoff": -1, "avg_settlement_delay_days": 1, "tickets_unresolved": 1, "tenure_months": -1,
+         "competitor_density": 1, "avg_monthly_txns": -1}
+Q["sign_recovery"] = f"""
+SELECT name AS feature, CASE WHEN want > 0 THEN '+' ELSE '-' END AS expected_sign, round(coef, 4) AS recovered_coef,
+       CASE WHEN coef > 0 THEN '+' ELSE '-' END AS recovered_sign, (coef > 0) = (want > 0) AS sign_matches, abs(coef / se) > {REACH} AS significant
+FROM drvt JOIN (VALUES {', '.join(f"('{k}', {v})" for k, v in SIGNS.items())}) AS e(name, want) ON feature = 'num__' || name"""
+EFFECTS = f"""
+SELECT substr(feature, 6) AS driver, round(coef, 6) AS coef, round(exp(coef), 6) AS odds_ratio,
+       round(exp(coef + se * {REACH}) - exp(coef), 6) AS reach_up, round(exp(coef) - exp(coef - se * {REACH}), 6) AS reach_down
+FROM drvt WHERE %s ORDER BY abs(drvt.coef) DESC LIMIT 12"""
+Q["top_drivers"] = EFFECTS % f"abs(coef / se) > {REACH}"
+Q["largest_effects"] = EFFECTS % "TRUE"
+
 R["seg"] = "SELECT *, CAST(m_score - 1 AS BIGINT) AS segment_id FROM elig"
 PROF = ["avg_monthly_tpv", "avg_monthly_txns", "success_rate_3m_at_cutoff", "sr_trend", "recency_days",
         "tenure_months", "p90_gap_days", "tickets_unresolved", "degraded_issuer_exposure"]
@@ -925,6 +998,11 @@ CARDS = {
         "series": ("forecast_leaderboard", "series:t best_model:t best_mape_pct:f naive_mape_pct:f models:n beats_naive:t"),
         "scores": ("forecast_errors", "series:t model:t mape_pct:f mae_inr:f"),
         "forecast": ("forecast_projection", "series:t model:t step:n month:d tpv_inr:f lo80:f hi80:f")},
+    "driver_scorecard": {
+        "logistic": ("driver_metrics", "model:t n_train:n n_test:n base_rate:f roc_auc:f average_precision:f brier:f"),
+        "coefficient_recovery": ("sign_recovery", "feature:t expected_sign:t recovered_coef:f recovered_sign:t sign_matches:t significant:t"),
+        "decile_lift": ("driver_lift", "decile:n merchants:n churn_rate:f lift_vs_base:f"),
+        "coefficients": ("driver_coefficients", "feature:t coef:f std_err:f odds_ratio:f ci_low:f ci_high:f z:f significant:t")},
 }
 for _card, _parts in CARDS.items():
     Q[_card] = "\nUNION ALL ".join(
