@@ -90,25 +90,94 @@ def derivatives(model: Fit, train: DataFrame, penalty: np.ndarray, label: str |
     return out[:width] + np.diag(penalty), out[width]
 
 
+def entries(batch: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and values of the entries of a batch of vectors, each with a 1 behind for the intercept."""
+    at, value = [], []
+    for v in batch:
+        at += [np.arange(width - 1) if v["indices"] is None else v["indices"], [width - 1]]
+        value += [v["values"], [1.0]]
+    sizes = [len(a) + 1 for a in at[::2]]
+    return np.repeat(np.arange(len(sizes)), sizes), np.concatenate(at).astype(int), np.concatenate(value)
+
+
+def curved(model: Fit, train: DataFrame, penalty: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Curvature of the fitted objective times the columns of `v`, in one pass over the rows' nonzero entries."""
+    width, b, across = len(penalty), np.append(model.coefficients.toArray(), model.intercept), v.shape[1]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width, across))
+        for batch in batches:
+            if not len(batch):
+                continue
+            row, at, value = entries(batch["features"], width)
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            p = 1 / (1 + np.exp(-np.add.reduceat(value * b[at], first)))
+            dots = np.add.reduceat(value[:, None] * v[at], first) * (p * (1 - p))[:, None]
+            np.add.at(total, at, value[:, None] * dots[row])
+        used = np.flatnonzero(total.any(axis=1))
+        yield pd.DataFrame({"at": used, "v": list(total[used])})
+
+    parts = train.select("features").mapInPandas(partial, "at long, v array<double>").select("at", F.posexplode("v"))
+    out = penalty[:, None] * v
+    for r in parts.groupBy("at", "pos").agg(F.sum("col").alias("v")).collect():
+        out[r["at"], r["pos"]] += r["v"]
+    return out
+
+
+def errors_by_gradients(model: Fit, train: DataFrame, penalty: np.ndarray, cells: int = 4_000_000, tol: float = 1e-9) -> np.ndarray:
+    """Standard errors without the matrix of all pairs of features, by conjugate gradients on the unit vectors.
+
+    The error of a feature is the root of its own place in the curvature's inverse. As many unit vectors are solved for
+    together as make `cells` numbers, which is what the driver and a task hold; every step is one pass over the rows.
+    """
+    width = len(penalty)
+    block = max(1, min(width, cells // width))
+    out = np.empty(width)
+    for start in range(0, width, block):
+        here = np.arange(start, min(start + block, width))
+        x = np.zeros((width, len(here)))
+        rest = np.zeros_like(x)
+        rest[here, np.arange(len(here))] = 1.0
+        way, size = rest.copy(), np.ones(len(here))
+        for _ in range(10 * width):
+            moved = curved(model, train, penalty, way)
+            bend = (way * moved).sum(axis=0)
+            if (bend[size > tol ** 2] <= 0).any():
+                raise ValueError("the curvature is singular: some features are combinations of others")
+            step = np.where(bend > 0, size / np.where(bend > 0, bend, 1.0), 0.0)
+            x, rest = x + step * way, rest - step * moved
+            now = (rest ** 2).sum(axis=0)
+            if np.sqrt(now.max()) < tol:
+                break
+            way, size = rest + way * np.where(size > 0, now / np.where(size > 0, size, 1.0), 0.0), now
+        out[here] = np.sqrt(x[here, np.arange(len(here))])
+    return out
+
+
+def errors_by_factor(model: Fit, train: DataFrame, penalty: np.ndarray) -> np.ndarray:
+    """Standard errors from the factored curvature.
+
+    The covariance is the inverse L'^-1 L^-1, so a variance is the squared length of a column of L^-1.
+    """
+    try:
+        factor = np.linalg.cholesky(derivatives(model, train, penalty)[0])
+    except np.linalg.LinAlgError as e:
+        raise ValueError("the curvature is singular: some features are combinations of others") from e
+    return np.linalg.norm(np.linalg.solve(factor, np.eye(len(penalty))), axis=0)
+
+
 def coefficient_table(spark: SparkSession, model: Fit, train: DataFrame, names: Sequence[str],
-                      inverse_penalty: float, level: float = 0.95, max_width: int = 2000) -> DataFrame:
+                      inverse_penalty: float, level: float = 0.95, dense_width: int = 2000) -> DataFrame:
     """feature, coef, std_err, odds ratio with its Wald interval at `level`, z, significance.
 
-    The matrix of all pairs of features is factored on the driver, so a model of more than `max_width` features is
-    refused before any work. Features that are linear combinations of others without a penalty have no standard error;
-    the factorisation fails then and says so.
+    Up to `dense_width` features the matrix of all their pairs is factored on the driver; wider models never hold it and
+    get the same errors by conjugate gradients. Features that are linear combinations of others without a penalty have no
+    standard error, which is said.
     """
     if inverse_penalty <= 0:
         raise ValueError("the inverse penalty must be positive")
-    if len(names) > max_width:
-        raise ValueError(f"{len(names)} features; intervals are made for {max_width} at most")
     penalty = np.append(np.full(len(names), 1.0 / inverse_penalty), 0.0)
-    try:
-        factor = np.linalg.cholesky(derivatives(model, train, penalty)[0])
-    except np.linalg.LinAlgError as e:
-        raise ValueError("the curvature is singular: some features are combinations of others") from e
-    # The covariance is the inverse L'^-1 L^-1, so a variance is the squared length of a column of L^-1.
-    errors = np.linalg.norm(np.linalg.solve(factor, np.eye(len(penalty))), axis=0)
+    errors = (errors_by_factor if len(names) <= dense_width else errors_by_gradients)(model, train, penalty)
     rows = [(name, float(c), float(e)) for name, c, e in zip(names, model.coefficients.toArray(), errors)]
     reach = NormalDist().inv_cdf(0.5 + level / 2)
     b, se = F.col("coef"), F.col("std_err")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,24 +40,52 @@ def standardised(df: DataFrame, scale: Mapping[str, tuple[float, float]], prefix
     return [((F.col(c) - F.lit(m)) / F.lit(s)).alias(f"{prefix}{c}") for c, (m, s) in scale.items()]
 
 
-def category_levels(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, list[str]]:
-    """Sorted levels per column, refused beyond `limit` levels for one column."""
+def level_index(df: DataFrame, staging: Staging, columns: Sequence[str]) -> DataFrame:
+    """(name, level, at): the place, from 0, of every level but the first of its column, in text order.
+
+    However many levels there are, they stay a table: distinct ones are ranked by range, and nothing is collected.
+    """
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("level")) for c in columns])))
-    rows = long.filter(F.col("level").isNotNull()).distinct().limit(limit * len(columns) + 1).collect()
-    found: dict[str, list[str]] = {c: [] for c in columns}
-    for r in rows:
-        found[r["name"]].append(r["level"])
-    for c, levels in found.items():
-        if len(levels) > limit:
-            raise ValueError(f"{c} has more than {limit} levels; it is not a category")
-    return {c: sorted(v) for c, v in found.items()}
+    ranked = with_rank(long.filter(F.col("level").isNotNull()).distinct(), staging, ["name"], [F.col("level").asc()])
+    return staging.write(ranked.filter("rn > 1").select("name", "level", (F.col("rn") - 2).cast("int").alias("at")), "level_index")
+
+
+def category_levels(index: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """The levels of an index by column: names of features, as many as the weights of a model over them."""
+    rows = index.orderBy("name", "at").collect()
+    return {c: [r["level"] for r in rows if r["name"] == c] for c in columns}
+
+
+def one_hot(df: DataFrame, train: DataFrame, index: DataFrame, columns: Sequence[str], out: str) -> DataFrame:
+    """Adds the indicators of all columns as one sparse vector; a first, unknown or missing level is all zeros.
+    Without any level beyond the first of each column there is nothing to add.
+
+    Every column is looked up in its part of the index, which is broadcast only where Spark finds it small enough.
+    """
+    sizes = {r["name"]: r["n"] for r in index.groupBy("name").agg(F.count("*").alias("n")).collect()}
+    used = [c for c in columns if c in sizes]
+
+    def placed(rows: DataFrame) -> DataFrame:
+        for c in used:
+            levels = index.filter(F.col("name") == c).select(F.col("level").alias(f"_l_{c}"), F.col("at").alias(f"_a_{c}"))
+            # The place after the last one is the one that the encoder leaves out.
+            rows = rows.join(levels, F.col(c).cast("string") == F.col(f"_l_{c}"), "left").drop(f"_l_{c}").withColumn(
+                f"_a_{c}", F.coalesce(f"_a_{c}", F.lit(sizes[c])).cast("double"))
+        return rows
+
+    if not used:
+        return df
+    encoder = OneHotEncoder(inputCols=[f"_a_{c}" for c in used], outputCols=[f"_v_{c}" for c in used], dropLast=True)
+    coded = encoder.fit(placed(train.select(*used))).transform(placed(df))
+    return VectorAssembler(inputCols=[f"_v_{c}" for c in used], outputCol=out).transform(coded).drop(
+        *[f"_{kind}_{c}" for c in used for kind in "av"])
 
 
 def indicators(levels: Mapping[str, list[str]], prefix: str = "") -> list[Column]:
-    """0/1 columns for every level but the first; an unknown level is all zeros."""
+    """0/1 columns for the levels of an index; an unknown level is all zeros."""
     return [F.when(F.col(c) == v, 1.0).otherwise(0.0).alias(f"{prefix}{c}_{v}")
-            for c, vs in levels.items() for v in vs[1:]]
+            for c, vs in levels.items() for v in vs]
 
 
 def shuffle_key(ident: Column, seed: int) -> Column:

@@ -48,7 +48,6 @@ class Params:
     boost_rounds: int = 300
     boost_step: float = 0.06
     boost_depth: int = 4
-    max_levels: int = 1000
 
     # segmentation
     k_range: tuple[int, ...] = (3, 4, 5, 6, 7, 8)

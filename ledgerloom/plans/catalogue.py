@@ -286,7 +286,7 @@ QUERIES: dict[str, Query] = {
     "standardised_features": lambda w: segments.segment_inputs(w["merchant_features"], w.staging).select(
         "merchant_id", *[F.round(c, 5).alias(c) for c in segments.INPUTS]),
     "one_hot_features": lambda w: w["model_frame"].select("merchant_id", *preprocess.indicators(
-        preprocess.category_levels(w["model_frame"], drivers.CATEGORICAL, w.params.max_levels))),
+        preprocess.category_levels(preprocess.level_index(w["model_frame"], w.staging, drivers.CATEGORICAL), drivers.CATEGORICAL))),
     "driver_coefficients": lambda w: rounded(driver_model(w).coefficients),
     "driver_metrics": lambda w: driver_model(w).metrics(),
     "driver_scores": lambda w: driver_model(w).scores,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.display import strip_encoder_prefix
 from ledgerloom.operators import logistic
 from ledgerloom.operators.preprocess import (
-    category_levels, indicators, median_imputed, scales, standardised, stratified_split)
+    category_levels, level_index, median_imputed, one_hot, scales, standardised, stratified_split)
 from ledgerloom.operators.ranking_metrics import decile_lift, ranking_metrics
 from ledgerloom.params import Params
 from ledgerloom.sources.staging import Staging
@@ -54,14 +54,18 @@ class DriverModel:
     def _train(self) -> DataFrame:
         return self.frame.filter(~F.col("is_test"))
 
+    @cached_property
+    def index(self) -> DataFrame:
+        return level_index(self._train, self.staging, CATEGORICAL)
+
     @cached_property
     def levels(self) -> dict[str, list[str]]:
-        return category_levels(self._train, CATEGORICAL, self.params.max_levels)
+        return category_levels(self.index, CATEGORICAL)
 
     @cached_property
     def names(self) -> list[str]:
         return [f"num__{c}" for c in NUMERIC] + [
-            f"cat__{c}_{v}" for c, vs in self.levels.items() for v in vs[1:]]
+            f"cat__{c}_{v}" for c, vs in self.levels.items() for v in vs]
 
     @cached_property
     def n_train(self) -> int:
@@ -70,9 +74,11 @@ class DriverModel:
     def assembled(self, scale: bool) -> DataFrame:
         numeric = (standardised(self.frame, scales(self._train, NUMERIC), "num__") if scale
                    else [F.col(c).alias(f"num__{c}") for c in NUMERIC])
-        wide = self.frame.select("merchant_id", "churned", "is_test", *numeric, *indicators(self.levels, "cat__"))
-        vec = VectorAssembler(inputCols=self.names, outputCol="features")
-        return vec.transform(wide).select("merchant_id", "churned", "is_test", "features")
+        coded = one_hot(self.frame.select("merchant_id", "churned", "is_test", *CATEGORICAL, *numeric),
+                        self._train, self.index, CATEGORICAL, "_coded")
+        inputs = [f"num__{c}" for c in NUMERIC] + (["_coded"] if any(self.levels.values()) else [])
+        vec = VectorAssembler(inputCols=inputs, outputCol="features")
+        return vec.transform(coded).select("merchant_id", "churned", "is_test", "features")
 
     @cached_property
     def vectors(self) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import clustering, logistic
-from ledgerloom.operators.preprocess import category_levels, indicators, median_imputed, scales, standardised
+from ledgerloom.operators.preprocess import category_levels, indicators, level_index, median_imputed, one_hot, scales, standardised
 from ledgerloom.operators.ranking_metrics import decile_lift, quantile_bins, ranking_metrics
 
 
@@ -44,8 +44,8 @@ def test_logistic_is_the_penalised_optimum(sample, fitted):
     w = np.r_[model.intercept, model.coefficients.toArray()]
     z = np.column_stack([np.ones(len(x)), x])
     grad = z.T @ (1 / (1 + np.exp(-z @ w)) - y) + np.r_[0, w[1:]]
-    assert np.abs(grad).max() < 1e-3
-    assert np.allclose(w, newton(x, y)[0], atol=1e-5)
+    assert np.abs(grad).max() < 1e-8
+    assert np.allclose(w, newton(x, y)[0], atol=1e-9)
 
 
 def test_wald_table(spark, sample, fitted):
@@ -119,14 +119,45 @@ def test_scaling_uses_the_population_deviation(spark):
     assert sorted(got) == [(-1.0, 0.0), (1.0, 0.0)]
 
 
-def test_indicators_drop_the_first_level_and_ignore_unknown(spark):
+def test_intervals_without_the_matrix_of_pairs(spark, sample, fitted):
+    df, model = fitted
+    penalty = np.array([1.0, 1.0, 1.0, 0.0])
+    for cells in (4, 8, 1000):
+        assert np.allclose(logistic.errors_by_gradients(model, df, penalty, cells), logistic.errors_by_factor(model, df, penalty), atol=1e-7)
+    wide = logistic.coefficient_table(spark, model, df, ["a", "b", "c"], 1.0, dense_width=2)
+    dense = logistic.coefficient_table(spark, model, df, ["a", "b", "c"], 1.0)
+    for a, b in zip(wide.collect(), dense.collect()):
+        assert a.std_err == pytest.approx(b.std_err, abs=1e-7) and a.significant == b.significant
+
+
+def test_intervals_of_sparse_vectors(spark):
+    rng = np.random.default_rng(8)
+    at, y = rng.integers(0, 12, 300), (rng.random(300) < 0.4).astype(float)
+    df = spark.createDataFrame([(float(b), Vectors.sparse(12, [int(a)], [1.0])) for a, b in zip(at, y)], ["y", "features"])
+    model = logistic.fit(df, "y", len(y), 1.0)
+    penalty = np.append(np.ones(12), 0.0)
+    assert np.allclose(logistic.errors_by_gradients(model, df, penalty, 40), logistic.errors_by_factor(model, df, penalty), atol=1e-7)
+
+
+def test_indicators_drop_the_first_level_and_ignore_unknown(spark, staging):
     df = spark.createDataFrame([("b",), ("a",), ("c",), (None,)], "k string")
-    levels = category_levels(df, ["k"], 10)
-    assert levels == {"k": ["a", "b", "c"]}
-    new = spark.createDataFrame([("zzz",), ("c",)], "k string").select(*indicators(levels))
-    assert [tuple(r) for r in new.collect()] == [(0.0, 0.0), (0.0, 1.0)]
-    with pytest.raises(ValueError):
-        category_levels(df, ["k"], 2)
+    index = level_index(df, staging, ["k"])
+    levels = category_levels(index, ["k"])
+    assert levels == {"k": ["b", "c"]}
+    new = spark.createDataFrame([("zzz",), ("c",), ("a",), (None,)], "k string")
+    assert [tuple(r) for r in new.select(*indicators(levels)).collect()] == [(0.0, 0.0), (0.0, 1.0), (0.0, 0.0), (0.0, 0.0)]
+    coded = one_hot(new, df, index, ["k"], "v").collect()
+    assert {r.k: r.v.toArray().tolist() for r in coded} == {"zzz": [0, 0], "c": [0, 1], "a": [0, 0], None: [0, 0]}
+
+
+def test_any_number_of_levels(spark, staging):
+    df = spark.range(1001).select(F.format_string("%04d", "id").alias("k"), F.lit("same").alias("one"), F.col("id"))
+    index = level_index(df, staging, ["k", "one"])
+    assert index.count() == 1000
+    coded = {r.id: r.v for r in one_hot(df, df, index, ["k", "one"], "v").collect()}
+    assert len(coded) == 1001 and coded[0].numNonzeros() == 0
+    assert all(v.size == 1000 and (i == 0 or v[i - 1] == 1.0) for i, v in coded.items())
+    assert one_hot(df, df, level_index(df, staging, ["one"]), ["one"], "v").columns == df.columns
 
 
 def test_text_that_is_not_a_number_is_imputed(spark, staging):
