@@ -44,14 +44,15 @@ def low_rate_dummy(rate: Column, threshold: float) -> Column:
 
 
 def as_arrays(panel: DataFrame, series: str, holdout: int, horizon: int = 0,
-              partitions: int | None = None) -> DataFrame:
+              partitions: int | None = None, origins: int = 1) -> DataFrame:
     """One row per series: history `ys` and dummies `xs` up to `origin`.
 
     The rows are few bytes but each is fitted on many grid points, so they are
     spread over `partitions` tasks rather than merged by their size.
 
     With a holdout the last values move to `actuals` and their dummies to
-    `x_future`; without one the future is assumed free of interventions.
+    `x_future`; without one the future is assumed free of interventions. With more `origins` there is a row for each of
+    that many months before the holdout, its actuals being the months next to it.
     """
     rows = F.sort_array(F.collect_list(F.struct("month", "y", "x")))
     spread = panel.repartition(partitions, series) if partitions else panel
@@ -63,9 +64,11 @@ def as_arrays(panel: DataFrame, series: str, holdout: int, horizon: int = 0,
         return full.select(series, F.col("_last").alias("origin"), F.lit(None).cast("array<double>").alias("actuals"),
                            F.col("_y").alias("ys"), F.col("_x").alias("xs"),
                            F.array_repeat(F.lit(0.0), horizon).alias("x_future"))
-    n = F.size("_y") - holdout
-    return full.filter(n > 0).select(
-        series, F.add_months("_last", -holdout).alias("origin"),
+    back = F.explode(F.sequence(F.lit(0), F.lit(origins - 1))) if origins > 1 else F.lit(0)
+    cut = full.withColumn("_back", back)
+    n = F.size("_y") - holdout - F.col("_back")
+    return cut.filter(n > 0).select(
+        series, F.add_months("_last", -holdout - F.col("_back")).alias("origin"),
         F.slice("_y", n + 1, F.lit(holdout)).alias("actuals"),
         F.slice("_y", F.lit(1), n).alias("ys"), F.slice("_x", F.lit(1), n).alias("xs"),
         F.slice("_x", n + 1, F.lit(holdout)).alias("x_future"))

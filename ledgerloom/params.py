@@ -45,6 +45,8 @@ class Params:
     test_share: float = 0.30
     split_seed: int = 7
     inverse_penalty: float = 1.0
+    cutoffs: int = 4
+    cutoff_step_days: int = 180
     boost_rounds: int = 300
     boost_step: float = 0.06
     boost_depth: int = 4
@@ -57,6 +59,7 @@ class Params:
 
     # forecasting
     holdout_months: int = 5
+    rolling_origins: int = 6
     horizon_months: int = 6
     season_months: int = 12
     low_sr: float = 0.92

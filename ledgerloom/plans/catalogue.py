@@ -15,7 +15,7 @@ from ledgerloom.operators import clustering, preprocess, ranking_metrics, series
 from ledgerloom.operators.quantiles import grouped_medians
 from ledgerloom.operators.ranking import Tile, assign_tiles
 from ledgerloom.plans import (
-    checks, churn, cohorts, drivers, evaluation, features, forecasts, issuers, reports, revenue, segments)
+    checks, churn, cohorts, drivers, evaluation, features, forecasts, issuers, reports, revenue, segments, temporal)
 from ledgerloom.plans.warehouse import Warehouse
 from ledgerloom.sources import orderbook, sinks
 from ledgerloom.sources.tables import Sources
@@ -54,6 +54,10 @@ def segmentation(w: Warehouse) -> segments.Segmentation:
     return w.once("segmentation", lambda: segments.Segmentation(w["merchant_features"], w.staging, w.params))
 
 
+def temporal_scores(w: Warehouse) -> DataFrame:
+    return w.once("temporal_scores", lambda: temporal.temporal_scores(w["temporal_features"], w.staging, w.params))
+
+
 def fixed_score(w: Warehouse) -> DataFrame:
     """A score written as a formula, so that ranking metrics can be checked exactly."""
     rows = drivers.eligible(w["merchant_features"])
@@ -259,6 +263,9 @@ QUERIES: dict[str, Query] = {
     "forecast_errors": lambda w: w["forecast_errors"],
     "forecast_leaderboard": lambda w: forecasts.leaderboard(w["forecast_errors"]),
     "forecast_top_models": lambda w: forecasts.top_models(w["forecast_errors"]),
+    "forecast_rolling_holdout": lambda w: w["forecast_rolling"],
+    "forecast_rolling": lambda w: forecasts.rolling_errors(w["forecast_rolling"]),
+    "forecast_rolling_leaderboard": lambda w: forecasts.leaderboard(forecasts.rolling_errors(w["forecast_rolling"])),
     "forecast_projection": lambda w: w["forecast_projection"],
     "forecast_bridge": lambda w: forecasts.forecast_bridge(w["issuer_series"], w["forecast_projection"]),
     "forecast_network": lambda w: forecasts.forecast_errors(forecasts.holdout_predictions(
@@ -297,6 +304,10 @@ QUERIES: dict[str, Query] = {
     "top_drivers": lambda w: rounded(drivers.top_drivers(driver_model(w).coefficients)),
     "largest_effects": lambda w: rounded(drivers.top_drivers(driver_model(w).coefficients, significant_only=False)),
 
+    "temporal_features": lambda w: w["temporal_features"],
+    "temporal_scores": temporal_scores,
+    "temporal_metrics": lambda w: temporal.temporal_metrics(temporal_scores(w), w.staging),
+
     "kmeans_k_selection": lambda w: segmentation(w).k_selection(),
     "segment_assignment": lambda w: segmentation(w).assignment,
     "segment_profile": lambda w: segmentation(w).profile(),

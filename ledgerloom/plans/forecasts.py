@@ -62,13 +62,33 @@ def holdout_predictions(panel: DataFrame, params: Params, models: str = "all",
     """Predicted beside actual for the held-out months."""
     h = params.holdout_months
     rows = paths(S.as_arrays(panel, "series", h, partitions=partitions), h, params, models)
+    return beside_actuals(rows).drop("origin")
+
+
+def beside_actuals(rows: DataFrame) -> DataFrame:
     return rows.select(
         "series", "model", "origin", F.posexplode(F.arrays_zip("actuals", "path"))).select(
-        "series", "model", (F.col("pos") + 1).cast("bigint").alias("step"),
+        "series", "model", "origin", (F.col("pos") + 1).cast("bigint").alias("step"),
         F.add_months("origin", F.col("pos") + 1).alias("month"),
         F.col("col.actuals").alias("y"), F.round("col.path", 2).alias("predicted"))
 
 
+def rolling_predictions(panel: DataFrame, params: Params, partitions: int | None = None) -> DataFrame:
+    """Predicted beside actual after each of the last origins that leave a whole holdout.
+
+    Every model is fitted again at every origin on the months up to it. A series with its origins is a few short arrays, so
+    origins are rows of the same fold and spread like series.
+    """
+    h = params.holdout_months
+    return beside_actuals(paths(S.as_arrays(panel, "series", h, partitions=partitions, origins=params.rolling_origins), h, params))
+
+
+def rolling_errors(predictions: DataFrame) -> DataFrame:
+    """Errors of each series and model over all its origins, and how many of these it had."""
+    origins = predictions.groupBy("series", "model").agg(F.count_distinct("origin").alias("origins"))
+    return forecast_errors(predictions).join(origins, ["series", "model"])
+
+
 def forecast_errors(predictions: DataFrame) -> DataFrame:
     """MAPE over months with a non-zero actual, and MAE, per series and model."""
     miss = F.abs(F.col("y") - F.col("predicted"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.params import Params
 from ledgerloom.plans import (
-    churn, cohorts, drivers, evaluation, facts, features, forecasts, issuers, revenue, rollups)
+    churn, cohorts, drivers, evaluation, facts, features, forecasts, issuers, revenue, rollups, temporal)
 from ledgerloom.sources.staging import Staging
 from ledgerloom.sources.tables import Sources
 
@@ -200,10 +200,15 @@ MARTS: dict[str, Mart] = {
     "model_frame": Mart("drivers", lambda w: drivers.model_frame(
         w["merchant_features"], w.staging, w.params), stage=True, key=MERCHANT, public=False),
 
+    "temporal_features": Mart("features", lambda w: temporal.point_in_time(
+        w["issuer_day"], temporal.cutoffs(w.observed, w.params), w.params), stage=True, key=MERCHANT, public=False),
+
     "issuer_series": Mart("forecasts", lambda w: forecasts.issuer_series(
         w["merchant_bank_month"], w.observed, w.params), stage=True),
     "forecast_holdout": Mart("forecasts", lambda w: forecasts.holdout_predictions(
         w["issuer_series"], w.params, partitions=w.staging.buckets), stage=True),
+    "forecast_rolling": Mart("forecasts", lambda w: forecasts.rolling_predictions(
+        w["issuer_series"], w.params, partitions=w.staging.buckets), stage=True, public=False),
     "forecast_errors": Mart("forecasts", lambda w: forecasts.forecast_errors(w["forecast_holdout"])),
     "forecast_projection": Mart("forecasts", lambda w: forecasts.projection(
         w["issuer_series"], forecasts.leaderboard(w["forecast_errors"]), w.params, w.staging.buckets),

@@ -431,7 +431,10 @@ def needed(text: str) -> list[str]:
 
 
 def sql_for(query: str) -> str:
-    body = Q[query]
+    return with_relations(Q[query])
+
+
+def with_relations(body: str) -> str:
     parts = [f"{n} AS MATERIALIZED ({R[n]}\n)" for n in needed(body)]
     if body.strip().startswith("WITH"):
         body = f"SELECT * FROM ({body})"
@@ -652,6 +655,23 @@ SELECT series, max(month) AS month, arg_max(y, month) AS tpv_inr FROM ser GROUP
 UNION ALL SELECT series, month, tpv_inr FROM proj"""
 
 
+# Rolling origins: a series at an origin `back` months before the holdout is a series of its own.
+R["rser"] = "SELECT ser.*, series || '@' || u.back AS sid, u.back FROM ser, unnest(range(0, 6)) AS u(back)"
+R["rtrn"] = f"SELECT sid AS series, i, y, x, n - {HOLD} - back AS n FROM rser WHERE i <= n - {HOLD} - back"
+R["rb"] = baseline_sql("rtrn", HOLD)
+R["rh"] = holt_sql("rtrn")
+R["ra"] = arima_sql("rtrn", False)
+R["rx"] = arima_sql("rtrn", True)
+R["rf"] = fitted_sql("rh", "ra", "rx", HOLD, "(SELECT q.x FROM rser q WHERE q.sid = a.series AND q.i = a.n + s.step)")
+R["rpred0"] = "SELECT * FROM rb UNION ALL SELECT * FROM rf"
+R["rpred"] = f"""
+SELECT q.series, h.model, CAST(q.month - to_months(CAST(h.step AS INTEGER)) AS DATE) AS origin, CAST(h.step AS BIGINT) AS step, q.month, q.y, round(h.p, 2) AS predicted
+FROM rpred0 h JOIN rser q ON q.sid = h.series AND q.i = q.n - {HOLD} - q.back + h.step"""
+Q["forecast_rolling_holdout"] = "SELECT * FROM rpred"
+R["rerr"] = f"SELECT e.*, o.origins FROM ({errors_sql('rpred')}) e JOIN (SELECT series, model, count(DISTINCT origin) AS origins FROM rpred GROUP BY 1, 2) o USING (series, model)"
+Q["forecast_rolling"] = "SELECT * FROM rerr"
+Q["forecast_rolling_leaderboard"] = R["brd"].replace("FROM err", "FROM rerr")
+
 # ------------------------------------------------- primitives and metrics ---
 R["elig"] = "SELECT * FROM feat WHERE success_rate_3m_at_cutoff IS NOT NULL"
 R["scr"] = "SELECT merchant_id, round(recency_days / (recency_days + 30.0e0), 6) AS score, churned AS y FROM elig"
@@ -740,29 +760,36 @@ SELECT merchant_id, y, is_test, list_concat(nums, list_transform(ls, lambda l: C
 FROM wide, levels"""
 R["drvn"] = "SELECT j AS i, 'num__' || name AS feature FROM (VALUES " + ", ".join(
     f"({i}, '{c}')" for i, c in enumerate(NUM, start=1)) + f") AS v(j, name) UNION ALL SELECT {len(NUM)} + j, 'cat__' || name || '_' || v FROM drvl"
-R["drvw0"] = "SELECT list_transform(x, lambda e: 0.0e0) AS w FROM drvx LIMIT 1"
 # Newton's method on the penalised loss (the penalty is 1, and 0 for the intercept): the curvature beside the unit matrix is
 # reduced pivot by pivot, which leaves its inverse, and the weights move by the inverse times the slope.
 NEWTON = 9
-for _k in range(NEWTON + 1):
-    R[f"drvc{_k}"] = f"""
-WITH p AS (SELECT x, y, len(x) AS d, 1 / (1 + exp(-list_dot_product(x, w))) AS p FROM drvx, drvw{_k} WHERE NOT is_test),
+
+
+def newton(name: str) -> None:
+    """Relations of the weights w0, w1 ... and of the inverse curvature m0, m1 ... for the inputs in relation x."""
+    R[f"{name}w0"] = f"SELECT list_transform(x, lambda e: 0.0e0) AS w FROM {name}x LIMIT 1"
+    for _k in range(NEWTON + 1):
+        R[f"{name}c{_k}"] = f"""
+WITH p AS (SELECT x, y, len(x) AS d, 1 / (1 + exp(-list_dot_product(x, w))) AS p FROM {name}x, {name}w{_k} WHERE NOT is_test),
 cells AS (SELECT a.i, b.j, sum(p * (1 - p) * x[a.i] * x[b.j]) + CASE WHEN a.i = b.j AND a.i < any_value(d) THEN 1 ELSE 0 END AS h
           FROM p, unnest(range(1, d + 1)) AS a(i), unnest(range(1, d + 1)) AS b(j) GROUP BY 1, 2)
 SELECT i, list(h ORDER BY j) AS h FROM cells GROUP BY 1"""
-    R[f"drvm{_k}"] = f"""
+        R[f"{name}m{_k}"] = f"""
 WITH RECURSIVE g AS (
-  SELECT 1 AS k, list(list_concat(h, list_transform(h, lambda e, c: CASE WHEN c = i THEN 1.0e0 ELSE 0.0e0 END)) ORDER BY i) AS m FROM drvc{_k}
+  SELECT 1 AS k, list(list_concat(h, list_transform(h, lambda e, c: CASE WHEN c = i THEN 1.0e0 ELSE 0.0e0 END)) ORDER BY i) AS m FROM {name}c{_k}
   UNION ALL
   SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda e: e / r[k])
                                                ELSE list_transform(r, lambda e, c: e - r[k] * m[k][c] / m[k][k]) END)
   FROM g WHERE k <= len(m))
 SELECT list_transform(m, lambda r: r[len(m) + 1:]) AS inv FROM g WHERE k = len(m) + 1"""
-    R[f"drvw{_k + 1}"] = f"""
-WITH p AS (SELECT x, y, 1 / (1 + exp(-list_dot_product(x, w))) AS p FROM drvx, drvw{_k} WHERE NOT is_test),
+        R[f"{name}w{_k + 1}"] = f"""
+WITH p AS (SELECT x, y, 1 / (1 + exp(-list_dot_product(x, w))) AS p FROM {name}x, {name}w{_k} WHERE NOT is_test),
 slopes AS (SELECT a.i, sum((p - y) * x[a.i]) AS s FROM p, unnest(range(1, len(x) + 1)) AS a(i) GROUP BY 1),
-slope AS (SELECT list(s + CASE WHEN i < len(w) THEN w[i] ELSE 0 END ORDER BY i) AS g FROM slopes, drvw{_k})
-SELECT list_transform(w, lambda e, i: e - list_dot_product(inv[i], g)) AS w FROM drvw{_k}, slope, drvm{_k}"""
+slope AS (SELECT list(s + CASE WHEN i < len(w) THEN w[i] ELSE 0 END ORDER BY i) AS g FROM slopes, {name}w{_k})
+SELECT list_transform(w, lambda e, i: e - list_dot_product(inv[i], g)) AS w FROM {name}w{_k}, slope, {name}m{_k}"""
+
+
+newton("drv")
 REACH = "1.959963984540054e0"
 R["drvt"] = f"""
 SELECT feature, w[i] AS coef, sqrt(inv[i][i]) AS se FROM drvn, drvw{NEWTON}, drvm{NEWTON}"""
@@ -793,6 +820,45 @@ FROM drvt WHERE %s ORDER BY abs(drvt.coef) DESC LIMIT 12"""
 Q["top_drivers"] = EFFECTS % f"abs(coef / se) > {REACH}"
 Q["largest_effects"] = EFFECTS % "TRUE"
 
+# -------------------------------------------------------- temporal split ---
+CUTS, CUT_STEP, CUT_WIDTH = 4, 180, 90
+R["cuts"] = f"SELECT d1 - {OUTCOME} - CAST({CUT_STEP} * u.k AS INTEGER) AS cutoff, u.k = 0 AS is_test FROM span, unnest(range(0, {CUTS})) AS u(k)"
+# Inputs of a cutoff are made from the attempts up to it alone, the outcome from those after it.
+R["cuttx"] = "SELECT cutoff, is_test, tx.* FROM cuts JOIN tx ON txn_date <= cutoff"
+R["cutin"] = f"""
+WITH cells AS (SELECT DISTINCT merchant_id, cutoff, txn_date, issuer_bank FROM cuttx WHERE txn_date > cutoff - {CUT_WIDTH}),
+c AS (SELECT merchant_id, cutoff, count(*) AS cells FROM cells GROUP BY 1, 2),
+a AS (SELECT merchant_id, cutoff, any_value(is_test) AS is_test, min(txn_date) AS first, max(txn_date) FILTER (ok) AS won_at,
+             count_if(txn_date > cutoff - {CUT_WIDTH}) AS tried, count_if(ok AND txn_date > cutoff - {CUT_WIDTH}) AS won,
+             coalesce(sum(paise) FILTER (ok AND txn_date > cutoff - {CUT_WIDTH}), 0) AS tpv,
+             count_if(txn_date <= cutoff - {CUT_WIDTH} AND txn_date > cutoff - 2 * {CUT_WIDTH}) AS tried0,
+             count_if(ok AND txn_date <= cutoff - {CUT_WIDTH} AND txn_date > cutoff - 2 * {CUT_WIDTH}) AS won0
+      FROM cuttx GROUP BY 1, 2)
+SELECT merchant_id, cutoff, is_test, {big('cutoff - coalesce(won_at, first)')} AS recency_days, {big('cutoff - first')} AS tenure_days,
+       {big('tried')} AS attempted_txns, {big('cells')} AS active_issuer_days, {ratio('won', 'tried', 6)} AS success_rate,
+       coalesce({ratio('won', 'tried', 6)} - {ratio('won0', 'tried0', 6)}, 0) AS success_trend, {rupees('tpv')} AS tpv_inr
+FROM a JOIN c USING (merchant_id, cutoff)"""
+R["cutout"] = f"""
+SELECT DISTINCT merchant_id, cutoff FROM cuts JOIN tx ON ok AND txn_date > cutoff AND txn_date <= cutoff + {OUTCOME}"""
+R["tmp"] = """
+SELECT i.*, CAST(o.merchant_id IS NULL AS INTEGER) AS churned FROM cutin i LEFT JOIN cutout o USING (merchant_id, cutoff)"""
+Q["temporal_features"] = "SELECT * FROM tmp"
+TEMPORAL = ["recency_days", "tenure_days", "attempted_txns", "active_issuer_days", "success_rate", "success_trend", "tpv_inr"]
+R["tmpx"] = f"""
+WITH s AS (SELECT {', '.join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in TEMPORAL)}
+           FROM tmp WHERE NOT is_test)
+SELECT merchant_id, cutoff, CAST(churned AS DOUBLE) AS y, is_test, [{', '.join(f'({c} - m_{c}) / s_{c}' for c in TEMPORAL)}, 1.0e0] AS x FROM tmp, s"""
+newton("tmp")
+R["tmpp"] = f"SELECT merchant_id, cutoff, y, is_test, round(1 / (1 + exp(-list_dot_product(x, w))), 9) AS score FROM tmpx, tmpw{NEWTON}"
+Q["temporal_scores"] = "SELECT merchant_id, cutoff, y AS churned, is_test, score FROM tmpp"
+R["bytmp"] = R["byscore"].replace("FROM scr", "FROM tmpp WHERE is_test")
+R["cumtmp"] = R["cumscore"].replace("FROM byscore", "FROM bytmp")
+Q["temporal_metrics"] = f"""
+SELECT (SELECT count_if(NOT is_test) FROM tmpp) AS n_train, (SELECT count_if(is_test) FROM tmpp) AS n_test,
+       (SELECT round(avg(y) FILTER (NOT is_test), 4) FROM tmpp) AS train_base_rate, (SELECT round(avg(y) FILTER (is_test), 4) FROM tmpp) AS test_base_rate,
+       roc_auc, average_precision, brier
+FROM ({Q['ranking_metrics'].replace('FROM cumscore', 'FROM cumtmp')})"""
+
 R["seg"] = "SELECT *, CAST(m_score - 1 AS BIGINT) AS segment_id FROM elig"
 PROF = ["avg_monthly_tpv", "avg_monthly_txns", "success_rate_3m_at_cutoff", "sr_trend", "recency_days",
         "tenure_months", "p90_gap_days", "tickets_unresolved", "degraded_issuer_exposure"]
@@ -842,12 +908,22 @@ WITH k AS (SELECT {big('(SELECT sum(tried) FROM bm)')} AS attempts, {rupees('(SE
              {ratio("(SELECT count_if(silent >= 65) FROM cs JOIN rr USING (merchant_id))", '(SELECT count(*) FROM cs)', 4)} AS confirmed_churn_rate,
              (SELECT annualised_revenue_at_risk FROM rar WHERE status = 'at_risk') AS revenue_at_risk)
 SELECT *, {short_money('tpv_inr')} AS tpv_text, {short_money('revenue_at_risk')} AS revenue_at_risk_text FROM k"""
+
+
+def triangle_sql(width: int) -> str:
+    return "SELECT cohort_month, " + ", ".join(
+        f"max(CASE WHEN month_index = {i} THEN logo_retention END) AS m{i}" for i in range(width)) + " FROM coh GROUP BY 1"
+
+
+def heatmap_sql(months: list[str]) -> str:
+    return "SELECT issuer_bank, " + ", ".join(
+        f"max(CASE WHEN strftime(month, '%Y_%m') = '{m}' THEN sr END) AS \"{m}\"" for m in months) + " FROM bm GROUP BY 1"
+
+
+# Columns for the calendar of the folders from sf0.01 on; tests write those of another calendar.
 MONTHS = 83
-Q["cohort_triangle_pivot"] = "SELECT cohort_month, " + ", ".join(
-    f"max(CASE WHEN month_index = {i} THEN logo_retention END) AS m{i}" for i in range(MONTHS)) + " FROM coh GROUP BY 1"
-Q["issuer_month_heatmap"] = "SELECT issuer_bank, " + ", ".join(
-    f"max(CASE WHEN strftime(month, '%Y_%m') = '{1995 + i // 12}_{i % 12 + 1:02d}' THEN sr END) AS \"{1995 + i // 12}_{i % 12 + 1:02d}\""
-    for i in range(MONTHS)) + " FROM bm GROUP BY 1"
+Q["cohort_triangle_pivot"] = triangle_sql(MONTHS)
+Q["issuer_month_heatmap"] = heatmap_sql([f"{1995 + i // 12}_{i % 12 + 1:02d}" for i in range(MONTHS)])
 Q["flow_series"] = f"""
 SELECT month, 'new' AS flow, {big('fresh')} AS merchants FROM nh WHERE edge = 0
 UNION ALL SELECT month, 'reactivated', back FROM nh WHERE edge = 0
