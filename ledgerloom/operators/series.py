@@ -6,7 +6,7 @@ month, so fitting is a fold over an array and series scale out as rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,6 +101,16 @@ def _rms(errors: Column) -> Column:
     return F.sqrt(sse / F.nullif(F.size(errors), F.lit(0)))
 
 
+def spreads(h: int, weight: Callable[[Column], Column]) -> Column:
+    """Deviation of the error after 1 .. h steps, in deviations of one step.
+
+    A model in moving-average form passes a one-step error on to the value `j` steps later by `weight(j)`, and by 1 to its
+    own; the errors of the steps are independent, so their squared weights add up.
+    """
+    return F.transform(_steps(h), lambda s: F.sqrt(F.aggregate(
+        F.sequence(F.lit(0), s - 1), F.lit(0.0), lambda acc, j: acc + F.when(j == 0, 1.0).otherwise(F.pow(weight(j), 2.0)))))
+
+
 def baseline_paths(arrays: DataFrame, h: int, season: int) -> DataFrame:
     """Last value, straight-line drift, and the same month last year (needs more than a year)."""
     ys, n = F.col("ys"), F.size("ys")
@@ -111,14 +121,18 @@ def baseline_paths(arrays: DataFrame, h: int, season: int) -> DataFrame:
                         F.slice(ys, F.lit(1), F.greatest(n - season, F.lit(0))), lambda a, b: a - b)
     models = F.array(
         F.struct(F.lit("naive_last_value").alias("model"),
-                 F.transform(_steps(h), lambda s: last).alias("path"), _rms(changes).alias("sigma")),
+                 F.transform(_steps(h), lambda s: last).alias("path"), _rms(changes).alias("sigma"),
+                 F.transform(_steps(h), lambda s: F.sqrt(s.cast("double"))).alias("spread")),
         F.struct(F.lit("drift").alias("model"),
                  F.transform(_steps(h), lambda s: last + slope * s).alias("path"),
-                 _rms(F.transform(changes, lambda c: c - slope)).alias("sigma")),
+                 _rms(F.transform(changes, lambda c: c - slope)).alias("sigma"),
+                 # the slope is estimated too, from n - 1 changes
+                 F.transform(_steps(h), lambda s: F.sqrt(s * (1 + s / F.nullif(n - 1, F.lit(0))))).alias("spread")),
         F.struct(F.lit("seasonal_naive").alias("model"),
                  F.when(n > season, F.transform(
                      _steps(h), lambda s: F.try_element_at(ys, n - season + (s - 1) % season + 1))).alias("path"),
-                 F.when(n > season, _rms(yearly)).alias("sigma")),
+                 F.when(n > season, _rms(yearly)).alias("sigma"),
+                 F.transform(_steps(h), lambda s: F.sqrt(F.floor((s - 1) / season) + 1.0)).alias("spread")),
     )
     return arrays.select(*carried(arrays), F.inline(models)).filter(F.col("path").isNotNull())
 
@@ -145,13 +159,18 @@ def holt_paths(arrays: DataFrame, h: int, params: Params) -> DataFrame:
     fits = tried.withColumn("fit", F.aggregate(F.slice(ys, F.lit(2), F.size(ys) - 1), start, step))
     best = fits.groupBy(*keys).agg(
         F.min_by(F.struct("g", "fit", F.size("ys").alias("n")), F.struct("fit.sse", "g.a", "g.b", "g.p")).alias("w"))
-    damp = F.col("w.g.p")
-    reach = F.transform(_steps(h), lambda s: F.aggregate(
-        F.sequence(F.lit(1), s), F.lit(0.0), lambda acc, i: acc + F.pow(damp, i.cast("double"))))
+    damp, a, b = F.col("w.g.p"), F.col("w.g.a"), F.col("w.g.b")
+
+    def reached(s: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), s), F.lit(0.0), lambda acc, i: acc + F.pow(damp, i.cast("double")))
+
+    reach = F.transform(_steps(h), reached)
     return best.select(
         *keys, F.lit("holt_damped").alias("model"),
         F.transform(reach, lambda r: F.col("w.fit.level") + r * F.col("w.fit.trend")).alias("path"),
-        F.sqrt(F.col("w.fit.sse") / (F.col("w.n") - 1)).alias("sigma"))
+        F.sqrt(F.col("w.fit.sse") / (F.col("w.n") - 1)).alias("sigma"),
+        # an error moves the level by a and the trend by a b, which is damped from then on
+        spreads(h, lambda j: a + a * b * reached(j)).alias("spread"))
 
 
 def arima_paths(arrays: DataFrame, h: int, params: Params, intervention: bool = False) -> DataFrame:
@@ -183,12 +202,17 @@ def arima_paths(arrays: DataFrame, h: int, params: Params, intervention: bool =
         F.struct("g", "fit", "beta", "x_future", F.element_at("zs", -1).alias("z"), F.size("ws").alias("n")),
         F.struct("fit.css", "g.f", "g.t")).alias("m"))
     # First step uses both terms; later changes decay by phi.
-    w1 = F.col("m.g.f") * F.col("m.fit.w") + F.col("m.g.t") * F.col("m.fit.e")
-    levels = F.transform(_steps(h), lambda s: F.col("m.z") + F.aggregate(
-        F.sequence(F.lit(1), s), F.lit(0.0),
-        lambda acc, i: acc + w1 * F.pow(F.col("m.g.f"), (i - 1).cast("double"))))
+    phi, theta = F.col("m.g.f"), F.col("m.g.t")
+    w1 = phi * F.col("m.fit.w") + theta * F.col("m.fit.e")
+
+    def decayed(s: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), s), F.lit(0.0), lambda acc, i: acc + F.pow(phi, (i - 1).cast("double")))
+
+    levels = F.transform(_steps(h), lambda s: F.col("m.z") + w1 * decayed(s))
     if intervention:
         levels = F.zip_with(levels, F.col("m.x_future"), lambda y, x: y + F.col("m.beta") * x)
     name = "arima_with_intervention" if intervention else "arima"
     return best.select(*keys, F.lit(name).alias("model"), levels.alias("path"),
-                       F.sqrt(F.col("m.fit.css") / F.greatest(F.col("m.n") - 1, F.lit(1))).alias("sigma"))
+                       F.sqrt(F.col("m.fit.css") / F.greatest(F.col("m.n") - 1, F.lit(1))).alias("sigma"),
+                       # an error changes the next month by phi + theta, which decays by phi; changes add up to the level
+                       spreads(h, lambda j: 1 + (phi + theta) * decayed(j)).alias("spread"))

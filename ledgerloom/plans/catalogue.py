@@ -264,6 +264,7 @@ QUERIES: dict[str, Query] = {
     "forecast_leaderboard": lambda w: forecasts.leaderboard(w["forecast_errors"]),
     "forecast_top_models": lambda w: forecasts.top_models(w["forecast_errors"]),
     "forecast_rolling_holdout": lambda w: w["forecast_rolling"],
+    "forecast_coverage": lambda w: forecasts.interval_coverage(w["forecast_rolling"]),
     "forecast_rolling": lambda w: forecasts.rolling_errors(w["forecast_rolling"]),
     "forecast_rolling_leaderboard": lambda w: forecasts.leaderboard(forecasts.rolling_errors(w["forecast_rolling"])),
     "forecast_projection": lambda w: w["forecast_projection"],

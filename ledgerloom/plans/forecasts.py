@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.exact import ratio, sum_rupees
@@ -62,15 +62,15 @@ def holdout_predictions(panel: DataFrame, params: Params, models: str = "all",
     """Predicted beside actual for the held-out months."""
     h = params.holdout_months
     rows = paths(S.as_arrays(panel, "series", h, partitions=partitions), h, params, models)
-    return beside_actuals(rows).drop("origin")
+    return beside_actuals(rows).drop("origin", "lo80", "hi80")
 
 
 def beside_actuals(rows: DataFrame) -> DataFrame:
     return rows.select(
-        "series", "model", "origin", F.posexplode(F.arrays_zip("actuals", "path"))).select(
+        "series", "model", "origin", "sigma", F.posexplode(F.arrays_zip("actuals", "path", "spread"))).select(
         "series", "model", "origin", (F.col("pos") + 1).cast("bigint").alias("step"),
         F.add_months("origin", F.col("pos") + 1).alias("month"),
-        F.col("col.actuals").alias("y"), F.round("col.path", 2).alias("predicted"))
+        F.col("col.actuals").alias("y"), F.round("col.path", 2).alias("predicted"), *interval())
 
 
 def rolling_predictions(panel: DataFrame, params: Params, partitions: int | None = None) -> DataFrame:
@@ -89,6 +89,13 @@ def rolling_errors(predictions: DataFrame) -> DataFrame:
     return forecast_errors(predictions).join(origins, ["series", "model"])
 
 
+def interval_coverage(predictions: DataFrame) -> DataFrame:
+    """How many actual values lie inside the 80 % interval, by model and step ahead."""
+    inside = F.count_if(F.col("y").between(F.col("lo80"), F.col("hi80")))
+    return predictions.filter(F.col("lo80").isNotNull()).groupBy("model", "step").agg(
+        F.count("*").alias("points"), inside.alias("inside"), ratio(inside, F.count("*"), 4).alias("coverage"))
+
+
 def forecast_errors(predictions: DataFrame) -> DataFrame:
     """MAPE over months with a non-zero actual, and MAE, per series and model."""
     miss = F.abs(F.col("y") - F.col("predicted"))
@@ -122,11 +129,15 @@ def projection(panel: DataFrame, board: DataFrame, params: Params,
     rows = paths(S.as_arrays(panel, "series", 0, h, partitions), h, params)
     won = rows.join(board.select("series", F.col("best_model").alias("model")), ["series", "model"])
     ahead = F.col("pos") + 1
-    half = F.lit(Z80) * F.col("sigma") * F.sqrt(ahead.cast("double"))
-    return won.select("series", "model", "origin", "sigma", F.posexplode("path")).select(
+    return won.select("series", "model", "origin", "sigma", F.posexplode(F.arrays_zip("path", "spread"))).select(
         "series", "model", ahead.cast("bigint").alias("step"), F.add_months("origin", ahead).alias("month"),
-        F.round("col", 2).alias("tpv_inr"), F.round(F.col("col") - half, 2).alias("lo80"),
-        F.round(F.col("col") + half, 2).alias("hi80"))
+        F.round("col.path", 2).alias("tpv_inr"), *interval())
+
+
+def interval() -> list[Column]:
+    """Bounds of a step, its error as wide as the model's moving-average form makes it."""
+    half = F.lit(Z80) * F.col("sigma") * F.col("col.spread")
+    return [F.round(F.col("col.path") - half, 2).alias("lo80"), F.round(F.col("col.path") + half, 2).alias("hi80")]
 
 
 def forecast_bridge(panel: DataFrame, projected: DataFrame) -> DataFrame:

@@ -549,7 +549,7 @@ h AS (
          h.sse + (t.y - {ahead}) * (t.y - {ahead})
   FROM h JOIN {train} t ON t.series = h.series AND t.i = h.i + 1)
 SELECT series, any_value(n) AS n, arg_min(level, (sse, a, b, p)) AS level, arg_min(trend, (sse, a, b, p)) AS trend,
-       arg_min(p, (sse, a, b, p)) AS p, min(sse) AS sse FROM h WHERE i = n GROUP BY series"""
+       arg_min(p, (sse, a, b, p)) AS p, arg_min(a, (sse, a, b, p)) AS a, arg_min(b, (sse, a, b, p)) AS b, min(sse) AS sse FROM h WHERE i = n GROUP BY series"""
 
 
 def arima_sql(train: str, beta: bool) -> str:
@@ -568,7 +568,7 @@ r AS (
   SELECT r.series, r.f, r.t, r.n, r.beta, ws.i, ws.z, ws.w, ws.w - r.f * r.w - r.t * r.e,
          r.css + (ws.w - r.f * r.w - r.t * r.e) * (ws.w - r.f * r.w - r.t * r.e)
   FROM r JOIN ws ON ws.series = r.series AND ws.i = r.i + 1)
-SELECT series, any_value(n) AS n, any_value(beta) AS beta, any_value(z) AS z, arg_min(f, (css, f, t)) AS f,
+SELECT series, any_value(n) AS n, any_value(beta) AS beta, any_value(z) AS z, arg_min(f, (css, f, t)) AS f, arg_min(t, (css, f, t)) AS t,
        arg_min(f * w + t * e, (css, f, t)) AS w1, min(css) AS css FROM r WHERE i = n GROUP BY series"""
 
 
@@ -617,25 +617,50 @@ R["ph"] = holt_sql("ser")
 R["pa"] = arima_sql("ser", False)
 R["px"] = arima_sql("ser", True)
 R["pf"] = fitted_sql("ph", "pa", "px", AHEAD, "0")
-R["sig"] = f"""
+
+
+def sigma_sql(train: str, holt: str, arima: str, arimax: str) -> str:
+    return f"""
 WITH d AS (SELECT series, i, n, y - lag(y) OVER w AS d1, y - lag(y, {SEASON}) OVER w AS d12,
                   (last_value(y) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
                    - first_value(y) OVER (PARTITION BY series ORDER BY i)) / (n - 1) AS slope
-           FROM ser WINDOW w AS (PARTITION BY series ORDER BY i))
+           FROM {train} WINDOW w AS (PARTITION BY series ORDER BY i))
 SELECT series, 'naive_last_value' AS model, sqrt(sum(d1 * d1) / count(d1)) AS sigma FROM d GROUP BY 1
 UNION ALL SELECT series, 'drift', sqrt(sum((d1 - slope) * (d1 - slope)) / count(d1)) FROM d GROUP BY 1
 UNION ALL SELECT series, 'seasonal_naive', sqrt(sum(d12 * d12) / count(d12)) FROM d GROUP BY 1
-UNION ALL SELECT series, 'holt_damped', sqrt(sse / (n - 1)) FROM ph
-UNION ALL SELECT series, 'arima', sqrt(css / greatest(n - 2, 1)) FROM pa
-UNION ALL SELECT series, 'arima_with_intervention', sqrt(css / greatest(n - 2, 1)) FROM px"""
+UNION ALL SELECT series, 'holt_damped', sqrt(sse / (n - 1)) FROM {holt}
+UNION ALL SELECT series, 'arima', sqrt(css / greatest(n - 2, 1)) FROM {arima}
+UNION ALL SELECT series, 'arima_with_intervention', sqrt(css / greatest(n - 2, 1)) FROM {arimax}"""
+
+
+def spread_sql(train: str, holt: str, arima: str, arimax: str, h: int) -> str:
+    """Deviation of the error of a step: squared weights of the moving-average form, added up."""
+    s = f"(SELECT u.step FROM unnest(range(1, {h} + 1)) AS u(step)) s"
+
+    def summed(weight: str) -> str:
+        return f"sqrt(1 + coalesce(list_sum(list_transform(range(1, s.step), lambda j: pow({weight}, 2))), 0))"
+    holt_w = "a + a * b * list_sum(list_transform(range(1, j + 1), lambda k: pow(p, k)))"
+    arima_w = "1 + (f + t) * list_sum(list_transform(range(0, j), lambda k: pow(f, k)))"
+    return f"""
+SELECT series, 'naive_last_value' AS model, s.step, sqrt(s.step) AS spread FROM (SELECT DISTINCT series FROM {train}), {s}
+UNION ALL SELECT series, 'drift', s.step, sqrt(s.step * (1 + s.step / CAST(n - 1 AS DOUBLE))) FROM (SELECT DISTINCT series, n FROM {train}), {s}
+UNION ALL SELECT series, 'seasonal_naive', s.step, sqrt((s.step - 1) // {SEASON} + 1) FROM (SELECT DISTINCT series FROM {train}), {s}
+UNION ALL SELECT series, 'holt_damped', s.step, {summed(holt_w)} FROM {holt}, {s}
+UNION ALL SELECT series, 'arima', s.step, {summed(arima_w)} FROM {arima}, {s}
+UNION ALL SELECT series, 'arima_with_intervention', s.step, {summed(arima_w)} FROM {arimax}, {s}"""
+
+
+R["sig"] = sigma_sql("ser", "ph", "pa", "px")
+R["spr"] = spread_sql("ser", "ph", "pa", "px", AHEAD)
 R["proj"] = """
 SELECT p.series, p.model, CAST(p.step AS BIGINT) AS step,
        CAST(l.m1 + to_months(CAST(p.step AS INTEGER)) AS DATE) AS month, round(p.p, 2) AS tpv_inr,
-       round(p.p - 1.2815515655446004e0 * sig.sigma * sqrt(CAST(p.step AS DOUBLE)), 2) AS lo80,
-       round(p.p + 1.2815515655446004e0 * sig.sigma * sqrt(CAST(p.step AS DOUBLE)), 2) AS hi80
+       round(p.p - 1.2815515655446004e0 * sig.sigma * spr.spread, 2) AS lo80,
+       round(p.p + 1.2815515655446004e0 * sig.sigma * spr.spread, 2) AS hi80
 FROM (SELECT * FROM pb UNION ALL SELECT * FROM pf) p
 JOIN brd ON brd.series = p.series AND brd.best_model = p.model
 JOIN sig ON sig.series = p.series AND sig.model = p.model
+JOIN spr ON spr.series = p.series AND spr.model = p.model AND spr.step = p.step
 JOIN (SELECT series, max(month) AS m1 FROM ser GROUP BY 1) l ON l.series = p.series"""
 
 Q["holdout_split"] = f"""
@@ -664,9 +689,17 @@ R["ra"] = arima_sql("rtrn", False)
 R["rx"] = arima_sql("rtrn", True)
 R["rf"] = fitted_sql("rh", "ra", "rx", HOLD, "(SELECT q.x FROM rser q WHERE q.sid = a.series AND q.i = a.n + s.step)")
 R["rpred0"] = "SELECT * FROM rb UNION ALL SELECT * FROM rf"
+R["rsig"] = sigma_sql("rtrn", "rh", "ra", "rx")
+R["rspr"] = spread_sql("rtrn", "rh", "ra", "rx", HOLD)
 R["rpred"] = f"""
-SELECT q.series, h.model, CAST(q.month - to_months(CAST(h.step AS INTEGER)) AS DATE) AS origin, CAST(h.step AS BIGINT) AS step, q.month, q.y, round(h.p, 2) AS predicted
-FROM rpred0 h JOIN rser q ON q.sid = h.series AND q.i = q.n - {HOLD} - q.back + h.step"""
+SELECT q.series, h.model, CAST(q.month - to_months(CAST(h.step AS INTEGER)) AS DATE) AS origin, CAST(h.step AS BIGINT) AS step, q.month, q.y, round(h.p, 2) AS predicted,
+       round(h.p - 1.2815515655446004e0 * rsig.sigma * rspr.spread, 2) AS lo80, round(h.p + 1.2815515655446004e0 * rsig.sigma * rspr.spread, 2) AS hi80
+FROM rpred0 h JOIN rsig ON rsig.series = h.series AND rsig.model = h.model
+JOIN rspr ON rspr.series = h.series AND rspr.model = h.model AND rspr.step = h.step
+JOIN rser q ON q.sid = h.series AND q.i = q.n - {HOLD} - q.back + h.step"""
+Q["forecast_coverage"] = f"""
+SELECT model, step, count(*) AS points, count_if(y BETWEEN lo80 AND hi80) AS inside, {ratio('count_if(y BETWEEN lo80 AND hi80)', 'count(*)', 4)} AS coverage
+FROM rpred GROUP BY 1, 2"""
 Q["forecast_rolling_holdout"] = "SELECT * FROM rpred"
 R["rerr"] = f"SELECT e.*, o.origins FROM ({errors_sql('rpred')}) e JOIN (SELECT series, model, count(DISTINCT origin) AS origins FROM rpred GROUP BY 1, 2) o USING (series, model)"
 Q["forecast_rolling"] = "SELECT * FROM rerr"

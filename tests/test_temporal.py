@@ -105,3 +105,22 @@ def test_rolling_origins_see_only_their_past(spark):
     assert {r.model: r.origins for r in errors}["drift"] == 4
     short = S.as_arrays(panel.filter("month < '2023-06-01'"), "series", 3, origins=4)
     assert sorted(len(r.ys) for r in short.collect()) == [1, 2]
+
+
+def test_spreads_are_how_an_error_reaches_later_months(spark):
+    """With one grid point a fit is linear: what a last value larger by one adds to the path are the weights."""
+    p = Params(holt_grid=(0.3,), damping_grid=(0.9,), arma_grid=(0.6,))
+    y = [float(v) for v in (10, 12, 9, 15, 20, 14, 18, 25, 22, 30, 28, 26, 33, 31, 40)]
+
+    def found(values):
+        rows = [("s", dt.date(2023 + k // 12, k % 12 + 1, 1), v, 0) for k, v in enumerate(values)]
+        arrays = S.as_arrays(spark.createDataFrame(rows, "series string, month date, y double, x int"), "series", 0, 6)
+        return {r.model: r for r in forecasts.paths(arrays, 6, p).collect()}
+
+    base, moved = found(y), found([*y[:-1], y[-1] + 1])
+    for model in ("naive_last_value", "holt_damped", "arima", "arima_with_intervention"):
+        weights = np.r_[1.0, np.subtract(moved[model].path, base[model].path)[:-1]]
+        assert base[model].spread == pytest.approx(np.sqrt(np.cumsum(weights ** 2)))
+    assert base["seasonal_naive"].spread == [1.0] * 6
+    n = len(y)
+    assert base["drift"].spread == pytest.approx([np.sqrt(h * (1 + h / (n - 1))) for h in range(1, 7)])
