@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +24,51 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table written to the shared folder: cuts lineage and survives lost executors."""
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """`df` as a table written to the shared folder: cuts lineage and survives lost executors.
+
+    Inside `scratch` it goes with the scope, unless it is to be kept; outside it stays until someone deletes it.
+    """
     path = f"{shared_folder(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex[:12]}"
+    if (scope := _scratch.get()) is not None and not keep:
+        scope.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables staged inside when it is left; what is made of them must have been written by then."""
+    paths: list[str] = []
+    token = _scratch.set(paths)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def any_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on documents whose extra columns may be named like its own work columns, which start with an underscore.
+
+    Such columns have other names while the operator works and come back under their own. Its key, text and parameters
+    name columns without an underscore in front.
+    """
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        taken = {c: f"extra_{i}_{uuid.uuid4().hex[:8]}" for i, c in enumerate(docs.columns) if c.startswith("_")}
+        if not taken:
+            return operator(docs, *args, **kwargs)
+        out = operator(docs.withColumnsRenamed(taken), *args, **kwargs)
+        return out.withColumnsRenamed({new: c for c, new in taken.items()})
+    return run
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = MAX_BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that `column` holds about `limit` bytes at most, or a single row."""
     for batch in batches:

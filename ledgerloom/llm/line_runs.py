@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.frames import arrow_schema, numbered, pieces, stage
+from ledgerloom.llm.frames import any_names, arrow_schema, numbered, pieces, stage
 
 
 @dataclass(frozen=True)
@@ -93,6 +93,7 @@ def copied_lines(lines: DataFrame, params: LineParams) -> DataFrame:
     return gone.union(windows).distinct()
 
 
+@any_names
 def drop_copies(docs: DataFrame, params: LineParams = LineParams(), key: str = "doc_id") -> DataFrame:
     """`docs` with the later copies of repeated lines cut from `text`, and `n_lines`, `n_removed` (of the input's lines)."""
     ids = stage(line_ids(docs, key), "line_ids")

@@ -29,11 +29,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.frames import arrow_schema, pieces
+from ledgerloom.llm.frames import any_names, arrow_schema, pieces
 from ledgerloom.llm.textstats import RATES, profile, rates
 
 
@@ -191,7 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", params: FM
         if parts:
             data = pd.concat(parts, ignore_index=True)
             # The same bounded rows in the same order, however tasks delivered them.
-            data["_k"] = [hash(x.tobytes()) for x in data["stats"]]
+            data["_k"] = [xxhash.xxh64_intdigest(i.tobytes() + v.tobytes() + x.tobytes())
+                          for i, v, x in zip(data["ids"], data["values"], data["stats"])]
             data = data.sort_values(["_k", "y"], kind="stable")
             starts = np.r_[0, np.cumsum(data["ids"].map(len))]
             machine = FactorisationMachine(params).fit(
@@ -208,6 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", params: FM
     return machine
 
 
+@any_names
 def score(docs: DataFrame, machine: FactorisationMachine, out: str = "score") -> DataFrame:
     """`docs` with the probability of a good document in column `out`; one pass, no shuffle."""
     names = tuple(f"_meta_{m}" for m in machine.params.metadata)

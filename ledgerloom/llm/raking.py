@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.frames import stage
+from ledgerloom.llm.frames import any_names, stage
 
 
 @dataclass(frozen=True)
@@ -94,6 +94,7 @@ def scale(cells: DataFrame, keep: float) -> float:
         full, factor = x["n"], (keep * goal - (x["t"] or 0.0)) / x["w"]
 
 
+@any_names
 def mix(docs: DataFrame, params: MixParams = MixParams(), key: str = "doc_id", dims: dict[str, Column] | None = None) -> DataFrame:
     """`docs` with `tokens`, the cell's `weight` per token, the `probability`, and `sampled`.
 

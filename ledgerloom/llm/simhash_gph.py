@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.frames import arrow_schema, pieces, stage
+from ledgerloom.llm.frames import any_names, arrow_schema, pieces, stage
 from pyspark.sql import types as T
 
 BLOCK = 11
@@ -313,6 +313,7 @@ def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams(), ke
     return rows.join(lookup, "fp").select(key, "fp", "component_id")
 
 
+@any_names
 def one_of_each(docs: DataFrame, params: SimHashParams = SimHashParams(), key: str = "doc_id") -> DataFrame:
     """`docs` without near-duplicates: of every component the row with its id stays.
 

@@ -33,7 +33,8 @@ def clashing(odd_docs):
     """The odd rows with extra columns named like what operators add or use inside."""
     from pyspark.sql import functions as F
     names = ["score", "kept", "anomaly", "n_words", "tokens", "weight", "probability", "sampled", "topic", "n_lines", "n_removed",
-             "fp", "component_id", "key", "t", "part", "rank", "item", "_label"]
+             "fp", "component_id", "key", "t", "part", "rank", "item", "_label",
+             "_meta_n_chars", "_dim_source", "__id", "__u", "__t", "__t1", "__t2", "__first", "__gone", "__copy"]
     return odd_docs.withColumns({n: F.lit("x") for n in names})
 
 

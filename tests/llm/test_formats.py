@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ledgerloom.llm import best_fit, order_minhash, prefix_tree, queries, raking
+from ledgerloom.llm import best_fit, frames, line_runs, order_minhash, prefix_tree, quality_fm, queries, raking, simhash_gph
 from ledgerloom.llm.bpe import decoder, encoder, ids_of
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -231,3 +231,36 @@ def test_pipeline(spark, folder, documents):
     assert kept[1].count() == kept[0].count() and kept[2].count() < kept[1].count()
     assert {r.doc_id for r in kept[4].collect()} == {r.doc_id for r in kept[3].collect()}
     check_packing(kept[4].collect(), 2048)
+
+
+@pytest.mark.parametrize("table", ["odd_docs", "clashing", "empty"])
+def test_pipeline_stages_on_odd_input(spark, folder, request, table):
+    docs = request.getfixturevalue(table)
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, docs, folder)
+        rows = out.collect()
+        if name == "best-fit packing":
+            check_packing(rows, 2048)
+        else:
+            assert out.columns == docs.columns and len(rows) <= docs.count()
+        if table == "empty":
+            assert rows == []
+
+
+def test_private_columns_come_back(clashing, labels):
+    names = [c for c in clashing.columns if c.startswith("_")]
+    for out in (quality_fm.score(clashing, quality_fm.train(clashing, labels)), raking.mix(clashing, dims={"topic": raking.topic_of(F.col("text"))}),
+                simhash_gph.one_of_each(clashing), line_runs.drop_copies(clashing)):
+        assert len(names) == 11 and {tuple(r) for r in out.select(*names).collect()} == {("x",) * len(names)}
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    with frames.scratch(spark):
+        gone = frames.stage(spark.range(3), "gone")
+        kept = frames.stage(gone.selectExpr("id + 1 AS id"), "kept", keep=True)
+        path = gone.inputFiles()[0]
+    assert sorted(r.id for r in kept.collect()) == [1, 2, 3]
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
+    outside = frames.stage(spark.range(2), "outside")
+    assert outside.count() == 2
