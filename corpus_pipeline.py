@@ -1,4 +1,11 @@
-"""From raw documents to packed training sequences, one operator per stage."""
+"""From raw documents to packed training sequences, one operator per stage.
+
+A null text counts as empty. Empty texts are scored like others; those that stay are one group of near-duplicates, of which
+one row stays, and take one token in a sequence. Rows without an id, tied and repeated rows are what the operators' docstrings
+say: of rows that agree in id and text one stays. Empty tables pass through. Extra columns pass through to the last
+stage but one; those named like a column that an operator returns (score, tokens, sampled ...) hold the operator's values
+afterwards.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import line_runs, quality_fm, queries, raking, simhash_gph
-from ledgerloom.llm.frames import stage
+from ledgerloom.llm.frames import scratch, stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -54,7 +61,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage's rows are written and read back; what it staged on the way goes when they are."""
     docs = queries.table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "_"))
+        with scratch(spark):
+            docs = stage(step(spark, docs, sf_dir), name.replace(" ", "_"), keep=True)
     return docs
