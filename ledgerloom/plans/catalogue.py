@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,7 +79,8 @@ def deleted_label_window(w: Warehouse) -> DataFrame:
         transactions=w.sources.transactions.filter(F.col("txn_date") < before),
         merchants=w.sources.merchants,
         support_tickets=w.sources.support_tickets.filter(F.col("ticket_month") < before),
-        settlements=w.sources.settlements.filter(F.col("settle_month") < before)), w.params)
+        settlements=w.sources.settlements.filter(F.col("settle_month") < before),
+        one_delay=w.sources.one_delay), replace(w.params, buckets=w.staging.buckets))
     # The split is where the cut was made; the degraded issuer and all else are found again.
     cut.split = w.split
     w.once("cut", lambda: cut)

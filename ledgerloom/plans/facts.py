@@ -29,10 +29,14 @@ def ticket_counts(tickets: DataFrame) -> DataFrame:
 
 
 def merchant_month(issuer_months: DataFrame, medians: DataFrame, tickets: DataFrame,
-                   settlements: DataFrame) -> DataFrame:
+                   settlements: DataFrame, partitions: int | None = None, one_delay: bool = False) -> DataFrame:
     """One row per merchant per month with at least one attempt.
 
     Rates divide by attempts; TPV and tickets count successes only.
+
+    Medians, tickets and delays are dealt by merchant, into as many `partitions` as the rollup has buckets, and grouped
+    with its rows by month: the rollup itself, much the widest side, is not moved, nor are the rows that come out. Every
+    delay of a merchant-month makes a row of its own, as in a join; with `one_delay` there is at most one, and no list.
     """
     keys = ["merchant_id", "month"]
     base = issuer_months.groupBy(*keys).agg(
@@ -46,11 +50,23 @@ def merchant_month(issuer_months: DataFrame, medians: DataFrame, tickets: DataFr
         F.min("first_txn_date").alias("first_txn_date"),
         F.max("last_txn_date").alias("last_txn_date"),
     )
+    delay = "avg_settlement_delay_days"
     delays = settlements.select("merchant_id", F.col("settle_month").alias("month"),
-                                "avg_settlement_delay_days")
-    joined = (base.join(medians, keys, "left")
-              .join(ticket_counts(tickets), keys, "left")
-              .join(delays, keys, "left"))
+                                F.col(delay) if one_delay else F.struct(delay).alias("_delay"))
+    # Under another name than the rollup's own, Spark sees that all sides of the union are dealt alike.
+    met = base.withColumn("_fact", F.lit(1)).withColumnRenamed("merchant_id", "_m")
+    for side in (medians, ticket_counts(tickets), delays):
+        # Keys that are NULL meet nothing.
+        known = side.filter(F.col("merchant_id").isNotNull() & F.col("month").isNotNull())
+        dealt = known.repartition(partitions, "merchant_id") if partitions else known.repartition("merchant_id")
+        met = met.unionByName(dealt.withColumnRenamed("merchant_id", "_m"), allowMissingColumns=True)
+    # At most one row of each side but the delays, so a maximum is its value.
+    values = [c for c in met.columns if c not in ("_m", "month", "_delay")]
+    lists = [] if one_delay else [F.collect_list("_delay").alias("_delay")]
+    joined = met.groupBy("_m", "month").agg(*[F.max(c).alias(c) for c in values], *lists).filter(F.col("_fact") == 1).withColumnRenamed(
+        "_m", "merchant_id")
+    if not one_delay:
+        joined = joined.withColumn("_delay", F.explode_outer("_delay")).withColumn(delay, F.col(f"_delay.{delay}"))
     none = F.lit(0).cast("bigint")
     return joined.select(
         *keys, "attempted_txns", "successful_txns", "failed_txns",
@@ -63,7 +79,7 @@ def merchant_month(issuer_months: DataFrame, medians: DataFrame, tickets: DataFr
         "median_ticket_inr", "distinct_issuers", "first_txn_date", "last_txn_date",
         *[F.coalesce(c, none).alias(c)
           for c in ("tickets_raised", "tickets_unresolved", "tickets_payment_failure")],
-        "avg_settlement_delay_days",
+        delay,
     )
 
 

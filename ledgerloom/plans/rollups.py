@@ -73,9 +73,9 @@ def ticket_medians(counts: DataFrame, issuer_months: DataFrame, staging: Staging
 
 
 def _middle_of_counts(amounts: DataFrame) -> DataFrame:
-    """Middle one or two amounts: equal amounts are added up before the shuffle, then each group's counts in order."""
+    """Middle one or two amounts: each group moves once, to one task, which adds up its equal amounts and orders them."""
     group = Window.partitionBy("merchant_id", "month")
-    counts = amounts.groupBy("merchant_id", "month", "paise").agg(F.sum("attempts").alias("k"))
+    counts = amounts.repartition("merchant_id", "month").groupBy("merchant_id", "month", "paise").agg(F.sum("attempts").alias("k"))
     placed = counts.select(
         "*", F.sum("k").over(group.orderBy("paise").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
         F.sum("k").over(group).alias("n"))

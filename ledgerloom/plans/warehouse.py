@@ -54,6 +54,11 @@ class Warehouse:
             self._built[name] = self.staging.write(df, name, mart.key) if mart.stage else df
         return self._built[name]
 
+    def sized(self, name: str) -> DataFrame:
+        """A staged mart whose rows settle how many buckets the keyed marts made from it have."""
+        self.staging.size_for(self[name].count())
+        return self[name]
+
     def once(self, name: str, make: Callable[[], object]):
         """An object such as a fitted model, made on first use."""
         if name not in self._held:
@@ -126,7 +131,7 @@ MARTS: dict[str, Mart] = {
     "support_tickets": Mart("schema", lambda w: w.sources.support_tickets),
     "settlements": Mart("schema", lambda w: w.sources.settlements),
     "attempt_counts": Mart("schema", lambda w: rollups.attempt_counts(w["transactions"]), stage=True, public=False),
-    "issuer_day": Mart("schema", lambda w: rollups.issuer_day(w["attempt_counts"]),
+    "issuer_day": Mart("schema", lambda w: rollups.issuer_day(w.sized("attempt_counts")),
                        stage=True, key=MERCHANT, public=False),
     "analysis_window": Mart("schema", lambda w: churn.analysis_window(w["issuer_day"])),
 
@@ -136,7 +141,7 @@ MARTS: dict[str, Mart] = {
     "merchant_month": Mart("facts", lambda w: facts.merchant_month(
         w["issuer_month"],
         rollups.ticket_medians(w["attempt_counts"], w["issuer_month"], w.staging, w.params),
-        w["support_tickets"], w["settlements"]), stage=True, key=MERCHANT),
+        w["support_tickets"], w["settlements"], w.staging.buckets, w.sources.one_delay), stage=True, key=MERCHANT),
     "merchant_month_dense": Mart("facts", lambda w: facts.merchant_month_dense(
         w["merchant_month"], w.observed.replace(day=1), w.params.trailing_months),
         stage=True, key=MERCHANT),

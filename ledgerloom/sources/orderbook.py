@@ -106,4 +106,5 @@ def bind(spark: SparkSession, folder: str, staging: Staging | None = None) -> So
         merchants=merchants(spark, folder),
         support_tickets=typed_tickets(tickets(spark, folder)),
         settlements=typed_settlements(settlements(lines)),
+        one_delay=True,
     )

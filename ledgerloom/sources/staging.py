@@ -5,7 +5,8 @@ A staged table lives in the shared folder the cluster names in
 merchant are bucketed on that key: later groupings, windows and joins on the
 merchant then read co-located files and need no shuffle. Bucketing happens
 after pre-aggregation, so one merchant holds at most days x issuers rows
-however many attempts it made.
+however many attempts it made. The number of buckets follows the rows, so a
+task that reads a bucket holds as much of a large input as of a small one.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# A merchant's daily rows in one bucket: its windows and sorts take some 500 MB in a task.
+BUCKET_ROWS = 1 << 18
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir where the cluster names one, else the session's own storage: its warehouse."""
@@ -28,8 +32,8 @@ class Staging:
         self.database = database
         self.run = uuid.uuid4().hex[:12]
         self.root = f"{(root or shared_folder(spark)).rstrip('/')}/ledgerloom/{self.run}"
-        # About 256 MB of aggregated rows per bucket is a good size; the
-        # default follows the cores of the cluster.
+        # Until the rows are known, as many as the cluster has cores; a given number stays.
+        self.given = buckets is not None
         self.buckets = buckets or spark.sparkContext.defaultParallelism
         self.tables: list[str] = []
         self._n = 0
@@ -47,6 +51,12 @@ class Staging:
         self.tables.append(table)
         return self.spark.table(table)
 
+    def size_for(self, rows: int) -> None:
+        """Enough buckets for a keyed table of `rows` rows; called before the first one, for all must have the same number."""
+        if not self.given:
+            most = int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+            self.buckets = min(max(self.buckets, -(-rows // BUCKET_ROWS)), most)
+
     def release(self) -> None:
         """Deletes this run's own staged tables; marts built from them stop working."""
         for t in self.tables:

@@ -66,6 +66,8 @@ class Sources:
     merchants: DataFrame
     support_tickets: DataFrame
     settlements: DataFrame
+    # Whether settlements are known to hold at most one row per merchant and month.
+    one_delay: bool = False
 
 
 def typed_transactions(raw: DataFrame) -> DataFrame:
