@@ -2,9 +2,12 @@
 
 Each tree splits `subsample` rows at random values of random statistics. Rows that differ from the bulk end up alone
 after few splits; the mean path length over the trees, scaled by the mean path of a search in a tree of that size, gives an
-anomaly score between 0 and 1. Trees grow from labelled good rows (at most `max_rows`, by smallest hash of the id); split values are
-drawn from the span of all labelled rows, so that a statistic on which good rows agree still sets others apart. The
-threshold is the score that best separates labelled good from bad rows, but not below the `keep` quantile of the good ones.
+anomaly score between 0 and 1. Every tree draws its own `subsample` rows, as the method has it, from all labelled good rows; split
+values are drawn from the span of all labelled rows, so that a statistic on which good rows agree still sets others apart. The
+threshold is the score that best separates all labelled good from all bad rows, but not below the `keep` quantile of the good ones.
+
+Learning has no bound on labelled rows: they are measured and scored where they lie, draws are merged by tree, trees grow in
+tasks of their own, and the threshold comes from running totals over the ordered scores. The driver gets the trees and a few numbers.
 
 Rows that fail the base rules (fewer than `min_words` words, or more than `max_repeat` percent of words in repeated
 windows) are out whatever the forest says. Every other row is judged on its whole text.
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.frames import arrow_schema, pieces
+from ledgerloom.llm.frames import arrow_schema, numbered, pieces, scratch, stage
 from ledgerloom.llm.quality_fm import label_means, texts_of
 from ledgerloom.llm.textstats import RATES, profile, rates
 
@@ -41,7 +44,6 @@ USED = ["word_length", "upper", "digit", "symbol", "mark", "stop", "other", "con
 class ForestParams:
     trees: int = 200
     subsample: int = 256
-    max_rows: int = 20_000
     keep: float = 0.99
     min_words: int = 10
     max_repeat: int = 20
@@ -70,31 +72,6 @@ class IsolationForest:
     size: int = 0
     threshold: float = 2.0
 
-    def grow(self, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> IsolationForest:
-        """Trees over rows of `x`; splits fall in the box `low`..`high`, which bad rows span too."""
-        rng = np.random.default_rng(self.params.seed)
-        self.size = min(self.params.subsample, len(x))
-        limit = 2 * int(np.ceil(np.log2(max(self.size, 2))))
-        spread = np.flatnonzero(high > low)
-        for _ in range(self.params.trees if self.size > 1 and len(spread) else 0):
-            column, value, left, path = [-1], [0.0], [0], [0.0]
-            todo = [(0, x[rng.choice(len(x), self.size, replace=False)], low, high, 0)]
-            while todo:
-                node, rows, a, b, depth = todo.pop()
-                c = int(rng.choice(spread))
-                if depth >= limit or len(rows) < 2:
-                    path[node] = depth + float(mean_search(len(rows)))
-                    continue
-                cut = rng.uniform(a[c], b[c])
-                column[node], value[node], left[node] = c, cut, len(column)
-                below, above = b.copy(), a.copy()
-                below[c] = above[c] = cut
-                for part, p, q in ((rows[rows[:, c] < cut], a, below), (rows[rows[:, c] >= cut], above, b)):
-                    todo.append((len(column), part, p, q, depth + 1))
-                    column.append(-1), value.append(0.0), left.append(0), path.append(0.0)
-            self.trees.append((np.array(column), np.array(value), np.array(left), np.array(path)))
-        return self
-
     def anomaly(self, x: np.ndarray) -> np.ndarray:
         if not self.trees or not len(x):
             return np.zeros(len(x))
@@ -112,51 +89,142 @@ class IsolationForest:
             total += path[at]
         return 2.0 ** (-total / len(self.trees) / max(float(mean_search(self.size)), 1e-9))
 
-    def calibrate(self, score: np.ndarray, good: np.ndarray) -> IsolationForest:
-        """The threshold with the best balanced accuracy among those that keep the `keep` share of good rows."""
-        if not good.any():
-            return self
-        floor = np.quantile(score[good], self.params.keep)
-        cuts = np.unique(np.r_[floor, score[score >= floor]])
-        missed = np.searchsorted(np.sort(score[good]), cuts, side="right") / good.sum()
-        caught = 1 - np.searchsorted(np.sort(score[~good]), cuts, side="right") / max((~good).sum(), 1)
-        self.threshold = float(cuts[np.argmax(missed + caught)])
-        return self
-
 
 def base_failed(n_words, n_repeat, params: ForestParams):
     return (n_words < params.min_words) | (100 * n_repeat > params.max_repeat * n_words)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", params: ForestParams = ForestParams()) -> IsolationForest:
-    """Grow and calibrate on at most `params.max_rows` labelled rows; rows that fail the base rules take no part."""
-    chosen = label_means(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").drop("doc_id")
+def grown(rows: np.ndarray, low: np.ndarray, high: np.ndarray, seed: list[int]) -> tuple[np.ndarray, ...]:
+    """A tree over `rows`; splits fall in the box `low`..`high`, which bad rows span too."""
+    rng = np.random.default_rng(seed)
+    limit, spread = 2 * int(np.ceil(np.log2(max(len(rows), 2)))), np.flatnonzero(high > low)
+    column, value, left, path = [-1], [0.0], [0], [0.0]
+    todo = [(0, rows, low, high, 0)]
+    while todo:
+        node, rows, a, b, depth = todo.pop()
+        c = int(rng.choice(spread))
+        if depth >= limit or len(rows) < 2:
+            path[node] = depth + float(mean_search(len(rows)))
+            continue
+        cut = rng.uniform(a[c], b[c])
+        column[node], value[node], left[node] = c, cut, len(column)
+        below, above = b.copy(), a.copy()
+        below[c] = above[c] = cut
+        for part, p, q in ((rows[rows[:, c] < cut], a, below), (rows[rows[:, c] >= cut], above, b)):
+            todo.append((len(column), part, p, q, depth + 1))
+            column.append(-1), value.append(0.0), left.append(0), path.append(0.0)
+    return np.array(column), np.array(value), np.array(left), np.array(path)
+
+
+def keys_by_tree(h: np.ndarray, trees: int, seed: int) -> np.ndarray:
+    """One pseudo-random key per row (hash `h`) and tree."""
+    k = h.astype(np.uint64)[:, None] + np.uint64(0x9E3779B97F4A7C15) * (np.arange(trees, dtype=np.uint64) + np.uint64(seed * trees + 1))
+    k = (k ^ (k >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    k = (k ^ (k >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return k ^ (k >> np.uint64(31))
+
+
+def first_of(tree: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
+    """Places of the `size` smallest keys of every tree."""
+    order = np.lexsort((key, tree))
+    ordered = tree[order]
+    return order[np.arange(len(order)) - np.searchsorted(ordered, ordered) < size]
+
+
+def trees_of(good: DataFrame, params: ForestParams, low: np.ndarray, high: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Trees over the good rows; a tree takes the rows whose keys for it are smallest, however rows lie in tasks."""
+    size = params.subsample
+    if not (high > low).any():
+        return []
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, key, x = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, len(low)))
+        bound = np.full(params.trees, np.iinfo(np.uint64).max)
+        for f in frames:
+            for start in range(0, len(f), 2000):
+                here = f.iloc[start:start + 2000]
+                keys = keys_by_tree(here["h"].to_numpy(), params.trees, params.seed)
+                row, t = np.nonzero(keys <= bound)
+                k, own = np.r_[key, keys[row, t]], np.r_[tree, t]
+                kept = first_of(own, k, size)
+                at, n = kept - len(key), len(key)
+                new = np.stack(here["x"].tolist())
+                x = np.where((kept >= n)[:, None], new[row[np.maximum(at, 0)]] if len(row) else 0.0, x[np.minimum(kept, n - 1)] if n else 0.0)
+                tree, key = own[kept], k[kept]
+                full = np.bincount(tree, minlength=params.trees) == size
+                worst = np.zeros(params.trees, np.uint64)
+                np.maximum.at(worst, tree, key)
+                bound[full] = worst[full]
+        yield pd.DataFrame({"tree": tree, "key": key.astype(np.int64), "x": list(x)})
+
+    def grow(f: pd.DataFrame) -> pd.DataFrame:
+        t, key = int(f["tree"].iloc[0]), f["key"].to_numpy().astype(np.uint64)
+        rows = np.stack(f["x"].tolist())[np.argsort(key, kind="stable")[:size]]
+        return pd.DataFrame({"tree": [t], "model": [pickle.dumps(grown(rows, low, high, [params.seed, t]))]})
+
+    drawn = good.mapInPandas(draw, "tree long, key long, x array<double>")
+    found = drawn.groupBy("tree").applyInPandas(grow, "tree long, model binary").collect()
+    return [pickle.loads(r["model"]) for r in sorted(found, key=lambda r: r["tree"])]
+
+
+def threshold(scores: DataFrame, keep: float) -> float:
+    """The cut of `scores` (score, good) with the best balanced accuracy among those that keep the `keep` share of good rows.
+
+    Equal scores are counted first; the counts are ordered by range and added up across tasks. Two counts and five rows are collected.
+    """
+    counts = scores.groupBy("score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    n_good, n_bad = counts.agg(F.sum("good"), F.sum("bad")).first()
+    if not n_good:
+        return IsolationForest.threshold
+    placed = numbered(counts, [F.col("score")], "forest_good", "good").drop("ordinal").withColumnRenamed("before", "g")
+    placed = numbered(placed, [F.col("score")], "forest_bad", "bad").drop("ordinal").withColumnRenamed("before", "b")
+    # The quantile between the two good rows around its place, as numpy has it.
+    place = (n_good - 1) * keep
+    near = placed.filter("good > 0").select("score", "g", (F.col("g") + F.col("good")).alias("end")).filter(
+        (F.col("g") <= int(np.ceil(place))) & (F.col("end") > int(np.floor(place)))).collect()
+    lo, hi = (next(r["score"] for r in near if r["g"] <= i < r["end"]) for i in (int(np.floor(place)), int(np.ceil(place))))
+    floor = float(np.quantile([lo, hi], place - np.floor(place)))
+    kept, passed = (F.col("g") + F.col("good")) / n_good, (F.col("b") + F.col("bad")) / max(n_bad, 1)
+    ranked = placed.select("score", (kept + (1 - passed)).alias("balance"))
+    below = ranked.filter(F.col("score") <= floor).orderBy(F.col("score").desc()).limit(1).collect()
+    best = ranked.filter(F.col("score") >= floor).orderBy(F.col("balance").desc(), "score").limit(1).collect()
+    at_floor = below[0]["balance"] if below else 1.0
+    return float(best[0]["score"]) if best and best[0]["balance"] > at_floor else floor
+
 
-    measured = T.StructType.fromDDL("x array<double>, y int")
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", params: ForestParams = ForestParams()) -> IsolationForest:
+    """Grow and calibrate on all labelled rows; rows that fail the base rules take no part."""
+    measured = T.StructType([docs.schema["doc_id"], T.StructField("x", T.ArrayType(T.DoubleType()))])
     target = arrow_schema(measured)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            found = [(profile(t), y) for t, y in zip(texts_of(b.column("text")), b.column("_label").to_pylist())]
-            yield pa.RecordBatch.from_pylist([{"x": signals(p), "y": y} for p, y in found
+            found = [(i, profile(t)) for i, t in zip(b.column("doc_id").to_pylist(), texts_of(b.column("text")))]
+            yield pa.RecordBatch.from_pylist([{"doc_id": i, "x": signals(p)} for i, p in found
                                               if not base_failed(p["n_words"], p["n_repeat_words"], params)], schema=target)
 
-    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [f for f in frames if len(f)]
-        if parts:
-            data = pd.concat(parts, ignore_index=True)
-            x, good = np.stack(data["x"].tolist()), data["y"].to_numpy() == 1
-            order = np.lexsort((good, *x.T))
-            x, good = x[order], good[order]
-            forest = IsolationForest(params).grow(x[good], x.min(axis=0), x.max(axis=0))
-            forest.calibrate(forest.anomaly(x), good)
-            yield pd.DataFrame({"model": [pickle.dumps((forest.trees, forest.size, forest.threshold))]})
-
-    out = rows.mapInArrow(measure, measured).repartition(1).mapInPandas(learn, "model binary").collect()
+    # Texts are measured before they meet the labels, so that what moves is short.
+    rows = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).mapInArrow(measure, measured)
     forest = IsolationForest(params)
-    if out:
-        forest.trees, forest.size, forest.threshold = pickle.loads(out[0]["model"])
+    with scratch(docs.sparkSession):
+        known = stage(rows.join(label_means(labels, label), "doc_id").select(
+            F.xxhash64("doc_id", "x").alias("h"), "x", (F.col("_label") == 1).alias("good")), "forest_rows")
+        at = range(len(USED))
+        span = known.agg(F.count_if("good").alias("n"), *[F.min(F.col("x")[i]).alias(f"a{i}") for i in at],
+                         *[F.max(F.col("x")[i]).alias(f"b{i}") for i in at]).first()
+        if not span["n"]:
+            return forest
+        low, high = (np.array([span[f"{side}{i}"] for i in at], float) for side in "ab")
+        forest.size = min(params.subsample, span["n"])
+        forest.trees = trees_of(known.filter("good"), params, low, high) if forest.size > 1 else []
+
+        def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if len(f):
+                    yield pd.DataFrame({"score": forest.anomaly(np.stack(f["x"].tolist())), "good": f["good"]})
+
+        scores = stage(known.select("x", "good").mapInPandas(score, "score double, good boolean"), "forest_scores")
+        forest.threshold = threshold(scores, params.keep)
     return forest
 
 

@@ -89,3 +89,38 @@ def test_odd_input(request, labels, table):
     assert all(r.score == 0.5 for r in scored.collect())
     kept = {(r.doc_id, r.n_chars): r.kept for r in rules_forest.judge(docs, rules_forest.train(docs, labels.limit(0))).collect()}
     assert not any(kept[k] for k in kept if k in {(3, None), (4, 0), (5, 4), (7, 3)})
+
+
+def test_the_threshold_of_a_forest_comes_from_every_row(spark):
+    rng = np.random.default_rng(3)
+    for n, keep in [(1, 0.99), (7, 0.5), (900, 0.99), (900, 0.9)]:
+        score, good = np.round(rng.uniform(0.3, 0.7, n), 2), rng.uniform(size=n) < 0.7
+        good[0] = True
+        floor = np.quantile(score[good], keep)
+        cuts = np.unique(np.r_[floor, score[score >= floor]])
+        balance = [np.mean(score[good] <= c) + 1 - np.sum(score[~good] <= c) / max((~good).sum(), 1) for c in cuts]
+        frame = spark.createDataFrame(list(zip(score.tolist(), good.tolist())), "score double, good boolean").repartition(5)
+        assert np.isclose(rules_forest.threshold(frame, keep), cuts[np.argmax(np.round(balance, 12))])
+
+
+def test_a_forest_draws_from_all_rows_however_they_lie(spark):
+    params = rules_forest.ForestParams(trees=5, subsample=8)
+    rows = [(i * 7919, [float(i % 50), i / 100.0]) for i in range(5000)]
+    frame = spark.createDataFrame(rows, "h long, x array<double>")
+    low, high = np.zeros(2), np.array([50.0, 50.0])
+    few, many = (rules_forest.trees_of(frame.repartition(n), params, low, high) for n in (1, 9))
+    keys = rules_forest.keys_by_tree(np.array([r[0] for r in rows]), 5, params.seed)
+    for t in range(5):
+        mine = np.array([rows[i][1] for i in np.argsort(keys[:, t])[:8]])
+        for got, again, want in zip(few[t], many[t], rules_forest.grown(mine, low, high, [params.seed, t])):
+            assert np.array_equal(got, want) and np.array_equal(again, want)
+
+
+def test_a_forest_learns_from_more_rows_than_it_once_took(spark, monkeypatch):
+    # 20,100 labelled rows: all of them are scored for the threshold.
+    seen = []
+    counted = rules_forest.threshold
+    monkeypatch.setattr(rules_forest, "threshold", lambda scores, keep: seen.append(scores.count()) or counted(scores, keep))
+    docs = spark.range(20100).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.md5((F.col("id") * 20 + i).cast("string")) for i in range(11)]).alias("text"))
+    rules_forest.train(docs, docs.select("doc_id", (F.col("doc_id") % 10 > 0).cast("int").alias("quality")))
+    assert seen == [20100]
