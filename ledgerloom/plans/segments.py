@@ -94,10 +94,14 @@ class Segmentation:
         return self.staging.write(vec.select("merchant_id", "features"), "segment_vectors")
 
     @cached_property
-    def selection(self) -> list[dict]:
+    def search(self) -> tuple[list[dict], dict[int, list[clustering.Clusters]]]:
         p = self.params
         return clustering.k_selection(self.vectors, p.k_range, p.k_restarts, p.cluster_seed)
 
+    @property
+    def selection(self) -> list[dict]:
+        return self.search[0]
+
     @property
     def chosen_k(self) -> int:
         """Highest silhouette; the smaller k wins a tie."""
@@ -112,9 +116,9 @@ class Segmentation:
 
     @cached_property
     def assignment(self) -> DataFrame:
-        p = self.params
-        model = clustering.best_kmeans(self.vectors, self.chosen_k, p.final_restarts, p.cluster_seed)
-        return self.staging.write(model.transform(self.vectors).select("merchant_id", "segment_id"), "segments")
+        p, k = self.params, self.chosen_k
+        best = clustering.more_restarts(self.vectors, k, self.search[1][k], p.final_restarts, p.cluster_seed)
+        return self.staging.write(clustering.assigned(self.vectors, best).select("merchant_id", "segment_id"), "segments")
 
     def profile(self) -> DataFrame:
         return segment_profile(self.features, self.assignment, self.staging)

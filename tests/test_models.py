@@ -113,6 +113,33 @@ def test_inertia_falls_with_k(spark):
     assert costs[0] > costs[1] > costs[2]
 
 
+def test_runs_stepped_together_end_where_spark_ends_alone(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 1, size=(150, 3)) for c in (0, 4, 9)])
+    df = spark.createDataFrame([(i, Vectors.dense(r)) for i, r in enumerate(x)], ["id", "features"]).coalesce(3).cache()
+    wanted = [(3, 7), (5, 7), (5, 8)]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lloyd", "all runs")
+    starts = [clustering.seeded_start(df, k, s) for k, s in wanted]
+    before = len(jobs.getJobIdsForGroup("lloyd"))
+    found = clustering.lloyd(df, starts)
+    # A pass is one job and a shuffle's job, however many runs there are.
+    passed = len(jobs.getJobIdsForGroup("lloyd")) - before
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert passed <= 2 * 20
+    for (k, s), got in zip(wanted, found):
+        alone = clustering.KMeans(k=k, seed=s, predictionCol="segment_id").fit(df)
+        assert got.cost == pytest.approx(alone.summary.trainingCost, rel=1e-9)
+        assert np.allclose(got.centres, np.array(alone.clusterCenters()), atol=1e-9)
+        assert alone.transform(df).select("id", "segment_id").exceptAll(clustering.assigned(df, got).select("id", "segment_id")).isEmpty()
+
+
+def test_a_centre_without_rows_stays(spark):
+    df = spark.createDataFrame([(Vectors.dense([0.0]),), (Vectors.dense([1.0]),)], ["features"])
+    got = clustering.lloyd(df, [np.array([[0.0], [50.0]])])[0]
+    assert got.centres.tolist() == [[0.5], [50.0]] and got.cost == pytest.approx(0.5)
+
+
 def test_scaling_uses_the_population_deviation(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     got = [tuple(r) for r in df.select(*standardised(df, scales(df, ["a", "b"]))).collect()]
