@@ -61,3 +61,9 @@ def test_merchant_months_meet_as_a_left_join_would(sides):
     assert found(sides[3], False) == sorted(every + rest, key=str)
     single = sides[3].filter("coalesce(avg_settlement_delay_days, 0) <> 2.5 and not (merchant_id = 'a' and avg_settlement_delay_days is null)")
     assert found(single, True) == found(single, False) == sorted(every[:1] + rest, key=str)
+
+
+def test_staged_tables_are_packed_with_zstd(spark, staging):
+    for key in (None, "id"):
+        files = staging.write(spark.range(100), "packed", key).inputFiles()
+        assert files and all(f.endswith(".zstd.parquet") for f in files)
