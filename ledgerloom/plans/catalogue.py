@@ -238,7 +238,8 @@ QUERIES: dict[str, Query] = {
     "feature_split": lambda w: w["feature_split"],
     "merchant_features": lambda w: w["merchant_features"],
     "sr_trend": lambda w: features.sr_trend(w["merchant_month"], w.split.label_start),
-    "rfm_scores": lambda w: w["merchant_features"].select("merchant_id", "r_score", "f_score", "m_score"),
+    "rfm_scores": lambda w: features.rfm_scored(w.first_of("merchant_features_base", "rfm_base"), w.staging, w.params).select(
+        "merchant_id", "r_score", "f_score", "m_score"),
     "exposure_vs_churn": lambda w: w["exposure_vs_churn"],
     "realised_failure_loss": lambda w: w["realised_failure_loss"],
     "run_rate": lambda w: revenue.run_rate(w["merchant_month"], w.params).drop("run_rate_units"),

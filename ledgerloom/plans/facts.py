@@ -28,11 +28,11 @@ def ticket_counts(tickets: DataFrame) -> DataFrame:
     )
 
 
-def merchant_month(issuer_months: DataFrame, medians: DataFrame, tickets: DataFrame,
+def merchant_month(issuer_months: DataFrame, medians: DataFrame | None, tickets: DataFrame,
                    settlements: DataFrame, partitions: int | None = None, one_delay: bool = False) -> DataFrame:
     """One row per merchant per month with at least one attempt.
 
-    Rates divide by attempts; TPV and tickets count successes only.
+    Rates divide by attempts; TPV and tickets count successes only. Without `medians` there is no such column.
 
     Medians, tickets and delays are dealt by merchant, into as many `partitions` as the rollup has buckets, and grouped
     with its rows by month: the rollup itself, much the widest side, is not moved, nor are the rows that come out. Every
@@ -55,7 +55,7 @@ def merchant_month(issuer_months: DataFrame, medians: DataFrame, tickets: DataFr
                                 F.col(delay) if one_delay else F.struct(delay).alias("_delay"))
     # Under another name than the rollup's own, Spark sees that all sides of the union are dealt alike.
     met = base.withColumn("_fact", F.lit(1)).withColumnRenamed("merchant_id", "_m")
-    for side in (medians, ticket_counts(tickets), delays):
+    for side in ([] if medians is None else [medians]) + [ticket_counts(tickets), delays]:
         # Keys that are NULL meet nothing.
         known = side.filter(F.col("merchant_id").isNotNull() & F.col("month").isNotNull())
         dealt = known.repartition(partitions, "merchant_id") if partitions else known.repartition("merchant_id")
@@ -76,7 +76,7 @@ def merchant_month(issuer_months: DataFrame, medians: DataFrame, tickets: DataFr
         rupees(F.col("attempted_paise") - F.coalesce("tpv_paise", none)).alias("failed_value_inr"),
         "active_days",
         rupees(mean_paise(F.col("tpv_paise"), F.col("successful_txns"))).alias("avg_ticket_inr"),
-        "median_ticket_inr", "distinct_issuers", "first_txn_date", "last_txn_date",
+        *([] if medians is None else ["median_ticket_inr"]), "distinct_issuers", "first_txn_date", "last_txn_date",
         *[F.coalesce(c, none).alias(c)
           for c in ("tickets_raised", "tickets_unresolved", "tickets_payment_failure")],
         delay,

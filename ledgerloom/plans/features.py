@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.calendar import month_index
 from ledgerloom.functions.exact import (
     double_or_null, fine_mean, flag, mean_of_ints, mean_paise, paise, ratio, rupees, tally)
 from ledgerloom.operators.quantiles import bounded_quantile
@@ -40,13 +41,26 @@ def feature_split(monthly: DataFrame, window: DataFrame, label_months: int) -> D
     )
 
 
-def month_behaviour(facts: DataFrame, label_start: dt.date) -> DataFrame:
-    """Everything a merchant's feature months say, in one window pass and one grouping."""
+# What the features read of a merchant-month.
+FACTS = [
+    "merchant_id", "month", "attempted_txns", "successful_txns", "tpv_inr", "active_days", "avg_ticket_inr",
+    "tickets_raised", "tickets_unresolved", "tickets_payment_failure", "avg_settlement_delay_days",
+]
+
+
+def month_behaviour(facts: DataFrame, label_start: dt.date, trailing: int = 3) -> DataFrame:
+    """Everything a merchant's feature months say, in one window pass and one grouping.
+
+    The last months' rate and the tenure at the cutoff are those of the gap-free calendar there: silent months add nothing
+    to a sum, and the calendar has one row for every month since the first.
+    """
+    cutoff = (label_start - dt.timedelta(days=1)).replace(day=1)
     by_month = Window.partitionBy("merchant_id").orderBy("month")
     rows = facts.filter(F.col("month") < F.lit(label_start)).select(
         "*", F.row_number().over(by_month).alias("_nth"),
         F.count("*").over(Window.partitionBy("merchant_id")).alias("_months"))
     first, last = F.col("_nth") <= 3, F.col("_nth") > F.col("_months") - 3
+    recent = F.col("month") > F.add_months(F.lit(cutoff), -trailing)
     ok, tried = F.col("successful_txns"), F.col("attempted_txns")
 
     def rate(cond):
@@ -70,6 +84,8 @@ def month_behaviour(facts: DataFrame, label_start: dt.date) -> DataFrame:
         mean_of_ints(F.col("active_days"), 2).alias("avg_active_days"),
         *[F.sum(c).alias(c) for c in ("tickets_raised", "tickets_unresolved", "tickets_payment_failure")],
         fine_mean(F.col("avg_settlement_delay_days"), 4).alias("avg_settlement_delay_days"),
+        ratio(F.sum(F.when(recent, ok)), F.sum(F.when(recent, tried)), 6).alias("success_rate_3m_at_cutoff"),
+        (month_index(F.lit(cutoff), F.min("month")) + 1).cast("bigint").alias("tenure_months"),
     )
 
 
@@ -94,15 +110,10 @@ def success_days(days: DataFrame, split: Split, confirmed_days: int) -> DataFram
         flag(F.coalesce("last_success", F.lit(NEVER)) < F.lit(limit)).alias("churned"))
 
 
-def merchant_features_base(merchants: DataFrame, facts: DataFrame, dense: DataFrame, days: DataFrame,
-                           gaps: DataFrame, exposure: DataFrame, degraded: str | None,
-                           split: Split, params: Params) -> DataFrame:
+def merchant_features_base(merchants: DataFrame, facts: DataFrame, days: DataFrame, gaps: DataFrame,
+                           exposure: DataFrame, degraded: str | None, split: Split, params: Params) -> DataFrame:
     """All feature columns but the RFM scores."""
     start = split.label_start
-    cutoff_month = (start - dt.timedelta(days=1)).replace(day=1)
-    at_cutoff = dense.filter(F.col("month") == F.lit(cutoff_month)).select(
-        "merchant_id", F.col("success_rate_3m").alias("success_rate_3m_at_cutoff"),
-        "tenure_months")
     to_degraded = exposure.groupBy("merchant_id").agg(F.round(F.coalesce(F.sum(
         F.when(F.col("issuer_bank") == F.lit(degraded), F.col("exposure_share"))), F.lit(0.0)), 6)
         .alias("degraded_issuer_exposure"))
@@ -112,9 +123,8 @@ def merchant_features_base(merchants: DataFrame, facts: DataFrame, dense: DataFr
     who = merchants.select("merchant_id", "category", "city_tier", "acquisition_channel", "device_type",
                            "state", "gst_registered", "competitor_density")
     rows = (
-        month_behaviour(facts, start)
+        month_behaviour(facts, start, params.trailing_months)
         .join(success_days(days, split, params.confirmed_days), "merchant_id")
-        .join(at_cutoff, "merchant_id", "left")
         .join(to_degraded, "merchant_id", "left")
         .join(rhythm, "merchant_id", "left")
         .join(who, "merchant_id")
@@ -125,7 +135,7 @@ def merchant_features_base(merchants: DataFrame, facts: DataFrame, dense: DataFr
         "avg_monthly_txns", "tpv_cv", "success_rate", "success_rate_3m_at_cutoff", "sr_trend",
         "avg_ticket_inr", "avg_active_days", "tickets_raised", "tickets_unresolved",
         "tickets_payment_failure", "avg_settlement_delay_days",
-        F.coalesce("tenure_months", "active_months").alias("tenure_months"),
+        "tenure_months",
         F.round(F.coalesce("p90_gap_days", F.lit(params.default_p90_gap)), 2).alias("p90_gap_days"),
         F.coalesce("mean_gap_days", F.lit(params.default_mean_gap)).alias("mean_gap_days"),
         "degraded_issuer_exposure",
@@ -134,14 +144,29 @@ def merchant_features_base(merchants: DataFrame, facts: DataFrame, dense: DataFr
     )
 
 
-def merchant_features(base: DataFrame, staging: Staging, params: Params) -> DataFrame:
+def rfm_base(merchants: DataFrame, issuer_months: DataFrame, days: DataFrame, split: Split, params: Params) -> DataFrame:
+    """The merchants of the features with what the RFM scores read, straight from the rollups."""
+    return (
+        issuer_months.filter(F.col("month") < F.lit(split.label_start)).groupBy("merchant_id").agg(
+            F.sum("attempted_txns").alias("attempted_txns"), rupees(F.sum("tpv_paise")).alias("tpv_inr"))
+        .join(success_days(days, split, params.confirmed_days).drop("churned"), "merchant_id")
+        .join(merchants.select("merchant_id"), "merchant_id")
+    )
+
+
+def rfm_scored(base: DataFrame, staging: Staging, params: Params) -> DataFrame:
     """Adds recency, frequency and money quintiles; ties are split by merchant id."""
     k = params.rfm_buckets
-    scored = assign_tiles(base, staging, "merchant_id", {
+    return assign_tiles(base, staging, "merchant_id", {
         "r_score": Tile("last_success_before", k),
         "f_score": Tile("attempted_txns", k),
         "m_score": Tile("tpv_inr", k),
     })
+
+
+def merchant_features(base: DataFrame, staging: Staging, params: Params) -> DataFrame:
+    """All feature columns with the RFM scores."""
+    scored = rfm_scored(base, staging, params)
     kept = [c for c in base.columns if c not in ("last_success_before", "churned")]
     return scored.select(*kept, "r_score", "f_score", "m_score", "churned")
 

@@ -59,6 +59,10 @@ class Warehouse:
         self.staging.size_for(self[name].count())
         return self[name]
 
+    def first_of(self, *names: str) -> DataFrame:
+        """The first of these marts that is there already, else the last one, which is the least work to make."""
+        return self[next((n for n in names if n in self._built), names[-1])]
+
     def once(self, name: str, make: Callable[[], object]):
         """An object such as a fitted model, made on first use."""
         if name not in self._held:
@@ -174,10 +178,18 @@ MARTS: dict[str, Mart] = {
     "degraded_issuer": Mart("features", lambda w: issuers.degraded_issuer(
         issuers.incident_culprit_ranking(w["sr_contribution"].filter(F.col("month") < w.split.label_start))
         if w.params.issuer_as_of_label else w["incident_culprit_ranking"])),
+    # The medians of merchant_month are no features, and all attempts are dealt anew for them.
+    "feature_months": Mart("features", lambda w: facts.merchant_month(
+        w["issuer_month"], None, w["support_tickets"], w["settlements"], w.staging.buckets, w.sources.one_delay)
+        .filter(F.col("month") < F.lit(w.split.label_start)).select(*features.FACTS),
+        stage=True, key=MERCHANT, public=False),
     "merchant_features_base": Mart("features", lambda w: features.merchant_features_base(
-        w["merchants"], w["merchant_month"], w["merchant_month_dense"], w["issuer_day"],
+        w["merchants"], w.first_of("merchant_month", "feature_months"), w["issuer_day"],
         w["merchant_activity_gaps"], w["merchant_bank_exposure"], w.worst_issuer, w.split, w.params),
         stage=True, key=MERCHANT, public=False),
+    # RFM scores alone need none of the other feature columns.
+    "rfm_base": Mart("features", lambda w: features.rfm_base(
+        w["merchants"], w["issuer_month"], w["issuer_day"], w.split, w.params), stage=True, key=MERCHANT, public=False),
     # The scores are a projection of the staged base, so they need no copy of their own.
     "merchant_features": Mart("features", lambda w: features.merchant_features(
         w["merchant_features_base"], w.staging, w.params)),
