@@ -10,7 +10,7 @@ link when 100 * |A and B| >= percent * |A or B|. Links of 80 per cent mean a sym
    share another with those there, so every pair that can link is in one of them. A set that can differ by D from any partner in
    its layout must agree with it in m - D parts; so its D + 1 first parts, in an order that all sets share, hold a common one.
    The order puts parts with many shingles first: such a part is rarely the same in strangers, and empty parts are used last.
-3. Join. Parts found in one set only leave (counts are partial aggregates). What is left is one row per part and set; every
+3. Join. Rows are dealt by part once; parts found in one set only leave. What is left is one row per part and set; every
    set is compared with the smallest of its part, and linked sets get one component. A part whose sets are all in one
    component is settled. The sets of the others are met again: now all parts of a sketch are put in order of how many
    of these sets have them, rare ones first, so that what a shared passage makes alike comes last. Where a part still has
@@ -219,6 +219,17 @@ def part_rows(docs: DataFrame, params: JaccardParams, clashing: np.ndarray) -> D
     return docs.select("text").mapInArrow(run, "part long, num long")
 
 
+def shared_parts(rows: DataFrame) -> DataFrame:
+    """The distinct (part, num) of `rows` whose part several sets have.
+
+    The rows are dealt by part once, for the comparison and for themselves: the plan reuses that exchange, so that their texts
+    are hashed once, and nothing is written for it.
+    """
+    dealt = rows.repartition("part")
+    several = dealt.groupBy("part").agg(F.min("num").alias("lo"), F.max("num").alias("hi")).filter("lo < hi").select("part")
+    return dealt.join(several, "part").distinct()
+
+
 def rare_parts(bodies: DataFrame, params: JaccardParams) -> DataFrame:
     """(part, num): for every set, as many parts as it needs, those that fewest of these sets have."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,11 +389,7 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams(),
     target = arrow_schema(schema)
     sets = stage(sets.mapInArrow(shorten, schema), "sets")
 
-    keyed = part_rows(docs, params, clashing)
-    several = keyed.groupBy("part").agg(F.count("*").alias("held")).filter("held > 1").select("part")
-    members = stage(keyed.join(several, "part").distinct(), "members")
-    shared = members.groupBy("part").agg(F.min("num").alias("lo"), F.max("num").alias("hi")).filter("lo < hi").select("part")
-    members = stage(members.join(shared, "part"), "shared_parts")
+    members = stage(shared_parts(part_rows(docs, params, clashing)), "shared_parts")
 
     # Whole sets of those that have a part in common with another, from the row that names them.
     wanted = sets.join(members.select("num").distinct(), "num", "left_semi").select("num", "n", "sketch", F.col("where.id").alias("w_id"), F.col("where.t").alias("w_t"))

@@ -111,3 +111,16 @@ def test_odd_input(request, table, odd_rows):
     docs = request.getfixturevalue(table)
     got = sorted((tuple(r) for r in pj.jaccard_components(docs).collect()), key=str)
     assert got == ([] if table == "empty" else plain([(r[0], r[1]) for r in odd_rows]))
+
+
+def test_texts_are_hashed_once_for_their_parts(spark, documents):
+    """op12, CPU: counting the sets of a part and reading its rows took a pass over all texts each."""
+    rows = pj.part_rows(documents, pj.JaccardParams(), np.zeros(0, np.int64))
+    found = pj.shared_parts(rows)
+    got = {tuple(r) for r in found.collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1 and plan.count("ReusedExchange") == 1
+    sets = {}
+    for part, num in {tuple(r) for r in rows.collect()}:
+        sets.setdefault(part, set()).add(num)
+    assert got == {(part, num) for part, held in sets.items() if len(held) > 1 for num in held} and got
