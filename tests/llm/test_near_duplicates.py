@@ -208,6 +208,71 @@ def test_links_through_several_passages(spark):
     assert {r.t: r.n_links for r in cw.link_counts(known).collect()} == {1: 2, 2: 3, 3: 2, 4: 3}
 
 
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_shared_windows_are_those_of_two_texts(spark, batch):
+    rng = np.random.default_rng(7)
+    rows = [tuple(map(int, x)) for x in zip(rng.integers(0, 60, 400), rng.integers(0, 5, 400), rng.integers(0, 3, 400), rng.integers(50, 53, 400))]
+    rows += [(100, 1, k, 90) for k in range(30)] + [(101, 1, k, 90) for k in range(30)] + [(101, 2, 0, 60)]
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = sorted(map(tuple, cw.shared_windows(spark.createDataFrame(rows, "key long, t long, l int, r int")).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert got == sorted({x for x in rows if len({y[1] for y in rows if y[0] == x[0]}) > 1})
+
+
+def test_windows_of_texts_put_together_are_those_of_each(spark):
+    p = cw.WindowParams()
+    texts = [prose(80_000 + i, n) for i, n in enumerate([50, 51, 49, 300, 700])] + ["all the same words here again " * 40]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA).coalesce(1)
+    want = set()
+    for i, t in enumerate(texts):
+        h = cw.shingles(t.encode(), p.width)
+        for j in range(p.hashes if len(h) >= p.least else 0):
+            want |= {((int(s) & ~7 | j), i, int(l), int(r)) for s, l, r in zip(*cw.windows(h, j, p.least))}
+    ids = {r.t: r.doc_id for r in docs.select("doc_id", cw.text_id()).collect()}
+    rows = cw.all_windows(docs, p).collect()
+    assert {(r.key % 2 ** 64, ids[r.t], r.l, r.r) for r in rows} == want and len(rows) == len(want)
+
+
+@pytest.mark.parametrize("cell", [512, 3])
+def test_a_crowd_is_compared_in_cells(spark, monkeypatch, cell):
+    monkeypatch.setattr(cw, "CELL", cell)
+    p = cw.WindowParams()
+    texts = crowd()[236:286]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)] * 2, SCHEMA)
+    t_of = {r.doc_id: r.t for r in docs.select("doc_id", cw.text_id()).collect()}
+    every = [cw.Text(t.encode(), p) for t in texts]
+    pairs, want = [], set()
+    for i in range(len(texts)):
+        for j in range(i):
+            box = {"al": 0, "ar": len(every[i].h) - 1, "bl": 0, "br": len(every[j].h) - 1}
+            pairs.append((t_of[i], t_of[j], *box.values(), (i + j) % 3))
+            want |= {(t_of[i], t_of[j], *m) for m in cw.verify(every[i], every[j], box, p)}
+    met = spark.createDataFrame(pairs, "a long, b long, al int, ar int, bl int, br int, home long")
+    got = [tuple(r) for r in cw.verified(docs, met, p).collect()]
+    assert set(got) == want and len(got) == len(want) > 50
+
+
+def test_windows_inside_others_are_not_met_one_by_one(spark, monkeypatch):
+    """Texts that repeat themselves have a window from every repetition to the end; only the widest can find anything."""
+    counts = {}
+
+    def count(df, name, stage=cw.stage):
+        out = stage(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(cw, "stage", count)
+    rows = [(8 * k + k, t, 10 * n, 2000) for k in (1, 2) for t in range(10) for n in range(100)]
+    known = spark.createDataFrame([(0, 0, 60, 77)], "t long, f int, u int, passage long")
+    met = spark.createDataFrame([], "a long, b long, al int, ar int, bl int, br int, home long")
+    got = cw.left_over(spark.createDataFrame(rows, "key long, t long, l int, r int"), met, known, cw.WindowParams()).collect()
+    assert {(r.a, r.b, r.al, r.ar, r.bl, r.br) for r in got} == {(a, b, 0, 2000, 0, 2000) for b in range(10) for a in range(b)}
+    assert counts["unsettled_windows"] <= 2 * 11
+
+
 def test_every_shared_50_word_string_is_in_one_class(spark, documents, folder):
     got = {r.doc_id: r.class_id for r in queries.op6_compact_windows(spark, folder).collect()}
     seen: dict = {}
