@@ -239,6 +239,7 @@ def test_windows_of_texts_put_together_are_those_of_each(spark):
 @pytest.mark.parametrize("cell", [512, 3])
 def test_a_crowd_is_compared_in_cells(spark, monkeypatch, cell):
     monkeypatch.setattr(cw, "CELL", cell)
+    monkeypatch.setattr(cw, "CROWD", cell // 3)
     p = cw.WindowParams()
     texts = crowd()[236:286]
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)] * 2, SCHEMA)
@@ -255,6 +256,24 @@ def test_a_crowd_is_compared_in_cells(spark, monkeypatch, cell):
     assert set(got) == want and len(got) == len(want) > 50
 
 
+def test_a_large_crowd_sends_few_copies_of_its_texts(spark, monkeypatch):
+    staged = {}
+
+    def keep(df, name, stage=cw.stage):
+        staged[name] = stage(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(cw, "stage", keep)
+    n = 400
+    docs = spark.createDataFrame([(i, prose(300_000 + i, 20), "en", "a", 1) for i in range(n)], SCHEMA)
+    t = sorted(r.t for r in docs.select(cw.text_id()).collect())
+    pairs = [(t[i], t[j], 0, 15, 0, 15, 5) for j in range(n) for i in range(j)]
+    assert cw.verified(docs, spark.createDataFrame(pairs, "a long, b long, al int, ar int, bl int, br int, home long"), cw.WindowParams()).count() == 0
+    cells = staged["cells"]
+    assert cells.count() == len(pairs)
+    assert cells.select("cell", "a").union(cells.select("cell", "b")).distinct().count() <= 6 * n
+
+
 def test_windows_inside_others_are_not_met_one_by_one(spark, monkeypatch):
     """Texts that repeat themselves have a window from every repetition to the end; only the widest can find anything."""
     counts = {}
