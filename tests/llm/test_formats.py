@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -264,3 +265,33 @@ def test_scratch_tables_go_and_kept_ones_stay(spark):
     assert not file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
     outside = frames.stage(spark.range(2), "outside")
     assert outside.count() == 2
+
+
+def test_kept_tables_of_an_inner_scratch_go_with_the_outer(spark):
+    def there(table):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+    with frames.scratch(spark):
+        with frames.scratch(spark):
+            gone, kept = frames.stage(spark.range(3), "gone"), frames.stage(spark.range(3), "kept", keep=True)
+        early = frames.stage(spark.range(3), "early")
+        frames.unstage(early)
+        assert (there(gone), there(kept), there(early)) == (False, True, False)
+    assert not there(kept)
+
+
+def test_what_was_shuffled_for_a_table_goes_when_it_is_written(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, old = shuffled(), spark.conf.get(frames.CLEANUP, None)
+    table = frames.stage(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 5).alias("k")).count(), "shuffled")
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(frames.CLEANUP, None) == old
+    assert sorted(r["count"] for r in table.collect()) == [200] * 5

@@ -292,6 +292,71 @@ def test_windows_inside_others_are_not_met_one_by_one(spark, monkeypatch):
     assert counts["unsettled_windows"] <= 2 * 11
 
 
+@pytest.mark.parametrize("part", [1 << 20, 64])
+def test_promising_texts_equal_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(cw, "PART", part)
+    p = cw.WindowParams()
+    often = prose(400_000, 70).split()
+    near = [w if i % 30 else f"{w}x" for i, w in enumerate(often)]
+    far = [w if i % 6 else f"{w}x" for i, w in enumerate(often)]
+    texts = [" ".join([prose(400_001 + i, 40), *x, prose(400_101 + i, 40)]) for i, x in enumerate([often, near, far, often[:35], often[35:], often[:48], often[10:], near[:56]])]
+    texts += [f"{prose(400_201 + i, 60)} {prose(400_300, 14)} {prose(400_401 + i, 60)}" for i in range(60)] + ["again " * 80, "again " * 90 + prose(400_500, 30), prose(400_501, 49)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate([*texts, *texts[:9]])], SCHEMA)
+    ids = {r.doc_id: r.t for r in docs.select("doc_id", cw.text_id()).collect()}
+    hulls = spark.createDataFrame([(ids[i], i % 3, 400) for i in range(len(texts))], "t long, l int, r int")
+    h = [set(cw.shingles(t.encode(), p.width)[i % 3:401].tolist()) for i, t in enumerate(texts)]
+    share, want = 2 * p.similarity / (1 + p.similarity), set()
+    for i, t in enumerate(texts):
+        of = [any(x in other for j, other in enumerate(h) if j != i) for x in cw.shingles(t.encode(), p.width)[i % 3:401].tolist()]
+        if any(sum(of[a:b]) >= share * (b - a) - 1e-9 for a in range(len(of)) for b in range(a + p.least, len(of) + 1)):
+            want.add(ids[i])
+    got = [r.t for r in cw.promising(docs, hulls, p).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert {ids[0], ids[1], ids[6]} <= want and not want & {ids[i] for i in range(8, 68)}
+
+
+def test_strangers_around_a_line_are_no_pairs(spark, monkeypatch):
+    """A line of 20 words in all of 300 texts makes no pairs of them; the passages among them are found."""
+    counts = {}
+
+    def count(df, name, stage=cw.stage, **how):
+        out = stage(df, name, **how)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(cw, "stage", count)
+    line, hot = prose(410_000, 20), prose(410_001, 60)
+    texts = [f"{prose(411_000 + i, 50)} {line} {prose(412_000 + i, 50)}" for i in range(300)]
+    texts += [f"{prose(413_000 + i, 50)} {line} {hot} {prose(414_000 + i, 20)}" for i in range(3)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in cw.classes(docs).collect()}
+    assert got == {i: (i, 0) for i in range(300)} | {i: (300, 2) for i in range(300, 303)}
+    assert counts["meetings"] > 300 and counts["pairs_left_over"] <= 3
+
+
+def test_few_texts_are_moved(spark):
+    docs = spark.createDataFrame([(i, prose(420_000 + i, 12), "en", "a", 1) for i in range(400)] * 2 + [(900, None, "en", "a", 0)], SCHEMA)
+    wanted = docs.filter("doc_id % 40 = 0").select(cw.text_id()).union(docs.filter("doc_id = 80").select(cw.text_id()))
+    of = {r.t: r.text for r in docs.select(cw.text_id(), "text").collect()}
+    got = {r.t: r.text for r in cw.texts_of(docs, wanted).collect()}
+    assert {r.t for r in wanted.collect()} - {t for t, x in of.items() if x is None} <= set(got) and len(got) < 20
+    assert all(of[t] == x for t, x in got.items()) and cw.texts_of(docs, wanted.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_of_a_pair_are_whole_and_maximal(seed):
+    rng = np.random.default_rng(seed)
+    p = cw.WindowParams()
+    for _ in range(60):
+        a = rng.integers(0, rng.integers(3, 2000), 200)
+        b = np.where(rng.random(200) < rng.choice([0, 0.02, 0.05]), rng.integers(3000, 4000, 200), a)
+        x, y = cw.Text(b"", p), cw.Text(b"", p)
+        x.h, y.h = cw.mix(a.astype(np.uint64)), cw.mix(np.r_[rng.integers(5000, 6000, 30), b].astype(np.uint64))
+        for a0, a1, b0, b1, s in cw.verify(x, y, {"al": 0, "ar": 199, "bl": 0, "br": 229}, p):
+            one, two = set(x.h[a0:a1 - p.width + 1].tolist()), set(y.h[b0:b1 - p.width + 1].tolist())
+            assert s == len(one & two) / len(one | two) >= p.similarity
+
+
 def test_every_shared_50_word_string_is_in_one_class(spark, documents, folder):
     got = {r.doc_id: r.class_id for r in queries.op6_compact_windows(spark, folder).collect()}
     seen: dict = {}
